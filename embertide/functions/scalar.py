@@ -165,10 +165,16 @@ def assign_ids(
 
 # --- JSON --------------------------------------------------------------------
 
+# The default format would cut instants to milliseconds.
+JSON_OPTIONS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 
 def to_document(df: DataFrame, name: str = "value") -> DataFrame:
     """One JSON text column from all columns."""
-    return df.select(F.to_json(F.struct("*")).alias(name))
+    return df.select(F.to_json(F.struct("*"), JSON_OPTIONS).alias(name))
 
 
 def from_document(df: DataFrame, column: str, schema: T.StructType, bad_rows: str = "skip"):

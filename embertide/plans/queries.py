@@ -889,18 +889,24 @@ def _(i):
 @query("a10_latency_sketch_within_bound", with_inputs(
     "SELECT severity, type, true AS close FROM latencies GROUP BY 1, 2", "latencies"))
 def _(i):
+    # The share of rows below each estimate must match its probability to 1 / ACCURACY,
+    # give or take one row.
     keys = ["severity", "type"]
     near = mt.latency_percentiles(i.latencies, keys)
-    exact = percentiles.exact(i.latencies, keys, "latency_ms", mt.LATENCY_PROBS)
-    span = i.latencies.groupBy(*keys).agg(
-        (F.max("latency_ms") - F.min("latency_ms")).alias("span")
-    )
-    names = ("p50", "p95", "p99")
-    exact = exact.select(*keys, *[F.col(n).alias(f"x_{n}") for n in names])
-    off = F.greatest(*[F.abs(F.col(n) - F.col(f"x_{n}")) for n in names])
-    return near.join(exact, keys).join(span, keys).select(
-        *keys, (off <= F.col("span") * 0.25).alias("close")
+    placed = i.latencies.join(near, keys)
+    names = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    shares = placed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col("latency_ms") < F.col(c)).alias(f"{c}_below") for c in names],
+        *[F.count_if(F.col("latency_ms") <= F.col(c)).alias(f"{c}_upto") for c in names],
     )
+    slack = F.col("n") / percentiles.ACCURACY + 1
+    fits = [
+        (F.col(f"{c}_below") <= p * F.col("n") + slack)
+        & (F.col(f"{c}_upto") >= p * F.col("n") - slack)
+        for c, p in names.items()
+    ]
+    return shares.select(*keys, (fits[0] & fits[1] & fits[2]).alias("close"))
 
 
 @query("a11_event_rate", with_inputs(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
+from embertide.functions.scalar import JSON_OPTIONS
 from embertide.schemas import DEVICE_MESSAGE, RAISED_ALARM, SENSOR_DATA
 
 # Topic names and records per poll of the consumers.
@@ -123,7 +124,7 @@ def decode(records: DataFrame, schema: T.StructType) -> DataFrame:
 def encode(rows: DataFrame, key: str = "device_id") -> DataFrame:
     """(key, value) records in wire form."""
     named = [F.col(c).alias(_camel(c)) for c in rows.columns]
-    return rows.select(F.col(key).alias("key"), F.to_json(F.struct(*named)).alias("value"))
+    return rows.select(F.col(key).alias("key"), F.to_json(F.struct(*named), JSON_OPTIONS).alias("value"))
 
 
 def sensor_stream(spark: SparkSession, topic: Topic) -> DataFrame:

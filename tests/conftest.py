@@ -14,6 +14,7 @@ DATA = "/root/testdata/sf0.001"
 def spark():
     session = build_session("tests", "local[4]", 4)
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.maxMetadataStringLength", "10000")
     yield session
     session.stop()
 
