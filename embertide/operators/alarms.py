@@ -31,7 +31,9 @@ def _newest() -> list[Column]:
 # --- creation and normal form ----------------------------------------------------
 
 
-def create_alarms(matches: DataFrame, id_column: Column | None = None) -> DataFrame:
+def create_alarms(
+    matches: DataFrame, id_column: Column | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Alarm rows from rule matches; the alarm carries the reading's time."""
     def place(name: str) -> Column:
         return F.col(name) if name in matches.columns else F.lit(None).cast("double")
@@ -59,6 +61,7 @@ def create_alarms(matches: DataFrame, id_column: Column | None = None) -> DataFr
         F.concat(F.lit("Triggered by rule: "), F.col("name")).alias("notes"),
         F.col("rule_metadata" if "rule_metadata" in matches.columns else "metadata")
         .alias("metadata"),
+        *keep,
     )
 
 

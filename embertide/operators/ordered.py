@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,13 +128,50 @@ def first_anchored(
 
     ``windows`` are seconds, constant within a key.
     """
+    out = staged(df, keys, ts, tie, windows, slices)
+    return out.where(F.col("passed") == len(windows)).drop("passed")
+
+
+def staged(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    tie: str,
+    windows: Sequence[Column | int | float],
+    slices: DataFrame | None = None,
+    before: Sequence[str] | None = None,
+) -> DataFrame:
+    """Rows with ``passed``: how many of the (one or two) windows accepted them, if any.
+
+    ``before`` names columns with the last accepted time (microseconds, null
+    when none) of the row's key per window, from earlier data. Rows older than
+    the first of them come out with ``passed`` = -1 and change nothing.
+    """
     keys = list(keys)
-    if slices is not None and len(windows) > 1:
-        for window in windows:
-            df = first_anchored(df, keys, ts, tie, [window], slices)
-        return df
-    return _fold(df, keys, ts, tie, windows, slices, carry=None, accepted_only=True).drop(
-        "_accepted", "_anchor_us", "_anchor"
+    if slices is None or len(windows) == 1:
+        return _fold(df, keys, ts, tie, windows, slices, before=before).drop(*before or [])
+    if len(windows) > 2:
+        raise ValueError("at most two windows")
+    entry = [[name] for name in before] if before else [None, None]
+    first = _fold(df, keys, ts, tie, windows[:1], slices, before=entry[0])
+    late = first.where(F.col("passed") < 0)
+    second = _fold(
+        first.where(F.col("passed") > 0).withColumnRenamed("passed", "_first"),
+        keys, ts, tie, windows[1:], slices, before=entry[1], keep_all=True,
+    ).withColumn("passed", F.col("_first") + F.col("passed"))
+    out = second.drop("_first")
+    if before:
+        out = out.unionByName(late)
+    return out.drop(*before or [])
+
+
+def last_accepted(passed: DataFrame, keys: Sequence[str], ts: str, names: Sequence[str]):
+    """Per key and window the time (microseconds) of its last accepted row."""
+    return passed.where(F.col("passed") > 0).groupBy(*keys).agg(
+        *[
+            F.max(F.when(F.col("passed") > n, micros(F.col(ts)))).alias(name)
+            for n, name in enumerate(names)
+        ]
     )
 
 
@@ -148,71 +186,75 @@ def anchored_by(
 ) -> DataFrame:
     """All rows plus ``accepted``, ``anchor_ts`` and ``anchor_<carry>`` of the governing row."""
     kind = df.schema[ts].dataType
-    out = _fold(df, list(keys), ts, tie, [window], slices, carry=carry, accepted_only=False)
+    out = _fold(df, list(keys), ts, tie, [window], slices, carry=carry, keep_all=True)
     return (
-        out.withColumn("accepted", F.col("_accepted"))
+        out.withColumn("accepted", F.col("passed") == 1)
         .withColumn("anchor_ts", F.timestamp_micros("_anchor_us").cast(kind))
         .withColumn(f"anchor_{carry}", F.col("_anchor").cast(df.schema[carry].dataType))
-        .drop("_accepted", "_anchor_us", "_anchor")
+        .drop("passed", "_anchor_us", "_anchor")
     )
 
 
-def _fold(df, keys, ts, tie, windows, slices, carry, accepted_only):
+def _fold(df, keys, ts, tie, windows, slices, before=None, carry=None, keep_all=False):
     columns = df.columns
     prepared = with_slice(df, keys, ts, slices).withColumn(US, micros(F.col(ts)))
-    width_names = []
+    widths, entries = [], []
     for number, window in enumerate(windows):
         seconds = window if isinstance(window, Column) else F.lit(window)
-        width_names.append(f"_w{number}")
+        widths.append(f"_w{number}")
+        entries.append(f"_in{number}_us")
+        known = F.col(before[number]) if before else F.lit(None)
         prepared = prepared.withColumn(
-            f"_w{number}", F.coalesce((seconds.cast("double") * 1e6).cast("long"), F.lit(0).cast("long"))
-        )
-    carried = F.col(carry).cast("string") if carry else F.lit(None).cast("string")
-    prepared = prepared.withColumn("_carry", carried)
+            widths[-1], F.coalesce((seconds.cast("double") * 1e6).cast("long"), F.lit(0).cast("long"))
+        ).withColumn(entries[-1], known.cast("long"))
     group = [*keys, SLICE]
+    prepared = prepared.withColumn(
+        "_carry", (F.col(carry) if carry else F.lit(None)).cast("string")
+    )
     if slices is None:
-        prepared = prepared.withColumn("_in_us", F.lit(None).cast("long")).withColumn(
-            "_in", F.lit(None).cast("string")
-        )
-        shuffled = prepared.repartition(*keys)
+        shuffled = prepared.withColumn("_in", F.lit(None).cast("string")).repartition(*keys)
     else:
-        entries = _entry_states(prepared, keys, tie, width_names[0])
-        prepared = null_safe(prepared, entries, group, "left")
-        shuffled = prepared.repartition(*group)
+        states = _entry_states(prepared, keys, tie, widths[0], entries[0])
+        shuffled = (
+            null_safe(prepared.withColumnRenamed(entries[0], "_before"), states, group, "left")
+            .withColumn(entries[0], F.coalesce(entries[0], "_before"))
+            .repartition(*group)
+        )
     ordered = shuffled.sortWithinPartitions(*group, US, tie)
-    schema = T.StructType(
-        [prepared.schema[c] for c in columns]
-        + [
-            T.StructField("_accepted", T.BooleanType()),
-            T.StructField("_anchor_us", T.LongType()),
-            T.StructField("_anchor", T.StringType()),
+    added = [T.StructField("passed", T.IntegerType())]
+    if carry:
+        added += [
+            T.StructField("_anchor_us", T.LongType()), T.StructField("_anchor", T.StringType())
         ]
-    )
+    schema = T.StructType([prepared.schema[c] for c in columns] + added)
+    label_late = before is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold = _Fold(group, width_names, want_anchor=not accepted_only)
+        fold = _Fold(group, widths, entries, label_late, want_anchor=carry is not None)
         for batch in batches:
             if batch.num_rows:
-                accepted, anchor_us, anchor = fold.step(batch)
+                passed, *anchors = fold.step(batch)
                 out = pa.RecordBatch.from_arrays(
-                    [batch.column(c) for c in columns]
-                    + [pa.array(accepted), anchor_us, anchor],
-                    names=[*columns, "_accepted", "_anchor_us", "_anchor"],
+                    [batch.column(c) for c in columns] + [pa.array(passed, pa.int32()), *anchors],
+                    names=[*columns, *[f.name for f in added]],
                 )
-                yield out.filter(pa.array(accepted)) if accepted_only else out
+                yield out if keep_all else out.filter(pa.array(passed != 0))
 
     return ordered.mapInArrow(run, schema)
 
 
-def _entry_states(prepared, keys, tie, width):
-    """State entering each slice of the sliced keys: (keys, slice, _in_us, _in)."""
+def _entry_states(prepared, keys, tie, width, entry):
+    """State entering each slice of the sliced keys: (keys, slice, ``entry``, _in)."""
     group = [*keys, SLICE]
-    narrow = prepared.where(F.col(SLICE).isNotNull()).select(*group, US, tie, width, "_carry")
+    narrow = prepared.where(F.col(SLICE).isNotNull()).select(
+        *group, US, tie, width, entry, "_carry"
+    )
     key_fields = [narrow.schema[c] for c in group]
     summary_schema = T.StructType(
         key_fields
         + [
             T.StructField("_width", T.LongType()),
+            T.StructField("_before", T.LongType()),
             T.StructField("_upper", T.ArrayType(T.LongType())),
             T.StructField("_exit_us", T.ArrayType(T.LongType())),
             T.StructField("_exit", T.ArrayType(T.StringType())),
@@ -220,12 +262,17 @@ def _entry_states(prepared, keys, tie, width):
     )
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*group, "_width", "_upper", "_exit_us", "_exit"]
-        for head, times, carries, size in _slices_of(batches, group, width):
+        names = [*group, "_width", "_before", "_upper", "_exit_us", "_exit"]
+        for head, times, carries, size, earlier in _slices_of(batches, group, width, entry):
+            if earlier is not None:
+                # Late rows change nothing.
+                fresh = times >= earlier
+                times, carries = times[fresh], carries.filter(pa.array(fresh))
             upper, exit_us, exit_at = transition(times, size)
             row = [pa.array([v], type=f) for v, f in head]
             row += [
                 pa.array([size], pa.int64()),
+                pa.array([earlier], pa.int64()),
                 pa.array([upper], pa.list_(pa.int64())),
                 pa.array([exit_us], pa.list_(pa.int64())),
                 pa.array([carries.take(pa.array(exit_at)).to_pylist()], pa.list_(pa.string())),
@@ -237,7 +284,7 @@ def _entry_states(prepared, keys, tie, width):
         .mapInArrow(summarise, summary_schema)
     )
     entry_schema = T.StructType(
-        key_fields + [T.StructField("_in_us", T.LongType()), T.StructField("_in", T.StringType())]
+        key_fields + [T.StructField(entry, T.LongType()), T.StructField("_in", T.StringType())]
     )
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,12 +292,12 @@ def _entry_states(prepared, keys, tie, width):
         for batch in batches:
             key_rows = list(zip(*[batch.column(c).to_pylist() for c in keys]))
             states, values = [], []
-            for key, size, upper, exit_us, exits in zip(
+            for key, size, earlier, upper, exit_us, exits in zip(
                 key_rows, *[batch.column(c).to_pylist()
-                            for c in ("_width", "_upper", "_exit_us", "_exit")]
+                            for c in ("_width", "_before", "_upper", "_exit_us", "_exit")]
             ):
                 if key != current:
-                    current, state, value = key, NO_STATE, None
+                    current, state, value = key, earlier, None
                 states.append(state)
                 values.append(value)
                 at = 0 if state is None else int(np.searchsorted(upper, state + size))
@@ -259,7 +306,7 @@ def _entry_states(prepared, keys, tie, width):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in group]
                 + [pa.array(states, pa.int64()), pa.array(values, pa.string())],
-                names=[*group, "_in_us", "_in"],
+                names=[*group, entry, "_in"],
             )
 
     return (
@@ -267,9 +314,9 @@ def _entry_states(prepared, keys, tie, width):
     )
 
 
-def _slices_of(batches, group, width):
-    """Whole slices from sorted batches: (key cells, times, carries, window)."""
-    head, parts, texts, size = None, [], [], 0
+def _slices_of(batches, group, width, entry):
+    """Whole slices from sorted batches: (key cells, times, carries, window, earlier state)."""
+    head, parts, texts, size, earlier = None, [], [], 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -277,14 +324,15 @@ def _slices_of(batches, group, width):
         for start, end in zip(bounds[:-1], bounds[1:]):
             cells = [(batch.column(c)[start].as_py(), batch.column(c).type) for c in group]
             if head is not None and [v for v, _ in cells] != [v for v, _ in head]:
-                yield head, np.concatenate(parts), pa.chunked_array(texts), size
+                yield head, np.concatenate(parts), pa.chunked_array(texts), size, earlier
                 parts, texts = [], []
             head = cells
             size = batch.column(width)[start].as_py()
+            earlier = batch.column(entry)[start].as_py()
             parts.append(batch.column(US)[start:end].to_numpy())
             texts.append(batch.column("_carry")[start:end])
     if head is not None:
-        yield head, np.concatenate(parts), pa.chunked_array(texts), size
+        yield head, np.concatenate(parts), pa.chunked_array(texts), size, earlier
 
 
 def transition(times: np.ndarray, size: int) -> tuple[list, list, list]:
@@ -295,6 +343,8 @@ def transition(times: np.ndarray, size: int) -> tuple[list, list, list]:
     entry the state passes unchanged. Runs of equal exits are merged.
     """
     count = len(times)
+    if not count:
+        return [], [], []
     follow = _next_accept(times, np.zeros(count, np.int64), np.full(count, size))
     rows = np.arange(count)
     last = np.where(follow < count, follow, rows)
@@ -347,87 +397,73 @@ def _next_accept(times: np.ndarray, owner: np.ndarray, size: np.ndarray) -> np.n
 class _Fold:
     """Applies the windows over sorted batches, keeping one state per window."""
 
-    def __init__(self, group: Sequence[str], widths: Sequence[str], want_anchor: bool):
-        self.group, self.widths, self.want_anchor = group, widths, want_anchor
+    def __init__(self, group, widths, entries, label_late: bool, want_anchor: bool):
+        self.group, self.widths, self.entries = group, widths, entries
+        self.label_late, self.want_anchor = label_late, want_anchor
         self.key: list | None = None
         self.states: list = [NO_STATE] * len(widths)
-        self.value = None
+        self.anchor: tuple = (None, None)
 
     def step(self, batch: pa.RecordBatch):
         count = batch.num_rows
         bounds = _group_bounds(batch, self.group)
         owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         times = batch.column(US).to_numpy()
-        entry = batch.column("_in_us")
-        first_key = [batch.column(c)[0].as_py() for c in self.group]
-        continues = first_key == self.key
-        if not continues:
-            self.states, self.value = [NO_STATE] * len(self.widths), None
-        entry_value = self.value if continues else batch.column("_in")[0].as_py()
+        continues = [batch.column(c)[0].as_py() for c in self.group] == self.key
+        self.key = [batch.column(c)[count - 1].as_py() for c in self.group]
+        passed = np.zeros(count, np.int32)
         alive = np.arange(count)
-        for number, width in enumerate(self.widths):
+        if self.label_late:
+            floor = batch.column(self.entries[0]).fill_null(np.iinfo(np.int64).min).to_numpy()
+            late = times < floor
+            passed[late] = -1
+            alive = alive[~late]
+        for number, (width, entry) in enumerate(zip(self.widths, self.entries)):
+            # The state entering each group: carried over, or given with its rows.
+            given = batch.column(entry).take(pa.array(bounds[:-1])).to_pylist()
+            if continues:
+                given[0] = self.states[number]
             size = batch.column(width).to_numpy()[alive]
-            accepted, state = self._walk(
-                times[alive], owner[alive], size, entry.take(pa.array(alive)),
-                self.states[number] if continues else NO_STATE, continues, len(bounds) - 2,
-            )
-            self.states[number] = state
-            alive = alive[accepted]
-        flags = np.zeros(count, bool)
-        flags[alive] = True
-        self.key = [batch.column(c)[count - 1].as_py() for c in self.group]
+            alive = alive[_walk(times[alive], owner[alive], size, given)]
+            passed[alive] = number + 1
+            mine = alive[owner[alive] == owner[-1]]
+            self.states[number] = int(times[mine[-1]]) if len(mine) else given[-1]
         if not self.want_anchor:
-            return flags, pa.nulls(count, pa.int64()), pa.nulls(count, pa.string())
-        anchor_us, anchor = self._anchors(batch, flags, bounds, owner, times, entry, continues,
-                                          entry_value)
-        return flags, anchor_us, anchor
-
-    @staticmethod
-    def _walk(times, owner, size, entry, carried, continues, last_owner):
-        count = len(times)
-        state = carried if last_owner == 0 and continues else NO_STATE
-        if not count:
-            return np.zeros(0, np.int64), state
-        follow = _next_accept(times, owner, size).tolist()
-        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        ends = np.append(starts[1:], count)
-        has_entry = entry.null_count < len(entry)
-        picked: list[int] = []
-        for start, end in zip(starts.tolist(), ends.tolist()):
-            incoming = carried if continues and owner[start] == 0 else NO_STATE
-            if incoming is None and has_entry and not (continues and owner[start] == 0):
-                incoming = entry[start].as_py()
-            at = start
-            if incoming is not None and size[start] > 0:
-                at = start + int(np.searchsorted(times[start:end], incoming + size[start]))
-            while at < end:
-                picked.append(at)
-                at = follow[at]
-        rows = np.asarray(picked, np.int64)
-        if len(rows) and owner[rows[-1]] == last_owner:
-            state = int(times[rows[-1]])
-        elif state is None and has_entry and owner[-1] == last_owner:
-            first = int(np.searchsorted(owner, last_owner))
-            if not (continues and last_owner == 0):
-                state = entry[first].as_py()
-        return rows, state
-
-    def _anchors(self, batch, flags, bounds, owner, times, entry, continues, entry_value):
-        rows = np.maximum.accumulate(np.where(flags, np.arange(batch.num_rows), -1))
+            return (passed,)
+        return passed, *self._anchors(batch, passed == 1, bounds, owner, times, continues)
+
+    def _anchors(self, batch, accepted, bounds, owner, times, continues):
+        """Time and carried value of the accepted row governing each row."""
+        rows = np.maximum.accumulate(np.where(accepted, np.arange(len(times)), -1))
         inside = rows >= bounds[owner]
-        anchor_us = pa.array(np.where(inside, times[rows], 0), mask=~inside)
-        anchor = batch.column("_carry").take(pa.array(np.where(inside, rows, 0)))
+        us = pa.array(np.where(inside, times[rows], 0), mask=~inside)
+        text = batch.column("_carry").take(pa.array(np.where(inside, rows, 0)))
         if not inside.all():
-            # Rows governed by a state from before this batch or slice.
-            before_us = entry.to_pylist()
-            before = batch.column("_in").to_pylist()
-            us, text = anchor_us.to_pylist(), anchor.to_pylist()
-            for row in np.flatnonzero(~inside).tolist():
-                if continues and owner[row] == 0:
-                    us[row], text[row] = self._carried_us, entry_value
-                else:
-                    us[row], text[row] = before_us[row], before[row]
-            anchor_us, anchor = pa.array(us, pa.int64()), pa.array(text, pa.string())
-        self._carried_us = anchor_us[-1].as_py()
-        self.value = anchor[-1].as_py()
-        return anchor_us, anchor
+            # Governed by an accepted row of an earlier batch or slice.
+            before_us = batch.column(self.entries[0]).take(pa.array(bounds[:-1])).to_pylist()
+            before = batch.column("_in").take(pa.array(bounds[:-1])).to_pylist()
+            if continues:
+                before_us[0], before[0] = self.anchor
+            us = pc.if_else(pa.array(inside), us, pa.array(before_us, pa.int64()).take(pa.array(owner)))
+            text = pc.if_else(pa.array(inside), text, pa.array(before, pa.string()).take(pa.array(owner)))
+        self.anchor = us[-1].as_py(), text[-1].as_py()
+        return us, text
+
+
+def _walk(times, owner, size, given: list) -> np.ndarray:
+    """Rows accepted by one window; ``given`` is the state entering each owner."""
+    count = len(times)
+    if not count:
+        return np.zeros(0, np.int64)
+    follow = _next_accept(times, owner, size).tolist()
+    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    ends = np.append(starts[1:], count)
+    picked: list[int] = []
+    for start, end, who in zip(starts.tolist(), ends.tolist(), owner[starts].tolist()):
+        at, state = start, given[who]
+        if state is not None and size[start] > 0:
+            at += int(np.searchsorted(times[start:end], state + size[start]))
+        while at < end:
+            picked.append(at)
+            at = follow[at]
+    return np.asarray(picked, np.int64)

@@ -151,7 +151,37 @@ def retain(
     return count
 
 
-def _delete_folder(spark: SparkSession, folder: str) -> None:
-    """Delete through the file system the path belongs to, local or distributed."""
+def _file_system(spark: SparkSession, folder: str):
+    """The file system the path belongs to, local or distributed, and the path in it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _delete_folder(spark: SparkSession, folder: str) -> None:
+    system, target = _file_system(spark, folder)
+    system.delete(target, True)
+
+
+def _batches(spark: SparkSession, folder: str) -> list[int]:
+    system, target = _file_system(spark, folder)
+    if not system.exists(target):
+        return []
+    names = [entry.getPath().getName() for entry in system.listStatus(target)]
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def finished_batches(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the completely written ``batch=N`` folders."""
+    done = []
+    for number in _batches(spark, folder):
+        system, marker = _file_system(spark, f"{folder}/batch={number}/_SUCCESS")
+        if system.exists(marker):
+            done.append(number)
+    return done
+
+
+def delete_below(spark: SparkSession, folder: str, batch_id: int) -> None:
+    """Drop ``batch=N`` folders older than ``batch_id``."""
+    for number in _batches(spark, folder):
+        if number < batch_id:
+            _delete_folder(spark, f"{folder}/batch={number}")

@@ -20,13 +20,17 @@ from embertide.operators import readings as rd
 from embertide.operators import rules as rl
 from embertide.operators.devices import HEARTBEAT_SECONDS
 from embertide.operators.metrics import health_columns
+from embertide.operators.ordered import (
+    TARGET_ROWS, hot_slices, last_accepted, null_safe, staged,
+)
 from embertide.operators.suppression import EXPIRY_SECONDS
-from embertide.sources.store import StoreSink
+from embertide.sources.store import StoreSink, delete_below, finished_batches
 from embertide.streaming.processors import (
     AlarmLife, ChangeFilter, Liveness, Suppression, Throttle,
 )
 
 WATERMARK = "10 minutes"
+LATENESS_US = 600_000_000
 
 
 def _plus(schema: T.StructType, **more: T.DataType) -> T.StructType:
@@ -147,73 +151,94 @@ def alarm_life_stream(alarms: DataFrame, actions: DataFrame) -> DataFrame:
 # --- readings to store, readings to alarms -----------------------------------------------------
 
 
-class MatchSink:
-    """Match each micro-batch against the rules as they are at that moment.
+class AlarmSink:
+    """Micro-batches of readings to stored and fanned-out alarms.
+
+    Per micro-batch: registry gate, rule match, rate limit, de-duplication,
+    alarm rows, history, topics. ``rules`` and ``registry`` are called every
+    time, so changed rules, thresholds and devices take effect live.
 
-    ``rules`` and ``registry`` are called per micro-batch, so rule changes,
-    deletions, thresholds and the device registry take effect live. The output
-    folder of a micro-batch is replaced when that micro-batch is repeated.
+    The rate-limit and de-duplication state of the keys is a small table in
+    ``folder``, written once per micro-batch from the previous one and pruned of
+    keys whose windows have passed. A repeated micro-batch starts from the same
+    state and replaces its own output. Large keys are sliced as in batch.
+    Rows older than the state of their key are kept under ``late``.
     """
 
+    STATE = ("rate_us", "dedup_us")
+
     def __init__(
         self,
-        path: str,
+        folder: str,
         rules: Callable[[], DataFrame],
         registry: Callable[[], DataFrame] | None = None,
+        dedup_seconds: float = rl.DEDUP_SECONDS,
+        target_rows: int = TARGET_ROWS,
     ):
-        self.path, self.rules, self.registry = path, rules, registry
+        self.folder, self.rules, self.registry = folder, rules, registry
+        self.dedup_seconds, self.target_rows = dedup_seconds, target_rows
+        self.history = StoreSink(f"{folder}/history", keys=("id", "rule_id", "ts"))
+        self.topics = StoreSink(f"{folder}/topics", keys=("topic", "id", "rule_id", "ts"))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         rows = dv.gate(batch, self.registry()) if self.registry else batch
-        matched = rl.match_rules(rows, self.rules())
-        matched.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        rules = self.rules()
+        matched = rl.match_rules(rows, rules)
+        state = self._state_before(spark, batch_id)
+        if state is None:
+            before = matched.withColumns({n: F.lit(None).cast("long") for n in self.STATE})
+        else:
+            before = null_safe(matched, state.select(*rl.ALARM_KEY, *self.STATE), rl.ALARM_KEY, "left")
+        slices = hot_slices(rows, rl.SENSOR_KEY, "ts", self.target_rows)
+        if slices is not None:
+            slices = slices.join(rules.select(*rl.ALARM_KEY), rl.SENSOR_KEY)
+        passed = staged(
+            before, rl.ALARM_KEY, "ts", "id",
+            [F.col("time_window_seconds"), self.dedup_seconds], slices, self.STATE,
+        )
+        path = f"{self.folder}/passed/batch={batch_id}"
+        passed.write.mode("overwrite").parquet(path)
+        passed = spark.read.schema(passed.schema).parquet(path)
+        self._write_state(passed, state, batch_id)
+        passed.where(F.col("passed") < 0).drop("passed").write.mode("overwrite").parquet(
+            f"{self.folder}/late/batch={batch_id}"
+        )
+        accepted = passed.where(F.col("passed") == len(self.STATE))
+        alarms = al.normalised(al.create_alarms(accepted, keep=("rule_id",)))
+        self.history(alarms, batch_id)
+        self.topics(al.fan_out(alarms), batch_id)
+        delete_below(spark, f"{self.folder}/passed", batch_id)
+
+    def _state_before(self, spark, batch_id: int) -> DataFrame | None:
+        done = [n for n in finished_batches(spark, f"{self.folder}/state") if n < batch_id]
+        return spark.read.parquet(f"{self.folder}/state/batch={max(done)}") if done else None
+
+    def _write_state(self, passed: DataFrame, state: DataFrame | None, batch_id: int) -> None:
+        fresh = last_accepted(passed, rl.ALARM_KEY, "ts", self.STATE)
+        width = passed.where(F.col("passed") > 0).groupBy(*rl.ALARM_KEY).agg(
+            F.max("time_window_seconds").alias("rate_seconds")
+        )
+        fresh = null_safe(fresh, width, rl.ALARM_KEY, "left")
+        both = fresh if state is None else fresh.unionByName(state)
+        merged = both.groupBy(*rl.ALARM_KEY).agg(
+            *[F.max(c).alias(c) for c in (*self.STATE, "rate_seconds")]
+        )
+        # Event time reached so far; a key whose windows all ended before it needs no state.
+        now = merged.agg(F.max("rate_us")).first()[0] or 0
+        until = F.greatest(
+            F.col("rate_us") + F.coalesce("rate_seconds", F.lit(0)) * F.lit(1_000_000).cast("long"),
+            F.col("dedup_us") + int(self.dedup_seconds * 1_000_000),
+        )
+        kept = merged.where(until > now - LATENESS_US)
+        kept.write.mode("overwrite").parquet(f"{self.folder}/state/batch={batch_id}")
+        delete_below(passed.sparkSession, f"{self.folder}/state", batch_id - 1)
 
 
-def match_flow(readings: DataFrame, sink: MatchSink, checkpoint: str) -> DataStreamWriter:
+def alarm_flow(readings: DataFrame, sink: AlarmSink, checkpoint: str) -> DataStreamWriter:
     return readings.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
 
 
-def read_matches(spark, path: str, schema: T.StructType, per_trigger: int = 1000) -> DataFrame:
-    """Stream of the matches written by ``MatchSink``."""
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
-        .select(*schema.fieldNames())
-    )
-
-
-def raise_stream(
-    matches: DataFrame, dedup_seconds: float = rl.DEDUP_SECONDS, watermark: str = WATERMARK
-) -> DataFrame:
-    """Rate limit, then de-duplication, then alarm rows in history form; one shuffle."""
-    accepted = throttle_stream(
-        matches, rl.ALARM_KEY, ["time_window_seconds", dedup_seconds], watermark=watermark
-    )
-    return al.normalised(
-        al.create_alarms(accepted.where(F.col("status") == "accepted"))
-    )
-
-
-class Distribute:
-    """Store each alarm in the history and once per topic, each exactly once."""
-
-    def __init__(self, history: str, topics: str):
-        self.history = StoreSink(history, keys=("id", "ts"))
-        self.topics = StoreSink(topics, keys=("topic", "id", "ts"))
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        # Both writes need the batch; without this its stateful plan would run twice.
-        batch = batch.persist()
-        try:
-            self.history(batch, batch_id)
-            self.topics(al.fan_out(batch), batch_id)
-        finally:
-            batch.unpersist()
-
-
-def distribute_flow(alarms: DataFrame, sink: Distribute, checkpoint: str) -> DataStreamWriter:
-    return alarms.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-
-
 # --- health ---------------------------------------------------------------------------------------
 
 

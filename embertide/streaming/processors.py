@@ -28,10 +28,6 @@ def _us(times: pd.Series) -> np.ndarray:
     return times.astype("datetime64[us]").to_numpy().astype("int64")
 
 
-def _read(state):
-    return state.get()[0] if state.exists() else None
-
-
 def _stamp(us) -> pd.Series:
     return pd.Series(np.asarray(us, "datetime64[us]")).dt.tz_localize("UTC")
 
@@ -40,7 +36,8 @@ class Throttle(StatefulProcessor):
     """First-anchored windows in turn (rate limit, then de-duplication) for one key.
 
     ``windows`` are column names or seconds. Emits accepted and late rows with
-    a ``status`` column.
+    a ``status`` column. The state of a key is one record, dropped once the
+    watermark has passed all its windows.
     """
 
     def __init__(self, windows: list[str | float], tie: str = "id"):
@@ -48,47 +45,50 @@ class Throttle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = [
-            handle.getValueState(f"last{n}", _LONG) for n in range(len(self.windows))
-        ]
+        fields = [f"last{n}" for n in range(len(self.windows))] + ["until"]
+        self.state = handle.getValueState(
+            "state", T.StructType([T.StructField(f, T.LongType()) for f in fields])
+        )
 
-    def _width(self, frame: pd.DataFrame, window) -> np.ndarray:
-        seconds = frame[window].to_numpy(float) if isinstance(window, str) else float(window)
-        return np.broadcast_to(np.nan_to_num(np.asarray(seconds) * 1e6).astype("int64"), len(frame))
+    def _width(self, frame: pd.DataFrame, window) -> list[int]:
+        if not isinstance(window, str):
+            return [int(window * 1e6)] * len(frame)
+        return (frame[window].fillna(0).astype(float) * 1e6).astype("int64").tolist()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = _ordered(rows, ["ts", self.tie])
-        times = _us(frame["ts"])
-        first = _read(self.last[0])
-        late = times < first if first is not None else np.zeros(len(frame), bool)
-        alive = np.flatnonzero(~late)
-        keep_until = 0
-        for state, window in zip(self.last, self.windows):
-            widths = self._width(frame, window)
-            last, passed = _read(state), []
-            for at in alive.tolist():
-                if last is None or widths[at] <= 0 or times[at] - last >= widths[at]:
-                    last = int(times[at])
-                    passed.append(at)
-            if passed:
-                state.update((last,))
-            if last is not None:
-                keep_until = max(keep_until, last + int(widths.max()))
-            alive = np.asarray(passed, "int64")
-        if (~late).any():
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(keep_until // 1000 + 1)
-        picked = np.sort(np.concatenate([alive, np.flatnonzero(late)])).astype("int64")
-        if len(picked):
+        times = _us(frame["ts"]).tolist()
+        stored = self.state.get()
+        *lasts, until = stored or [None] * (len(self.windows) + 1)
+        first, new = lasts[0], stored is None
+        late = [first is not None and t < first for t in times]
+        alive = [n for n, is_late in enumerate(late) if not is_late]
+        if alive:
+            for stage, window in enumerate(self.windows):
+                widths, last, passed = self._width(frame, window), lasts[stage], []
+                for at in alive:
+                    if last is None or widths[at] <= 0 or times[at] - last >= widths[at]:
+                        last = times[at]
+                        passed.append(at)
+                if last is not None:
+                    until = max(until or 0, last + max(widths))
+                lasts[stage], alive = last, passed
+            self.state.update((*lasts, until))
+            if new:
+                self.handle.registerTimer(until // 1000 + 1)
+        picked = sorted({*alive, *(n for n, is_late in enumerate(late) if is_late)})
+        if picked:
             out = frame.iloc[picked].copy()
-            out["status"] = np.where(late[picked], "late", "accepted")
+            out["status"] = ["late" if late[n] else "accepted" for n in picked]
             yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # The watermark has passed every window: an empty state gives the same answers.
-        for state in self.last:
-            state.clear()
+        until = self.state.get()[-1] // 1000 + 1
+        if until > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(until)
+        else:
+            # The watermark has passed every window: no state gives the same answers.
+            self.state.clear()
         return iter(())
 
     def close(self) -> None:
@@ -115,7 +115,7 @@ class ChangeFilter(StatefulProcessor):
         times = _us(frame["ts"])
         known = {}
         for name in frame["sensor_type"].unique():
-            known[name] = self.last.getValue((name,)) if self.last.containsKey((name,)) else None
+            known[name] = self.last.getValue((name,))
         floor = frame["sensor_type"].map(
             {n: (s[0] if s else np.iinfo("int64").min) for n, s in known.items()}
         ).to_numpy("int64")
@@ -156,9 +156,13 @@ class Liveness(StatefulProcessor):
     def _events(self, key, what: list[str], when: list[int]) -> pd.DataFrame:
         return pd.DataFrame({"device_id": key[0], "event": what, "at": _stamp(when)})
 
+    def _end_ms(self, last: int) -> int:
+        return -(-(last + self.gap_us) // 1000)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         times = np.sort(np.concatenate([_us(chunk["ts"]) for chunk in rows]))
-        last = _read(self.last)
+        stored = self.last.get()
+        last = stored[0] if stored else None
         if last is not None:
             times = times[times >= last]
         if not len(times):
@@ -170,17 +174,17 @@ class Liveness(StatefulProcessor):
         for at in silent.tolist():
             what += ["disconnected", "connected"]
             when += [int(chain[at]) + self.gap_us, int(chain[at + 1])]
-        newest = int(times[-1])
-        self.last.update((newest,))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(-(-(newest + self.gap_us) // 1000))
+        self.last.update((int(times[-1]),))
+        if last is None:
+            self.handle.registerTimer(self._end_ms(int(times[-1])))
         if what:
             yield self._events(key, what, when)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = _read(self.last)
-        if last is not None:
+        last = self.last.get()[0]
+        if self._end_ms(last) > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(self._end_ms(last))
+        else:
             self.last.clear()
             yield self._events(key, ["disconnected"], [last + self.gap_us])
 
@@ -203,12 +207,15 @@ class Suppression(StatefulProcessor):
             ]),
         )
 
+    def _end_ms(self, started: int) -> int:
+        return -(-(started + self.us) // 1000)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = _ordered(rows, ["ts", "request_id"])
-        times = _us(frame["ts"]).tolist()
-        started, agent = self.active.get() if self.active.exists() else (None, None)
+        stored = self.active.get()
+        started, agent = stored or (None, None)
         outcomes, anchors = [], []
-        for now, wanted in zip(times, frame["suppression_type"]):
+        for now, wanted in zip(_us(frame["ts"]).tolist(), frame["suppression_type"]):
             if started is not None and now < started:
                 outcomes.append("late")
             elif started is None or now - started >= self.us:
@@ -217,14 +224,18 @@ class Suppression(StatefulProcessor):
             else:
                 outcomes.append("updated" if wanted == agent else "rejected")
             anchors.append(started)
-        self.active.update((started, agent))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(-(-(started + self.us) // 1000))
+        if (started, agent) != stored:
+            self.active.update((started, agent))
+        if stored is None:
+            self.handle.registerTimer(self._end_ms(started))
         yield frame.assign(activated_at=_stamp(anchors), outcome=outcomes)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.active.clear()
+        end = self._end_ms(self.active.get()[0])
+        if end > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(end)
+        else:
+            self.active.clear()
         return iter(())
 
     def close(self) -> None:
@@ -247,8 +258,9 @@ class AlarmLife(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = _ordered(rows, ["ts"])
-        is_open = self.open.exists()
-        device, severity = self.open.get() if is_open else (None, None)
+        stored = self.open.get()
+        is_open = stored is not None
+        device, severity = stored or (None, None)
         changes = []
         for row in frame.itertuples(index=False):
             if row.action == "RAISE" and not is_open:

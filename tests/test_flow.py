@@ -1,5 +1,6 @@
 """Alarm flow end to end: live rules, registry gate, restart, distribution, health."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from embertide.operators import alarms as al
@@ -16,86 +17,111 @@ def finish(writer):
     assert query.exception() is None
 
 
-def test_alarm_flow_equals_batch_and_survives_restart(spark, inputs, tmp_path):
+def stored(spark, folder, *columns):
+    return rows_of(spark.read.parquet(f"{folder}/history"), *columns)
+
+
+@pytest.mark.parametrize("target", [5_000_000, 10])
+def test_alarm_flow_equals_batch_and_survives_restart(spark, inputs, tmp_path, target):
     readings, rules = instants(inputs.sensor_data), inputs.rules
-    expected = al.normalised(al.create_alarms(rl.raised(rl.match_rules(readings, rules), DAY)))
-    matches, history, topics = (str(tmp_path / n) for n in ("matches", "history", "topics"))
-    stream = as_stream(readings, tmp_path / "in", 2)
-    schema = rl.match_rules(readings, rules).schema
-
-    def match():
-        sink = flows.MatchSink(matches, lambda: rules)
-        finish(flows.match_flow(stream, sink, str(tmp_path / "cp1")))
-
-    def distribute():
-        alarms = flows.raise_stream(flows.read_matches(spark, matches, schema, 4), DAY)
-        finish(flows.distribute_flow(
-            alarms, flows.Distribute(history, topics), str(tmp_path / "cp2")
-        ))
-
-    match()
-    distribute()
-    first = rows_of(spark.read.parquet(history), "id")
-    assert first == rows_of(expected, "id")
-    fanned = rows_of(spark.read.parquet(topics), "id", "topic")
-    assert fanned == rows_of(al.fan_out(expected), "id", "topic")
-    # Started again from the checkpoints with nothing new: nothing is repeated.
-    match()
-    distribute()
-    assert rows_of(spark.read.parquet(history), "id") == first
+    work = str(tmp_path / "work")
+    stream = as_stream(readings, tmp_path / "in", 3)
+
+    def run():
+        sink = flows.AlarmSink(work, lambda: rules, dedup_seconds=DAY, target_rows=target)
+        finish(flows.alarm_flow(stream, sink, str(tmp_path / "cp")))
+
+    def expected(rows):
+        return al.normalised(al.create_alarms(rl.raised(rl.match_rules(rows, rules), DAY)))
+
+    run()
+    first = stored(spark, work, "id", "severity", "message", "ts")
+    assert first == rows_of(expected(readings), "id", "severity", "message", "ts")
+    topics = spark.read.parquet(f"{work}/topics")
+    assert rows_of(topics, "id", "topic") == rows_of(al.fan_out(expected(readings)), "id", "topic")
+    # Started again from the checkpoint with nothing new: nothing is repeated.
+    run()
+    assert stored(spark, work, "id", "severity", "message", "ts") == first
     # New readings after the restart continue from the stored state.
-    later = readings.withColumn("ts", F.col("ts") + F.expr("INTERVAL 40 DAYS")).withColumn(
+    later = readings.withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 DAYS")).withColumn(
         "id", F.col("id") + 1_000_000
     )
     later.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    match()
-    distribute()
-    both = al.create_alarms(
-        rl.raised(rl.match_rules(readings.unionByName(later), rules), DAY)
-    ).select(F.col("id").cast("string").alias("id"))
-    assert rows_of(spark.read.parquet(history), "id") == rows_of(both, "id")
-
-
-def test_distribute_repeats_nothing_when_a_batch_is_replayed(spark, inputs, tmp_path):
-    alarms = al.normalised(instants(inputs.raised)).where("severity = 'HIGH'")
-    history, topics = str(tmp_path / "history"), str(tmp_path / "topics")
-    flows.Distribute(history, topics)(alarms, 0)
-    flows.Distribute(history, topics)(alarms, 0)  # a restarted process repeats batch 0
-    assert rows_of(spark.read.parquet(history), "id") == rows_of(alarms, "id")
-    assert spark.read.parquet(topics).count() == 2 * alarms.count()
-
-
-def test_rule_changes_and_registry_take_effect_per_batch(spark, inputs, tmp_path):
-    readings = spark.createDataFrame(
-        [(1, "d1", "smoke", 7.0), (2, "d2", "smoke", 7.0)],
-        "id long, device_id string, sensor_type string, value double",
+    run()
+    both = rl.raised(rl.match_rules(readings.unionByName(later), rules), DAY)
+    assert stored(spark, work, "id") == rows_of(
+        both.select(F.col("id").cast("string").alias("id")), "id"
     )
-    columns = (
-        "rule_id string, device_id string, sensor_type string, operator string, "
-        "threshold double, enabled boolean"
+
+
+def small_readings(spark, rows):
+    return spark.createDataFrame(rows, "id long, device_id string, s long, value double").select(
+        "id", "device_id", F.lit("smoke").alias("sensor_type"), "value", F.lit("ppm").alias("unit"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("s")).alias("ts"), F.lit("{}").alias("metadata"),
     )
+
+
+def rule(spark, rows):
+    """(rule, device, operator, threshold, rate-limit seconds, enabled)"""
+    made = spark.createDataFrame(
+        rows, "rule_id string, device_id string, operator string, threshold double, "
+              "time_window_seconds int, enabled boolean")
+    fixed = {"name": "n", "sensor_type": "smoke", "severity": "HIGH", "alarm_type": "FIRE",
+             "building_id": "b", "floor_id": "f", "room_id": "r", "zone_id": "z", "metadata": "{}"}
+    return made.withColumns({k: F.lit(v) for k, v in fixed.items()})
+
+
+def test_replayed_batch_repeats_nothing(spark, tmp_path):
+    rules = rule(spark, [("r", "d", ">", 5.0, 0, True)])
+    batches = [small_readings(spark, [(1, "d", 0, 9.0), (2, "d", 100, 9.0)]),
+               small_readings(spark, [(3, "d", 299, 9.0), (4, "d", 300, 9.0)])]
+    work = str(tmp_path)
+    for replay in range(2):  # the second pass is a restarted process repeating batch 1
+        for number, batch in enumerate(batches):
+            if number >= replay:
+                flows.AlarmSink(work, lambda: rules)(batch, number)
+    assert stored(spark, work, "id") == [("1",), ("4",)]
+    assert spark.read.parquet(f"{work}/topics").count() == 4
+
+
+def test_late_rows_go_aside(spark, tmp_path):
+    rules = rule(spark, [("r", "d", ">", 5.0, 0, True)])
+    sink = flows.AlarmSink(str(tmp_path), lambda: rules)
+    sink(small_readings(spark, [(1, "d", 1000, 9.0)]), 0)
+    sink(small_readings(spark, [(2, "d", 500, 9.0), (3, "d", 1400, 9.0)]), 1)
+    assert stored(spark, str(tmp_path), "id") == [("1",), ("3",)]
+    assert rows_of(spark.read.parquet(f"{tmp_path}/late/batch=1"), "id") == [(2,)]
+
+
+def test_state_is_pruned(spark, tmp_path):
+    rules = rule(spark, [("r", "d", ">", 5.0, 60, True), ("q", "e", ">", 5.0, 0, True)])
+    sink = flows.AlarmSink(str(tmp_path), lambda: rules)
+    sink(small_readings(spark, [(1, "d", 0, 9.0)]), 0)
+    sink(small_readings(spark, [(2, "e", 86400, 9.0)]), 1)
+    assert rows_of(spark.read.parquet(f"{tmp_path}/state/batch=1"), "rule_id") == [("q",)]
+
+
+def test_rule_changes_and_registry_take_effect_per_batch(spark, tmp_path):
     tables = {
-        0: ([("r", "d1", "smoke", ">", 5.0, True)], ["d1", "d2"]),
-        1: ([("r", "d1", "smoke", ">", 9.0, True), ("q", "d2", "smoke", ">", 5.0, True)],
-            ["d1", "d2"]),
-        2: ([("q", "d2", "smoke", ">", 5.0, True)], ["d1"]),
-        3: ([("q", "d2", "smoke", ">", 5.0, False)], ["d1", "d2"]),
+        0: ([("r", "d1", ">", 5.0, 0, True)], ["d1", "d2"]),
+        1: ([("r", "d1", ">", 9.0, 0, True), ("q", "d2", ">", 5.0, 0, True)], ["d1", "d2"]),
+        2: ([("q", "d2", ">", 5.0, 0, True)], ["d1"]),
+        3: ([("q", "d2", ">", 5.0, 0, False)], ["d1", "d2"]),
     }
     now = {"batch": 0}
-    sink = flows.MatchSink(
-        str(tmp_path / "m"),
-        lambda: spark.createDataFrame(tables[now["batch"]][0], columns),
+    sink = flows.AlarmSink(
+        str(tmp_path),
+        lambda: rule(spark, tables[now["batch"]][0]),
         lambda: spark.createDataFrame(
             [(d, True) for d in tables[now["batch"]][1]], "device_id string, enabled boolean"
         ),
     )
-    found = {}
     for batch in tables:
         now["batch"] = batch
-        sink(readings, batch)
-        sink(readings, batch)  # a repeated micro-batch replaces its own output
-        found[batch] = rows_of(spark.read.parquet(f"{tmp_path}/m/batch={batch}"), "id", "rule_id")
-    assert found == {0: [(1, "r")], 1: [(2, "q")], 2: [], 3: []}
+        start = 10_000 * batch
+        sink(small_readings(spark, [(10 * batch + 1, "d1", start, 7.0),
+                                    (10 * batch + 2, "d2", start, 7.0)]), batch)
+    assert stored(spark, str(tmp_path), "id", "rule_id") == [("1", "r"), ("12", "q")]
 
 
 def test_health_listener(spark, inputs, tmp_path):

@@ -55,6 +55,15 @@ def test_dedup_stream_equals_batch(spark, inputs, tmp_path, parts):
     assert rows_of(out.where("status = 'accepted'"), "id") == rows_of(batch, "id")
 
 
+def test_two_windows_on_one_state_equal_batch(spark, inputs, tmp_path):
+    matches = rl.match_rules(instants(inputs.sensor_data), inputs.rules)
+    stream = flows.throttle_stream(
+        as_stream(matches, tmp_path / "in", 3), rl.ALARM_KEY, ["time_window_seconds", DAY]
+    )
+    out = run(stream, spark, tmp_path, "two")
+    assert rows_of(out, "id", "rule_id") == rows_of(rl.raised(matches, DAY), "id", "rule_id")
+
+
 def test_change_filter_stream_equals_batch(spark, inputs, tmp_path):
     messages = instants(inputs.wide_messages)
     out = run(
