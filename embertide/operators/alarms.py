@@ -65,6 +65,23 @@ def create_alarms(
     )
 
 
+def manual_alarms(
+    readings: DataFrame,
+    alarm_type: str,
+    severity: str,
+    notes: str | None = None,
+    id_column: Column | None = None,
+    **place: str,
+) -> DataFrame:
+    """Alarms raised by hand on readings; ``place`` gives building, floor, room and zone ids."""
+    named = {c: place.get(c) for c in ("building_id", "floor_id", "room_id", "zone_id")}
+    filled = readings.withColumns({
+        **{c: F.lit(v).cast("string") for c, v in named.items()},
+        "alarm_type": F.lit(alarm_type), "severity": F.lit(severity), "name": F.lit(""),
+    })
+    return create_alarms(filled, id_column).withColumn("notes", F.lit(notes).cast("string"))
+
+
 def notifications(matches: DataFrame, id_column: Column | None = None) -> DataFrame:
     """Rule and reading columns of a notification; random ids unless given."""
     return matches.select(

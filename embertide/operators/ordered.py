@@ -49,12 +49,11 @@ def hot_slices(
     keys can be large. Pass a cheap frame (keys and time only are read).
     """
     keys = list(keys)
-    large = cut(
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target_rows)
-        .select(*keys)
-    )
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = counted.where(F.col("_n") > target_rows).select(*keys)
     if large.isEmpty():
         return None
+    large = cut(large)
     slot_us = slot_seconds * 1_000_000
     dense = (
         null_safe(df.select(*keys, ts), checked_broadcast(large), keys, "left_semi")

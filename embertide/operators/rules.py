@@ -15,13 +15,14 @@ SENSOR_KEY = ["device_id", "sensor_type"]
 ALARM_KEY = ["rule_id", "device_id", "sensor_type"]
 
 
-def check_rules(rules: DataFrame) -> DataFrame:
-    """Raise ``ValueError`` when a rule has an operator that does not exist."""
+def check_rules(rules: DataFrame) -> int:
+    """Number of rules; ``ValueError`` when one has an operator that does not exist."""
     known = F.coalesce(F.col("operator").isin(*OPERATORS), F.lit(False))
-    bad = rules.where(~known).select("rule_id", "operator").limit(5).collect()
+    total, bad = rules.agg(F.count(F.lit(1)), F.count_if(~known)).first()
     if bad:
-        raise ValueError(f"invalid rule operators: {[tuple(row) for row in bad]}")
-    return rules
+        some = rules.where(~known).select("rule_id", "operator").limit(5).collect()
+        raise ValueError(f"{bad} rules with an invalid operator: {[tuple(r) for r in some]}")
+    return total
 
 
 def rule_holds(value: Column, operator: Column, threshold: Column) -> Column:
@@ -43,14 +44,14 @@ def match_rules(
     The rule side is broadcast only when counted small; beyond that the join
     shuffles on device and sensor type and AQE splits large keys.
     """
-    rules = check_rules(rules)
+    total = check_rules(rules)
     if respect_enabled:
         rules = rules.where("enabled")
     own = set(readings.columns) - set(SENSOR_KEY)
     side = rules.select(
         *[F.col(c).alias(f"rule_{c}" if c in own else c) for c in rules.columns]
     )
-    return readings.join(checked_broadcast(side), SENSOR_KEY).where(
+    return readings.join(checked_broadcast(side, rows=total), SENSOR_KEY).where(
         rule_holds(F.col("value"), F.col("operator"), F.col("threshold"))
     )
 

@@ -302,6 +302,22 @@ class Inputs:
         )
 
 
+class StreamedInputs(Inputs):
+    """The same tables with ``events`` read as a stream and its time as an instant."""
+
+    def table(self, name: str) -> DataFrame:
+        if name != "events":
+            return super().table(name)
+        schema = super().table(name).schema
+        events = (
+            self.spark.readStream.schema(schema)
+            .option("pathGlobFilter", "events.parquet")
+            .option("maxFilesPerTrigger", 1000)
+            .parquet(self.folder)
+        )
+        return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def _case(column: str, table: dict, default: str | None = None) -> str:
     whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items())
     tail = f" ELSE '{default}'" if default else ""

@@ -18,7 +18,9 @@ from embertide.operators import (
     suppression as sp, sync as sy,
 )
 from embertide.operators.ordered import first_anchored, hot_slices
-from embertide.plans.inputs import Inputs, with_inputs
+from embertide.plans.inputs import Inputs, StreamedInputs, with_inputs
+from embertide.session import configure, scratch
+from embertide.streaming import flows
 
 DEVICE, SENSOR = "device-7", "temperature"
 START, END = "2024-01-05T00:00:00Z", "2024-01-20T12:00:00Z"
@@ -47,7 +49,7 @@ def query(name: str, oracle: str | None = None):
 
     def add(build: Callable[[Inputs], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return build(Inputs(spark, folder))
+            return build(Inputs(configure(spark), folder))
 
         run.__name__ = name
         _QUERIES[name] = (run, oracle)
@@ -1157,3 +1159,99 @@ def _(i):
         scalar.json_or_null(F.col("props")).alias("metadata"),
         F.get_json_object("props", "$.k").cast("long").alias("k"),
     )
+
+
+# --- streams ---------------------------------------------------------------------------------------------
+#
+# The events table is read as a stream and run to its end; the result is what
+# the stream wrote. Event times are instants there, so they are cast on both ways.
+
+
+def _live(i: Inputs) -> StreamedInputs:
+    return StreamedInputs(i.spark, i.folder)
+
+
+def _finished(stream: DataFrame) -> DataFrame:
+    """Run a stream over all available input and read back its output."""
+    folder = scratch(stream.sparkSession, "stream")
+    run = (
+        stream.writeStream.format("parquet").option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/checkpoint").outputMode("append")
+        .trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query("r1_stream_alarms", with_inputs(
+    """SELECT topic, id::VARCHAR AS id, rule_id, device_id,
+    CASE WHEN severity IN ('HIGH', 'MEDIUM', 'LOW') THEN severity ELSE 'HIGH' END AS severity, ts
+    FROM (SELECT *, unnest(['all', lower(CASE WHEN severity IN ('HIGH', 'MEDIUM', 'LOW')
+      THEN severity ELSE 'HIGH' END)]) AS topic FROM new_alarms)""",
+    "sensor_data", "rules", recursive=True, extra=_RAISED_EXTRA))
+def _(i):
+    folder = scratch(i.spark, "alarms")
+    sink = flows.AlarmSink(folder, lambda: i.rules, dedup_seconds=DAY)
+    run = flows.alarm_flow(_live(i).sensor_data, sink, f"{folder}/checkpoint")
+    run.trigger(availableNow=True).start().awaitTermination()
+    topics = i.spark.read.parquet(f"{folder}/topics")
+    return ntz(topics.select("topic", "id", "rule_id", "device_id", "severity", "ts"), "ts")
+
+
+@query("r2_stream_change_filter", with_inputs(
+    """SELECT v.message_id, v.device_id, v.ts, v.pos::INT AS pos, v.sensor_type, v.value
+    FROM valid v SEMI JOIN (SELECT message_id FROM judged WHERE NOT trivial) k
+    USING (message_id)""", "wide_messages", extra=_FLAT.format(messages="wide_messages")))
+def _(i):
+    kept = _finished(flows.change_filter_stream(_live(i).wide_messages))
+    return ntz(kept.where("status = 'accepted'").drop("status"), "ts")
+
+
+@query("r3_stream_dedup", _DEDUP_SQL)
+def _(i):
+    data = _live(i).sensor_data.select("id", "device_id", "sensor_type", "ts")
+    kept = _finished(flows.dedup_stream(data, ["device_id", "sensor_type"], DAY))
+    return ntz(kept.where("status = 'accepted'").drop("status"), "ts")
+
+
+@query("r4_stream_liveness", with_inputs(
+    f"""SELECT device_id, 'connected' AS event, online_at AS at FROM spans
+    UNION ALL SELECT device_id, 'disconnected', offline_at FROM spans
+    WHERE NOT newest OR offline_at <= (SELECT max(ts) FROM heartbeats) - INTERVAL 10 MINUTE""",
+    "heartbeats", extra=_INTERVALS + f""", spans AS (SELECT device_id, min(ts) AS online_at,
+      max(ts) + INTERVAL {HOURS_6} SECOND AS offline_at,
+      k = max(k) OVER (PARTITION BY device_id) AS newest FROM numbered GROUP BY device_id, k)"""))
+def _(i):
+    # A device's last interval closes once the watermark (10 minutes behind) has passed its end.
+    return ntz(_finished(flows.liveness_stream(_live(i).heartbeats, HOURS_6)), "at")
+
+
+@query("r5_stream_buckets", with_inputs(
+    """SELECT device_id, sensor_type, time_bucket(INTERVAL 5 HOUR, ts) AS bucket,
+    round(avg(value), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value,
+    count(*) AS n FROM sensor_data GROUP BY 1, 2, 3 HAVING time_bucket(INTERVAL 5 HOUR, ts)
+    + INTERVAL 5 HOUR <= (SELECT max(ts) FROM sensor_data) - INTERVAL 10 MINUTE""",
+    "sensor_data"))
+def _(i):
+    # Buckets are written once the watermark (10 minutes behind) has passed their end.
+    out = _finished(flows.bucket_stream(_live(i).sensor_data, "5 hours"))
+    return rounded(ntz(out, "bucket"), "avg_value")
+
+
+@query("r6_stream_suppression", with_inputs(
+    """SELECT request_id, device_id, zone_id, suppression_type, intensity, ts, activated_at,
+    outcome FROM decisions""", "suppression_requests", "suppression_devices", recursive=True,
+    extra=_DECISIONS))
+def _(i):
+    requests = sp.eligible(_live(i).suppression_requests, i.suppression_devices)
+    return ntz(_finished(flows.suppression_stream(requests, DAYS_5)), "ts", "activated_at")
+
+
+@query("r7_stream_alarm_life", with_inputs(
+    """SELECT a.id AS alarm_id, a.device_id, a.severity, c.action, c.actor, c.ts FROM raised a
+    JOIN (SELECT id AS alarm_id, 'RAISE' AS action, NULL AS actor, ts FROM raised
+      UNION ALL SELECT alarm_id, action, actor, ts FROM actions) c ON a.id = c.alarm_id""",
+    "raised", "actions"))
+def _(i):
+    live = _live(i)
+    return ntz(_finished(flows.alarm_life_stream(live.raised, live.actions)), "ts")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,20 +37,40 @@ def build_session(
     return builder.getOrCreate()
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when a count proves ``df`` small.
+def configure(spark: SparkSession) -> SparkSession:
+    """Set on a given session what results depend on: UTC and the state store."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see: ``spark.checkpoint.dir``; a temporary one where unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="embertide-"))
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checked_broadcast(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, rows: int | None = None
+) -> DataFrame:
+    """Hint a broadcast only when a count (``rows``, when already known) proves ``df`` small.
 
     Above the bound the frame is returned unhinted, so the join is planned as a
     shuffle join and AQE splits a skewed key.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    known = df.count() if rows is None else rows
+    return F.broadcast(df) if known <= max_rows else df
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's reliable checkpoint folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="embertide-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()

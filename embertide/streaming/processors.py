@@ -110,32 +110,38 @@ class ChangeFilter(StatefulProcessor):
         name = T.StructType([T.StructField("sensor_type", T.StringType())])
         self.last = handle.getMapState("last", name, value)
 
+    def _trivial(self, name: str, value: float, before: float | None) -> bool:
+        if before is None:
+            return False
+        if name in self.deltas:
+            return abs(value - before) < self.deltas[name]
+        return value < self.levels[name] and before < self.levels[name]
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = _ordered(rows, ["ts", "message_id", "pos"])
-        times = _us(frame["ts"])
-        known = {}
-        for name in frame["sensor_type"].unique():
-            known[name] = self.last.getValue((name,))
-        floor = frame["sensor_type"].map(
-            {n: (s[0] if s else np.iinfo("int64").min) for n, s in known.items()}
-        ).to_numpy("int64")
+        times = _us(frame["ts"]).tolist()
+        names, values = frame["sensor_type"].tolist(), frame["value"].tolist()
+        messages = frame["message_id"].tolist()
+        known = {name: self.last.getValue((name,)) for name in set(names)}
         # One late reading makes its whole message late.
-        late = pd.Series(times < floor).groupby(frame["message_id"]).transform("any").to_numpy()
-        live = frame[~late].copy()
-        before = live.groupby("sensor_type")["value"].shift(1)
-        first = live["sensor_type"].map({n: (s[1] if s else np.nan) for n, s in known.items()})
-        before = before.where(live.groupby("sensor_type").cumcount() > 0, first.astype(float))
-        delta = live["sensor_type"].map(self.deltas).astype(float)
-        level = live["sensor_type"].map(self.levels).astype(float)
-        trivial = ((live["value"] - before).abs() < delta) | (
-            (live["value"] < level) & (before < level)
-        )
-        kept = live[~trivial.groupby(live["message_id"]).transform("all")]
-        if len(live):
-            tails = live.groupby("sensor_type").tail(1)
-            for row, name, value in zip(tails.index, tails["sensor_type"], tails["value"]):
-                self.last.updateValue((name,), (int(times[row]), float(value)))
-        out = pd.concat([kept.assign(status="accepted"), frame[late].assign(status="late")])
+        late = {
+            message for message, name, now in zip(messages, names, times)
+            if known[name] is not None and now < known[name][0]
+        }
+        changed: set = set()
+        touched = set()
+        for message, name, value, now in zip(messages, names, values, times):
+            if message not in late:
+                before = known[name][1] if known[name] else None
+                if not self._trivial(name, value, before):
+                    changed.add(message)
+                known[name] = (now, value)
+                touched.add(name)
+        for name in touched:
+            self.last.updateValue((name,), known[name])
+        status = ["late" if m in late else "accepted" if m in changed else None for m in messages]
+        out = frame.assign(status=status)
+        out = out[out["status"].notna()]
         if len(out):
             yield out
 

@@ -233,6 +233,24 @@ def test_liveness_edges(spark):
     assert dv.connected_count(live).first()[0] == 1
 
 
+def test_device_change_log(spark):
+    new = spark.createDataFrame([("a",), ("b",)], "device_id string")
+    registered = dv.registration(new, "2024-01-01T00:00:00Z").withColumn("seq", F.lit(1))
+    off = dv.status_change(registered.where("device_id = 'a'"), "2024-01-02T00:00:00Z", enabled=False)
+    log = registered.unionByName(off.withColumn("seq", F.lit(2)))
+    assert rows_of(dv.current_devices(log), "device_id", "enabled", "last_updated") == [
+        ("a", False, datetime(2024, 1, 2)), ("b", True, datetime(2024, 1, 1))]
+
+
+def test_manual_alarm(spark):
+    reading = spark.createDataFrame(
+        [(1, "d", 9.0, "ppm", None)], "id long, device_id string, value double, unit string, metadata string"
+    ).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    alarm = al.manual_alarms(reading, "FIRE", "HIGH", "seen by guard", room_id="lab-1").first()
+    assert (alarm.alarm_type, alarm.room_id, alarm.zone_id, alarm.notes, alarm.acknowledged) == (
+        "FIRE", "lab-1", None, "seen by guard", False)
+
+
 def test_suppression_edges(spark):
     rows = [(1, 0, "gas"), (2, 10, "gas"), (3, 20, "foam"), (4, 1799, "gas"), (5, 1800, "foam"),
             (6, 1801, "gas")]
