@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from embertide.functions.instants import as_datetime, instant
 from embertide.functions.scalar import micros, ratio
-from embertide.operators.ordered import lag_by, null_safe
+from embertide.operators.ordered import AUTO, Slices, lag_by, null_safe
 from embertide.operators.percentiles import approximate
 
 # Rate window and step, percentiles.
@@ -142,7 +142,7 @@ def event_rates(
     )
 
 
-def counter_rates(samples: DataFrame, slices: DataFrame | None = None) -> DataFrame:
+def counter_rates(samples: DataFrame, slices: Slices = AUTO) -> DataFrame:
     """Reset-aware increase of a cumulative counter per series, and per second."""
     steps = lag_by(samples, ["series"], ["ts", "value"], "value", "_before", slices)
     grown = F.when(F.col("_before").isNull(), F.lit(0.0)).when(

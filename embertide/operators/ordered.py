@@ -21,6 +21,8 @@ from embertide.functions.scalar import micros
 from embertide.session import checked_broadcast, cut
 
 TARGET_ROWS = 5_000_000
+AUTO = "auto"  # look for large keys; pass hot_slices() of a cheaper frame, or None, to skip that
+Slices = DataFrame | str | None
 SLICE, US, NO_STATE = "_slice", "_us", None
 
 
@@ -66,6 +68,10 @@ def hot_slices(
     return cut(dense.select(*keys, (slots * slot_us).cast("long").alias("_slice_us")))
 
 
+def resolve(slices: Slices, df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame | None:
+    return hot_slices(df, keys, ts) if isinstance(slices, str) else slices
+
+
 def with_slice(df: DataFrame, keys: Sequence[str], ts: str, slices: DataFrame | None) -> DataFrame:
     """Add the slice number; null for keys that are not sliced."""
     if slices is None:
@@ -82,10 +88,11 @@ def lag_by(
     order: Sequence[str],
     value: str,
     name: str,
-    slices: DataFrame | None = None,
+    slices: Slices = AUTO,
 ) -> DataFrame:
     """Previous ``value`` of the same key by ``order`` (whose first column is the time)."""
     keys = list(keys)
+    slices = resolve(slices, df, keys, order[0])
     if slices is None:
         return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
     tagged = with_slice(df, keys, order[0], slices)
@@ -121,7 +128,7 @@ def first_anchored(
     ts: str,
     tie: str,
     windows: Sequence[Column | int | float],
-    slices: DataFrame | None = None,
+    slices: Slices = AUTO,
 ) -> DataFrame:
     """Rows accepted by every window in turn; each window sees the previous one's output.
 
@@ -137,7 +144,7 @@ def staged(
     ts: str,
     tie: str,
     windows: Sequence[Column | int | float],
-    slices: DataFrame | None = None,
+    slices: Slices = AUTO,
     before: Sequence[str] | None = None,
 ) -> DataFrame:
     """Rows with ``passed``: how many of the (one or two) windows accepted them, if any.
@@ -147,6 +154,7 @@ def staged(
     the first of them come out with ``passed`` = -1 and change nothing.
     """
     keys = list(keys)
+    slices = resolve(slices, df, keys, ts)
     if slices is None or len(windows) == 1:
         return _fold(df, keys, ts, tie, windows, slices, before=before).drop(*before or [])
     if len(windows) > 2:
@@ -181,10 +189,11 @@ def anchored_by(
     tie: str,
     window: Column | int | float,
     carry: str,
-    slices: DataFrame | None = None,
+    slices: Slices = AUTO,
 ) -> DataFrame:
     """All rows plus ``accepted``, ``anchor_ts`` and ``anchor_<carry>`` of the governing row."""
     kind = df.schema[ts].dataType
+    slices = resolve(slices, df, keys, ts)
     out = _fold(df, list(keys), ts, tie, [window], slices, carry=carry, keep_all=True)
     return (
         out.withColumn("accepted", F.col("passed") == 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from embertide.functions.instants import Instant, instant, time_bucket
 from embertide.functions.scalar import ratio
-from embertide.operators.ordered import lag_by
+from embertide.operators.ordered import AUTO, Slices, lag_by
 
 # Accepted range and trivial-change rule per sensor type.
 VALID_RANGE = {
@@ -130,10 +130,11 @@ def change_is_trivial(sensor_type: Column, value: Column, previous: Column) -> C
     return previous.isNotNull() & case
 
 
-def judge_messages(messages: DataFrame, slices: DataFrame | None = None) -> DataFrame:
+def judge_messages(messages: DataFrame, slices: Slices = AUTO) -> DataFrame:
     """Valid messages with readings, plus ``trivial``: all readings are trivial changes.
 
-    ``slices`` are the large (device_id, sensor_type) keys, from ``hot_slices``.
+    ``slices`` are the large (device_id, sensor_type) keys. Readings are collected
+    as a set, so copies of one message collapse before the shuffle.
     """
     flat = flatten_messages(valid_messages(messages))
     compared = lag_by(
@@ -145,13 +146,13 @@ def judge_messages(messages: DataFrame, slices: DataFrame | None = None) -> Data
         F.any_value("device_id").alias("device_id"),
         F.any_value("ts").alias("ts"),
         F.array_sort(
-            F.collect_list(F.struct("pos", F.col("sensor_type").alias("type"), "value"))
+            F.collect_set(F.struct("pos", F.col("sensor_type").alias("type"), "value"))
         ).alias("placed"),
         F.bool_and(trivial).alias("trivial"),
     )
 
 
-def changed_messages(messages: DataFrame, slices: DataFrame | None = None) -> DataFrame:
+def changed_messages(messages: DataFrame, slices: Slices = AUTO) -> DataFrame:
     """Messages that are valid and hold a non-trivial change.
 
     A message without readings counts as all-trivial and is dropped.
@@ -164,7 +165,7 @@ def changed_messages(messages: DataFrame, slices: DataFrame | None = None) -> Da
     )
 
 
-def change_filter_rate(messages: DataFrame, slices: DataFrame | None = None) -> DataFrame:
+def change_filter_rate(messages: DataFrame, slices: Slices = AUTO) -> DataFrame:
     """Total and dropped messages and the dropped share in percent."""
     kept = judge_messages(messages, slices).agg(F.count_if(~F.col("trivial")).alias("kept"))
     total = messages.agg(F.count(F.lit(1)).alias("total"))

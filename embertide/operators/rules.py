@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from embertide.operators.ordered import first_anchored
+from embertide.operators.ordered import AUTO, Slices, first_anchored
 from embertide.session import checked_broadcast
 
 # Comparison operators and the de-duplication window.
@@ -95,7 +95,7 @@ def apply_thresholds(rules: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def rate_limited(
-    matches: DataFrame, slices: DataFrame | None = None, key: list[str] | None = None
+    matches: DataFrame, slices: Slices = AUTO, key: list[str] | None = None
 ) -> DataFrame:
     """First match per rule in every ``time_window_seconds``; 0 lets everything through."""
     return first_anchored(
@@ -106,7 +106,7 @@ def rate_limited(
 def deduplicated(
     matches: DataFrame,
     seconds: int = DEDUP_SECONDS,
-    slices: DataFrame | None = None,
+    slices: Slices = AUTO,
     key: list[str] | None = None,
 ) -> DataFrame:
     """Drop repeats of a key less than ``seconds`` after the last accepted one."""
@@ -114,7 +114,7 @@ def deduplicated(
 
 
 def raised(
-    matches: DataFrame, dedup_seconds: int = DEDUP_SECONDS, slices: DataFrame | None = None
+    matches: DataFrame, dedup_seconds: int = DEDUP_SECONDS, slices: Slices = AUTO
 ) -> DataFrame:
     """Rate limit, then de-duplication, in one shuffle on rule, device and sensor."""
     windows = [F.col("time_window_seconds"), dedup_seconds]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from embertide.functions.instants import as_datetime, instant
-from embertide.operators.ordered import anchored_by
+from embertide.operators.ordered import AUTO, Slices, anchored_by
 from embertide.session import checked_broadcast
 
 # Expiry of an activation, length of the kept history, agents.
@@ -24,7 +24,7 @@ def eligible(requests: DataFrame, devices: DataFrame) -> DataFrame:
 
 
 def decide(
-    requests: DataFrame, seconds: int = EXPIRY_SECONDS, slices: DataFrame | None = None
+    requests: DataFrame, seconds: int = EXPIRY_SECONDS, slices: Slices = AUTO
 ) -> DataFrame:
     """Outcome of every request: ``activated``, ``updated`` or ``rejected``.
 

@@ -17,30 +17,34 @@ BROADCAST_ROWS = 200_000
 def build_session(
     app: str = "embertide", master: str | None = None, shuffle_partitions: int | None = None
 ) -> SparkSession:
-    """A session with the settings the library relies on (UTC, AQE, RocksDB state).
+    """A session with the settings the library relies on (see ``configure``).
 
     On a cluster leave ``master`` and ``shuffle_partitions`` unset: the submit
     configuration decides, and AQE coalesces from there.
     """
-    builder = (
-        SparkSession.builder.appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-        .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    )
+    builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    return configure(builder.getOrCreate())
+
+
+# UTC and the state store decide results. The adaptive settings split a large
+# join key even where a later aggregation would reuse the join's partitioning.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Set on a given session what results depend on: UTC and the state store."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    """Apply the settings to an existing session; all can change at run time."""
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
     return spark
 
 

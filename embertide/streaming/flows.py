@@ -148,7 +148,36 @@ def alarm_life_stream(alarms: DataFrame, actions: DataFrame) -> DataFrame:
     )
 
 
-# --- readings to store, readings to alarms -----------------------------------------------------
+# --- messages to store, readings to alarms -----------------------------------------------------
+
+
+class IngestSink(StoreSink):
+    """Store kept readings of registered, enabled devices; the registry is read every time."""
+
+    def __init__(self, path: str, registry: Callable[[], DataFrame]):
+        super().__init__(path, keys=("id",), stamp="created_at")
+        self.registry = registry
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        kept = dv.gate(batch.where(F.col("status") == "accepted"), self.registry())
+        # The message and the reading's place in it identify a stored reading.
+        identified = kept.withColumn("id", F.xxhash64("message_id", "pos")).drop("status")
+        super().__call__(identified, batch_id)
+
+
+def ingest_flow(
+    messages: DataFrame, registry: Callable[[], DataFrame], path: str, checkpoint: str
+) -> DataStreamWriter:
+    """Device messages to stored readings: validity, change filter, registry gate, store.
+
+    The filter's state is per device, so gating after it gives the same rows.
+    """
+    data = messages.where(F.col("type") == "data")
+    return (
+        change_filter_stream(data)
+        .writeStream.foreachBatch(IngestSink(path, registry))
+        .option("checkpointLocation", checkpoint)
+    )
 
 
 class AlarmSink:

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from embertide.operators import alarms as al
+from embertide.operators import devices as dv
+from embertide.operators import readings as rd
 from embertide.operators import rules as rl
 from embertide.streaming import flows
 from test_streaming import as_stream, instants, rows_of
@@ -124,6 +126,18 @@ def test_rule_changes_and_registry_take_effect_per_batch(spark, tmp_path):
     assert stored(spark, str(tmp_path), "id", "rule_id") == [("1", "r"), ("12", "q")]
 
 
+def test_ingest_flow_equals_batch(spark, inputs, tmp_path):
+    messages, registry = instants(inputs.wide_messages), inputs.registry
+    stream = as_stream(messages, tmp_path / "in", 2)
+    path = str(tmp_path / "t")
+    finish(flows.ingest_flow(stream, lambda: registry, path, str(tmp_path / "cp")))
+    kept = dv.gate(rd.changed_messages(messages), registry)
+    expected = kept.select("message_id", F.posexplode("readings").alias("pos", "r"))
+    assert rows_of(spark.read.parquet(path), "message_id", "pos") == rows_of(
+        expected, "message_id", "pos"
+    )
+
+
 def test_health_listener(spark, inputs, tmp_path):
     listener = flows.HealthListener("flow")
     spark.streams.addListener(listener)

@@ -134,3 +134,33 @@ def test_exact_window_edge(spark):
     rows = [("a", 0, 0), ("a", 299, 0), ("a", 300, 0), ("a", 599, 0), ("a", 600, 0)]
     out = ordered.first_anchored(frame(spark, rows), ["k"], "ts", "id", [300])
     assert rows_of(out, "id") == [(0,), (2,), (4,)]
+
+
+def test_large_join_key_is_split(spark):
+    """The adaptive skew join applies although the aggregation reuses the join's keys."""
+    from embertide.operators import metrics as mt
+
+    assert spark.conf.get("spark.sql.adaptive.forceOptimizeSkewedJoin") == "true"
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false",
+             "spark.sql.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        ops = spark.range(0, 60_000, 1, 8).select(
+            F.when(F.col("id") % 3 != 1, F.concat(F.lit("d"), F.col("id") % 500)).otherwise("hot")
+            .alias("device_id"),
+            F.lit("c").alias("counter_name"),
+            F.when(F.col("id") == 10, "SET").otherwise("INC").alias("op"),
+            F.lit(1).cast("long").alias("amount"), F.col("id").alias("seq"),
+        )
+        out = mt.counter_values(ops)
+        got = {r.device_id: r.value for r in out.collect()}
+        assert got["hot"] == 1 + len([n for n in range(11, 60_000) if n % 3 == 1])
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in small:
+            spark.conf.unset(name)
