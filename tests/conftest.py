@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[4]", 4)
+    session = build_session("tests", "local[8]", 4)
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.maxMetadataStringLength", "10000")
     yield session

@@ -12,7 +12,7 @@ from test_streaming import rows_of
 times = st.lists(st.integers(0, 400), min_size=1, max_size=60)
 keyed = st.lists(
     st.tuples(st.sampled_from("ab"), st.integers(0, 300), st.integers(0, 9)),
-    min_size=1, max_size=60,
+    min_size=1, max_size=150,
 )
 
 
@@ -48,7 +48,7 @@ def test_transition_equals_running_the_slice(values, size, back):
     assert [int(rows[i]) for i in at] == exits
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(rows=keyed, window=st.sampled_from([0, 7, 40, 1000]), target=st.sampled_from([2, 10]))
 def test_first_anchored_equals_loop(spark, rows, window, target):
     df = frame(spark, rows)
@@ -59,7 +59,7 @@ def test_first_anchored_equals_loop(spark, rows, window, target):
     assert rows_of(sliced, "id") == expected
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(rows=keyed, target=st.sampled_from([2, 8]))
 def test_two_windows_equal_two_loops(spark, rows, target):
     first = loop(rows, 15)
@@ -72,7 +72,7 @@ def test_two_windows_equal_two_loops(spark, rows, target):
     assert rows_of(sliced, "id") == expected
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(rows=keyed, target=st.sampled_from([2, 8]))
 def test_lag_equals_unsliced(spark, rows, target):
     df = frame(spark, rows)
@@ -83,7 +83,7 @@ def test_lag_equals_unsliced(spark, rows, target):
     assert sliced == plain
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(rows=keyed, target=st.sampled_from([2, 8]))
 def test_suppression_state_machine(spark, rows, target):
     agents = ("water", "foam", "gas")
