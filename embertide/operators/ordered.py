@@ -51,6 +51,8 @@ def hot_slices(
     keys can be large. Pass a cheap frame (keys and time only are read).
     """
     keys = list(keys)
+    if df.count() <= target_rows:
+        return None
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     large = counted.where(F.col("_n") > target_rows).select(*keys)
     if large.isEmpty():

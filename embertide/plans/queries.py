@@ -19,7 +19,7 @@ from embertide.operators import (
 )
 from embertide.operators.ordered import first_anchored, hot_slices
 from embertide.plans.inputs import Inputs, StreamedInputs, with_inputs
-from embertide.session import configure, scratch
+from embertide.session import configure, scratch, state_partitions
 from embertide.streaming import flows
 
 DEVICE, SENSOR = "device-7", "temperature"
@@ -1174,12 +1174,12 @@ def _live(i: Inputs) -> StreamedInputs:
 def _finished(stream: DataFrame) -> DataFrame:
     """Run a stream over all available input and read back its output."""
     folder = scratch(stream.sparkSession, "stream")
-    run = (
+    writer = (
         stream.writeStream.format("parquet").option("path", f"{folder}/out")
         .option("checkpointLocation", f"{folder}/checkpoint").outputMode("append")
-        .trigger(availableNow=True).start()
     )
-    run.awaitTermination()
+    with state_partitions(stream.sparkSession):
+        writer.trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 

@@ -17,13 +17,6 @@ SENSOR_DATA = _struct(
     location_x=_D, location_y=_D, location_z=_D, metadata=_S,
 )
 
-# Array form {type, timestamp, readings: [{type, value}]} and flat form
-# {deviceId, sensorType, value, unit, timestamp} in one permissive schema.
-DEVICE_MESSAGE_JSON = _struct(
-    type=_S, deviceId=_S, timestamp=_TS, readings=T.ArrayType(READING),
-    sensorType=_S, value=_D, unit=_S,
-)
-
 DEVICE_MESSAGE = _struct(
     message_id=_L, device_id=_S, ts=_TS, type=_S, readings=T.ArrayType(READING),
 )

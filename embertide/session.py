@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,23 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """Streams started inside get at most two state partitions per core.
+
+    A stream fixes the number at its first start; more than that only costs
+    state store overhead on a small machine.
+    """
+    name = "spark.sql.shuffle.partitions"
+    configured = spark.conf.get(name)
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set(name, str(min(int(configured), 2 * cores)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, configured)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``; a temporary one where unset."""
     context = spark.sparkContext

@@ -39,23 +39,23 @@ def append(df: DataFrame, path: str) -> None:
 class StoreSink:
     """``foreachBatch`` target that stores every row once, keyed by ``keys``.
 
-    Only the first micro-batch after a start can repeat one that was written
-    before; that one is checked against the stored rows of its days. Later
+    Only the first micro-batch after a start, or one seen before, can repeat
+    stored rows; it is checked against the stored rows of its days. All other
     micro-batches are appended without reading the table.
     """
 
     def __init__(self, path: str, keys: tuple[str, ...] = ("id",), stamp: str | None = None):
         self.path, self.keys, self.stamp = path, list(keys), stamp
-        self._replay_possible = True
+        self._last: int | None = None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         rows = batch.dropDuplicates(self.keys)
         if self.stamp:
             rows = rows.withColumn(self.stamp, F.current_timestamp())
-        if self._replay_possible:
+        if self._last is None or batch_id <= self._last:
             rows = self._unseen(rows)
+        self._last = batch_id
         append(rows, self.path)
-        self._replay_possible = False
 
     def _unseen(self, rows: DataFrame) -> DataFrame:
         spark = rows.sparkSession
