@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embertide.llm import langid, mixing, sharding, tokens, warc
+from embertide.llm import langid, lm, mixing, sharding, tokens, warc
 from embertide.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,14 @@ def _(docs):
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op8_class_model", "documents")
+def _(docs):
+    out = langid.held_out(F.col("doc_id"), 7)
+    return lm.class_scores(docs, ~out).select(
+        "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
+        "score", "perplexity")
+
+
 @query("op9_token_files", "documents")
 def _(docs):
     return tokens.token_output(docs, tokenizer_path())
