@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embertide.llm import langid, lm, mixing, sharding, tokens, warc
+from embertide.llm import langid, lm, mixing, ngram_join, sharding, tokens, warc
 from embertide.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,11 @@ FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND octet_length(body)
 """
 
 
+@query("op1_parity_join", "documents")
+def _(docs):
+    return ngram_join.jaccard_components(docs, 3, 90).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op4_legacy_archives", "pages", OP4_SQL)
 def _(pages):
     return warc.archived_pages(pages)
