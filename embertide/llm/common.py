@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from embertide.session import shared_folder
 # Fixed: a word is a run of anything but space and the bytes 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 PIECE_BYTES = 4_000_000  # text handled at a time inside a task; a longer text is a piece of its own
+BATCH_ROWS = 1000
 LANE = 33  # monotonically_increasing_id keeps the row of a partition in its lowest 33 bits
 
 _OPEN: dict[str, SparkSession] = {}
@@ -172,10 +174,25 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray, seed: int = 0):
     return span_hashes(lowered(raw), starts, ends, seed), row
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def arrow_map(df: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of at most BATCH_ROWS rows, so that long texts stay bounded in a task."""
+    df.sparkSession.conf.set(BATCH_SETTING, BATCH_ROWS)
     return df.mapInArrow(kernel, schema)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Smaller batches for an action over rows that are large by design."""
+    spark.conf.set(BATCH_SETTING, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+
+
 def group_counts(row: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(row, minlength=n).astype(np.int64)
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embertide.llm import langid, lm, mixing, ngram_join, sharding, tokens, warc
+from embertide.llm import (
+    decontaminate, langid, lm, mixing, ngram_join, sharding, tokens, vector_join, warc,
+)
 from embertide.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +22,11 @@ def llm_queries() -> dict[str, tuple[Query, str | None]]:
 
 
 def query(name: str, table: str, oracle: str | None = None):
-    """Register a function of one whole table."""
-    def add(build: Callable[[DataFrame], DataFrame]):
+    """Register a function of whole tables (names divided by spaces)."""
+    def add(build: Callable[..., DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return build(configure(spark).read.parquet(f"{folder}/{table}.parquet"))
+            read = configure(spark).read
+            return build(*[read.parquet(f"{folder}/{t}.parquet") for t in table.split()])
 
         run.__name__ = name
         _QUERIES[name] = (run, oracle)
@@ -56,6 +59,11 @@ def _(docs):
     return ngram_join.jaccard_components(docs, 3, 90).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op2_qgram_matches", "documents benchmark")
+def _(docs, items):
+    return decontaminate.matches(docs, items)
+
+
 @query("op4_legacy_archives", "pages", OP4_SQL)
 def _(pages):
     return warc.archived_pages(pages)
@@ -74,6 +82,11 @@ def _(docs):
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op7_subspace_join", "embeddings")
+def _(vectors):
+    return vector_join.near_vectors(vectors, 0.93)
+
+
 @query("op8_class_model", "documents")
 def _(docs):
     out = langid.held_out(F.col("doc_id"), 7)

@@ -39,19 +39,18 @@ def least_capacity(weights: np.ndarray, shards: int) -> int:
     return low
 
 
-def _binned(groups: DataFrame, width: int, wanted: list[tuple[int, int]] | None) -> list:
-    """Sum of sizes of each bin of ``2**width`` order keys, within the wanted key ranges."""
-    rows = groups
-    if wanted is not None:
-        inside = F.lit(False)
-        for low, high in wanted:
-            inside = inside | F.col("at").between(low, high)
-        rows = rows.where(inside)
-    return (
+def _binned(groups: DataFrame, width: int, within: int | None = None, wanted: list[int] = ()) -> list[tuple]:
+    """First and last key, sum, largest and number of groups of each bin of ``2**width`` order keys.
+
+    ``wanted`` keeps the bins of ``2**within`` keys to look at.
+    """
+    rows = groups if within is None else groups.where(F.shiftright("at", within).isin(wanted))
+    found = (
         rows.groupBy(F.shiftright("at", width).alias("bin"))
         .agg(F.sum("size").alias("size"), F.max("size").alias("top"), F.count(F.lit(1)).alias("n"))
-        .orderBy("bin").collect()
+        .collect()
     )
+    return sorted((r["bin"] << width, ((r["bin"] + 1) << width) - 1, r["size"], r["top"], r["n"]) for r in found)
 
 
 def boundaries(groups: DataFrame, shards: int) -> list[int]:
@@ -64,9 +63,7 @@ def boundaries(groups: DataFrame, shards: int) -> list[int]:
     A capacity is surely feasible if cutting at bin edges with it works, and surely
     not feasible if even cutting inside bins at will does not.
     """
-    width = KEY_BITS - BITS
-    segments = [(r["bin"] << width, ((r["bin"] + 1) << width) - 1, r["size"], r["top"], r["n"])
-                for r in _binned(groups, width, None)]
+    segments = _binned(groups, KEY_BITS - BITS)
     if not segments:
         return []
     while True:
@@ -75,27 +72,16 @@ def boundaries(groups: DataFrame, shards: int) -> list[int]:
         prefix = np.cumsum(sizes)
         high = least_capacity(sizes, shards)
         low = max(max(int(s[3]) for s in segments), -(-int(prefix[-1]) // shards))
-        low = min(high, _floor_capacity(prefix, sizes, single, shards, low, high))
+        low = min(high, _floor_capacity(prefix, single, shards, low, high))
         touched = _touched(prefix, single, shards, low, high)
-        if not touched or width == 0:
+        if not touched:
             ends = greedy_cuts(prefix, shards, high)
             return [segments[e - 1][1] for e in ends[:-1] if 0 < e < len(segments)]
-        width = max(0, width - FINER_BITS)
-        wanted = [(segments[i][0], segments[i][1]) for i in sorted(touched)]
-        finer = [(r["bin"] << width, ((r["bin"] + 1) << width) - 1, r["size"], r["top"], r["n"])
-                 for r in _binned(groups, width, _joined(wanted))]
-        kept = [s for i, s in enumerate(segments) if i not in touched]
-        segments = sorted(kept + finer)
-
-
-def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for low, high in ranges:
-        if out and out[-1][1] + 1 == low:
-            out[-1] = (out[-1][0], high)
-        else:
-            out.append((low, high))
-    return out
+        widths = {i: (segments[i][1] - segments[i][0] + 1).bit_length() - 1 for i in touched}
+        within = max(widths.values())
+        chosen = {i for i in touched if widths[i] == within}
+        finer = _binned(groups, max(0, within - FINER_BITS), within, [segments[i][0] >> within for i in sorted(chosen)])
+        segments = sorted([s for i, s in enumerate(segments) if i not in chosen] + finer)
 
 
 def _walk(prefix, single, shards, capacity, generous: bool) -> list[int] | None:
@@ -111,7 +97,7 @@ def _walk(prefix, single, shards, capacity, generous: bool) -> list[int] | None:
     return None
 
 
-def _floor_capacity(prefix, sizes, single, shards, low, high) -> int:
+def _floor_capacity(prefix, single, shards, low, high) -> int:
     """Least capacity that is not ruled out when bins may be cut anywhere."""
     while low < high:
         middle = (low + high) // 2
