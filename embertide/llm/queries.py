@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embertide.llm import (
-    decontaminate, langid, lm, mixing, ngram_join, sharding, tokens, vector_join, warc,
+    decontaminate, langid, lm, mixing, ngram_join, sharding, suffixes, tokens, vector_join, warc,
 )
 from embertide.session import configure
 
@@ -64,6 +64,11 @@ def _(docs, items):
     return decontaminate.matches(docs, items)
 
 
+@query("op3_suffix_repeats", "documents")
+def _(docs):
+    return suffixes.repeated_bytes(docs)
+
+
 @query("op4_legacy_archives", "pages", OP4_SQL)
 def _(pages):
     return warc.archived_pages(pages)
