@@ -150,17 +150,33 @@ def assign_ids(
 ) -> DataFrame:
     """Give every row an id; the sequence restarts per millisecond and machine.
 
-    A group holds at most 256 rows, a larger one is an error, so the window
-    needs no protection against large groups.
+    A millisecond has 256 ids a machine. Further rows take the next free ids of the
+    following milliseconds, and push on what these hold, so no two rows ever share
+    an id. Only machines with such a millisecond are looked at as a whole, by one
+    row per millisecond.
     """
+    slots = 1 << SEQUENCE_BITS
+    rows = df.withColumn("_ms", millis(F.col(ts))).withColumn("_machine", machine)
     window = Window.partitionBy("_ms", "_machine").orderBy(*tie)
-    return (
-        df.withColumn("_ms", millis(F.col(ts)))
-        .withColumn("_machine", machine)
-        .withColumn("_seq", F.row_number().over(window) - 1)
-        .withColumn(name, encode_id(F.col("_ms"), F.col("_machine"), kind, F.col("_seq")))
-        .drop("_ms", "_machine", "_seq")
-    )
+    rows = rows.withColumn("_row", (F.row_number().over(window) - 1).cast("long"))
+    counts = df.select(millis(F.col(ts)).alias("_ms"), machine.alias("_machine")).groupBy("_machine", "_ms").agg(
+        F.count(F.lit(1)).alias("_n"))
+    over = counts.where(F.col("_n") > slots)
+    place = F.col("_ms") * slots
+    if not over.isEmpty():
+        # first place of a millisecond: its own first slot, or after all that came before
+        earlier = Window.partitionBy("_machine").orderBy("_ms")
+        busy = counts.join(over.select("_machine").distinct(), "_machine", "left_semi")
+        before = F.coalesce(F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        busy = busy.withColumn("_before", before).withColumn("_free", F.col("_ms") * slots - F.col("_before"))
+        first = busy.select(
+            "_machine", "_ms", (F.col("_before") + F.max("_free").over(earlier)).alias("_first"))
+        rows = rows.join(first, ["_machine", "_ms"], "left")
+        place = F.coalesce(F.col("_first"), place)
+    rows = rows.withColumn("_place", place + F.col("_row"))
+    packed = encode_id(
+        F.shiftright("_place", SEQUENCE_BITS), F.col("_machine"), kind, F.col("_place").bitwiseAND(F.lit(slots - 1)))
+    return rows.withColumn(name, packed).select(*df.columns, *([] if name in df.columns else [name]))
 
 
 # --- JSON --------------------------------------------------------------------

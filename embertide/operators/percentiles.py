@@ -57,27 +57,36 @@ def exact(
 
 
 def _cuts():
+    """Sketch of the numbers; NaN sorts above all of them and is only counted."""
     grid = ", ".join(str(i / GRID) + "D" for i in range(GRID + 1))
-    return F.expr(f"percentile_approx(_v, array({grid}), {ACCURACY})").alias("_cuts")
+    return F.expr(f"percentile_approx(nullif(_v, double('NaN')), array({grid}), {ACCURACY})").alias("_cuts")
+
+
+def _numbers():
+    return F.count_if(~F.isnan("_v"))
 
 
 def _bracket(sized: DataFrame) -> DataFrame:
-    """Value range sure to hold the wanted rank: two grid steps and two rows to each side."""
+    """Value range sure to hold the wanted rank: two grid steps and two rows to each side.
+
+    ``_n`` counts numbers; ranks beyond them are NaN, which an open upper end includes.
+    """
     step = F.col("_rank") / F.greatest(F.col("_n") - 1, F.lit(1)) * GRID
-    margin = 2 + F.lit(2.0 * GRID) / F.col("_n")
-    low = F.greatest(F.floor(step - margin), F.lit(0)).cast("int")
+    margin = 2 + F.lit(2.0 * GRID) / F.greatest(F.col("_n"), F.lit(1))
+    low = F.least(F.greatest(F.floor(step - margin), F.lit(0)), F.lit(GRID)).cast("int")
     high = F.least(F.ceil(step + margin), F.lit(GRID)).cast("int")
+    least = F.lit(float("-inf"))
     return sized.withColumns({
-        "_lo": F.when(low == 0, F.lit(float("-inf"))).otherwise(F.get("_cuts", low)),
-        "_hi": F.when(high == GRID, F.lit(float("inf"))).otherwise(F.get("_cuts", high)),
+        "_lo": F.when(low == 0, least).otherwise(F.coalesce(F.get("_cuts", low), least)),
+        "_hi": F.when(high == GRID, F.lit(float("nan"))).otherwise(F.get("_cuts", high)),
     }).drop("_cuts", "_n")
 
 
 def _first_bracket(rows: DataFrame, keys: list[str], probs: Sequence[float]):
     """Rows near each wanted rank as (keys, _p, _v), and the ranks within them."""
-    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), _cuts())
+    totals = rows.groupBy(*keys).agg(_numbers().alias("_n"), F.count(F.lit(1)).alias("_all"), _cuts())
     wanted = totals.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p"))
-    wanted = cut(_bracket(wanted.withColumn("_rank", F.col("_p") * (F.col("_n") - 1))))
+    wanted = cut(_bracket(wanted.withColumn("_rank", F.col("_p") * (F.col("_all") - 1)).drop("_all")))
     # Each row meets the few ranges of its group as columns, not as joined rows.
     ranges = wanted.groupBy(*keys).pivot("_p", [float(p) for p in probs]).agg(
         F.struct(F.first("_lo").alias("lo"), F.first("_hi").alias("hi"), F.first("_rank").alias("rank"))
@@ -102,7 +111,7 @@ def _first_bracket(rows: DataFrame, keys: list[str], probs: Sequence[float]):
 
 
 def _narrow(band: DataFrame, wanted: DataFrame, group: list[str]):
-    sized = band.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), _cuts())
+    sized = band.groupBy(*group).agg(_numbers().alias("_n"), _cuts())
     bracket = cut(_bracket(null_safe(wanted, sized, group, "inner")))
     ranged = null_safe(band, checked_broadcast(bracket), group, "inner")
     moved = ranged.groupBy(*group).agg(

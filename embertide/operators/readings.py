@@ -133,7 +133,7 @@ def change_is_trivial(sensor_type: Column, value: Column, previous: Column) -> C
 def judge_messages(messages: DataFrame, slices: Slices = AUTO) -> DataFrame:
     """Valid messages with readings, plus ``trivial``: all readings are trivial changes.
 
-    ``slices`` are the large (device_id, sensor_type) keys. Readings are collected
+    Devices number their own messages, so (device_id, message_id) identifies one. ``slices`` are the large (device_id, sensor_type) keys. Readings are collected
     as a set, so copies of one message collapse before the shuffle.
     """
     flat = flatten_messages(valid_messages(messages))
@@ -142,8 +142,7 @@ def judge_messages(messages: DataFrame, slices: Slices = AUTO) -> DataFrame:
         slices,
     )
     trivial = change_is_trivial(F.col("sensor_type"), F.col("value"), F.col("previous"))
-    return compared.groupBy("message_id").agg(
-        F.any_value("device_id").alias("device_id"),
+    return compared.groupBy("device_id", "message_id").agg(
         F.any_value("ts").alias("ts"),
         F.array_sort(
             F.collect_set(F.struct("pos", F.col("sensor_type").alias("type"), "value"))

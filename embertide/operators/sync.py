@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from embertide.functions.instants import as_datetime, instant
 from embertide.operators.alarms import BUFFER_ROWS, in_window, newest, snapshot_rows
+from embertide.operators.ordered import null_safe
+from embertide.session import checked_broadcast
 
 # Default look-back, how long a snapshot is reused, list sizes.
 DEFAULT_LOOKBACK = timedelta(hours=1)
@@ -65,14 +67,23 @@ def reusable_snapshots(log: DataFrame, now: datetime | str) -> DataFrame:
 
 
 def merge_by_id(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming rows replace rows of the same id; the latest incoming row wins."""
-    body = [c for c in existing.columns if c != "id"]
-    both = existing.withColumn("_new", F.lit(0)).unionByName(
-        incoming.select(*existing.columns).withColumn("_new", F.lit(1))
-    )
-    return both.groupBy("id").agg(
-        F.max_by(F.struct(*body), F.struct("_new", "ts", *[c for c in body if c != "ts"])).alias("_v")
-    ).select(*[F.col("id") if c == "id" else F.col(f"_v.{c}").alias(c) for c in existing.columns])
+    """Incoming rows replace rows of the same id; the latest incoming row wins.
+
+    The incoming side is reduced to one row per id first. The history meets only its
+    ids, by a broadcast while these are few, so a small delta moves no history.
+    Ids are taken to be unique in ``existing``, as every earlier merge leaves them.
+    """
+    latest = latest_by_id(incoming.select(*existing.columns))
+    kept = null_safe(existing, checked_broadcast(latest.select("id")), ["id"], "left_anti")
+    return kept.unionByName(latest)
+
+
+def latest_by_id(rows: DataFrame) -> DataFrame:
+    """The newest row of each id; ties go to the greater row."""
+    body = [c for c in rows.columns if c != "id"]
+    return rows.groupBy("id").agg(
+        F.max_by(F.struct(*body), F.struct("ts", *[c for c in body if c != "ts"])).alias("_v")
+    ).select(*[F.col("id") if c == "id" else F.col(f"_v.{c}").alias(c) for c in rows.columns])
 
 
 def recent_list(alarms: DataFrame, count: int = LIST_ROWS) -> DataFrame:

@@ -123,8 +123,8 @@ class Inputs:
 
     @property
     def registry(self) -> DataFrame:
-        """Devices with a room; the others are unknown to the gate."""
-        return self.devices.where(F.col("room_id") != "Kitchen A")
+        """Devices outside one room; those inside are unknown to the gate. Some are disabled."""
+        return self.devices.where(~F.col("room_id").eqNullSafe("Kitchen A"))
 
     @property
     def device_changes(self) -> DataFrame:
@@ -359,7 +359,7 @@ INPUT_SQL: dict[str, tuple[tuple[str, ...], str]] = {
                (c_custkey % 30 - 15)::DOUBLE AS location_z,
                c_acctbal > 0 AS active, c_mktsegment <> 'HOUSEHOLD' AS enabled,
                {_FLOOR} AS floor_id, {_ZONE} AS zone_id, {_ROOM} AS room_id FROM customer"""),
-    "registry": (("devices",), "SELECT * FROM devices WHERE room_id <> 'Kitchen A'"),
+    "registry": (("devices",), "SELECT * FROM devices WHERE room_id IS DISTINCT FROM 'Kitchen A'"),
     "device_changes": ((), """
         SELECT 'device-' || o_custkey AS device_id, o_orderstatus <> 'F' AS active,
                o_orderstatus <> 'P' AS enabled, o_orderdate AS ts, o_orderkey AS seq

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-# The widest dimension row is well under 500 bytes, so this stays below 100 MB.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def build_session(
@@ -49,28 +49,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-@contextmanager
-def state_partitions(spark: SparkSession):
-    """Streams started inside get at most two state partitions per core.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see: ``spark.checkpoint.dir``.
 
-    A stream fixes the number at its first start; more than that only costs
-    state store overhead on a small machine.
+    In local mode a temporary folder stands in where it is unset; on a cluster that is an
+    error, as every executor would write to a disk of its own.
     """
-    name = "spark.sql.shuffle.partitions"
-    configured = spark.conf.get(name)
-    cores = spark.sparkContext.defaultParallelism
-    spark.conf.set(name, str(min(int(configured), 2 * cores)))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, configured)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``; a temporary one where unset."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="embertide-"))
     return context.getCheckpointDir()
 
@@ -83,13 +72,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 def checked_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, rows: int | None = None
 ) -> DataFrame:
-    """Hint a broadcast only when a count (``rows``, when already known) proves ``df`` small.
+    """Hint a broadcast only when rows and bytes of ``df`` are proven small.
 
-    Above the bound the frame is returned unhinted, so the join is planned as a
-    shuffle join and AQE splits a skewed key.
+    ``rows`` is the count of a frame of fixed-width columns, when already known; else rows
+    and the bytes of their text form are measured. Above a bound the frame is returned
+    unhinted, so the join is planned as a shuffle join and AQE splits a skewed key.
     """
-    known = df.count() if rows is None else rows
-    return F.broadcast(df) if known <= max_rows else df
+    size = 0
+    if rows is None:
+        text = F.struct(*[F.col(f"`{c}`") for c in df.columns]).cast("string")
+        rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= BROADCAST_BYTES else df
 
 
 def cut(df: DataFrame) -> DataFrame:

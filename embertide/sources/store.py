@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from embertide.functions.instants import as_datetime
 from embertide.operators.alarms import RETENTION_DAYS, split_retention
+from embertide.operators.ordered import null_safe
 
 # Age at which a day is compacted.
 COMPACT_AFTER_DAYS = 7
 SORT_KEYS = ("device_id", "sensor_type", "ts")
+FILE_BYTES = 256 * 1024 * 1024
+MARK = "compacted-"  # begins the names of compacted files
 
 
 def with_day(df: DataFrame) -> DataFrame:
@@ -23,12 +27,9 @@ def with_day(df: DataFrame) -> DataFrame:
 
 def read_store(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """The stored table with its ``day`` partition column; empty when nothing is stored."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        if schema is None:
-            raise
+    if schema is not None and not stored_days(spark, path):
         return with_day(spark.createDataFrame([], schema))
+    return spark.read.parquet(path)
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -39,35 +40,29 @@ def append(df: DataFrame, path: str) -> None:
 class StoreSink:
     """``foreachBatch`` target that stores every row once, keyed by ``keys``.
 
-    Only the first micro-batch after a start, or one seen before, can repeat
-    stored rows; it is checked against the stored rows of its days. All other
-    micro-batches are appended without reading the table.
+    Every micro-batch is checked against the stored keys of the days it touches,
+    so a row may come again in any later micro-batch or after a restart. Only the
+    key columns of these days are read.
     """
 
     def __init__(self, path: str, keys: tuple[str, ...] = ("id",), stamp: str | None = None):
         self.path, self.keys, self.stamp = path, list(keys), stamp
-        self._last: int | None = None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         rows = batch.dropDuplicates(self.keys)
         if self.stamp:
             rows = rows.withColumn(self.stamp, F.current_timestamp())
-        if self._last is None or batch_id <= self._last:
-            rows = self._unseen(rows)
-        self._last = batch_id
-        append(rows, self.path)
+        append(self._unseen(rows), self.path)
 
     def _unseen(self, rows: DataFrame) -> DataFrame:
         spark = rows.sparkSession
-        try:
-            stored = spark.read.parquet(self.path)
-        except AnalysisException:
+        present = set(stored_days(spark, self.path))
+        touched = rows.select(F.to_date("ts").alias("day")).distinct().collect() if present else []
+        days = sorted(present & {r[0] for r in touched})
+        if not days:
             return rows
-        first, last = rows.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
-        if first is None:
-            return rows
-        known = stored.where(F.col("day").between(F.lit(first), F.lit(last)))
-        return rows.join(known.select(*self.keys), self.keys, "left_anti")
+        known = spark.read.parquet(self.path).where(F.col("day").isin(days))
+        return null_safe(rows, known.select(*self.keys), self.keys, "left_anti")
 
 
 def store_readings(readings: DataFrame, path: str, checkpoint: str, watermark: str = "1 hour"):
@@ -86,8 +81,12 @@ def store_alarms(alarms: DataFrame, path: str, checkpoint: str):
 
 
 def stored_days(spark: SparkSession, path: str) -> list[date]:
-    """Days present in the table (one value per partition folder)."""
-    return sorted(r[0] for r in spark.read.parquet(path).select("day").distinct().collect())
+    """Days present in the table, by listing its partition folders; none where nothing is stored."""
+    system, target = _file_system(spark, path)
+    if not system.exists(target):
+        return []
+    names = [entry.getPath().getName() for entry in system.listStatus(target)]
+    return sorted(date.fromisoformat(n.removeprefix("day=")) for n in names if re.fullmatch(r"day=\d{4}-\d\d-\d\d", n))
 
 
 def compact(
@@ -98,28 +97,61 @@ def compact(
     files_per_day: int | None = None,
     sort_keys: tuple[str, ...] = SORT_KEYS,
 ) -> list[date]:
-    """Rewrite closed days sorted and zstd-compressed, replacing only those days.
+    """Rewrite closed days sorted and zstd-compressed; days already compacted are left alone.
 
     Rows are range-partitioned on (day, sort keys): a large day or device is
-    spread over several tasks and files with tight min/max statistics.
+    spread over several tasks and files with tight min/max statistics. Without
+    ``files_per_day`` files are about FILE_BYTES large.
+
+    Safe beside a stream that appends: exactly the files listed at the start are
+    read, their rows are written as new files below ``path``, then these files are
+    put in place and the listed ones removed. A row appended meanwhile is in a file
+    that was not listed, so it stays.
     """
     limit = (as_datetime(now) - timedelta(days=older_than_days)).date()
-    days = [d for d in stored_days(spark, path) if d < limit]
-    if not days:
+    listed = {d: _data_files(spark, path, d) for d in stored_days(spark, path) if d < limit}
+    listed = {d: files for d, files in listed.items() if any(MARK not in name for name, _ in files)}
+    if not listed:
         return []
-    old = spark.read.parquet(path).where(F.col("day") < F.lit(limit))
+    old = _files_of(spark, path, listed)
     keys = ["day", *[k for k in sort_keys if k in old.columns]]
-    tasks = [len(days) * files_per_day] if files_per_day else []
-    (
-        old.repartitionByRange(*tasks, *keys)
-        .sortWithinPartitions(*keys)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "zstd")
-        .partitionBy("day")
-        .parquet(path)
-    )
-    return days
+    total = sum(size for files in listed.values() for _, size in files)
+    tasks = len(listed) * files_per_day if files_per_day else max(len(listed), -(-total // FILE_BYTES))
+    ordered = old.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+    _replace(spark, path, ordered, listed, zstd=True)
+    return sorted(listed)
+
+
+def _data_files(spark: SparkSession, path: str, day: date) -> list[tuple[str, int]]:
+    """Names and sizes of a day's data files."""
+    system, target = _file_system(spark, f"{path}/day={day.isoformat()}")
+    found = system.listStatus(target) if system.exists(target) else []
+    files = [(e.getPath().getName(), e.getLen()) for e in found if e.isFile()]
+    return [(n, size) for n, size in files if n.endswith(".parquet") and not n.startswith((".", "_"))]
+
+
+def _files_of(spark: SparkSession, path: str, listed: dict[date, list[tuple[str, int]]]) -> DataFrame:
+    names = [f"{path}/day={d.isoformat()}/{name}" for d, files in listed.items() for name, _ in files]
+    return spark.read.option("basePath", path).parquet(*names)
+
+
+def _replace(
+    spark: SparkSession, path: str, rows: DataFrame, listed: dict[date, list[tuple[str, int]]], zstd: bool = False
+) -> None:
+    """Put ``rows`` in the place of the listed files, day by day; files that came later stay."""
+    work = f"{path}/_compacting-{uuid.uuid4().hex}"
+    writer = rows.write.option("compression", "zstd") if zstd else rows.write
+    writer.partitionBy("day").parquet(work)
+    system, _ = _file_system(spark, path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for day, files in listed.items():
+        folder = f"day={day.isoformat()}"
+        for name, _ in _data_files(spark, work, day):
+            if not system.rename(hadoop(f"{work}/{folder}/{name}"), hadoop(f"{path}/{folder}/{MARK if zstd else ''}{name}")):
+                raise OSError(f"{path}/{folder}/{name} could not be put in place")
+        for name, _ in files:
+            system.delete(hadoop(f"{path}/{folder}/{name}"), False)
+    _delete_folder(spark, work)
 
 
 def retain(
@@ -127,26 +159,27 @@ def retain(
 ) -> int:
     """Delete rows at or before ``now - days``; return how many were removed.
 
-    Whole days go as folders; only the boundary day is rewritten.
+    Whole days go as folders; of the boundary day only the files listed at the
+    start are rewritten, so rows that a stream appends meanwhile stay.
     """
     cutoff = as_datetime(now) - timedelta(days=days)
     boundary = cutoff.date()
-    table = spark.read.parquet(path)
-    removed, kept = split_retention(table.where(F.col("day") <= F.lit(boundary)), now, days)
+    listed = {d: _data_files(spark, path, d) for d in stored_days(spark, path) if d <= boundary}
+    listed = {d: files for d, files in listed.items() if files}
+    if not listed:
+        return 0
+    table = _files_of(spark, path, listed)
+    removed, kept = split_retention(table, now, days)
     count = removed.count()
     if count == 0:
         return 0
-    kept_of_day = kept.where(F.col("day") == F.lit(boundary))
-    keep_boundary = not kept_of_day.isEmpty()
-    if keep_boundary:
-        (
-            kept_of_day.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("day")
-            .parquet(path)
-        )
-    for day in stored_days(spark, path):
-        if day < boundary or (day == boundary and not keep_boundary):
+    edge = {d: files for d, files in listed.items() if d == boundary}
+    if edge:
+        _replace(spark, path, kept.where(F.col("day") == F.lit(boundary)), edge)
+        if not _data_files(spark, path, boundary):
+            _delete_folder(spark, f"{path}/day={boundary.isoformat()}")
+    for day in listed:
+        if day < boundary:
             _delete_folder(spark, f"{path}/day={day.isoformat()}")
     return count
 

@@ -1,11 +1,14 @@
 """Streaming flows built from the operators and the stateful processors.
 
-All flows run on event time with a watermark. Restarting a flow from its
-checkpoint neither loses nor repeats stored rows.
+All flows work on event time. Buckets and liveness close by a watermark; the other
+flows have one on the time of arrival only, so that no row is dropped: what is older than
+the state of its key is labelled ``late`` and kept. Restarting a flow from its checkpoint neither loses nor
+repeats stored rows.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 
 from embertide.functions.instants import bucket_window
+from embertide.functions.scalar import micros
 from embertide.operators import alarms as al
 from embertide.operators import devices as dv
 from embertide.operators import readings as rd
@@ -26,7 +30,7 @@ from embertide.operators.ordered import (
 from embertide.operators.suppression import EXPIRY_SECONDS
 from embertide.sources.store import StoreSink, delete_below, finished_batches
 from embertide.streaming.processors import (
-    AlarmLife, ChangeFilter, Liveness, Suppression, Throttle,
+    ARRIVAL, AlarmLife, ChangeFilter, Liveness, Suppression, Throttle,
 )
 
 WATERMARK = "10 minutes"
@@ -58,6 +62,11 @@ def bucket_stream(readings: DataFrame, width: str, watermark: str = WATERMARK) -
     )
 
 
+def _arriving(rows: DataFrame) -> DataFrame:
+    """A watermark on the time of arrival: state can be let go, but no row counts as too old."""
+    return rows.withColumn(ARRIVAL, F.current_timestamp()).withWatermark(ARRIVAL, "1 minute")
+
+
 # --- stateful operators ---------------------------------------------------------------------
 
 
@@ -66,32 +75,26 @@ def throttle_stream(
     keys: Sequence[str],
     windows: Sequence[str | float],
     tie: str = "id",
-    watermark: str = WATERMARK,
 ) -> DataFrame:
     """First-anchored windows in turn; adds ``status``: accepted or late."""
-    return (
-        rows.withWatermark("ts", watermark)
-        .groupBy(*keys)
-        .transformWithStateInPandas(
-            Throttle(list(windows), tie), _plus(rows.schema, status=T.StringType()),
-            "append", "eventtime",
-        )
+    return _arriving(rows).groupBy(*keys).transformWithStateInPandas(
+        Throttle(list(windows), tie), _plus(rows.schema, status=T.StringType()),
+        "append", "eventtime",
     )
 
 
 def dedup_stream(
-    rows: DataFrame, keys: Sequence[str], seconds: float = rl.DEDUP_SECONDS,
-    watermark: str = WATERMARK,
+    rows: DataFrame, keys: Sequence[str], seconds: float = rl.DEDUP_SECONDS
 ) -> DataFrame:
-    return throttle_stream(rows, keys, [seconds], watermark=watermark)
+    return throttle_stream(rows, keys, [seconds])
 
 
 def change_filter_stream(messages: DataFrame) -> DataFrame:
     """Readings of valid messages with a non-trivial change; adds ``status``."""
     flat = rd.flatten_messages(rd.valid_messages(messages))
-    return flat.groupBy("device_id").transformWithStateInPandas(
+    return _arriving(flat).groupBy("device_id").transformWithStateInPandas(
         ChangeFilter(rd.TRIVIAL_DELTA, rd.TRIVIAL_LEVEL),
-        _plus(flat.schema, status=T.StringType()), "append", "none",
+        _plus(flat.schema, status=T.StringType()), "append", "eventtime",
     )
 
 
@@ -112,20 +115,16 @@ def liveness_stream(
     )
 
 
-def suppression_stream(
-    requests: DataFrame, seconds: float = EXPIRY_SECONDS, watermark: str = WATERMARK
-) -> DataFrame:
+def suppression_stream(requests: DataFrame, seconds: float = EXPIRY_SECONDS) -> DataFrame:
     """Requests with ``activated_at`` and ``outcome`` (activated, updated, rejected, late)."""
     schema = _plus(requests.schema, activated_at=T.TimestampType(), outcome=T.StringType())
-    return (
-        requests.withWatermark("ts", watermark)
-        .groupBy("device_id")
-        .transformWithStateInPandas(Suppression(seconds), schema, "append", "eventtime")
+    return _arriving(requests).groupBy("device_id").transformWithStateInPandas(
+        Suppression(seconds), schema, "append", "eventtime"
     )
 
 
 def alarm_life_stream(alarms: DataFrame, actions: DataFrame) -> DataFrame:
-    """Effective RAISE, ACK and RESOLVE changes per alarm; a RESOLVE frees the state."""
+    """Effective RAISE, ACK and RESOLVE changes per alarm, whichever input comes first."""
     out = T.StructType([
         T.StructField("alarm_id", T.LongType()),
         T.StructField("device_id", T.StringType()),
@@ -143,8 +142,8 @@ def alarm_life_stream(alarms: DataFrame, actions: DataFrame) -> DataFrame:
             "alarm_id", none.alias("device_id"), none.alias("severity"), "action", "actor", "ts"
         )
     )
-    return changes.groupBy("alarm_id").transformWithStateInPandas(
-        AlarmLife(), out, "append", "none"
+    return _arriving(changes).groupBy("alarm_id").transformWithStateInPandas(
+        AlarmLife(), out, "append", "eventtime"
     )
 
 
@@ -152,16 +151,20 @@ def alarm_life_stream(alarms: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 class IngestSink(StoreSink):
-    """Store kept readings of registered, enabled devices; the registry is read every time."""
+    """Store kept readings of registered, enabled devices; the registry is read every time.
+
+    Late readings cannot be judged by the change filter any more, so they are stored.
+    Device, message and the reading's place in it identify a stored reading; ``id`` is
+    a short form of these for lookups and no key.
+    """
 
     def __init__(self, path: str, registry: Callable[[], DataFrame]):
-        super().__init__(path, keys=("id",), stamp="created_at")
+        super().__init__(path, keys=("device_id", "message_id", "pos"), stamp="created_at")
         self.registry = registry
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        kept = dv.gate(batch.where(F.col("status") == "accepted"), self.registry())
-        # The message and the reading's place in it identify a stored reading.
-        identified = kept.withColumn("id", F.xxhash64("message_id", "pos")).drop("status")
+        kept = dv.gate(batch, self.registry())
+        identified = kept.withColumn("id", F.xxhash64("device_id", "message_id", "pos")).drop("status")
         super().__call__(identified, batch_id)
 
 
@@ -191,7 +194,8 @@ class AlarmSink:
     ``folder``, written once per micro-batch from the previous one and pruned of
     keys whose windows have passed. A repeated micro-batch starts from the same
     state and replaces its own output. Large keys are sliced as in batch.
-    Rows older than the state of their key are kept under ``late``.
+    Rows older than the state of their key, or than the time up to which states
+    were pruned, are kept under ``late``.
     """
 
     STATE = ("rate_us", "dedup_us")
@@ -215,6 +219,7 @@ class AlarmSink:
         rules = self.rules()
         matched = rl.match_rules(rows, rules)
         state = self._state_before(spark, batch_id)
+        bound = self._bound_before(spark, batch_id)
         if state is None:
             before = matched.withColumns({n: F.lit(None).cast("long") for n in self.STATE})
         else:
@@ -222,15 +227,20 @@ class AlarmSink:
         slices = hot_slices(rows, rl.SENSOR_KEY, "ts", self.target_rows)
         if slices is not None:
             slices = slices.join(rules.select(*rl.ALARM_KEY), rl.SENSOR_KEY)
+        # below the pruning bound a missing state may be a pruned one
+        known = F.coalesce(*[F.col(n) for n in self.STATE])
+        pruned = F.lit(False) if bound is None else known.isNull() & (micros(F.col("ts")) < F.lit(bound))
+        too_old = before.where(pruned).drop(*self.STATE)
         passed = staged(
-            before, rl.ALARM_KEY, "ts", "id",
+            before.where(~pruned), rl.ALARM_KEY, "ts", "id",
             [F.col("time_window_seconds"), self.dedup_seconds], slices, self.STATE,
         )
         path = f"{self.folder}/passed/batch={batch_id}"
         passed.write.mode("overwrite").parquet(path)
         passed = spark.read.schema(passed.schema).parquet(path)
         self._write_state(passed, state, batch_id)
-        passed.where(F.col("passed") < 0).drop("passed").write.mode("overwrite").parquet(
+        late = passed.where(F.col("passed") < 0).drop("passed", *self.STATE)
+        late.unionByName(too_old.select(*late.columns)).write.mode("overwrite").parquet(
             f"{self.folder}/late/batch={batch_id}"
         )
         accepted = passed.where(F.col("passed") == len(self.STATE))
@@ -243,6 +253,11 @@ class AlarmSink:
         done = [n for n in finished_batches(spark, f"{self.folder}/state") if n < batch_id]
         return spark.read.parquet(f"{self.folder}/state/batch={max(done)}") if done else None
 
+    def _bound_before(self, spark, batch_id: int) -> int | None:
+        """Event time in microseconds up to which states have been pruned before this batch."""
+        done = [n for n in finished_batches(spark, f"{self.folder}/bound") if n < batch_id]
+        return spark.read.parquet(f"{self.folder}/bound/batch={max(done)}").first()[0] if done else None
+
     def _write_state(self, passed: DataFrame, state: DataFrame | None, batch_id: int) -> None:
         fresh = last_accepted(passed, rl.ALARM_KEY, "ts", self.STATE)
         width = passed.where(F.col("passed") > 0).groupBy(*rl.ALARM_KEY).agg(
@@ -253,15 +268,21 @@ class AlarmSink:
         merged = both.groupBy(*rl.ALARM_KEY).agg(
             *[F.max(c).alias(c) for c in (*self.STATE, "rate_seconds")]
         )
-        # Event time reached so far; a key whose windows all ended before it needs no state.
-        now = merged.agg(F.max("rate_us")).first()[0] or 0
+        # Event time reached so far, but never ahead of the clock: one device whose clock runs
+        # ahead must not prune the others. A key whose windows all ended before needs no state.
+        spark = passed.sparkSession
+        now = min(merged.agg(F.max("rate_us")).first()[0] or 0, time.time_ns() // 1000)
+        bound = max(now - LATENESS_US, self._bound_before(spark, batch_id) or 0)
         until = F.greatest(
             F.col("rate_us") + F.coalesce("rate_seconds", F.lit(0)) * F.lit(1_000_000).cast("long"),
             F.col("dedup_us") + int(self.dedup_seconds * 1_000_000),
         )
-        kept = merged.where(until > now - LATENESS_US)
+        kept = merged.where(until > bound)
+        spark.createDataFrame([(bound,)], "bound long").coalesce(1).write.mode("overwrite").parquet(
+            f"{self.folder}/bound/batch={batch_id}")
         kept.write.mode("overwrite").parquet(f"{self.folder}/state/batch={batch_id}")
-        delete_below(passed.sparkSession, f"{self.folder}/state", batch_id - 1)
+        for name in ("state", "bound"):
+            delete_below(spark, f"{self.folder}/{name}", batch_id - 1)
 
 
 def alarm_flow(readings: DataFrame, sink: AlarmSink, checkpoint: str) -> DataStreamWriter:

@@ -3,6 +3,10 @@
 A key's share of a micro-batch is bounded by the source's ``per_trigger``
 limit, which bounds the frame sorted here. Rows older than the state of their
 key are labelled ``late`` and never move the state.
+
+Throttle, ChangeFilter, Suppression and AlarmLife see every row, however old: their
+watermark is on the time of arrival (the last column), so it drops nothing. Their
+state goes once a key has been silent for its windows and a further ``KEEP_MS``.
 """
 
 from __future__ import annotations
@@ -15,11 +19,40 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _LONG = T.StructType([T.StructField("us", T.LongType())])
+KEEP_MS = 24 * 3600 * 1000
+ARRIVAL = "_arrival"
+
+
+class _Idle:
+    """A timer that drops a key's state after a silence; ``seen`` is when that may be."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.handle = handle
+        self.seen = handle.getValueState("seen", _LONG)
+
+    def touch(self, arrival_ms: int, width_us: int = 0) -> None:
+        until = arrival_ms + width_us // 1000 + KEEP_MS
+        stored = self.seen.get()
+        self.seen.update((max(until, stored[0] if stored else 0),))
+        if stored is None:
+            self.handle.registerTimer(until)
 
+    def over(self, timerValues) -> bool:
+        """Whether the silence has lasted; else the timer is set again."""
+        until = self.seen.get()[0]
+        if until > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(until)
+            return False
+        self.seen.clear()
+        return True
 
-def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+
+def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> tuple[pd.DataFrame, int]:
+    """The rows in order, and when the last of them arrived in milliseconds."""
     frame = pd.concat(list(rows), ignore_index=True)
-    return frame.sort_values(by, kind="stable", ignore_index=True)
+    # the time of arrival is a constant of the micro-batch, and Spark may drop a constant's name
+    arrival = int(_us(frame.pop(frame.columns[-1])).max()) // 1000
+    return frame.sort_values(by, kind="stable", ignore_index=True), arrival
 
 
 def _us(times: pd.Series) -> np.ndarray:
@@ -36,15 +69,14 @@ class Throttle(StatefulProcessor):
     """First-anchored windows in turn (rate limit, then de-duplication) for one key.
 
     ``windows`` are column names or seconds. Emits accepted and late rows with
-    a ``status`` column. The state of a key is one record, dropped once the
-    watermark has passed all its windows.
+    a ``status`` column. The state of a key is one record.
     """
 
     def __init__(self, windows: list[str | float], tie: str = "id"):
         self.windows, self.tie = windows, tie
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.idle = _Idle(handle)
         fields = [f"last{n}" for n in range(len(self.windows))] + ["until"]
         self.state = handle.getValueState(
             "state", T.StructType([T.StructField(f, T.LongType()) for f in fields])
@@ -56,11 +88,11 @@ class Throttle(StatefulProcessor):
         return (frame[window].fillna(0).astype(float) * 1e6).astype("int64").tolist()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _ordered(rows, ["ts", self.tie])
+        frame, arrival = _ordered(rows, ["ts", self.tie])
         times = _us(frame["ts"]).tolist()
         stored = self.state.get()
         *lasts, until = stored or [None] * (len(self.windows) + 1)
-        first, new = lasts[0], stored is None
+        first = lasts[0]
         late = [first is not None and t < first for t in times]
         alive = [n for n, is_late in enumerate(late) if not is_late]
         if alive:
@@ -74,8 +106,8 @@ class Throttle(StatefulProcessor):
                     until = max(until or 0, last + max(widths))
                 lasts[stage], alive = last, passed
             self.state.update((*lasts, until))
-            if new:
-                self.handle.registerTimer(until // 1000 + 1)
+        if lasts[0] is not None:
+            self.idle.touch(arrival, until - lasts[0])
         picked = sorted({*alive, *(n for n, is_late in enumerate(late) if is_late)})
         if picked:
             out = frame.iloc[picked].copy()
@@ -83,11 +115,7 @@ class Throttle(StatefulProcessor):
             yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = self.state.get()[-1] // 1000 + 1
-        if until > timerValues.getCurrentWatermarkInMs():
-            self.handle.registerTimer(until)
-        else:
-            # The watermark has passed every window: no state gives the same answers.
+        if self.idle.over(timerValues):
             self.state.clear()
         return iter(())
 
@@ -109,6 +137,7 @@ class ChangeFilter(StatefulProcessor):
         value = T.StructType([T.StructField("us", T.LongType()), T.StructField("value", T.DoubleType())])
         name = T.StructType([T.StructField("sensor_type", T.StringType())])
         self.last = handle.getMapState("last", name, value)
+        self.idle = _Idle(handle)
 
     def _trivial(self, name: str, value: float, before: float | None) -> bool:
         if before is None:
@@ -118,7 +147,7 @@ class ChangeFilter(StatefulProcessor):
         return value < self.levels[name] and before < self.levels[name]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _ordered(rows, ["ts", "message_id", "pos"])
+        frame, arrival = _ordered(rows, ["ts", "message_id", "pos"])
         times = _us(frame["ts"]).tolist()
         names, values = frame["sensor_type"].tolist(), frame["value"].tolist()
         messages = frame["message_id"].tolist()
@@ -139,12 +168,18 @@ class ChangeFilter(StatefulProcessor):
                 touched.add(name)
         for name in touched:
             self.last.updateValue((name,), known[name])
+        self.idle.touch(arrival)
         status = ["late" if m in late else "accepted" if m in changed else None for m in messages]
         out = frame.assign(status=status)
         out = out[out["status"].notna()]
         if len(out):
             yield out
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.idle.over(timerValues):
+            self.last.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -205,7 +240,7 @@ class Suppression(StatefulProcessor):
         self.us = int(seconds * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.idle = _Idle(handle)
         self.active = handle.getValueState(
             "active",
             T.StructType([
@@ -213,11 +248,8 @@ class Suppression(StatefulProcessor):
             ]),
         )
 
-    def _end_ms(self, started: int) -> int:
-        return -(-(started + self.us) // 1000)
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _ordered(rows, ["ts", "request_id"])
+        frame, arrival = _ordered(rows, ["ts", "request_id"])
         stored = self.active.get()
         started, agent = stored or (None, None)
         outcomes, anchors = [], []
@@ -232,15 +264,11 @@ class Suppression(StatefulProcessor):
             anchors.append(started)
         if (started, agent) != stored:
             self.active.update((started, agent))
-        if stored is None:
-            self.handle.registerTimer(self._end_ms(started))
+        self.idle.touch(arrival, self.us)
         yield frame.assign(activated_at=_stamp(anchors), outcome=outcomes)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = self._end_ms(self.active.get()[0])
-        if end > timerValues.getCurrentWatermarkInMs():
-            self.handle.registerTimer(end)
-        else:
+        if self.idle.over(timerValues):
             self.active.clear()
         return iter(())
 
@@ -251,37 +279,62 @@ class Suppression(StatefulProcessor):
 class AlarmLife(StatefulProcessor):
     """One alarm from RAISE over ACK to RESOLVE; emits every change that takes effect.
 
-    Actions on an alarm that was never raised or is resolved have no effect.
+    The two inputs have no common order: an action that arrives before its alarm waits
+    for it. Actions on a resolved alarm have no effect; nor have those that stay without
+    an alarm until their state goes. Of equal times RAISE comes first, RESOLVE last.
     """
 
+    RANK = {"RAISE": 0, "ACK": 1, "RESOLVE": 2}
+    COLUMNS = ["device_id", "severity", "action", "actor", "us"]
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState(
             "open",
             T.StructType([
                 T.StructField("device_id", T.StringType()), T.StructField("severity", T.StringType()),
+                T.StructField("resolved", T.BooleanType()),
             ]),
         )
+        kinds = [T.StringType()] * 4 + [T.LongType()]
+        self.waiting = handle.getListState(
+            "waiting", T.StructType([T.StructField(n, k) for n, k in zip(self.COLUMNS, kinds)]))
+        self.idle = _Idle(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _ordered(rows, ["ts"])
-        stored = self.open.get()
-        is_open = stored is not None
-        device, severity = stored or (None, None)
+        frame, arrival = _ordered(rows, ["ts"])
+        frame = frame.assign(us=_us(frame["ts"])).astype(object)
+        frame = frame.where(frame.notna(), None)
+        found = [tuple(r) for r in frame[self.COLUMNS].itertuples(index=False)]
+        device, severity, resolved = self.open.get() or (None, None, False)
+        is_open = device is not None or severity is not None
+        if not is_open and not resolved:
+            found += [tuple(r) for r in self.waiting.get()]
+            if not any(action == "RAISE" for _, _, action, _, _ in found):
+                self.waiting.put(found)
+                self.idle.touch(arrival)
+                return
+            self.waiting.clear()
+        found.sort(key=lambda r: (r[4], self.RANK.get(r[2], 3), r[3] or ""))
         changes = []
-        for row in frame.itertuples(index=False):
-            if row.action == "RAISE" and not is_open:
-                is_open, device, severity = True, row.device_id, row.severity
-                self.open.update((device, severity))
-            elif row.action == "RESOLVE" and is_open:
-                is_open = False
-                self.open.clear()
-            elif not (row.action == "ACK" and is_open):
+        for own, level, action, actor, us in found:
+            if action == "RAISE" and not is_open and not resolved:
+                is_open, device, severity = True, own, level or ""
+            elif action == "RESOLVE" and is_open:
+                is_open, resolved = False, True
+            elif not (action == "ACK" and is_open):
                 continue
-            changes.append((key[0], device, severity, row.action, row.actor, row.ts))
+            changes.append((key[0], device, severity, action, actor, us))
+        self.open.update((device, severity, resolved))
+        self.idle.touch(arrival)
         if changes:
-            yield pd.DataFrame(
-                changes, columns=["alarm_id", "device_id", "severity", "action", "actor", "ts"]
-            )
+            out = pd.DataFrame(changes, columns=["alarm_id", "device_id", "severity", "action", "actor", "ts"])
+            yield out.assign(ts=_stamp(out["ts"]))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.idle.over(timerValues):
+            self.open.clear()
+            self.waiting.clear()
+        return iter(())
 
     def close(self) -> None:
         pass

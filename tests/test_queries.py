@@ -15,9 +15,10 @@ import __spark_entry__ as contract  # noqa: E402
 from embertide.operators import alarms as al  # noqa: E402
 from embertide.operators import readings as rd  # noqa: E402
 from embertide.plans.inputs import Inputs  # noqa: E402
+from embertide.plans.queries import registered  # noqa: E402
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(registered()))
 def test_query_equals_oracle(spark, name):
     ok, _, _, _, notes = compare(spark, DATA, name)
     assert ok is not False, notes
