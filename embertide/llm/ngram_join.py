@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embertide.llm.common import (
-    Stage, arrow_map, columns_of, mix, pieces, text_buffer, word_hashes,
+    Stage, arrow_map, batch_rows, columns_of, mix, pieces, text_buffer, word_hashes,
 )
 from embertide.llm.graph import components
 from embertide.session import checked_broadcast
 
 BLOCK_BITS = 256  # bits of a sketch block: wide, so that unlike documents rarely agree on one
 BAND_GROWTH = 1.5
+CHUNK = 256  # members of a bucket that are compared with as many others at a time
 NEEDED_ROWS = 1_000_000  # ids (8 bytes) that may be broadcast to pick texts; beyond, the join shuffles
 _ZOBRIST = mix(np.arange(1, BLOCK_BITS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
@@ -176,6 +177,68 @@ def close_pairs(pairs: DataFrame, profile: DataFrame, share: int) -> DataFrame:
     return arrow_map(both.select("a", "b", "na", "sa", "nb", "sb"), kernel, "a long, b long")
 
 
+def open_pairs(members: DataFrame, profile: DataFrame, stage: Stage, share: int) -> DataFrame:
+    """Pairs (a, b) of members of one bucket, in different classes, whose sizes and sketches allow a link.
+
+    ``members``: bucket, id, class. A bucket's members are dealt to chunks of about CHUNK by a
+    hash, and chunks are compared with chunks: only pairs that pass are ever made, however many
+    unlike documents share a bucket.
+    """
+    spark = members.sparkSession
+    side = profile.select(F.col("doc_id").alias("id"), "n", "sketch")
+    rows = stage.put(members.join(side, "id"), "open-sketches")
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    chunks = rows.join(sizes, "bucket").withColumn("chunk", chunk).groupBy("bucket", "chunk", "chunks").agg(
+        F.collect_list(F.struct("id", "class", "n", "sketch")).alias("held"))
+    chunks = stage.put(chunks, "open-chunks")
+    later = chunks.select("bucket", F.col("chunk").alias("later"), F.col("held").alias("other"))
+    tiles = chunks.join(later, "bucket").where("chunk <= later").select(
+        (F.col("chunk") == F.col("later")).alias("same"), "held", "other")
+
+    def parts(held):
+        lengths = [len(r["sketch"]) for r in held]
+        by = {}
+        for k, n in enumerate(lengths):
+            by.setdefault(n, []).append(k)
+        facts = np.array([(r["id"], r["class"], r["n"]) for r in held], np.int64).reshape(-1, 3)
+        return [(facts[own], np.frombuffer(b"".join(held[k]["sketch"] for k in own), np.uint64).reshape(len(own), -1))
+                for _, own in sorted(by.items())]
+
+    def folded(bits, width):
+        while bits.shape[1] > width:
+            half = bits.shape[1] // 2
+            bits = bits[:, :half] ^ bits[:, half:]
+        return bits
+
+    def kernel(batches):
+        for batch in batches:
+            for tile in batch.to_pylist():
+                left, right = parts(tile["held"]), parts(tile["other"])
+                found = []
+                for fa, ba in left:
+                    for fb, bb in right:
+                        width = min(ba.shape[1], bb.shape[1])
+                        xa, xb = folded(ba, width), folded(bb, width)
+                        total = fa[:, 2][:, None] + fb[:, 2][None, :]
+                        most = total * (100 - share) // (100 + share)
+                        close = 100 * np.minimum(fa[:, 2][:, None], fb[:, 2][None, :]) >= share * np.maximum(
+                            fa[:, 2][:, None], fb[:, 2][None, :])
+                        close &= fa[:, 1][:, None] != fb[:, 1][None, :]
+                        for low in range(0, len(fa), 32):
+                            part = slice(low, low + 32)
+                            differ = np.bitwise_count(xa[part, None, :] ^ xb[None, :, :]).sum(axis=2, dtype=np.int64)
+                            i, j = np.nonzero(close[part] & (differ <= most[part]))
+                            found.append(np.stack([fa[part][i, 0], fb[j, 0]], axis=1))
+                pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+                pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    out = arrow_map(tiles, kernel, "a long, b long").distinct()
+    with batch_rows(spark, 16):
+        return stage.put(out, "open-pairs")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, stage: Stage, words: int, share: int) -> DataFrame:
     """Pairs (a, b) of ``pairs`` that link, by the shingles of both whole texts (columns doc_id, text)."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -211,8 +274,9 @@ def jaccard_components(
     1. Equal shingle sets (by a 128-bit sum) become one node.
     2. Nodes meet on equal sketch blocks. In each bucket all nodes are tested against its
        smallest, never against each other, so a bucket of any size gives as many pairs as nodes.
-    3. Where a bucket still holds several classes, the nodes of different classes are tested,
-       so that no link is lost. Members of one class need no test.
+    3. Where a bucket still holds several classes, the sketches of nodes of different classes
+       are compared chunk by chunk, and pairs that pass are tested, so that no link is lost.
+       Members of one class need no test.
 
     Texts without words, null texts and null doc_ids link with nothing (n_shingles 0 for the
     first two). Rows repeated as a whole are in one class; rows that share a doc_id but not
@@ -247,12 +311,8 @@ def jaccard_components(
         shared.join(known, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("class")), "classed")
     mixed = classed.groupBy("bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1")
     open_ = stage.put(classed.join(mixed.select("bucket"), "bucket", "left_semi"), "open")
-    other = open_.select("bucket", F.col("id").alias("id2"), F.col("class").alias("class2"))
-    rest = open_.join(other, "bucket").where("class < class2").select(
-        F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    rest = stage.put(rest.join(tested, ["a", "b"], "left_anti"), "rest")
-    near = stage.put(close_pairs(rest, profile, share), "close-rest")
-    more = stage.put(verified(near, rows, stage, words, share), "more-links")
+    rest = open_pairs(open_, profile, stage, share).join(tested, ["a", "b"], "left_anti")
+    more = stage.put(verified(stage.put(rest, "rest"), rows, stage, words, share), "more-links")
     final = components(links.unionByName(more), stage, "final")
 
     placed = profile.select("doc_id", "n", "f1", "f2").join(
