@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embertide.llm.common import Stage, arrow_map, columns_of, new_folder
+from embertide.llm.common import Stage, arrow_map, columns_of, drop_folder, new_folder
 from embertide.llm.files import FILE_BYTES, read_files, write_files
+from embertide.session import checked_broadcast
 
 # Fixed values of the two formats.
 ARC_FIELDS = {
@@ -239,8 +240,8 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least: int =
     payload; the record type is response for HTTP answers and resource otherwise. Of
     responses with equal payloads of at least ``least`` bytes, the one with the greatest key
     (as a number) keeps its payload; the others become revisits that refer to it.
-    The groups are reduced to one row before they meet the records; payloads move only if
-    their group has several.
+    Groups are one small row each when they meet the records, so payloads only move where
+    the groups are too many to broadcast.
     """
     records = read_arc(spark, arc_path)
     number = F.col("key").cast("long")
@@ -253,6 +254,7 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least: int =
         .select("digest", "length", F.col("kept.number").alias("kept_number"),
                 F.col("kept.archive").alias("kept_archive"), F.col("kept.position").alias("kept_position"))
     )
+    groups = checked_broadcast(Stage(spark).put(groups, "groups"))
     planned = records.join(groups, ["digest", "length"], "left").select(
         "archive", "position", "key", "url", "date", "mime", "head", "payload", "digest",
         "kept_archive", "kept_position", "kept_number")
@@ -343,6 +345,7 @@ def archived_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
                                          "record_type string, refers_to long")
     write_arc(pages, arc, page_id, url, html)
     arc_to_warc(spark, arc, warc)
+    drop_folder(spark, arc)
     return read_warc(spark, warc).select(
         F.expr("try_cast(key AS long)").alias("page_id"), "payload_bytes", "payload_digest",
         "record_type", F.expr("try_cast(refers_to_key AS long)").alias("refers_to"))
