@@ -142,12 +142,38 @@ def event_rates(
     )
 
 
-def counter_rates(samples: DataFrame, slices: Slices = AUTO) -> DataFrame:
-    """Reset-aware increase of a cumulative counter per series, and per second."""
+def _growth(samples: DataFrame, slices: Slices):
+    """Samples with the one before, and by how much a counter has grown since; a drop is a reset."""
     steps = lag_by(samples, ["series"], ["ts", "value"], "value", "_before", slices)
     grown = F.when(F.col("_before").isNull(), F.lit(0.0)).when(
         F.col("value") < F.col("_before"), F.col("value")
     ).otherwise(F.col("value") - F.col("_before"))
+    return steps, grown
+
+
+def windowed_counter_rates(
+    samples: DataFrame, seconds: int = 300, step_seconds: int = 60, slices: Slices = AUTO
+) -> DataFrame:
+    """Reset-aware increase of a counter over trailing windows, one per step, and per second.
+
+    Growth counts at the sample that shows it. It is summed per step first; only these
+    sums enter the overlapping windows. Windows without a sample have no row.
+    """
+    step_us = step_seconds * 1_000_000
+    steps, grown = _growth(samples, slices)
+    sums = steps.groupBy("series", F.floor(micros(F.col("ts")) / F.lit(step_us)).alias("_step")).agg(
+        F.sum(grown).alias("_grown"))
+    ends = F.sequence(F.col("_step") + 1, F.col("_step") + seconds // step_seconds)
+    return sums.withColumn("_end", F.explode(ends)).groupBy("series", "_end").agg(
+        F.sum("_grown").alias("increase")
+    ).select(
+        "series", F.timestamp_micros(F.col("_end") * step_us).alias("window_end"), "increase",
+        (F.col("increase") / F.lit(float(seconds))).alias("per_second"))
+
+
+def counter_rates(samples: DataFrame, slices: Slices = AUTO) -> DataFrame:
+    """Reset-aware increase of a cumulative counter per series, and per second."""
+    steps, grown = _growth(samples, slices)
     span = (F.max(micros(F.col("ts"))) - F.min(micros(F.col("ts")))) / F.lit(1e6)
     return steps.groupBy("series").agg(
         F.sum(grown).alias("increase"), span.alias("span_seconds")

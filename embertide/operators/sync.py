@@ -66,6 +66,14 @@ def reusable_snapshots(log: DataFrame, now: datetime | str) -> DataFrame:
     )
 
 
+def client_snapshot(
+    alarms: DataFrame, log: DataFrame, client_id: str, now: datetime | str, cap: int = BUFFER_ROWS
+) -> DataFrame:
+    """The client's snapshot; within the reuse time, the one it was given before."""
+    given = marker_of(reusable_snapshots(log, now), client_id)
+    return snapshot(alarms, given or now, None, cap)
+
+
 def merge_by_id(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows replace rows of the same id; the latest incoming row wins.
 

@@ -7,6 +7,7 @@ six digits on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -938,6 +939,17 @@ def _(i):
 BOUNDS = (5.0, 10.0, 25.0, 50.0, 100.0, 250.0)
 
 
+@query("a12_windowed_rate", with_inputs(
+    """SELECT series, make_timestamp((step + k) * 60000000) AS window_end, sum(grown) AS increase,
+    round(sum(grown) / 300.0::DOUBLE, 6) AS per_second FROM (
+      SELECT series, epoch_us(ts) // 60000000 AS step, sum(CASE WHEN p IS NULL THEN 0 WHEN value < p
+      THEN value ELSE value - p END) AS grown FROM (SELECT *, lag(value) OVER (PARTITION BY series
+      ORDER BY ts, value) AS p FROM counter_samples) GROUP BY 1, 2)
+    CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS k) GROUP BY 1, 2""", "counter_samples"))
+def _(i):
+    return rounded(ntz(mt.windowed_counter_rates(i.counter_samples), "window_end"), "per_second")
+
+
 @query("a13_histogram_quantile", """WITH edges AS (SELECT unnest(
       [5, 10, 25, 50, 100, 250, 'inf'::DOUBLE]) AS le),
     counted AS (SELECT event_type, le, count(*) FILTER (WHERE value <= le) AS c
@@ -1032,6 +1044,18 @@ def _(i):
     return sy.snapshot(i.alarms, NOW, _marker(i))
 
 
+@query("r8_reused_snapshot", with_inputs(
+    """SELECT * FROM alarms WHERE epoch_us(ts)//1000
+    BETWEEN epoch_us((SELECT asked FROM given) - INTERVAL 1 HOUR)//1000
+    AND epoch_us((SELECT asked FROM given))//1000 ORDER BY ts, id LIMIT 1000""", "alarms", "sync_log",
+    extra="""given AS (SELECT max(ts) AS asked FROM sync_log WHERE client_id = 'c7'
+      AND kind = 'snapshot')"""))
+def _(i):
+    # asked again two minutes after the client's last snapshot
+    given = sy.marker_of(sy.sync_markers(i.sync_log), "c7")
+    return sy.client_snapshot(i.alarms, i.sync_log, "c7", given + timedelta(minutes=2))
+
+
 @query("r8_delta", with_inputs(
     f"SELECT * FROM alarms WHERE {_SINCE}", "alarms", "sync_log"))
 def _(i):
