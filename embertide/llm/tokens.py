@@ -56,34 +56,78 @@ def spans_of(raw: np.ndarray, bounds: np.ndarray):
     return starts, ends, np.searchsorted(bounds, starts, side="right") - 1
 
 
+class SpanIds:
+    """Ids of distinct spans, looked up by the span's hash; starts afresh once it holds CACHED spans."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        special = sorted(
+            (i, t.content) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special)
+        self.mark = special[0] if special else None
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.at, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def encode(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the spans, and how many each has.
+
+        Spans are strung together with a special token between them, which parts them for the
+        tokenizer like separate texts; a span that holds its name is not safe to string.
+        """
+        if self.mark is None or any(self.mark[1].encode() in s for s in spans):
+            self.tokenizer.encode_special_tokens = True
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(
+                [s.decode() for s in spans], add_special_tokens=False)]
+            return (np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64))
+        self.tokenizer.encode_special_tokens = False
+        number, name = self.mark
+        strung = [(name.encode().join(spans[k:k + 500]) + name.encode()).decode() for k in range(0, len(spans), 500)]
+        ids = np.concatenate([
+            np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(strung, add_special_tokens=False)])
+        marks = ids == number
+        ends = np.flatnonzero(marks) - np.arange(len(spans))
+        return ids[~marks], np.diff(ends, prepend=0)
+
+    def add(self, hashes: np.ndarray, spans: list[bytes]) -> None:
+        ids, sizes = self.encode(spans)
+        merged = np.concatenate([self.hashes, hashes])
+        order = np.argsort(merged, kind="stable")
+        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(sizes) - sizes])[order]
+        self.sizes = np.concatenate([self.sizes, sizes])[order]
+        self.hashes, self.pool = merged[order], np.concatenate([self.pool, ids])
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each ascending hash, and whether it is held."""
+        place = np.searchsorted(self.hashes, hashes)
+        place[place == len(self.hashes)] = 0
+        return place, self.hashes[place] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+
+
 def encoded(batches, tokenizer, end_id: int) -> Iterator[tuple]:
     """(doc ids, document lengths, ids) of each piece of the batches, end ids appended."""
-    known: dict[int, np.ndarray] = {}
+    known = SpanIds(tokenizer)
     for batch in pieces(batches):
         raw, bounds = text_buffer(batch.column(1))
         data = raw.tobytes()
         starts, ends, row = spans_of(raw, bounds)
         hashes = span_hashes(raw, starts, ends) if len(raw) else np.zeros(0, np.uint64)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(known) > CACHED:
+        if len(known.hashes) > CACHED:
             known.clear()
-        missing = [i for i, h in enumerate(distinct.tolist()) if h not in known]
-        texts = [data[starts[first[i]]:ends[first[i]]].decode("utf-8") for i in missing]
-        for i, e in zip(missing, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            known[int(distinct[i])] = np.array(e.ids, np.uint32)
-        parts = [known[h] for h in distinct.tolist()]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        pool = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        pool_at = np.cumsum(sizes) - sizes
-        n_docs = batch.num_rows
-        each = sizes[inverse]
-        lengths = np.bincount(row, weights=each, minlength=n_docs).astype(np.int64) + 1
-        total = int(lengths.sum())
-        ids = np.full(total, end_id, np.uint32)
+        place, held = known.places(distinct)
+        if not held.all():
+            own = first[~held]
+            known.add(distinct[~held], [data[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist())])
+            place, _ = known.places(distinct)
+        each, source = known.sizes[place][inverse], known.at[place][inverse]
+        lengths = np.bincount(row, weights=each, minlength=batch.num_rows).astype(np.int64) + 1
+        ids = np.full(int(lengths.sum()), end_id, np.uint32)
         # place of each span's first id: ids before it, and one end id per earlier document
-        place = np.cumsum(each) - each + row
-        offsets = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-        ids[np.repeat(place, each) + offsets] = pool[np.repeat(pool_at[inverse], each) + offsets]
+        before = np.cumsum(each) - each
+        offsets = np.arange(int(each.sum())) - np.repeat(before, each)
+        ids[np.repeat(before + row, each) + offsets] = known.pool[np.repeat(source, each) + offsets]
         yield batch.column(0), lengths, ids
 
 
@@ -232,7 +276,6 @@ def token_runs(docs: DataFrame, stage: Stage, tokenizer_path: str, doc_id: str,
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         part, seq, held, size = [0], 0, [], 0
 
         def noted():
