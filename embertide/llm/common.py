@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -66,9 +67,16 @@ class Stage:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """Delete staged tables, and let Spark clear the shuffle files of frames that are gone.
+
+        Spark's cleaner only learns of these when both sides collect their garbage, which a
+        driver with little to do rarely does by itself.
+        """
         for name in names:
             for path in self.paths.pop(name, []):
                 drop_folder(self.spark, path)
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def columns_of(df: DataFrame, *named: tuple[str, Column]) -> DataFrame:

@@ -235,10 +235,30 @@ def distinct_rows(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new) - 1
 
 
-def chunk_arrays(row) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    names = row.get("names")
-    return (np.frombuffer(row["body"], np.uint8), np.frombuffer(row["sizes"], "<i8"),
-            np.frombuffer(names, "<u8") if names else None)
+def squeezed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes, compressed: high bytes and runs of small steps cost next to nothing."""
+    planes = np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def loosened(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view("<u8")
+
+
+def steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
+
+
+def chunk_arrays(row, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Text, region sizes, and the name at each sampled place of the level before."""
+    body, sizes = np.frombuffer(row["body"], np.uint8), np.frombuffer(row["sizes"], "<i8")
+    if not level:
+        return body, sizes, None
+    names = np.zeros(len(body), np.uint64)
+    names[sampled_places(sizes, SPANS[level - 1])] = np.cumsum(loosened(row["ranks"]))[loosened(row["which"]).astype(np.int64)]
+    return body, sizes, names
 
 
 def splitters(chunks: DataFrame, buckets: int) -> np.ndarray:
@@ -246,7 +266,7 @@ def splitters(chunks: DataFrame, buckets: int) -> np.ndarray:
     def kernel(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                body, sizes, _ = chunk_arrays(row)
+                body, sizes, _ = chunk_arrays(row, 0)
                 at = sampled_places(sizes, SPANS[0])
                 first = np.sort(words_at(body)[at])[::251]
                 yield pa.RecordBatch.from_pydict({"w": first.astype(np.float64)})
@@ -264,12 +284,12 @@ def sorted_names(chunks: DataFrame, level: int, cuts: np.ndarray, stage: Stage)
     number what they get and send the ranks back, in the order the chunk sent them. Ranks are
     bucket and place in the bucket, so they order all triples.
     """
-    fields = ["body", "sizes"] + (["names"] if level else [])
+    fields = ["body", "sizes"] + (["which", "ranks"] if level else [])
 
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                body, sizes, names = chunk_arrays(row)
+                body, sizes, names = chunk_arrays(row, level)
                 _, keys = triples(level, body, sizes, names)
                 order, number = distinct_rows(keys)
                 first = np.flatnonzero(np.diff(number, prepend=-1))
@@ -280,41 +300,44 @@ def sorted_names(chunks: DataFrame, level: int, cuts: np.ndarray, stage: Stage)
                 for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)]):
                     yield pa.RecordBatch.from_arrays([
                         pa.array([bucket[a]], pa.int32()), pa.array([row["chunk"]], pa.int64()),
-                        pa.array([np.concatenate([k[a:b] for k in keys]).tobytes()], pa.binary())],
+                        pa.array([squeezed(np.concatenate([steps(keys[0][a:b]), keys[1][a:b], keys[2][a:b]]))],
+                                 pa.binary())],
                         ["bucket", "chunk", "keys"])
 
     def number(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        blobs = [np.frombuffer(b, np.uint64).reshape(3, -1) for b in table.column("keys").to_pylist()]
-        keys = np.concatenate(blobs, axis=1)
+        blobs = [loosened(b).reshape(3, -1) for b in table.column("keys").to_pylist()]
+        keys = np.concatenate([np.vstack([np.cumsum(b[:1], axis=1), b[1:]]) for b in blobs], axis=1)
         order, rank = distinct_rows(list(keys))
         names = np.empty(len(order), np.uint64)
         names[order] = rank.astype(np.uint64) | np.uint64(bucket << RANK_BITS)
         ends = np.cumsum([b.shape[1] for b in blobs])
         return pa.table({
             "chunk": table.column("chunk"), "bucket": table.column("bucket"),
-            "ranks": pa.array([names[e - b.shape[1]:e].tobytes() for e, b in zip(ends.tolist(), blobs)], pa.binary())})
+            "ranks": pa.array([squeezed(steps(names[e - b.shape[1]:e])) for e, b in zip(ends.tolist(), blobs)],
+                              pa.binary())})
 
     def receive(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                body, sizes, names = chunk_arrays(row)
-                at, keys = triples(level, body, sizes, names)
+                body, sizes, names = chunk_arrays(row, level)
+                _, keys = triples(level, body, sizes, names)
                 order, rank = distinct_rows(keys)
                 parts = sorted(row["answer"] or [], key=lambda r: r["bucket"])
-                ranks = np.frombuffer(b"".join(r["ranks"] for r in parts), "<u8")
-                out = np.zeros(len(body), "<u8")
-                out[at[order]] = ranks[rank]
+                ranks = np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(loosened(r["ranks"])) for r in parts]])
+                which = np.empty(len(order), np.uint64)
+                which[order] = rank
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.array([row[c]], t) for c, t in CHUNK_TYPES], pa.array([out.tobytes()], pa.binary())],
-                    [*[c for c, _ in CHUNK_TYPES], "names"])
+                    [*[pa.array([row[c]], t) for c, t in CHUNK_TYPES], pa.array([squeezed(which)], pa.binary()),
+                     pa.array([squeezed(steps(ranks))], pa.binary())],
+                    [*[c for c, _ in CHUNK_TYPES], "which", "ranks"])
 
     with batch_rows(chunks.sparkSession, 4):
         sent = arrow_map(chunks.select("chunk", *fields), send, "bucket int, chunk long, keys binary")
         ranked = sent.groupBy("bucket").applyInArrow(number, "chunk long, bucket int, ranks binary")
         answers = ranked.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ranks")).alias("answer"))
         joined = chunks.join(answers, "chunk", "left")
-        return stage.put(arrow_map(joined, receive, f"{CHUNK}, names binary"), f"names{level}")
+        return stage.put(arrow_map(joined, receive, f"{CHUNK}, which binary, ranks binary"), f"names{level}")
 
 
 CHUNK_TYPES = [("chunk", pa.int64()), ("body", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()),
@@ -347,7 +370,7 @@ def merge_keys(body: np.ndarray, sizes: np.ndarray, names: np.ndarray) -> tuple[
 def repeated_runs(chunks: DataFrame, stage: Stage) -> DataFrame:
     """key, low, high: runs of starts of each region whose LENGTH bytes occur again."""
     def grouped(row):
-        body, sizes, names = chunk_arrays(row)
+        body, sizes, names = chunk_arrays(row, len(SPANS))
         at, key = merge_keys(body, sizes, names)
         order, number = distinct_rows([key])
         return at, key, order, number, np.flatnonzero(np.diff(number, prepend=-1))
@@ -362,10 +385,10 @@ def repeated_runs(chunks: DataFrame, stage: Stage) -> DataFrame:
                 for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)]):
                     yield pa.RecordBatch.from_arrays([
                         pa.array([bucket[a]], pa.int32()), pa.array([row["chunk"]], pa.int64()),
-                        pa.array([distinct[a:b].tobytes()], pa.binary())], ["bucket", "chunk", "keys"])
+                        pa.array([squeezed(steps(distinct[a:b]))], pa.binary())], ["bucket", "chunk", "keys"])
 
     def compare(table: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(b, np.uint64) for b in table.column("keys").to_pylist()]
+        blobs = [np.cumsum(loosened(b)) for b in table.column("keys").to_pylist()]
         keys = np.concatenate(blobs)
         order = np.argsort(keys, kind="stable")
         same = keys[order][1:] == keys[order][:-1]
@@ -401,7 +424,7 @@ def repeated_runs(chunks: DataFrame, stage: Stage) -> DataFrame:
                     ["key", "low", "high"])
 
     with batch_rows(chunks.sparkSession, 4):
-        sent = arrow_map(chunks.select("chunk", "body", "sizes", "names"), send, "bucket int, chunk long, keys binary")
+        sent = arrow_map(chunks.select("chunk", "body", "sizes", "which", "ranks"), send, "bucket int, chunk long, keys binary")
         met = sent.groupBy("bucket").applyInArrow(compare, "chunk long, bucket int, again binary")
         answers = met.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "again")).alias("answer"))
         joined = chunks.join(answers, "chunk", "left")
@@ -468,6 +491,7 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     repeated = stage.put(minimizer_counts(texts).where("n > 1"), "minimizers")
     regions = stage.put(repeated_regions(texts, repeated, repeated.count()), "regions")
+    stage.drop("minimizers")
     distinct = regions.groupBy("key").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("n"))
     with batch_rows(spark, 1000):
         chunks = stage.put(packed(distinct), "chunks")
