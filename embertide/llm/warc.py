@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embertide.llm.common import Stage, arrow_map, columns_of, drop_folder, new_folder
-from embertide.llm.files import FILE_BYTES, read_files, write_files
+from embertide.llm.files import FILE_BYTES, plain, read_files, write_files
 from embertide.session import checked_broadcast
 
 # Fixed values of the two formats.
@@ -182,7 +182,7 @@ FILE_SCHEMA = "name string, content binary"
 
 
 def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Pages as ARC files below ``path``, in turn of version 1 and version 2."""
+    """Pages as gzip ARC files below ``path``, in turn of version 1 and version 2."""
     rows = columns_of(
         pages, ("key", F.col(page_id)), ("url", F.col(url)), ("html", F.col(html).cast("binary")))
 
@@ -196,7 +196,7 @@ def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     def version_of(name):
         return sum(int(n) for n in name.split("-")[1:]) % 2 + 1
 
-    write_files(arrow_map(rows, kernel, FILE_SCHEMA), path)
+    write_files(arrow_map(rows, kernel, FILE_SCHEMA), path, "gzip")
 
 
 ARC_SCHEMA = ("archive string, position long, key string, url string, date string, mime string, "
@@ -210,7 +210,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows, size = [], 0
-                for record in parse_arc(content.as_py()):
+                for record in parse_arc(plain(content.as_py())):
                     if record.fields["URL"].startswith("filedesc:"):
                         continue
                     fields, head, payload = http_parts(record.block)
@@ -283,7 +283,7 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least: int =
         yield from _rolled(batches, make, head, _namer("warc"))
 
     # the writer's newline closes the file, so the last record's end is completed here
-    write_files(arrow_map(planned, kernel, FILE_SCHEMA), warc_path)
+    write_files(arrow_map(planned, kernel, FILE_SCHEMA), warc_path, "gzip")
 
 
 WARC_SCHEMA = ("record_id string, record_type string, date string, url string, key string, payload binary, "
@@ -303,7 +303,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(1):
                 rows, size = [], 0
-                for fields, block in parse_warc(content.as_py()):
+                for fields, block in parse_warc(plain(content.as_py())):
                     kind = fields["warc-type"]
                     if kind == "warcinfo":
                         continue
