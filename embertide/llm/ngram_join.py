@@ -298,7 +298,10 @@ def jaccard_components(
         places.groupBy("bucket").agg(
             F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1"),
         "buckets")
-    shared = stage.put(places.join(buckets.where("nodes > 2").select("bucket", "low"), "bucket"), "members")
+    stage.drop()  # the shuffle of all places goes before they move again
+    shared = stage.put(places.join(
+        checked_broadcast(buckets.where("nodes > 2").select("bucket", "low"), NEEDED_ROWS), "bucket"), "members")
+    stage.drop()
     tested = stage.put(
         buckets.where("nodes = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(
             shared.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))).where("a <> b").distinct(),
