@@ -350,7 +350,7 @@ def test_id_round_trip(spark, rows):
         assert r.id == ((r.ms - scalar.ID_EPOCH_MS) << 23) | (r.m << 13) | (r.k << 8) | r.s
 
 
-@pytest.mark.parametrize("kind,count,fails", [(-1, 1, True), (31, 256, False), (32, 1, True), (1, 257, True)])
+@pytest.mark.parametrize("kind,count,fails", [(-1, 1, True), (31, 256, False), (32, 1, True), (1, 257, False)])
 def test_id_limits(spark, kind, count, fails):
     df = spark.range(count).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     made = scalar.assign_ids(df.withColumnRenamed("id", "n"), "ts", F.lit(1), F.lit(kind), ["n"])
