@@ -21,8 +21,7 @@ from embertide.llm.common import Stage, arrow_map, columns_of, pieces, text_buff
 
 HEAD_WORDS = 1 << 20  # words with a class of their own choice
 CLASSES = 32  # exchanged classes; the open class and the text boundary come on top
-CONTEXTS = 32  # most frequent words that are contexts by themselves in the exchange
-ROUNDS = 4  # of exchange; in each one half of the words may move
+ROUNDS = 6  # of exchange; in each one half of the words may move
 HELD = 2_000_000  # pairs that a task adds up before it hands them on
 LEAST_COUNT = 2  # rarer words stay in the open class, which thus tells how unseen words behave
 SMOOTHING = 50.0  # weight of the class frequencies in the transitions
@@ -172,126 +171,157 @@ def framed(values: np.ndarray, bounds: np.ndarray, mark: int) -> tuple[np.ndarra
     return np.concatenate([[mark], out[:-1]]), out
 
 
-def context_table(texts: DataFrame, contexts: np.ndarray, n_words: int) -> DataFrame:
-    """For every head word, how often each context stands before and after it.
+def neighbour_cells(texts: DataFrame, classes: np.ndarray, n_classes: int) -> DataFrame:
+    """For every head word, how often each class stands before and after it, and how often it follows itself.
 
-    ``contexts`` maps a head word to its context: the most frequent words are contexts by
-    themselves, then come other head words, open words and the text boundary. One row per
-    word with at most two entries per context.
+    One row per word: word, class, cells. Context c is class c before the word, n_classes + 2 + c
+    class c after it, the last one the word itself before it; the open class and the text
+    boundary are contexts like the others.
     """
-    n_contexts = CONTEXTS + 3
-    held = texts.sparkSession.sparkContext.broadcast(contexts)
+    full = n_classes + 2
+    width = 2 * full + 1
+    held = texts.sparkSession.sparkContext.broadcast(classes)
 
     def kernel(batches):
         table, sums = held.value, Sums()
 
         def out():
             code, n = sums.take()
+            word, rest = np.divmod(code, width * n_classes)
+            context, kind = np.divmod(rest, n_classes)
             return pa.RecordBatch.from_arrays([
-                pa.array((code // (2 * n_contexts)).astype(np.int32)),
-                pa.array((code % (2 * n_contexts)).astype(np.int16)), pa.array(n, pa.int64())], ["word", "context", "n"])
+                pa.array(word), pa.array(kind.astype(np.int32)), pa.array(context.astype(np.int16)),
+                pa.array(n, pa.int64())], ["word", "class", "context", "n"])
 
         for _, ids, bounds in token_runs(batches):
-            if not len(ids):
-                continue
-            context = np.where(ids >= 0, table[ids], CONTEXTS + 1)
-            before, after = framed(context, bounds, CONTEXTS + 2)
-            at = np.arange(len(ids)) + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            word, known = ids.astype(np.int64), ids >= 0
-            left = word * (2 * n_contexts) + before[at]
-            right = word * (2 * n_contexts) + n_contexts + after[at + 1]
-            if sums.add(np.concatenate([left[known], right[known]])):
+            row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            known = ids >= 0
+            kinds = np.full(len(ids), n_classes, np.int64)
+            kinds[known] = table[ids[known]]
+            before, after = framed(kinds, bounds, n_classes + 1)
+            at = np.arange(len(ids)) + row
+            word = ids.astype(np.int64) * (width * n_classes) + kinds
+            again = known[1:] & (ids[1:] == ids[:-1]) & (row[1:] == row[:-1])
+            if sums.add(np.concatenate([
+                (word + before[at] * n_classes)[known],
+                (word + (full + after[at + 1]) * n_classes)[known],
+                word[1:][again] + 2 * full * n_classes,
+            ])):
                 yield out()
         yield out()
 
-    pairs = arrow_map(texts.select("ids"), kernel, "word int, context short, n long")
+    pairs = arrow_map(texts.select("ids"), kernel, "word long, class int, context short, n long")
     # tasks have added up already, so the rows move once, by word
-    return pairs.repartition(F.col("word")).groupBy("word", "context").agg(F.sum("n").alias("n")).groupBy("word").agg(
-        F.collect_list(F.struct("context", "n")).alias("cells"))
+    return pairs.repartition(F.col("word")).groupBy("word", "class", "context").agg(F.sum("n").alias("n")).groupBy(
+        "word", "class").agg(F.sort_array(F.collect_list(F.struct("context", "n"))).alias("cells"))
 
 
 def x_log_x(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def exchange(table: DataFrame, classes: np.ndarray, counts: np.ndarray, n_classes: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Move words between classes while that raises the information between class and context.
+def information(follows: np.ndarray) -> float:
+    """sum N(c, d) log N(c, d) - sum N(c) log N(c) - sum N(d) log N(d) over the classes that follow each other."""
+    return float(x_log_x(follows).sum() - x_log_x(follows.sum(axis=0)).sum() - x_log_x(follows.sum(axis=1)).sum())
 
-    The criterion is sum N(context, class) log N(context, class) - 2 sum N(class) log N(class),
-    over the contexts before and after. In a round, half of the words choose their best class
-    against the same counts; the driver holds the class of each head word and the counts by
-    context and class, whose sizes are fixed.
+
+def move_gains(
+    own: np.ndarray, local: np.ndarray, context: np.ndarray, n: np.ndarray, follows: np.ndarray,
+) -> np.ndarray:
+    """What ``information`` gains when a word alone moves from its class ``own`` to each class.
+
+    Cell i says that word ``local[i]`` (ascending) has ``n[i]`` neighbours of ``context[i]``. Cells of
+    classes other than the two of a move change by themselves; the four cells between the two
+    change by both neighbours and by the word's own repetitions, so they are reckoned apart.
     """
-    n_contexts = 2 * (CONTEXTS + 3)
-    spark = table.sparkSession
-    schema = "word int, class int, n long"
-
-    def cells(batch):
-        lists = batch.column(1)
-        flat = lists.flatten()
-        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        local = np.repeat(np.arange(len(size)), size)
-        return (batch.column(0).to_numpy(), local, flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64),
-                flat.field(1).to_numpy(zero_copy_only=False).astype(float))
-
-    def sums_out(sums):
-        used = np.flatnonzero(sums)
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.full(len(used), -1, np.int32)), pa.array(used.astype(np.int32)),
-            pa.array(sums[used].astype(np.int64))], ["word", "class", "n"])
-
-    def run(move: int | None, classes, joint, totals):
-        held = spark.sparkContext.broadcast((classes, joint, totals))
-
-        def kernel(batches):
-            classes, joint, totals = held.value
-            sums = np.zeros(n_contexts * n_classes)
-            base, base_total = x_log_x(joint), x_log_x(totals)
-            for big in batches:
-                for start in range(0, big.num_rows, 2000):
-                    word, local, context, n = cells(big.slice(start, 2000))
-                    own = classes[word].astype(np.int64)
-                    if move is not None and len(n):
-                        gain = x_log_x(joint[context] + n[:, None]) - base[context]
-                        here = own[local]
-                        at = np.arange(len(n))
-                        was = joint[context, here]
-                        gain[at, here] = x_log_x(was) - x_log_x(was - n)
-                        starts = np.flatnonzero(np.concatenate([[True], local[1:] != local[:-1]]))
-                        score = np.add.reduceat(gain, starts, axis=0)
-                        size = np.add.reduceat(n, starts) / 2  # every occurrence has two contexts
-                        cost = 2 * (x_log_x(totals + size[:, None]) - base_total)
-                        rows = np.arange(len(word))
-                        cost[rows, own] = 2 * (x_log_x(totals[own]) - x_log_x(totals[own] - size))
-                        score -= cost
-                        best = score.argmax(axis=1)
-                        moves = (word % 2 == move) & (score[rows, best] > score[rows, own] + 1e-6)
-                        own = np.where(moves, best, own)
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(word[moves], pa.int32()), pa.array(own[moves].astype(np.int32)),
-                            pa.array(np.zeros(int(moves.sum()), np.int64))], ["word", "class", "n"])
-                    sums += np.bincount(context * n_classes + own[local], weights=n, minlength=len(sums))
-            yield sums_out(sums)
-
-        out = arrow_map(table, kernel, schema)
-        out = out.groupBy("word", "class").agg(F.sum("n").alias("n"))
-        return out.toArrow()
-
-    joint = np.zeros((n_contexts, n_classes))
-    totals = np.bincount(classes, weights=counts, minlength=n_classes)[:n_classes]
-    for step in range(-1, rounds):
-        found = run(None if step < 0 else step % 2, classes, joint, totals)
-        word, kind, n = (found.column(i).to_numpy() for i in range(3))
-        moved = word >= 0
-        classes = classes.copy()
-        classes[word[moved]] = kind[moved]
-        joint = np.zeros(n_contexts * n_classes)
-        joint[kind[~moved]] = n[~moved]
-        joint = joint.reshape(n_contexts, n_classes)
-        totals = np.bincount(classes, weights=counts, minlength=n_classes)[:n_classes]
-        if step >= 1 and not moved.any():
+    full = len(follows)
+    kinds = full - 2
+    rows = np.arange(len(own))
+    left, right, self_ = (np.zeros((len(own), full)), np.zeros((len(own), full)), np.zeros(len(own)))
+    before, after = context < full, (context >= full) & (context < 2 * full)
+    left[local[before], context[before]] = n[before]
+    right[local[after], context[after] - full] = n[after]
+    self_[local[context == 2 * full]] = n[context == 2 * full]
+    side = context < 2 * full
+    local, context, n = local[side], context[side], n[side]
+    sides = np.concatenate([follows[:, :kinds], follows[:kinds].T])
+    other, home = context % full, own[local]
+    was = sides[context, home]
+    gone = x_log_x(was - n) - x_log_x(was)
+    gain = x_log_x(sides[context] + n[:, None]) - x_log_x(sides)[context]
+    gone[other == home] = 0
+    gain[other == home] = 0
+    inner = np.flatnonzero(other < kinds)
+    gain[inner, other[inner]] = -gone[inner]
+    starts = np.searchsorted(local, rows)
+    score = np.add.reduceat(gain, starts, axis=0) + np.add.reduceat(gone, starts)[:, None]
+    ll, rr, again = left[rows, own][:, None], right[rows, own][:, None], self_[:, None]
+    to, back = left[:, :kinds], right[:, :kinds]
+    inside = follows[:kinds, :kinds]
+    for old, change in (
+        (inside[own, own][:, None], again - ll - rr), (inside[own], ll - again - back),
+        (inside[:, own].T, rr - again - to), (inside.diagonal()[None, :], to + back + again),
+    ):
+        score += x_log_x(np.maximum(old + change, 0)) - x_log_x(old)
+    size = left.sum(axis=1)
+    totals = follows[:, :kinds].sum(axis=0)
+    score -= 2 * (x_log_x(totals + size[:, None]) - x_log_x(totals))
+    score -= 2 * (x_log_x(totals[own] - size) - x_log_x(totals[own]))[:, None]
+    score[rows, own] = 0
+    return score
+
+
+def moves(cells: DataFrame, follows: np.ndarray, turn: int) -> DataFrame:
+    """word, class: the words of this turn (odd or even) that raise the information by a move, and where to."""
+    held = cells.sparkSession.sparkContext.broadcast(follows)
+
+    def kernel(batches):
+        follows = held.value
+        for big in batches:
+            word = big.column(0).to_numpy()
+            mine = big.filter(pa.array(word % 2 == turn))
+            for start in range(0, mine.num_rows, 500):
+                part = mine.slice(start, 500)
+                lists = part.column(2)
+                flat = lists.flatten()
+                local = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                gain = move_gains(
+                    part.column(1).to_numpy().astype(np.int64), local,
+                    flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64),
+                    flat.field(1).to_numpy(zero_copy_only=False).astype(float), follows)
+                best = gain.argmax(axis=1)
+                move = np.flatnonzero(gain[np.arange(len(best)), best] > 1e-6)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(move)), pa.array(best[move].astype(np.int32))], ["word", "class"])
+
+    return arrow_map(cells, kernel, "word long, class int")
+
+
+def exchange(
+    texts: DataFrame, classes: np.ndarray, n_classes: int, rounds: int | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Move words between classes while that raises the information between neighbouring classes.
+
+    That is Brown clustering's criterion (``information``), over the classes of both neighbours as
+    they are in the round. In a round half of the words choose their best class against the same
+    counts; a round that lowers the information as a whole is taken back and ends the exchange.
+    Gives the classes and how often each follows each.
+    """
+    best, idle = None, 0
+    rounds = ROUNDS if rounds is None else rounds
+    for step in range(rounds + 1):
+        follows = transition_counts(texts, classes, n_classes)
+        value = information(follows)
+        if best is not None and value < best[0]:
+            break
+        best = value, classes, follows
+        if step == rounds or idle == 2:
             break
-    return classes
+        found = moves(neighbour_cells(texts, classes, n_classes), follows, step % 2).toArrow()
+        idle = 0 if found.num_rows else idle + 1
+        classes = classes.copy()
+        classes[found.column("word").to_numpy()] = found.column("class").to_numpy()
+    return best[1:]
 
 
 def transition_counts(texts: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
@@ -336,10 +366,9 @@ def train(
     ends = learned.count()
     classes = (rank % n_classes).astype(np.int16)
     if len(words):
-        table = stage.put(context_table(learned, np.minimum(rank, CONTEXTS), len(words)), "contexts")
-        classes = exchange(table, classes, n.astype(float), n_classes)
-        stage.drop("contexts")
-    follows = transition_counts(learned, classes, n_classes)
+        classes, follows = exchange(learned, classes, n_classes)
+    else:
+        follows = transition_counts(learned, classes, n_classes)
     n_tokens, distinct = int(totals[0]) + ends, int(totals[1]) + (1 if ends else 0)
     frequency = (follows.sum(axis=0) + 1) / (follows.sum() + n_classes + 2)
     transitions = (follows + SMOOTHING * frequency) / (follows.sum(axis=1, keepdims=True) + SMOOTHING)
