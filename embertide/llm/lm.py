@@ -2,10 +2,11 @@
 
     log P(text) = sum over tokens of log P(class | class before) + log P(word | class)
 
-Word counts cover all training texts and stay a distributed table. The most frequent
-words (at most ``HEAD_WORDS``, so that hash, count and class of each fit a broadcast of
-about 20 MB) are clustered; all others share one open class, in which each keeps its
-exact count, looked up by a join.
+Word counts cover all training texts and stay a distributed table. Every word that occurs
+``LEAST_COUNT`` times or more is clustered. Hash, count and class of the most frequent ones
+(at most ``HEAD_WORDS``, a broadcast of about 20 MB) are held by every task; those of all others
+stay a staged table and meet the texts by joins. Where that line falls does not change
+the model. Rarer words share one open class, in which each keeps its exact count.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from embertide.llm.common import Stage, arrow_map, columns_of, pieces, text_buffer, word_hashes
+from embertide.llm.common import Stage, arrow_map, columns_of, numbered, pieces, text_buffer, word_hashes
 
-HEAD_WORDS = 1 << 20  # words with a class of their own choice
+HEAD_WORDS = 1 << 20  # words whose class is broadcast; those of further words are joined
 CLASSES = 32  # exchanged classes; the open class and the text boundary come on top
 ROUNDS = 6  # of exchange; in each one half of the words may move
 HELD = 2_000_000  # pairs that a task adds up before it hands them on
@@ -92,24 +93,28 @@ def head_threshold(counts: DataFrame, most: int) -> int:
 
 @dataclass
 class ClassModel:
-    words: np.ndarray  # hashes of the head words, ascending
+    words: np.ndarray  # hashes of the head words, ascending; word i has the id 2 i + its turn
     counts: np.ndarray
     classes: np.ndarray
+    turns: np.ndarray
     transitions: np.ndarray  # log10, from class to class; open class and boundary last
     emissions: np.ndarray  # log10 of each head word in its class
     train_tokens: int
     distinct: int
     ends: int  # end tokens of the training texts
     open_total: int  # tokens of the open class in training, and its words, and one for unseen words
-    tail: DataFrame | None = None
+    class_total: np.ndarray  # tokens of each class
+    tail: DataFrame | None = None  # word, n, class: the words outside the head; class is null for open words
+    kinds: DataFrame | None = None  # rid, tail: classes of such words by text, see tail_kinds
 
     def __getstate__(self):
-        return {**self.__dict__, "tail": None}
+        return {**self.__dict__, "tail": None, "kinds": None}
 
 
 def indexed_texts(docs: DataFrame, words, doc_id: str, text: str, extra: dict[str, Column]) -> DataFrame:
-    """Each text as head word indices (int32, -1 for others), with the other words and their counts.
+    """Each text as head word indices (int32), with the other words and their counts.
 
+    The k-th of the other words of a text, from 0, has the index -1 - k.
     Written once; what follows reads these instead of the texts.
     """
     rows = columns_of(
@@ -130,13 +135,16 @@ def indexed_texts(docs: DataFrame, words, doc_id: str, text: str, extra: dict[st
             found[inside] = words[place[inside]] == distinct[inside]
             index = np.where(found, place, -1).astype("<i4")[inverse]
             ends = np.cumsum(np.bincount(row, minlength=batch.num_rows))
-            data = index.tobytes()
             other = np.flatnonzero(index < 0)
             pair = np.lexsort((hashes[other], row[other]))
             h, r = hashes[other][pair], row[other][pair]
             first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])])) if len(h) else []
             n = np.diff(np.append(first, len(h))).astype(np.int32)
             bounds = np.searchsorted(r[first] if len(h) else r, np.arange(batch.num_rows + 1)).astype(np.int32)
+            if len(h):
+                nth = np.cumsum(np.bincount(first, minlength=len(h))) - 1
+                index[other[pair]] = -1 - (nth - bounds[r])
+            data = index.tobytes()
             starts = np.concatenate([[0], ends[:-1]])
             yield pa.RecordBatch.from_arrays([
                 *[batch.column(batch.schema.get_field_index(c)) for c in names],
@@ -163,6 +171,39 @@ def token_runs(batches, column: str = "ids", limit: int = 1_000_000):
             start = stop
 
 
+def kinds_of(part, ids: np.ndarray, bounds: np.ndarray, classes: np.ndarray, turns: np.ndarray, open_class: int):
+    """Id of every token's word, -1 for open words, and its class; ``tail`` has those of words outside the head."""
+    words, kinds = np.full(len(ids), -1, np.int64), np.full(len(ids), open_class, np.int64)
+    known = ids >= 0
+    words[known] = 2 * ids[known].astype(np.int64) + turns[ids[known]]
+    kinds[known] = classes[ids[known]]
+    at = part.schema.get_field_index("tail")
+    if at >= 0:
+        lists = part.column(at)
+        held = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        # a text has no more other words than tokens, so that each has a slot of its own
+        slots, slot_kinds = np.full(len(ids), -1, np.int64), np.full(len(ids), open_class, np.int64)
+        slot = bounds[row] + held.field(0).to_numpy(zero_copy_only=False)
+        slots[slot] = held.field(1).to_numpy(zero_copy_only=False)
+        slot_kinds[slot] = held.field(2).to_numpy(zero_copy_only=False)
+        other = np.flatnonzero(~known)
+        slot = bounds[np.searchsorted(bounds, other, side="right") - 1] - 1 - ids[other]
+        words[other], kinds[other] = slots[slot], slot_kinds[slot]
+    return words, kinds
+
+
+def with_kinds(texts: DataFrame, kinds: DataFrame | None, *columns: str) -> DataFrame:
+    if kinds is None:
+        return texts.select(*columns, "ids")
+    return texts.select("rid", *[c for c in columns if c != "rid"], "ids").join(kinds, "rid", "left")
+
+
+def tail_kinds(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """rid, tail: of each text, (k, id, class) of its other words that have a class."""
+    return pairs.join(classes, "id").groupBy("rid").agg(F.collect_list(F.struct("k", "id", "class")).alias("tail"))
+
+
 def framed(values: np.ndarray, bounds: np.ndarray, mark: int) -> tuple[np.ndarray, np.ndarray]:
     """Values with ``mark`` after every text: (value before, value) over words and ends."""
     n = len(bounds) - 1
@@ -171,19 +212,19 @@ def framed(values: np.ndarray, bounds: np.ndarray, mark: int) -> tuple[np.ndarra
     return np.concatenate([[mark], out[:-1]]), out
 
 
-def neighbour_cells(texts: DataFrame, classes: np.ndarray, n_classes: int) -> DataFrame:
-    """For every head word, how often each class stands before and after it, and how often it follows itself.
+def neighbour_cells(texts: DataFrame, classes: np.ndarray, turns: np.ndarray, n_classes: int) -> DataFrame:
+    """For every classed word, how often each class stands before and after it, and how often it follows itself.
 
-    One row per word: word, class, cells. Context c is class c before the word, n_classes + 2 + c
-    class c after it, the last one the word itself before it; the open class and the text
-    boundary are contexts like the others.
+    ``texts`` as of ``with_kinds``. One row per word: id, class, cells. Context c is class c before the
+    word, n_classes + 2 + c class c after it, the last one the word itself before it; the open
+    class and the text boundary are contexts like the others.
     """
     full = n_classes + 2
     width = 2 * full + 1
-    held = texts.sparkSession.sparkContext.broadcast(classes)
+    held = texts.sparkSession.sparkContext.broadcast((classes, turns))
 
     def kernel(batches):
-        table, sums = held.value, Sums()
+        sums = Sums()
 
         def out():
             code, n = sums.take()
@@ -191,29 +232,28 @@ def neighbour_cells(texts: DataFrame, classes: np.ndarray, n_classes: int) -> Da
             context, kind = np.divmod(rest, n_classes)
             return pa.RecordBatch.from_arrays([
                 pa.array(word), pa.array(kind.astype(np.int32)), pa.array(context.astype(np.int16)),
-                pa.array(n, pa.int64())], ["word", "class", "context", "n"])
+                pa.array(n, pa.int64())], ["id", "class", "context", "n"])
 
-        for _, ids, bounds in token_runs(batches):
+        for part, ids, bounds in token_runs(batches):
             row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            known = ids >= 0
-            kinds = np.full(len(ids), n_classes, np.int64)
-            kinds[known] = table[ids[known]]
+            words, kinds = kinds_of(part, ids, bounds, *held.value, n_classes)
+            known = words >= 0
             before, after = framed(kinds, bounds, n_classes + 1)
             at = np.arange(len(ids)) + row
-            word = ids.astype(np.int64) * (width * n_classes) + kinds
-            again = known[1:] & (ids[1:] == ids[:-1]) & (row[1:] == row[:-1])
+            code = words * (width * n_classes) + kinds
+            again = known[1:] & (words[1:] == words[:-1]) & (row[1:] == row[:-1])
             if sums.add(np.concatenate([
-                (word + before[at] * n_classes)[known],
-                (word + (full + after[at + 1]) * n_classes)[known],
-                word[1:][again] + 2 * full * n_classes,
+                (code + before[at] * n_classes)[known],
+                (code + (full + after[at + 1]) * n_classes)[known],
+                code[1:][again] + 2 * full * n_classes,
             ])):
                 yield out()
         yield out()
 
-    pairs = arrow_map(texts.select("ids"), kernel, "word long, class int, context short, n long")
+    pairs = arrow_map(texts, kernel, "id long, class int, context short, n long")
     # tasks have added up already, so the rows move once, by word
-    return pairs.repartition(F.col("word")).groupBy("word", "class", "context").agg(F.sum("n").alias("n")).groupBy(
-        "word", "class").agg(F.sort_array(F.collect_list(F.struct("context", "n"))).alias("cells"))
+    return pairs.repartition(F.col("id")).groupBy("id", "class", "context").agg(F.sum("n").alias("n")).groupBy(
+        "id", "class").agg(F.sort_array(F.collect_list(F.struct("context", "n"))).alias("cells"))
 
 
 def x_log_x(x: np.ndarray) -> np.ndarray:
@@ -272,7 +312,7 @@ def move_gains(
 
 
 def moves(cells: DataFrame, follows: np.ndarray, turn: int) -> DataFrame:
-    """word, class: the words of this turn (odd or even) that raise the information by a move, and where to."""
+    """id, class: the words of this turn (odd or even) that raise the information by a move, and where to."""
     held = cells.sparkSession.sparkContext.broadcast(follows)
 
     def kernel(batches):
@@ -292,53 +332,69 @@ def moves(cells: DataFrame, follows: np.ndarray, turn: int) -> DataFrame:
                 best = gain.argmax(axis=1)
                 move = np.flatnonzero(gain[np.arange(len(best)), best] > 1e-6)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(move)), pa.array(best[move].astype(np.int32))], ["word", "class"])
+                    [part.column(0).take(pa.array(move)), pa.array(best[move].astype(np.int32))], ["id", "class"])
 
-    return arrow_map(cells, kernel, "word long, class int")
+    return arrow_map(cells, kernel, "id long, class int")
 
 
 def exchange(
-    texts: DataFrame, classes: np.ndarray, n_classes: int, rounds: int | None = None,
-) -> tuple[np.ndarray, np.ndarray]:
+    texts: DataFrame, classes: np.ndarray, turns: np.ndarray, pairs: DataFrame | None, tail: DataFrame | None,
+    n_classes: int, stage: Stage, rounds: int | None = None,
+) -> tuple[np.ndarray, np.ndarray, DataFrame | None, DataFrame | None]:
     """Move words between classes while that raises the information between neighbouring classes.
 
     That is Brown clustering's criterion (``information``), over the classes of both neighbours as
     they are in the round. In a round half of the words choose their best class against the same
     counts; a round that lowers the information as a whole is taken back and ends the exchange.
-    Gives the classes and how often each follows each.
+    ``classes`` and ``turns`` are of the head words; ``pairs`` (rid, k, id: the classed words outside
+    the head that a text holds) and ``tail`` (id, class) are staged tables, or None without such
+    words. Gives the classes, how often each follows each, ``tail`` and ``tail_kinds``.
     """
-    best, idle = None, 0
     rounds = ROUNDS if rounds is None else rounds
+    best, idle, kinds = None, 0, None
     for step in range(rounds + 1):
-        follows = transition_counts(texts, classes, n_classes)
+        if pairs is not None:
+            kinds = stage.put(tail_kinds(pairs, tail), f"kinds-{step}")
+        read = with_kinds(texts, kinds)
+        follows = transition_counts(read, classes, turns, n_classes)
         value = information(follows)
         if best is not None and value < best[0]:
             break
-        best = value, classes, follows
+        best = value, classes, follows, tail, kinds
+        if pairs is not None:
+            stage.drop(f"moves-{step - 1}", f"kinds-{step - 1}", f"tail-{step - 1}")
         if step == rounds or idle == 2:
             break
-        found = moves(neighbour_cells(texts, classes, n_classes), follows, step % 2).toArrow()
-        idle = 0 if found.num_rows else idle + 1
+        found = moves(neighbour_cells(read, classes, turns, n_classes), follows, step % 2)
+        moved = 0
+        if pairs is not None:
+            found = stage.put(found, f"moves-{step}")
+            outside = found.where(F.col("id") >= 2 * len(classes))
+            moved = outside.count()
+            tail = stage.put(tail.join(outside.withColumnRenamed("class", "to"), "id", "left").select(
+                "id", F.coalesce("to", "class").alias("class")), f"tail-{step + 1}")
+        own = found.where(F.col("id") < 2 * len(classes)).toArrow()
+        idle = 0 if moved or own.num_rows else idle + 1
         classes = classes.copy()
-        classes[found.column("word").to_numpy()] = found.column("class").to_numpy()
+        classes[own.column("id").to_numpy() // 2] = own.column("class").to_numpy()
     return best[1:]
 
 
-def transition_counts(texts: DataFrame, classes: np.ndarray, n_classes: int) -> np.ndarray:
+def transition_counts(texts: DataFrame, classes: np.ndarray, turns: np.ndarray, n_classes: int) -> np.ndarray:
     """How often each class follows each class; the open class and the text boundary come last."""
     full = n_classes + 2
-    held = texts.sparkSession.sparkContext.broadcast(classes)
+    held = texts.sparkSession.sparkContext.broadcast((classes, turns))
 
     def kernel(batches):
-        classes, sums = held.value, np.zeros(full * full, np.int64)
-        for _, ids, bounds in token_runs(batches):
-            kinds = np.where(ids >= 0, classes[ids], n_classes) if len(classes) else np.full(len(ids), n_classes)
+        sums = np.zeros(full * full, np.int64)
+        for part, ids, bounds in token_runs(batches):
+            _, kinds = kinds_of(part, ids, bounds, *held.value, n_classes)
             before, at = framed(kinds, bounds, n_classes + 1)
             sums += np.bincount(before * full + at, minlength=full * full)
         used = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(sums[used])], ["cell", "n"])
 
-    sums = arrow_map(texts.select("ids"), kernel, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = arrow_map(texts, kernel, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros(full * full)
     for r in sums.collect():
         out[r["cell"]] = r["n"]
@@ -360,23 +416,38 @@ def train(
     order = np.argsort(words)
     words, n = words[order], n[order]
     texts = stage.put(indexed_texts(docs, words, doc_id, text, {"learn": learn}), "indexed")
-    rank = np.empty(len(n), np.int64)
-    rank[np.lexsort((words, -n))] = np.arange(len(n))
     learned = texts.where("learn")
     ends = learned.count()
+    rank = np.empty(len(n), np.int64)
+    rank[np.lexsort((words.view(np.int64), -n))] = np.arange(len(n))
     classes = (rank % n_classes).astype(np.int16)
-    if len(words):
-        classes, follows = exchange(learned, classes, n_classes)
-    else:
-        follows = transition_counts(learned, classes, n_classes)
+    turns = ((words >> np.uint64(40)) & np.uint64(1)).astype(np.uint8)
+    pairs = tail = None
+    below = counts.where(F.col("n") < threshold)
+    if threshold > LEAST_COUNT and below.where(F.col("n") >= LEAST_COUNT).limit(1).count():
+        turn = F.shiftright("word", 40).bitwiseAND(1)
+        ids = stage.put(numbered(
+            below.where(F.col("n") >= LEAST_COUNT).withColumn("less", -F.col("n")), stage, ["less", "word"],
+            label="tail-order").select(
+            "word", "n", (2 * (F.col("_slot") + len(words)) + turn).alias("id")), "tail-ids")
+        tail = stage.put(ids.select("id", (F.shiftright("id", 1) % n_classes).cast("int").alias("class")), "tail-0")
+        pairs = stage.put(texts.select("rid", F.posexplode("others").alias("k", "word")).join(ids, "word").select(
+            "rid", "k", "id"), "pairs")
+    classes, follows, tail, kinds = exchange(learned, classes, turns, pairs, tail, n_classes, stage)
     n_tokens, distinct = int(totals[0]) + ends, int(totals[1]) + (1 if ends else 0)
     frequency = (follows.sum(axis=0) + 1) / (follows.sum() + n_classes + 2)
     transitions = (follows + SMOOTHING * frequency) / (follows.sum(axis=1, keepdims=True) + SMOOTHING)
-    class_total = np.bincount(classes, weights=n, minlength=n_classes)
+    class_total = follows[:, :n_classes].sum(axis=0)
+    below = below.withColumn("class", F.lit(None).cast("int"))
+    open_tokens = int(follows[:, n_classes].sum())
     open_words = int(totals[1]) - len(words)
+    if tail is not None:
+        below = stage.put(below.where(F.col("n") < LEAST_COUNT).unionByName(
+            ids.join(tail, "id").select("word", "n", "class")), "tail-words")
+        open_words -= ids.count()
     model = ClassModel(
-        words, n, classes, np.log10(transitions), np.log10(n / class_total[classes]), n_tokens, distinct, ends,
-        int(totals[0]) - int(n.sum()) + open_words + 1, counts.where(F.col("n") < threshold))
+        words, n, classes, turns, np.log10(transitions), np.log10(n / class_total[classes]), n_tokens, distinct, ends,
+        open_tokens + open_words + 1, class_total, below, kinds)
     return model, texts
 
 
@@ -397,8 +468,7 @@ def score(texts: DataFrame, model: ClassModel, stage: Stage) -> DataFrame:
             n = part.num_rows
             known = ids >= 0
             row = np.repeat(np.arange(n), np.diff(bounds))
-            kinds = np.full(len(ids), n_classes)
-            kinds[known] = model.classes[ids[known]]
+            _, kinds = kinds_of(part, ids, bounds, model.classes, model.turns, n_classes)
             before, at = framed(kinds, bounds, n_classes + 1)
             every = np.concatenate([row, np.arange(n)])
             steps = model.transitions[before, at]
@@ -406,7 +476,7 @@ def score(texts: DataFrame, model: ClassModel, stage: Stage) -> DataFrame:
             ends_at = bounds[1:] + np.arange(n)
             total = np.bincount(every, weights=np.concatenate([steps[words_at], steps[ends_at]]), minlength=n)
             total += np.bincount(row[known], weights=model.emissions[ids[known]], minlength=n)
-            base = np.bincount(row[known], weights=log_count[ids[known]], minlength=n)
+            base = np.bincount(row[known], weights=log_count[ids[known]], minlength=n).astype(float)
             yield pa.RecordBatch.from_arrays([
                 *[part.column(part.schema.get_field_index(c)) for c in ("rid", "doc_id", "learn")],
                 pa.array(np.diff(bounds) + 1), pa.array(np.bincount(row[known], minlength=n)),
@@ -415,12 +485,19 @@ def score(texts: DataFrame, model: ClassModel, stage: Stage) -> DataFrame:
 
     schema = (f"rid long, doc_id {key}, learn boolean, n_tokens long, known long, others long, "
               "base double, total double")
-    scored = arrow_map(texts.select("rid", "doc_id", "learn", "ids"), kernel, schema)
+    scored = arrow_map(with_kinds(texts, model.kinds, "rid", "doc_id", "learn"), kernel, schema)
     other = texts.select("rid", F.explode(F.arrays_zip("others", "others_n")).alias("w")).select(
         "rid", F.col("w.others").alias("word"), F.col("w.others_n").alias("times"))
+    times, count = F.col("times"), F.col("n")
+    open_log = float(np.log10(model.open_total))
+    class_log = F.element_at(
+        F.array(*[F.lit(float(x)) for x in np.log10(np.maximum(model.class_total, 1))]), F.col("class") + 1)
     looked_up = other.join(model.tail, "word").groupBy("rid").agg(
         F.sum("times").alias("tail_known"),
-        F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("tail_log"))
+        F.sum(times * F.log10(count + 1.0)).alias("tail_log"),
+        # what a known word's emission has over that of an unseen one, 1 / open_total
+        F.sum(times * F.when(F.col("class").isNull(), F.log10(count + 1.0)).otherwise(
+            F.log10(count.cast("double")) - class_log + open_log)).alias("tail_emission"))
     none = F.lit(0)
     ends_log = float(np.log10(model.ends + 1.0))
     norm = float(np.log10(model.train_tokens + model.distinct + 1))
@@ -429,7 +506,7 @@ def score(texts: DataFrame, model: ClassModel, stage: Stage) -> DataFrame:
         "doc_id", "learn", "n_tokens",
         (F.col("known") + F.coalesce("tail_known", none) + F.lit(1 if model.ends else 0)).alias("n_known"),
         (F.col("base") + tail_log + F.lit(ends_log) - F.col("n_tokens") * norm).alias("base_score"),
-        (F.col("total") + tail_log - F.col("others") * float(np.log10(model.open_total))).alias("score"),
+        (F.col("total") + F.coalesce("tail_emission", F.lit(0.0)) - F.col("others") * open_log).alias("score"),
     )
 
 

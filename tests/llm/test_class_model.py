@@ -63,16 +63,15 @@ def corpus(spark):
 
 def test_words_are_told_apart_by_content_words(spark, corpus):
     """Words that differ only in which rarer words stand beside them are in different classes."""
-    model, _ = lm.train(corpus, F.lit(True), Stage(spark), n_classes=3)
+    model, _ = lm.train(corpus, F.lit(True), Stage(spark), n_classes=8)
     words = Counter(w for text in alternating() for w in text.split())
     hashes = {int(h): k for k, h in enumerate(model.words)}
     side = {"p": Counter(), "q": Counter()}
     for word in words:
         if word[0] in side:
             side[word[0]][int(model.classes[hashes[hash_of(word)]])] += 1
-    (p, most_p), (q, most_q) = (side[s].most_common(1)[0] for s in "pq")
-    assert p != q
-    assert most_p >= 58 and most_q >= 58
+    # with few classes one start may end in a local optimum that parts the common words instead
+    assert not side["p"].keys() & side["q"].keys(), side
 
 
 def hash_of(word):
@@ -80,3 +79,16 @@ def hash_of(word):
 
     raw = np.frombuffer(word.encode(), np.uint8)
     return int(word_hashes(raw, np.array([0, len(raw)]))[0][0])
+
+
+@pytest.mark.parametrize("head_words", [0, 30])
+def test_words_beyond_the_broadcast_have_classes(spark, corpus, head_words):
+    """Where the line between broadcast and joined words falls changes no class and no score."""
+    held = F.col("doc_id") % 5 != 0
+    whole, fewer = ({r.doc_id: r for r in lm.class_scores(corpus, held, **settings).collect()}
+                    for settings in ({}, {"head_words": head_words}))
+    assert whole.keys() == fewer.keys()
+    for k, r in whole.items():
+        assert fewer[k].n_known == r.n_known
+        assert fewer[k].score == pytest.approx(r.score, rel=1e-9)
+        assert fewer[k].base_score == pytest.approx(r.base_score, rel=1e-9)
