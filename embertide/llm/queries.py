@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embertide.llm import (
-    decontaminate, langid, lm, mixing, ngram_join, sharding, suffixes, tokens, vector_join, warc,
+    bpe, centroids, decontaminate, langid, lm, mixing, ngram_join, sharding, suffixes, tokens, vector_join,
+    warc,
 )
 from embertide.session import configure
 
@@ -110,3 +111,44 @@ def _(docs):
     return sharding.minimax_shards(docs, 24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op12_bpe_round_trip", "documents")
+def _(docs):
+    path = tokenizer_path()
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return bpe.decode(bpe.encode(docs, path), path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_sql(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
+    """The same clustering in SQL, one step a round."""
+    nearest = """SELECT id, x, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+      SELECT v.id, v.x, m.c, list_sum(list_transform(list_zip(v.x, m.m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::HUGEINT AS d
+      FROM v CROSS JOIN {m} m) GROUP BY id, x"""
+    steps = [f"""v AS MATERIALIZED (
+      SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda e: floor(e::DOUBLE * 1024)::HUGEINT) AS x
+      FROM embeddings WHERE len(embedding) = {dim}
+      AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dim}
+    ), m0 AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY h) - 1 AS c, x AS m
+      FROM (SELECT x, sha256('3:' || vec_id) AS h FROM v ORDER BY h LIMIT {k})
+    )"""]
+    for r in range(rounds):
+        steps.append(f"""a{r} AS MATERIALIZED ({nearest.format(m=f"m{r}")}), m{r + 1} AS MATERIALIZED (
+      SELECT o.c, coalesce(n.m, o.m) AS m FROM m{r} o LEFT JOIN (
+        SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM (
+          SELECT c, i, sum(e)::HUGEINT AS s, count(*)::HUGEINT AS n
+          FROM (SELECT c, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY c, i) GROUP BY c) n
+      ON n.c = o.c)""")
+    steps.append(f"z AS MATERIALIZED ({nearest.format(m=f'm{rounds}')})")
+    return "WITH " + ", ".join(steps) + f"""
+    SELECT v.vec_id, z.c::INT AS cluster, z.d::BIGINT AS distance, sum(z.d) OVER (PARTITION BY z.c)::BIGINT AS cluster_inertia,
+      sum(z.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m.m, ',')) AS centroid_sha256
+    FROM z JOIN v ON v.id = z.id JOIN m{rounds} m ON m.c = z.c"""
+
+
+@query("op13_hilbert_centroids", "embeddings", op13_sql())
+def _(vectors):
+    return centroids.cluster(vectors)
