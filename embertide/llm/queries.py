@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embertide.llm import (
-    bpe, centroids, decontaminate, langid, lm, mixing, ngram_join, sharding, suffixes, tokens, vector_join,
+    bpe, centroids, decontaminate, langid, lm, mixing, ngram_join, sharding, spelling, suffixes, tokens, vector_join,
     warc,
 )
 from embertide.session import configure
@@ -113,6 +113,11 @@ def _(docs):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op11_spelling_variants", "documents")
+def _(docs):
+    return spelling.variants(docs)
+
+
 @query("op12_bpe_round_trip", "documents")
 def _(docs):
     path = tokenizer_path()
