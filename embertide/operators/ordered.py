@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from embertide.functions.scalar import micros
+from embertide.operators.bands import chain_before_slices
 from embertide.session import checked_broadcast, cut
 
 TARGET_ROWS = 5_000_000
+SHAPE = ("_slice_us", "_rows", "_target")  # of a large key: slice width, rows, rows wanted in a task
+FEW_WINDOWS = 64  # slices of fewer windows tell little from the rows before them; see ``bands``
 AUTO = "auto"  # look for large keys; pass hot_slices() of a cheaper frame, or None, to skip that
 Slices = DataFrame | str | None
 SLICE, US, NO_STATE = "_slice", "_us", None
@@ -44,30 +47,29 @@ def hot_slices(
     target_rows: int = TARGET_ROWS,
     slot_seconds: int = 1,
 ) -> DataFrame | None:
-    """Slice width per large key, or None when no key is large.
+    """Slice width and rows per large key, or None when no key is large.
 
     The width is chosen from the key's densest slot, so no slice exceeds
     ``target_rows`` unless one single slot does. At most total / target_rows
     keys can be large. Pass a cheap frame (keys and time only are read).
     """
     keys = list(keys)
-    if df.count() <= target_rows:
-        return None
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = counted.where(F.col("_n") > target_rows).select(*keys)
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    large = cut(counted.where(F.col("_rows") > target_rows))
     if large.isEmpty():
         return None
-    large = cut(large)
     slot_us = slot_seconds * 1_000_000
     dense = (
-        null_safe(df.select(*keys, ts), checked_broadcast(large), keys, "left_semi")
+        null_safe(df.select(*keys, ts), checked_broadcast(large.select(*keys)), keys, "left_semi")
         .groupBy(*keys, F.floor(micros(F.col(ts)) / F.lit(slot_us)).alias("_slot"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .groupBy(*keys)
-        .agg(F.max("_n").alias("_n"))
+        .agg(F.max("_n").alias("_n"), F.sum("_n").alias("_rows"))
     )
     slots = F.greatest(F.lit(1), F.floor(F.lit(target_rows) / F.col("_n")))
-    return cut(dense.select(*keys, (slots * slot_us).cast("long").alias("_slice_us")))
+    return cut(dense.select(
+        *keys, (slots * slot_us).cast("long").alias("_slice_us"), "_rows",
+        F.lit(target_rows).cast("long").alias("_target")))
 
 
 def resolve(slices: Slices, df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame | None:
@@ -81,7 +83,7 @@ def with_slice(df: DataFrame, keys: Sequence[str], ts: str, slices: DataFrame |
     sliced = null_safe(df, checked_broadcast(slices), keys, "left")
     return sliced.withColumn(
         SLICE, F.floor(micros(F.col(ts)) / F.col("_slice_us")).cast("long")
-    ).drop("_slice_us")
+    ).drop(*SHAPE)
 
 
 def lag_by(
@@ -224,7 +226,7 @@ def _fold(df, keys, ts, tie, windows, slices, before=None, carry=None, keep_all=
     if slices is None:
         shuffled = prepared.withColumn("_in", F.lit(None).cast("string")).repartition(*keys)
     else:
-        states = _entry_states(prepared, keys, tie, widths[0], entries[0])
+        states = _entry_states(prepared, keys, tie, widths[0], entries[0], slices, windows[0], carry)
         shuffled = (
             null_safe(prepared.withColumnRenamed(entries[0], "_before"), states, group, "left")
             .withColumn(entries[0], F.coalesce(entries[0], "_before"))
@@ -253,12 +255,49 @@ def _fold(df, keys, ts, tie, windows, slices, before=None, carry=None, keep_all=
     return ordered.mapInArrow(run, schema)
 
 
-def _entry_states(prepared, keys, tie, width, entry):
-    """State entering each slice of the sliced keys: (keys, slice, ``entry``, _in)."""
+def _entry_states(prepared, keys, tie, width, entry, slices, window, carry):
+    """State entering each slice of the sliced keys: (keys, slice, ``entry``, _in).
+
+    Where a slice spans many windows, its effect on any state is a small step function. Where it spans
+    few or only a part of one, that would be as large as the slice, so the key is read in bands instead.
+    """
+    sliced = prepared.where(F.col(SLICE).isNotNull())
+    if isinstance(window, Column):
+        widest = sliced.groupBy(*keys).agg(F.max(width).alias("_w"))
+        shapes = cut(null_safe(slices, widest, keys, "inner"))
+    else:
+        shapes = slices.withColumn("_w", F.lit(int(float(window) * 1e6)).cast("long"))
+    banded = (F.col("_w") > 0) & (F.col("_slice_us") < FEW_WINDOWS * F.col("_w"))
+    found = shapes.agg(F.count_if(banded), F.count_if(~banded), F.sum(F.when(banded, F.col("_rows"))),
+                       F.max("_target")).first()
+    if not found[0]:
+        return _step_states(sliced, keys, tie, width, entry)
+    chosen = checked_broadcast(shapes.where(banded).select(*keys, "_slice_us"))
+    states = _band_states(null_safe(sliced, chosen, keys, "inner"), keys, tie, width, entry, found[2], found[3], carry)
+    if found[1]:
+        others = checked_broadcast(shapes.where(~banded).select(*keys))
+        states = states.unionByName(
+            _step_states(null_safe(sliced, others, keys, "left_semi"), keys, tie, width, entry))
+    return states
+
+
+def _band_states(sliced, keys, tie, width, entry, total, target_rows, carry):
+    # A chain goes on from an earlier state: rows less than a window after it are not accepted.
+    able = F.col(entry).isNull() | (F.col(US) >= F.col(entry) + F.col(width))
+    rows = sliced.where(able).withColumn("_width", F.col(width))
+    states = chain_before_slices(rows, keys, total, target_rows).withColumnRenamed(US, entry)
+    if carry is None:
+        return states.withColumn("_in", F.lit(None).cast("string"))
+    states = cut(states)
+    wanted = checked_broadcast(states.select(*keys, F.col(entry).alias(US)).distinct())
+    values = null_safe(sliced.select(*keys, US, tie, "_carry"), wanted, [*keys, US], "left_semi").groupBy(
+        *keys, F.col(US).alias(entry)).agg(F.min_by("_carry", tie).alias("_in"))
+    return null_safe(states, values, [*keys, entry], "left")
+
+
+def _step_states(sliced, keys, tie, width, entry):
     group = [*keys, SLICE]
-    narrow = prepared.where(F.col(SLICE).isNotNull()).select(
-        *group, US, tie, width, entry, "_carry"
-    )
+    narrow = sliced.select(*group, US, tie, width, entry, "_carry")
     key_fields = [narrow.schema[c] for c in group]
     summary_schema = T.StructType(
         key_fields
@@ -301,18 +340,18 @@ def _entry_states(prepared, keys, tie, width, entry):
         current, state, value = (), NO_STATE, None
         for batch in batches:
             key_rows = list(zip(*[batch.column(c).to_pylist() for c in keys]))
+            sizes, befores = [batch.column(c).to_pylist() for c in ("_width", "_before")]
+            steps = [batch.column(c) for c in ("_upper", "_exit_us", "_exit")]
             states, values = [], []
-            for key, size, earlier, upper, exit_us, exits in zip(
-                key_rows, *[batch.column(c).to_pylist()
-                            for c in ("_width", "_before", "_upper", "_exit_us", "_exit")]
-            ):
+            for row, (key, size, earlier) in enumerate(zip(key_rows, sizes, befores)):
                 if key != current:
                     current, state, value = key, earlier, None
                 states.append(state)
                 values.append(value)
-                at = 0 if state is None else int(np.searchsorted(upper, state + size))
+                upper, exit_us, exits = [c[row].values for c in steps]
+                at = 0 if state is None else int(np.searchsorted(upper.to_numpy(), state + size))
                 if at < len(upper):
-                    state, value = exit_us[at], exits[at]
+                    state, value = exit_us[at].as_py(), exits[at].as_py()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in group]
                 + [pa.array(states, pa.int64()), pa.array(values, pa.string())],

@@ -18,7 +18,7 @@ from embertide.operators import (
     alarms as al, devices as dv, metrics as mt, percentiles, readings as rd, rules as rl,
     suppression as sp, sync as sy,
 )
-from embertide.operators.ordered import first_anchored, hot_slices
+from embertide.operators.ordered import SHAPE, first_anchored, hot_slices
 from embertide.plans.inputs import Inputs, StreamedInputs, with_inputs
 from embertide.session import configure, scratch
 from embertide.sources.store import StoreSink
@@ -235,7 +235,7 @@ def _rule_slices(i: Inputs, key: list[str]) -> DataFrame | None:
     slices = hot_slices(i.sensor_data, rl.SENSOR_KEY, "ts")
     if slices is None:
         return None
-    return slices.join(i.rules.select(*rl.ALARM_KEY), rl.SENSOR_KEY).select(*key, "_slice_us")
+    return slices.join(i.rules.select(*rl.ALARM_KEY), rl.SENSOR_KEY).select(*key, *SHAPE)
 
 
 _MATCH_COLUMNS = ("id", "rule_id", "device_id", "sensor_type", "ts", "value", "threshold",

@@ -22,7 +22,7 @@ from embertide.operators import alarms as al
 from embertide.operators import devices as dv
 from embertide.operators import readings as rd
 from embertide.operators import rules as rl
-from embertide.operators.devices import HEARTBEAT_SECONDS
+from embertide.operators.devices import HEARTBEAT_SECONDS, IDLE_SECONDS
 from embertide.operators.metrics import health_columns
 from embertide.operators.ordered import (
     TARGET_ROWS, hot_slices, last_accepted, null_safe, staged,
@@ -30,7 +30,7 @@ from embertide.operators.ordered import (
 from embertide.operators.suppression import EXPIRY_SECONDS
 from embertide.sources.store import StoreSink, delete_below, finished_batches
 from embertide.streaming.processors import (
-    ARRIVAL, AlarmLife, ChangeFilter, Liveness, Suppression, Throttle,
+    ARRIVAL, AlarmLife, ChangeFilter, Liveness, Presence, Suppression, Throttle,
 )
 
 WATERMARK = "10 minutes"
@@ -115,6 +115,31 @@ def liveness_stream(
     )
 
 
+def presence_stream(
+    heartbeats: DataFrame, activity: DataFrame, ttl_seconds: float = HEARTBEAT_SECONDS,
+    idle_seconds: float = IDLE_SECONDS, watermark: str = WATERMARK,
+) -> DataFrame:
+    """(device_id, event, at): connected and disconnected events, by heartbeats and by any traffic.
+
+    The same rule as ``liveness_at`` with its ``activity``. Events come once the slower
+    of the two inputs is a watermark past them, so it does not matter which is read first.
+    """
+    out = T.StructType([
+        T.StructField("device_id", T.StringType()),
+        T.StructField("event", T.StringType()),
+        T.StructField("at", T.TimestampType()),
+    ])
+
+    def seen(rows: DataFrame, beat: bool) -> DataFrame:
+        return rows.select("device_id", "ts", F.lit(beat).alias("beat")).withWatermark("ts", watermark)
+
+    return (
+        seen(heartbeats, True).unionByName(seen(activity, False))
+        .groupBy("device_id")
+        .transformWithStateInPandas(Presence(ttl_seconds, idle_seconds), out, "append", "eventtime")
+    )
+
+
 def suppression_stream(requests: DataFrame, seconds: float = EXPIRY_SECONDS) -> DataFrame:
     """Requests with ``activated_at`` and ``outcome`` (activated, updated, rejected, late)."""
     schema = _plus(requests.schema, activated_at=T.TimestampType(), outcome=T.StringType())
@@ -159,7 +184,7 @@ class IngestSink(StoreSink):
     """
 
     def __init__(self, path: str, registry: Callable[[], DataFrame]):
-        super().__init__(path, keys=("device_id", "message_id", "pos"), stamp="created_at")
+        super().__init__(path, keys=("device_id", "message_id", "pos"), stamp="created_at", probe="message_id")
         self.registry = registry
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:

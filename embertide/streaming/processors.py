@@ -1,8 +1,8 @@
 """Stateful processors: one small state per key, rows in event-time order per micro-batch.
 
-A key's share of a micro-batch is bounded by the source's ``per_trigger``
-limit, which bounds the frame sorted here. Rows older than the state of their
-key are labelled ``late`` and never move the state.
+A key may bring a whole micro-batch. Up to HELD_ROWS of its rows are ordered in memory; more go
+through sorted runs in the state store, merged a part of each at a time, so a task holds a bounded number of
+rows. Rows older than the state of their key are labelled ``late`` and never move the state.
 
 Throttle, ChangeFilter, Suppression and AlarmLife see every row, however old: their
 watermark is on the time of arrival (the last column), so it drops nothing. Their
@@ -11,6 +11,7 @@ state goes once a key has been silent for its windows and a further ``KEEP_MS``.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 _LONG = T.StructType([T.StructField("us", T.LongType())])
 KEEP_MS = 24 * 3600 * 1000
 ARRIVAL = "_arrival"
+HELD_ROWS = 50_000  # rows of a key that are ordered in memory at a time
+PART_ROWS = 1_000  # rows of a run that come back from the state store at a time
+FAN_IN = 32  # runs that are merged at a time
 
 
 class _Idle:
@@ -47,12 +51,84 @@ class _Idle:
         return True
 
 
-def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> tuple[pd.DataFrame, int]:
-    """The rows in order, and when the last of them arrived in milliseconds."""
-    frame = pd.concat(list(rows), ignore_index=True)
-    # the time of arrival is a constant of the micro-batch, and Spark may drop a constant's name
-    arrival = int(_us(frame.pop(frame.columns[-1])).max()) // 1000
-    return frame.sort_values(by, kind="stable", ignore_index=True), arrival
+class _Order:
+    """Puts a key's rows of a micro-batch in order, through the state store where they are many."""
+
+    def __init__(self, handle: StatefulProcessorHandle, by: list[str], ranks: dict[str, dict] | None = None):
+        self.by, self.ranks = by, ranks or {}
+        place = T.StructType([T.StructField("run", T.LongType()), T.StructField("part", T.LongType())])
+        self.parts = handle.getMapState("runs", place, T.StructType([T.StructField("rows", T.BinaryType())]))
+        self.arrival = 0
+
+    def _sorted(self, frame: pd.DataFrame) -> pd.DataFrame:
+        def rank(column: pd.Series) -> pd.Series:
+            known = self.ranks.get(column.name)
+            return column if known is None else column.map(known).fillna(len(known))
+
+        return frame.sort_values(self.by, kind="stable", ignore_index=True, key=rank)
+
+    def chunks(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The rows in order, a frame at a time; ``arrival`` is when the last arrived, in milliseconds."""
+        held, count, runs = [], 0, []
+        for frame in rows:
+            if not len(frame):
+                continue
+            # the time of arrival is a constant of the micro-batch, and Spark may drop a constant's name
+            arrived = frame[frame.columns[-1]]
+            self.arrival = max(self.arrival, int(_us(arrived).max()) // 1000)
+            held.append(frame.drop(columns=frame.columns[-1]))
+            count += len(frame)
+            if count >= HELD_ROWS:
+                runs.append(self._spilled(len(runs), [self._sorted(pd.concat(held, ignore_index=True))]))
+                held, count = [], 0
+        if not runs:
+            if held:
+                yield self._sorted(pd.concat(held, ignore_index=True))
+            return
+        if held:
+            runs.append(self._spilled(len(runs), [self._sorted(pd.concat(held, ignore_index=True))]))
+        number = len(runs)
+        while len(runs) > FAN_IN:  # neighbours are merged, so equal rows stay in the order of arrival
+            merged = []
+            for k in range(0, len(runs), FAN_IN):
+                merged.append(self._spilled(number, self._merged(runs[k:k + FAN_IN])))
+                number += 1
+            runs = merged
+        yield from self._merged(runs)
+
+    def _spilled(self, run: int, frames) -> tuple[int, int]:
+        """Write a sorted run in parts; its number and how many parts it has."""
+        part = 0
+        for frame in frames:
+            for start in range(0, len(frame), PART_ROWS):
+                self.parts.updateValue((run, part), (pickle.dumps(frame.iloc[start:start + PART_ROWS]),))
+                part += 1
+        return run, part
+
+    def _merged(self, runs: list[tuple[int, int]]) -> Iterator[pd.DataFrame]:
+        """Runs merged part by part: rows up to the first end of a loaded part cannot be preceded any more."""
+        loaded, at = [None] * len(runs), [0] * len(runs)
+        while True:
+            for n, (run, count) in enumerate(runs):
+                if loaded[n] is None and at[n] < count:
+                    loaded[n] = pickle.loads(self.parts.getValue((run, at[n]))[0])
+                    self.parts.removeKey((run, at[n]))
+                    at[n] += 1
+            live = [n for n, frame in enumerate(loaded) if frame is not None]
+            if not live:
+                return
+            together = pd.concat(
+                [loaded[n].assign(_run=n, _last=np.arange(len(loaded[n])) == len(loaded[n]) - 1) for n in live],
+                ignore_index=True)
+            together = self._sorted(together)
+            ends = np.flatnonzero(together["_last"].to_numpy() & together["_run"].map(
+                {n: at[n] < runs[n][1] for n in live}).to_numpy())
+            stop = int(ends[0]) + 1 if len(ends) else len(together)
+            rest = together.iloc[stop:]
+            for n in live:
+                mine = rest[rest["_run"] == n]
+                loaded[n] = mine.drop(columns=["_run", "_last"]) if len(mine) else None
+            yield together.iloc[:stop].drop(columns=["_run", "_last"]).reset_index(drop=True)
 
 
 def _us(times: pd.Series) -> np.ndarray:
@@ -77,6 +153,7 @@ class Throttle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.idle = _Idle(handle)
+        self.order = _Order(handle, ["ts", self.tie])
         fields = [f"last{n}" for n in range(len(self.windows))] + ["until"]
         self.state = handle.getValueState(
             "state", T.StructType([T.StructField(f, T.LongType()) for f in fields])
@@ -88,31 +165,31 @@ class Throttle(StatefulProcessor):
         return (frame[window].fillna(0).astype(float) * 1e6).astype("int64").tolist()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame, arrival = _ordered(rows, ["ts", self.tie])
-        times = _us(frame["ts"]).tolist()
         stored = self.state.get()
         *lasts, until = stored or [None] * (len(self.windows) + 1)
         first = lasts[0]
-        late = [first is not None and t < first for t in times]
-        alive = [n for n, is_late in enumerate(late) if not is_late]
-        if alive:
-            for stage, window in enumerate(self.windows):
-                widths, last, passed = self._width(frame, window), lasts[stage], []
-                for at in alive:
-                    if last is None or widths[at] <= 0 or times[at] - last >= widths[at]:
-                        last = times[at]
-                        passed.append(at)
-                if last is not None:
-                    until = max(until or 0, last + max(widths))
-                lasts[stage], alive = last, passed
-            self.state.update((*lasts, until))
+        for frame in self.order.chunks(rows):
+            times = _us(frame["ts"]).tolist()
+            late = [first is not None and t < first for t in times]
+            alive = [n for n, is_late in enumerate(late) if not is_late]
+            if alive:
+                for stage, window in enumerate(self.windows):
+                    widths, last, passed = self._width(frame, window), lasts[stage], []
+                    for at in alive:
+                        if last is None or widths[at] <= 0 or times[at] - last >= widths[at]:
+                            last = times[at]
+                            passed.append(at)
+                    if last is not None:
+                        until = max(until or 0, last + max(widths))
+                    lasts[stage], alive = last, passed
+            picked = sorted({*alive, *(n for n, is_late in enumerate(late) if is_late)})
+            if picked:
+                out = frame.iloc[picked].copy()
+                out["status"] = ["late" if late[n] else "accepted" for n in picked]
+                yield out
         if lasts[0] is not None:
-            self.idle.touch(arrival, until - lasts[0])
-        picked = sorted({*alive, *(n for n, is_late in enumerate(late) if is_late)})
-        if picked:
-            out = frame.iloc[picked].copy()
-            out["status"] = ["late" if late[n] else "accepted" for n in picked]
-            yield out
+            self.state.update((*lasts, until))
+            self.idle.touch(self.order.arrival, until - lasts[0])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.idle.over(timerValues):
@@ -138,6 +215,7 @@ class ChangeFilter(StatefulProcessor):
         name = T.StructType([T.StructField("sensor_type", T.StringType())])
         self.last = handle.getMapState("last", name, value)
         self.idle = _Idle(handle)
+        self.order = _Order(handle, ["ts", "message_id", "pos"])
 
     def _trivial(self, name: str, value: float, before: float | None) -> bool:
         if before is None:
@@ -147,33 +225,47 @@ class ChangeFilter(StatefulProcessor):
         return value < self.levels[name] and before < self.levels[name]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame, arrival = _ordered(rows, ["ts", "message_id", "pos"])
-        times = _us(frame["ts"]).tolist()
-        names, values = frame["sensor_type"].tolist(), frame["value"].tolist()
-        messages = frame["message_id"].tolist()
-        known = {name: self.last.getValue((name,)) for name in set(names)}
-        # One late reading makes its whole message late.
-        late = {
-            message for message, name, now in zip(messages, names, times)
-            if known[name] is not None and now < known[name][0]
-        }
-        changed: set = set()
-        touched = set()
-        for message, name, value, now in zip(messages, names, values, times):
-            if message not in late:
-                before = known[name][1] if known[name] else None
-                if not self._trivial(name, value, before):
-                    changed.add(message)
-                known[name] = (now, value)
-                touched.add(name)
-        for name in touched:
-            self.last.updateValue((name,), known[name])
-        self.idle.touch(arrival)
-        status = ["late" if m in late else "accepted" if m in changed else None for m in messages]
-        out = frame.assign(status=status)
-        out = out[out["status"].notna()]
-        if len(out):
-            yield out
+        before, known = {}, {}  # per sensor type: the stored value, and the one that holds now
+        for frame in self._messages(self.order.chunks(rows)):
+            times = _us(frame["ts"]).tolist()
+            names, values = frame["sensor_type"].tolist(), frame["value"].tolist()
+            messages = frame["message_id"].tolist()
+            for name in set(names) - set(before):
+                before[name] = known[name] = self.last.getValue((name,))
+            # One late reading makes its whole message late.
+            late = {
+                message for message, name, now in zip(messages, names, times)
+                if before[name] is not None and now < before[name][0]
+            }
+            changed: set = set()
+            for message, name, value, now in zip(messages, names, values, times):
+                if message not in late:
+                    if not self._trivial(name, value, known[name][1] if known[name] else None):
+                        changed.add(message)
+                    known[name] = (now, value)
+            status = ["late" if m in late else "accepted" if m in changed else None for m in messages]
+            out = frame.assign(status=status)
+            out = out[out["status"].notna()]
+            if len(out):
+                yield out
+        for name, value in known.items():
+            if value != before[name]:
+                self.last.updateValue((name,), value)
+        self.idle.touch(self.order.arrival)
+
+    @staticmethod
+    def _messages(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Chunks that end with a message; the rows of one have one time and follow each other."""
+        kept = None
+        for frame in chunks:
+            if kept is not None:
+                frame = pd.concat([kept, frame], ignore_index=True)
+            same = (frame["message_id"] == frame["message_id"].iloc[-1]) & (frame["ts"] == frame["ts"].iloc[-1])
+            kept = frame[same.to_numpy()].reset_index(drop=True)
+            if len(kept) < len(frame):
+                yield frame[~same.to_numpy()].reset_index(drop=True)
+        if kept is not None and len(kept):
+            yield kept
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.idle.over(timerValues):
@@ -197,11 +289,21 @@ class Liveness(StatefulProcessor):
     def _events(self, key, what: list[str], when: list[int]) -> pd.DataFrame:
         return pd.DataFrame({"device_id": key[0], "event": what, "at": _stamp(when)})
 
+    def _spaced(self, rows: Iterator[pd.DataFrame]) -> np.ndarray:
+        """The times in order, without those that lie between others of one gap-wide slot."""
+        times = np.zeros(0, np.int64)
+        for chunk in rows:
+            times = np.sort(np.concatenate([times, _us(chunk["ts"])]))
+            slot = times // self.gap_us
+            same = slot[1:] == slot[:-1]
+            times = times[~(np.r_[False, same] & np.r_[same, False])]
+        return times
+
     def _end_ms(self, last: int) -> int:
         return -(-(last + self.gap_us) // 1000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = np.sort(np.concatenate([_us(chunk["ts"]) for chunk in rows]))
+        times = self._spaced(rows)
         stored = self.last.get()
         last = stored[0] if stored else None
         if last is not None:
@@ -233,6 +335,112 @@ class Liveness(StatefulProcessor):
         pass
 
 
+class Presence(StatefulProcessor):
+    """Connect and disconnect events of one device from its heartbeats and its other traffic.
+
+    A device is connected while its last heartbeat is less than ``ttl_seconds`` and its last message of
+    any kind less than ``idle_seconds`` ago. The two inputs have no common order, so nothing is decided before
+    the watermark has passed it: what arrives in between is kept as the first and last times
+    of each slot of time, which is all that can change an event. One timer waits for the
+    oldest slot, or for the end of the connection where no slot is waiting.
+    """
+
+    STATE = ("beat", "seen", "open")
+    SLOT = ("first_beat", "last_beat", "first", "last")
+
+    def __init__(self, ttl_seconds: float, idle_seconds: float):
+        self.ttl, self.idle = int(ttl_seconds * 1e6), int(idle_seconds * 1e6)
+        self.slot_us = min(self.ttl, self.idle)  # two messages of one slot never leave a gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        longs = lambda names: T.StructType([T.StructField(n, T.LongType()) for n in names])
+        self.state = handle.getValueState("state", longs(self.STATE))
+        self.slots = handle.getMapState("slots", longs(["slot"]), longs(self.SLOT))
+        self.timer = handle.getValueState("timer", _LONG)
+
+    def _set_timer(self, at_us: int) -> None:
+        at = -(-at_us // 1000)
+        set_for = self.timer.get()
+        if set_for is not None:
+            if set_for[0] <= at:
+                return
+            self.handle.deleteTimer(set_for[0])
+        self.timer.update((at,))
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first_slot = None
+        for frame in rows:
+            times, beats = _us(frame["ts"]), frame["beat"].to_numpy(bool)
+            slot = times // self.slot_us
+            for number in np.unique(slot).tolist():
+                mine = slot == number
+                own, beat = times[mine], times[mine & beats]
+                held = self.slots.getValue((number,))
+                first_beat, last_beat, first, last = held or (None, None, None, None)
+                if len(beat):
+                    first_beat = min(int(beat.min()), first_beat) if first_beat is not None else int(beat.min())
+                    last_beat = max(int(beat.max()), last_beat) if last_beat is not None else int(beat.max())
+                first = min(int(own.min()), first) if first is not None else int(own.min())
+                last = max(int(own.max()), last) if last is not None else int(own.max())
+                self.slots.updateValue((number,), (first_beat, last_beat, first, last))
+                first_slot = number if first_slot is None else min(first_slot, number)
+        if first_slot is not None:
+            self._set_timer((first_slot + 1) * self.slot_us)
+        return iter(())
+
+    def _step(self, state: tuple, now: int, is_beat: bool, events: list) -> tuple:
+        """The state after a message; ``open`` is when the connection ends if nothing more comes."""
+        beat, _, end = state
+        if end is not None and end <= now:
+            events.append(("disconnected", end))
+            end = None
+        beat = now if is_beat else beat
+        alive = beat is not None and beat + self.ttl > now
+        if alive and end is None:
+            events.append(("connected", now))
+        return beat, now, min(beat + self.ttl, now + self.idle) if alive else end
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        self.timer.clear()
+        state = self.state.get() or (None, None, None)
+        events: list = []
+        waiting = sorted(k[0] for k in self.slots.keys())
+        ready = [n for n in waiting if (n + 1) * self.slot_us <= now]
+        for number in ready:
+            first_beat, last_beat, first, last = self.slots.getValue((number,))
+            self.slots.removeKey((number,))
+            times = {(t, False) for t in (first, last)} | {
+                (t, True) for t in (first_beat, last_beat) if t is not None}
+            for at, is_beat in sorted(times, key=lambda r: (r[0], not r[1])):
+                if state[1] is None or at >= state[1]:
+                    state = self._step(state, at, is_beat, events)
+        rest = waiting[len(ready):]
+        beat, seen, end = state
+        if end is not None and end <= now and (not rest or end <= rest[0] * self.slot_us):
+            events.append(("disconnected", end))
+            end = None
+        if end is None and beat is not None and beat + self.ttl <= now and not rest:
+            self.state.clear()  # the heartbeat has run out: the next message starts afresh
+        else:
+            self.state.update((beat, seen, end))
+            due = [(n + 1) * self.slot_us for n in rest[:1]]
+            if end is not None:
+                due.append(end)
+            elif beat is not None and not rest:
+                due.append(beat + self.ttl)
+            if due:
+                self._set_timer(max(min(due), now + 1000))
+        if events:
+            what, when = zip(*events)
+            yield pd.DataFrame({"device_id": key[0], "event": what, "at": _stamp(when)})
+
+    def close(self) -> None:
+        pass
+
+
 class Suppression(StatefulProcessor):
     """Suppression state of one device; an activation lasts ``seconds`` and is never extended."""
 
@@ -241,6 +449,7 @@ class Suppression(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.idle = _Idle(handle)
+        self.order = _Order(handle, ["ts", "request_id"])
         self.active = handle.getValueState(
             "active",
             T.StructType([
@@ -249,23 +458,25 @@ class Suppression(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame, arrival = _ordered(rows, ["ts", "request_id"])
         stored = self.active.get()
-        started, agent = stored or (None, None)
-        outcomes, anchors = [], []
-        for now, wanted in zip(_us(frame["ts"]).tolist(), frame["suppression_type"]):
-            if started is not None and now < started:
-                outcomes.append("late")
-            elif started is None or now - started >= self.us:
-                started, agent = now, wanted
-                outcomes.append("activated")
-            else:
-                outcomes.append("updated" if wanted == agent else "rejected")
-            anchors.append(started)
+        started, agent = before, _ = stored or (None, None)
+        for frame in self.order.chunks(rows):
+            outcomes, anchors = [], []
+            for now, wanted in zip(_us(frame["ts"]).tolist(), frame["suppression_type"]):
+                if before is not None and now < before:
+                    outcomes.append("late")
+                    anchors.append(before)
+                    continue
+                if started is None or now - started >= self.us:
+                    started, agent = now, wanted
+                    outcomes.append("activated")
+                else:
+                    outcomes.append("updated" if wanted == agent else "rejected")
+                anchors.append(started)
+            yield frame.assign(activated_at=_stamp(anchors), outcome=outcomes)
         if (started, agent) != stored:
             self.active.update((started, agent))
-        self.idle.touch(arrival, self.us)
-        yield frame.assign(activated_at=_stamp(anchors), outcome=outcomes)
+        self.idle.touch(self.order.arrival, self.us)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.idle.over(timerValues):
@@ -298,37 +509,69 @@ class AlarmLife(StatefulProcessor):
         kinds = [T.StringType()] * 4 + [T.LongType()]
         self.waiting = handle.getListState(
             "waiting", T.StructType([T.StructField(n, k) for n, k in zip(self.COLUMNS, kinds)]))
+        self.order = _Order(handle, ["us", "action", "actor"], {"action": self.RANK})
         self.idle = _Idle(handle)
 
+    def _frames(self, rows: Iterator[pd.DataFrame], held: bool) -> Iterator[pd.DataFrame]:
+        """The rows, then those that waited, in the columns of the order and the time of arrival."""
+        arrived = None
+        for frame in rows:
+            arrived = frame[frame.columns[-1]].max()
+            own = frame.assign(us=_us(frame["ts"]), actor=frame["actor"].fillna("").astype(object))
+            yield own[self.COLUMNS].assign(_at=frame[frame.columns[-1]])
+        part = []
+        for row in self.waiting.get() if held else ():
+            part.append(tuple(row))
+            if len(part) == PART_ROWS:
+                yield self._waited(part, arrived)
+                part = []
+        if part:
+            yield self._waited(part, arrived)
+
+    def _waited(self, part: list[tuple], arrived) -> pd.DataFrame:
+        frame = pd.DataFrame(part, columns=self.COLUMNS)
+        return frame.assign(actor=frame["actor"].fillna("")).assign(_at=arrived)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame, arrival = _ordered(rows, ["ts"])
-        frame = frame.assign(us=_us(frame["ts"])).astype(object)
-        frame = frame.where(frame.notna(), None)
-        found = [tuple(r) for r in frame[self.COLUMNS].itertuples(index=False)]
         device, severity, resolved = self.open.get() or (None, None, False)
         is_open = device is not None or severity is not None
-        if not is_open and not resolved:
-            found += [tuple(r) for r in self.waiting.get()]
-            if not any(action == "RAISE" for _, _, action, _, _ in found):
-                self.waiting.put(found)
-                self.idle.touch(arrival)
-                return
+        waits = not is_open and not resolved
+        starts = False  # of equal times RAISE comes first, so a waiting action is only judged when one is there
+        early: list[tuple] = []
+        changes: list[tuple] = []
+        waited = False
+        for frame in self.order.chunks(self._frames(rows, waits)):
+            for own, level, action, actor, us in frame[self.COLUMNS].astype(object).itertuples(index=False):
+                own, level = (None if pd.isna(v) else v for v in (own, level))
+                if waits and not starts and action != "RAISE":
+                    early.append((own, level, action, actor or None, int(us)))
+                    continue
+                starts = starts or action == "RAISE"
+                if action == "RAISE" and not is_open and not resolved:
+                    is_open, device, severity = True, own, level or ""
+                elif action == "RESOLVE" and is_open:
+                    is_open, resolved = False, True
+                elif not (action == "ACK" and is_open):
+                    continue
+                changes.append((key[0], device, severity, action, actor or None, int(us)))
+            if changes:
+                yield self._changes(changes)
+                changes = []
+            if early:  # the waiting rows were read before the first frame came, and are among these
+                (self.waiting.appendList if waited else self.waiting.put)(early)
+                early, waited = [], True
+        if waits and not starts:
+            self.idle.touch(self.order.arrival)
+            return
+        if waits:  # what came before its alarm has no effect any more
             self.waiting.clear()
-        found.sort(key=lambda r: (r[4], self.RANK.get(r[2], 3), r[3] or ""))
-        changes = []
-        for own, level, action, actor, us in found:
-            if action == "RAISE" and not is_open and not resolved:
-                is_open, device, severity = True, own, level or ""
-            elif action == "RESOLVE" and is_open:
-                is_open, resolved = False, True
-            elif not (action == "ACK" and is_open):
-                continue
-            changes.append((key[0], device, severity, action, actor, us))
         self.open.update((device, severity, resolved))
-        self.idle.touch(arrival)
-        if changes:
-            out = pd.DataFrame(changes, columns=["alarm_id", "device_id", "severity", "action", "actor", "ts"])
-            yield out.assign(ts=_stamp(out["ts"]))
+        self.idle.touch(self.order.arrival)
+
+    @staticmethod
+    def _changes(changes: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(changes, columns=["alarm_id", "device_id", "severity", "action", "actor", "ts"])
+        return out.assign(ts=_stamp(out["ts"]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.idle.over(timerValues):
