@@ -21,128 +21,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from embertide.llm.common import (
-    LANE, Stage, arrow_map, columns_of, new_folder, pieces, span_hashes, text_buffer,
-)
+from embertide.llm.common import LANE, Stage, arrow_map, columns_of, new_folder, pieces, text_buffer
 from embertide.llm.files import read_files, write_files
+from embertide.llm.spans import SpanMemory, text_ids
 
-LONGEST = 16  # bits of a code; the decoding table has 2**LONGEST entries
+LONGEST = 16  # bits of a code, or as many more as it takes to give each used id one
+MOST_BITS = 24  # a code and its place in a byte fit 32 bits
 DISTANCE = 256  # ids between checkpoints; all checkpoints of a file decode side by side
 RUN_IDS = 3_000_000  # ids of one file; a longer document has a file of its own
 END_ID = 2
-CACHED = 400_000  # distinct spans a task remembers before it starts afresh; results do not depend on it
+STRUNG = 500  # spans that are handed to the tokenizer as one text
 
 
 # --- tokenizing ------------------------------------------------------------------------
 
 
-def spans_of(raw: np.ndarray, bounds: np.ndarray):
-    """Cut texts before every space that follows a non-space.
+class SpanTokenizer:
+    """Ids of distinct spans by the tokenizer library.
 
-    The byte-level splitting pattern always begins a new piece there, and nothing after
-    the cut changes the pieces before it, so spans can be tokenized one by one. Other white
-    space may join its neighbours in other ways, so the byte before the cut must be ASCII
-    and not white, or end a character of U+00C0 to U+00FF, none of which is white.
+    Spans are strung together with a special token between them, which parts them for the
+    tokenizer like separate texts. With ``special_as_text`` a special token's name in a text is ordinary text.
     """
-    n = len(raw)
-    cut = np.zeros(n + 1, bool)
-    if n:
-        solid = (raw > 32) & (raw < 128)
-        solid[1:] |= (raw[:-1] == 0xC3) & (raw[1:] >= 128)
-        cut[1:n] = (raw[1:] == 32) & solid[:-1]
-    cut[bounds] = True
-    edges = np.flatnonzero(cut)
-    starts, ends = edges[:-1], edges[1:]
-    return starts, ends, np.searchsorted(bounds, starts, side="right") - 1
-
-
-class SpanIds:
-    """Ids of distinct spans, looked up by the span's hash; starts afresh once it holds CACHED spans."""
-
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+
+    def __init__(self, tokenizer, special_as_text: bool = False):
+        self.tokenizer, self.special_as_text = tokenizer, special_as_text
         special = sorted(
             (i, t.content) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special)
-        self.mark = special[0] if special else None
-        self.clear()
-
-    def clear(self) -> None:
-        self.hashes, self.at, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
-
-    def encode(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the spans, and how many each has.
-
-        Spans are strung together with a special token between them, which parts them for the
-        tokenizer like separate texts; a span that holds its name is not safe to string.
-        """
-        if self.mark is None or any(self.mark[1].encode() in s for s in spans):
-            self.tokenizer.encode_special_tokens = True
+        self.number, self.name = (special[0][0], special[0][1].encode()) if special else (None, None)
+        # the name of one special token is cut out as a span of its own; more of them leave texts whole
+        self.mark = None if special_as_text or len(special) != 1 else self.name
+        self.whole = len(special) > 1 and not special_as_text
+
+    def __call__(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        alone = self.name is None or self.whole or any(self.name in s for s in spans)
+        if alone:
+            self.tokenizer.encode_special_tokens = self.special_as_text
             lists = [e.ids for e in self.tokenizer.encode_batch_fast(
                 [s.decode() for s in spans], add_special_tokens=False)]
             return (np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64))
         self.tokenizer.encode_special_tokens = False
-        number, name = self.mark
-        strung = [(name.encode().join(spans[k:k + 500]) + name.encode()).decode() for k in range(0, len(spans), 500)]
+        strung = [(self.name.join(spans[k:k + STRUNG]) + self.name).decode() for k in range(0, len(spans), STRUNG)]
         ids = np.concatenate([
             np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(strung, add_special_tokens=False)])
-        marks = ids == number
+        marks = ids == self.number
         ends = np.flatnonzero(marks) - np.arange(len(spans))
         return ids[~marks], np.diff(ends, prepend=0)
 
-    def add(self, hashes: np.ndarray, spans: list[bytes]) -> None:
-        ids, sizes = self.encode(spans)
-        merged = np.concatenate([self.hashes, hashes])
-        order = np.argsort(merged, kind="stable")
-        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(sizes) - sizes])[order]
-        self.sizes = np.concatenate([self.sizes, sizes])[order]
-        self.hashes, self.pool = merged[order], np.concatenate([self.pool, ids])
-
-    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each ascending hash, and whether it is held."""
-        place = np.searchsorted(self.hashes, hashes)
-        place[place == len(self.hashes)] = 0
-        return place, self.hashes[place] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
 
-
-def encoded(batches, tokenizer, end_id: int) -> Iterator[tuple]:
+def encoded(batches, tokenizer, end_id: int, special_as_text: bool = False) -> Iterator[tuple]:
     """(doc ids, document lengths, ids) of each piece of the batches, end ids appended."""
-    known = SpanIds(tokenizer)
+    encode = SpanTokenizer(tokenizer, special_as_text)
+    memory = SpanMemory(encode)
     for batch in pieces(batches):
         raw, bounds = text_buffer(batch.column(1))
-        data = raw.tobytes()
-        starts, ends, row = spans_of(raw, bounds)
-        hashes = span_hashes(raw, starts, ends) if len(raw) else np.zeros(0, np.uint64)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(known.hashes) > CACHED:
-            known.clear()
-        place, held = known.places(distinct)
-        if not held.all():
-            own = first[~held]
-            known.add(distinct[~held], [data[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist())])
-            place, _ = known.places(distinct)
-        each, source = known.sizes[place][inverse], known.at[place][inverse]
-        lengths = np.bincount(row, weights=each, minlength=batch.num_rows).astype(np.int64) + 1
-        ids = np.full(int(lengths.sum()), end_id, np.uint32)
-        # place of each span's first id: ids before it, and one end id per earlier document
-        before = np.cumsum(each) - each
-        offsets = np.arange(int(each.sum())) - np.repeat(before, each)
-        ids[np.repeat(before + row, each) + offsets] = known.pool[np.repeat(source, each) + offsets]
-        yield batch.column(0), lengths, ids
+        if encode.whole:
+            data = raw.tobytes()
+            ids, lengths = encode([data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
+        else:
+            ids, lengths = text_ids(raw, bounds, memory, encode.mark)
+        yield batch.column(0), lengths + 1, np.insert(ids, np.cumsum(lengths), end_id)
 
 
 # --- codes -----------------------------------------------------------------------------
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
-    """Optimal code lengths of at most ``longest`` bits (package-merge); 0 for unused ids."""
+    """Optimal code lengths of at most ``longest`` bits (package-merge); 0 for unused ids.
+
+    With more used ids than codes of that length, the limit is the length that has room for all.
+    """
     used = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), np.uint8)
     if len(used) == 1:
         lengths[used] = 1
         return lengths
-    if len(used) > 1 << longest:
-        raise ValueError(f"{len(used)} ids do not fit codes of {longest} bits")
+    longest = max(longest, (len(used) - 1).bit_length()) if len(used) else longest
+    if longest > MOST_BITS:
+        raise ValueError(f"{len(used)} ids do not fit codes of {MOST_BITS} bits")
     order = used[np.argsort(counts[used], kind="stable")]
     leaves = counts[order].astype(np.int64)
     # per level: which sorted entries are leaves; pairs of a level make the packages of the next
@@ -174,8 +129,9 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decode_table(lengths: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
-    """Id and code length for every value of the next ``longest`` bits."""
+def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Id and code length for every value of the next bits, and how many bits these are."""
+    longest = max(int(lengths.max(initial=0)), 1)
     used = np.flatnonzero(lengths)
     order = used[np.lexsort((used, lengths[used]))]
     spans = (1 << (longest - lengths[order].astype(np.int64)))
@@ -183,7 +139,7 @@ def decode_table(lengths: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarra
     filled = int(spans.sum())
     symbols[:filled] = np.repeat(order, spans)
     bits[:filled] = np.repeat(lengths[order], spans)
-    return symbols, bits
+    return symbols, bits, longest
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, distance: int = DISTANCE):
@@ -194,24 +150,24 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, distance: int
     at = np.cumsum(width) - width
     total = int(width.sum())
     out = np.zeros(total // 8 + 5)
-    value = codes[ids].astype(np.uint64) << (24 - width - (at & 7)).astype(np.uint64)
-    for k in range(3):  # a code of 16 bits touches at most three bytes; bits never overlap, so sums are ors
-        part = ((value >> np.uint64(16 - 8 * k)) & np.uint64(255)).astype(np.float64)
+    value = codes[ids].astype(np.uint64) << (32 - width - (at & 7)).astype(np.uint64)
+    for k in range(3 if width.max(initial=0) <= 17 else 4):  # bytes a code touches; bits never overlap, so sums are ors
+        part = ((value >> np.uint64(24 - 8 * k)) & np.uint64(255)).astype(np.float64)
         out[:total // 8 + 5] += np.bincount((at >> 3) + k, weights=part, minlength=len(out))[:len(out)]
     return out.astype(np.uint8), at[::distance].astype(np.uint64), total
 
 
 def unpack(bits: np.ndarray, offsets: np.ndarray, n: int, table, distance: int = DISTANCE) -> np.ndarray:
     """The ``n`` ids; every checkpoint's stretch is decoded on its own, all of them in step."""
-    symbols, widths = table
+    symbols, widths, longest = table
     data = np.concatenate([bits, np.zeros(4, np.uint8)]).astype(np.uint32)
     ids = np.zeros((distance, len(offsets)), np.uint32)
     at = offsets.astype(np.int64)
-    last = len(data) - 3
+    last = len(data) - 4
     for step in range(min(distance, n)):
         byte = np.minimum(at >> 3, last)
-        window = (data[byte] << 16) | (data[byte + 1] << 8) | data[byte + 2]
-        window = (window >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF
+        window = (data[byte] << 24) | (data[byte + 1] << 16) | (data[byte + 2] << 8) | data[byte + 3]
+        window = (window << (at & 7).astype(np.uint32)) >> np.uint32(32 - longest)
         ids[step] = symbols[window]
         at = at + widths[window]
     return ids.T.reshape(-1)[:n]
@@ -262,7 +218,9 @@ def table_lengths(content: bytes) -> np.ndarray:
 RUN_SCHEMA = "part int, seq long, doc_ids binary, nulls binary, lengths binary, ids binary, n_ids long"
 
 
-def token_runs(docs: DataFrame, stage: Stage, tokenizer_path: str, doc_id: str, text: str, end_id: int) -> DataFrame:
+def token_runs(
+    docs: DataFrame, stage: Stage, tokenizer_path: str, doc_id: str, text: str, end_id: int, special_as_text: bool = False,
+) -> DataFrame:
     """Documents in ascending doc_id order as staged runs of ids: part, seq, and packed columns."""
     rows = columns_of(docs, ("doc_id", F.col(doc_id)), ("text", F.col(text)))
     ordered = rows.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(
@@ -296,7 +254,7 @@ def token_runs(docs: DataFrame, stage: Stage, tokenizer_path: str, doc_id: str,
             ], ["part", "seq", "doc_ids", "nulls", "lengths", "ids", "n_ids"])
 
         kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
-        for keys, lengths, ids in encoded(noted(), tokenizer, end_id):
+        for keys, lengths, ids in encoded(noted(), tokenizer, end_id, special_as_text):
             held.append((keys, lengths, ids))
             size += len(ids)
             if size >= RUN_IDS:
@@ -332,19 +290,21 @@ def global_counts(runs: DataFrame, vocabulary: int) -> np.ndarray:
 
 def write_tokens(
     docs: DataFrame, path: str, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID,
+    special_as_text: bool = False,
 ) -> None:
     """Tokenize documents and write them below ``path`` in ascending doc_id order.
 
     Texts are sorted by range partitioning before they are tokenized, so each is tokenized
     once; the ids wait in a staged table until the code is known. Null texts are empty: only
     the end id. Documents of equal doc_id stand in the order of their texts' hashes; null
-    doc_ids come first.
+    doc_ids come first. The name of a special token in a text is that token, as in the library's
+    default call, unless ``special_as_text``.
     """
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     stage = Stage(spark)
-    runs = token_runs(docs, stage, tokenizer_path, doc_id, text, end_id)
+    runs = token_runs(docs, stage, tokenizer_path, doc_id, text, end_id, special_as_text)
     vocabulary = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1)
     lengths = code_lengths(global_counts(runs, vocabulary))
     codes = canonical(lengths)
@@ -413,7 +373,7 @@ def starts_of(tokens: DataFrame, stage: Stage) -> DataFrame:
 
 def token_output(
     docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID,
-    path: str | None = None,
+    path: str | None = None, special_as_text: bool = False,
 ) -> DataFrame:
     """Write documents as token files (below ``path``, or a scratch folder) and read them back.
 
@@ -425,6 +385,6 @@ def token_output(
     path = path or new_folder(spark, "tokens")
     if docs.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    write_tokens(docs, path, tokenizer_path, doc_id, text, end_id)
+    write_tokens(docs, path, tokenizer_path, doc_id, text, end_id, special_as_text)
     tokens = read_tokens(spark, path, with_ids=False).select("name", "row", "doc_id", "n_tokens", "ids_crc32")
     return starts_of(tokens, Stage(spark)).select("doc_id", "start", "n_tokens", "ids_crc32")

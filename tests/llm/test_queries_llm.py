@@ -148,7 +148,6 @@ def test_token_files(spark, folder, documents):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     want, start = [], 0
     import numpy as np
 
