@@ -16,7 +16,7 @@ from embertide.operators.ordered import null_safe
 from embertide.sources.manifest import GENERATION, Manifest
 
 BUCKETS = 1024
-BUCKET = "_bucket"
+BUCKET = "key_bucket"
 
 
 class KeyedTable:

@@ -164,3 +164,52 @@ def test_large_join_key_is_split(spark):
     finally:
         for name in small:
             spark.conf.unset(name)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(-50, 900), min_size=1, max_size=120, unique=True), st.sampled_from([1, 3, 10, 50, 200]),
+       st.lists(st.integers(0, 200), max_size=4), st.sampled_from([1, 7, 40]))
+def test_bands_give_the_chain_and_what_enters_a_slice(values, width, cuts, slice_us):
+    """Cut at any offsets, the bands' exits lead the walk over the same rows as the loop."""
+    from embertide.operators import bands as bd
+
+    rows = np.array(sorted(values), np.int64)
+    band = np.searchsorted(sorted(cuts), rows % width, side="right")
+    used = np.unique(band)
+    visits = bd.walk([bd.band_exits(rows[band == b], width) for b in used])
+    got = sorted(int(t) for k, entry, left in visits.tolist() for t in bd.accepted_at(
+        rows[band == used[k]], width, np.full(left - entry, entry), np.arange(entry, left)))
+    chain = []
+    for t in rows.tolist():
+        if not chain or t - chain[-1] >= width:
+            chain.append(t)
+    assert got == chain
+    slices = np.unique(rows // slice_us)
+    before = {}
+    for k, entry, at, number in bd.asked(visits, slices, slice_us, width).tolist():
+        t = int(bd.accepted_at(rows[band == used[k]], width, np.array([entry]), np.array([at]))[0])
+        if t < number * slice_us:
+            before[number] = max(before.get(number, t), t)
+    for number in slices.tolist():
+        early = [t for t in chain if t < number * slice_us]
+        assert before.get(number) == (early[-1] if early else None)
+
+
+def test_a_summary_is_bounded_by_slots_not_rows():
+    """200,000 rows inside a few windows: a band tells one number per window."""
+    from embertide.operators import bands as bd
+
+    rng = np.random.default_rng(1)
+    rows = np.unique(rng.integers(0, 3_000_000, 200_000))
+    slots, exits = bd.band_exits(rows, 1_000_000)
+    assert len(slots) == len(exits) == 3
+    slots, _ = bd.band_exits(rows[rows % 1_000_000 < 1000], 1_000_000)
+    assert len(slots) <= 3
+
+
+def test_one_time_shared_by_a_third_of_the_rows(spark):
+    rows = [("hot", 1000 if n % 3 == 0 else (n * 7) % 3000, 0) for n in range(3_000)]
+    df = frame(spark, rows)
+    slices = ordered.hot_slices(df, ["k"], "ts", 200, 5)
+    out = ordered.first_anchored(df, ["k"], "ts", "id", [900], slices)
+    assert rows_of(out, "id") == [(n,) for n in loop(rows, 900)]

@@ -150,3 +150,70 @@ def test_late_rows_are_labelled(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     out = run(flows.dedup_stream(stream, ["k"], 300), spark, tmp_path, "late")
     assert rows_of(out, "id", "status") == [(1, "accepted"), (2, "late"), (4, "accepted")]
+
+
+@pytest.mark.parametrize("name", ["throttle", "change", "suppression", "life"])
+def test_a_key_larger_than_memory_is_ordered_in_the_state_store(spark, inputs, tmp_path, monkeypatch, name):
+    """With a bound of a few rows every key spills; the rows that come out are the same."""
+    from embertide.streaming import processors as pr
+
+    if name == "throttle":
+        data = instants(inputs.sensor_data).withColumn("k", F.lit("one"))
+        make = lambda rows: flows.dedup_stream(rows, ["k"], 3600)
+        order, columns = "value", ("id", "status")
+    elif name == "change":
+        data = instants(inputs.wide_messages).withColumn("device_id", F.lit("one"))
+        make, order, columns = flows.change_filter_stream, "message_id", ("message_id", "pos", "status")
+    elif name == "suppression":
+        data = instants(inputs.suppression_requests).withColumn("device_id", F.lit("one"))
+        make = lambda rows: flows.suppression_stream(rows, 3600)
+        order, columns = "request_id", ("request_id", "activated_at", "outcome")
+    else:
+        data = instants(inputs.raised).select("id", "device_id", "severity", "ts").limit(3)
+        make, order, columns = None, "id", ("alarm_id", "action", "actor", "ts")
+    outs = []
+    for bound, part, fan in ((50_000, 1000, 32), (40, 7, 3)):
+        monkeypatch.setattr(pr, "HELD_ROWS", bound)
+        monkeypatch.setattr(pr, "PART_ROWS", part)
+        monkeypatch.setattr(pr, "FAN_IN", fan)
+        folder = tmp_path / str(bound)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "25")
+        try:
+            if make:
+                stream = make(as_stream(data, folder / "in", 2, order))
+            else:
+                acts = data.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(60)))).select(
+                    F.col("id").alias("alarm_id"), F.lit("ACK").alias("action"),
+                    F.lit("a").alias("actor"),
+                    (F.col("ts") + F.expr("INTERVAL 1 MINUTE")).alias("ts"))
+                stream = flows.alarm_life_stream(
+                    as_stream(data, folder / "a", 2), as_stream(acts, folder / "b", 2, "alarm_id"))
+            outs.append(rows_of(run(stream, spark, tmp_path, f"spill{bound}"), *columns))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert outs[0] == outs[1] and outs[0]
+
+
+def test_presence_stream_equals_liveness_at_several_instants(spark, tmp_path):
+    """Beats and other messages in two streams that run apart; connected exactly where the rule says so."""
+    import random
+    from datetime import datetime, timedelta, timezone
+
+    rng = random.Random(4)
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    beats = [(d, start + timedelta(seconds=rng.randint(0, 3000))) for d in "ab" for _ in range(60)]
+    other = [(d, start + timedelta(seconds=rng.randint(0, 3000))) for d in "abc" for _ in range(150)]
+    end = [(d, start + timedelta(hours=3)) for d in "z"]
+    schema = "device_id string, ts timestamp"
+    hb, ac = spark.createDataFrame(beats + end, schema), spark.createDataFrame(other + end, schema)
+    streams = as_stream(hb, tmp_path / "hb", 2), as_stream(ac, tmp_path / "ac", 5)
+    out = run(flows.presence_stream(*streams, watermark="10 minutes"), spark, tmp_path, "presence")
+    # of equal times a connection ends before the next one begins
+    events = sorted(((r.device_id, r["at"], r.event) for r in out.collect()), key=lambda e: (*e[:2], e[2] == "connected"))
+    assert len(events) > 60
+    for second in range(5, 3100, 73):
+        at = start + timedelta(seconds=second)
+        want = {r.device_id: r.connected for r in dv.liveness_at(hb, at, activity=ac).collect()} if second % 5 == 0 else {}
+        for device, connected in want.items():
+            mine = [e for d, t, e in events if d == device and t.replace(tzinfo=timezone.utc) <= at]
+            assert (bool(mine) and mine[-1] == "connected") == bool(connected), (device, second)
