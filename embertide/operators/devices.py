@@ -50,6 +50,14 @@ def current_devices(changes: DataFrame) -> DataFrame:
     )
 
 
+def newer_devices(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """Stored rows of a change log and further changes: the latest row per device, for ``KeyedTable.merge``."""
+    rows = stored.unionByName(changes)
+    body = [c for c in rows.columns if c != "device_id"]
+    return rows.groupBy("device_id").agg(F.max_by(F.struct(*body), F.struct("ts", "seq")).alias("_v")).select(
+        "device_id", *[F.col(f"_v.{c}").alias(c) for c in body])
+
+
 def registration(devices: DataFrame, now: datetime | str) -> DataFrame:
     """Change-log rows that register devices: enabled, registered at ``now``."""
     return devices.withColumns(

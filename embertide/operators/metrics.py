@@ -171,6 +171,64 @@ def windowed_counter_rates(
         (F.col("increase") / F.lit(float(seconds))).alias("per_second"))
 
 
+def edge_rates(
+    samples: DataFrame, series: Sequence[str], seconds: int = 300, step_seconds: int = 60, slices: Slices = AUTO,
+) -> DataFrame:
+    """Per-second rates of cumulative counters over trailing windows, as dashboards draw them.
+
+    A window (end - seconds, end] takes growth between its own samples only, so it needs two; a
+    drop is a reset to zero. The growth is then stretched to the window's edges: to an edge that
+    is less than 1.1 sample distances away, else by half a distance, and to the start never below a count of
+    zero. Samples are summed up per step first; only these sums enter the overlapping windows.
+    """
+    series, step_us = list(series), step_seconds * 1_000_000
+    keyed = samples.withColumn("series", F.struct(*series)) if series != ["series"] else samples
+    steps, grown = _growth(keyed, slices)
+    us = micros(F.col("ts"))
+    parts = steps.withColumn("_us", us).withColumn("_grown", grown).groupBy(
+        "series", F.ceil(F.col("_us") / F.lit(step_us)).alias("_step")
+    ).agg(
+        F.min(F.struct("_us", "value", "_grown")).alias("_first"), F.max("_us").alias("_last"),
+        F.sum("_grown").alias("_grown"), F.count(F.lit(1)).alias("_n"))
+    ends = F.sequence(F.col("_step"), F.col("_step") + seconds // step_seconds - 1)
+    windows = parts.withColumn("_end", F.explode(ends)).groupBy("series", "_end").agg(
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("_grown").alias("_grown"),
+        F.sum("_n").alias("_n")).where("_n > 1")
+    end = F.col("_end") * step_us
+    growth = F.col("_grown") - F.col("_first._grown")
+    span = (F.col("_last") - F.col("_first._us")).cast("double")
+    distance = span / (F.col("_n") - 1)
+    to_start = (F.col("_first._us") - (end - seconds * 1_000_000)).cast("double")
+    to_zero = F.when((growth > 0) & (F.col("_first.value") >= 0), span * F.col("_first.value") / growth)
+    to_end = (end - F.col("_last")).cast("double")
+    near = lambda gap: F.when(gap < distance * 1.1, gap).otherwise(distance / 2)
+    stretched = span + near(F.least(to_start, F.coalesce(to_zero, to_start))) + near(to_end)
+    named = [F.col(f"series.{c}").alias(c) for c in series] if series != ["series"] else [F.col("series")]
+    return windows.where(span > 0).select(
+        *named, F.timestamp_micros(end).alias("window_end"),
+        (growth * stretched / span / F.lit(float(seconds))).alias("per_second"))
+
+
+def windowed_quantiles(
+    samples: DataFrame, probs: Sequence[float], by: Sequence[str] = (), series: Sequence[str] = ("series",),
+    seconds: int = 300, step_seconds: int = 60, slices: Slices = AUTO,
+) -> DataFrame:
+    """Quantiles of what histogram counters counted in trailing windows, per ``by`` and window end.
+
+    ``samples``: cumulative counts ``value`` of every ``series`` and upper bound ``le`` at ``ts``. Rates of equal
+    bounds are added up; a bound's sum is at least that of the bound below. Windows in which nothing was counted, or
+    without the unbounded bucket, have no row.
+    """
+    rates = edge_rates(samples, [*series, "le"], seconds, step_seconds, slices)
+    summed = rates.groupBy(*by, "window_end", "le").agg(F.sum("per_second").alias("_rate"))
+    upto = Window.partitionBy(*by, "window_end").orderBy("le").rowsBetween(Window.unboundedPreceding, 0)
+    level = summed.withColumn("count", F.max("_rate").over(upto))
+    whole = level.groupBy(*by, "window_end").agg(F.max("le").alias("_top"), F.max("count").alias("_all")).where(
+        (F.col("_top") == float("inf")) & (F.col("_all") > 0))
+    kept = null_safe(level, whole.drop("_top", "_all"), [*by, "window_end"], "left_semi")
+    return histogram_quantiles(kept, [*by, "window_end"], probs)
+
+
 def counter_rates(samples: DataFrame, slices: Slices = AUTO) -> DataFrame:
     """Reset-aware increase of a cumulative counter per series, and per second."""
     steps, grown = _growth(samples, slices)
@@ -193,17 +251,18 @@ def histogram(values: DataFrame, key: str, value: str, bounds: Sequence[float])
     return counted.select(key, F.inline(pairs))
 
 
-def histogram_quantiles(buckets: DataFrame, key: str, probs: Sequence[float]) -> DataFrame:
+def histogram_quantiles(buckets: DataFrame, key: str | Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Quantiles by linear interpolation inside cumulative buckets.
 
     In the unbounded bucket the highest finite bound is returned.
     """
-    summed = buckets.groupBy(key, "le").agg(F.sum("count").alias("_c"))
-    order = Window.partitionBy(key).orderBy("le")
+    keys = [key] if isinstance(key, str) else list(key)
+    summed = buckets.groupBy(*keys, "le").agg(F.sum("count").alias("_c"))
+    order = Window.partitionBy(*keys).orderBy("le")
     edges = (
         summed.withColumn("_lo", F.coalesce(F.lag("le").over(order), F.lit(0.0)))
         .withColumn("_below", F.coalesce(F.lag("_c").over(order), F.lit(0)))
-        .withColumn("_all", F.max("_c").over(Window.partitionBy(key)))
+        .withColumn("_all", F.max("_c").over(Window.partitionBy(*keys)))
     )
     asked = edges.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
     rank = F.col("prob") * F.col("_all")
@@ -212,7 +271,7 @@ def histogram_quantiles(buckets: DataFrame, key: str, probs: Sequence[float]) ->
         F.col("_c") - F.col("_below"), F.lit(0)
     )
     found = F.when(F.col("le") == float("inf"), F.col("_lo")).otherwise(inside)
-    return asked.where(hit).groupBy(key, "prob").agg(F.min(found).alias("quantile"))
+    return asked.where(hit).groupBy(*keys, "prob").agg(F.min(found).alias("quantile"))
 
 
 # --- counts and health --------------------------------------------------------------------------

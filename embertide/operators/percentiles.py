@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from embertide.functions.instants import instant, time_bucket
 from embertide.operators.ordered import TARGET_ROWS, null_safe
 from embertide.session import checked_broadcast, cut
 
@@ -25,6 +27,33 @@ def approximate(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[
     )
 
 
+SKETCH_K = 800  # of a KLL sketch: rank error below 0.5 %
+
+
+def rollup(df: DataFrame, keys: Sequence[str], value: str, ts: str, width: str, k: int = SKETCH_K) -> DataFrame:
+    """One KLL sketch and count per key and time bucket, to be stored; null values are left out.
+
+    Buckets of any window merge into its quantiles, so the rows are read once for all windows.
+    """
+    bucket = time_bucket(width, F.col(ts), isinstance(df.schema[ts].dataType, T.TimestampNTZType))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, bucket.alias("bucket"), F.col(value).cast("double").alias("_v"))
+    return rows.groupBy(*keys, "bucket").agg(
+        F.kll_sketch_agg_double("_v", F.lit(k)).alias("sketch"), F.count(F.lit(1)).alias("n"))
+
+
+def from_rollup(
+    rolled: DataFrame, keys: Sequence[str], probs: Sequence[float], start=None, end=None,
+) -> DataFrame:
+    """Quantiles per key over the buckets that begin in [start, end); all of them without bounds."""
+    if start is not None:
+        rolled = rolled.where(F.col("bucket") >= instant(start))
+    if end is not None:
+        rolled = rolled.where(F.col("bucket") < instant(end))
+    merged = rolled.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("_s"), F.sum("n").alias("n"))
+    return merged.select(*keys, "n", *[
+        F.kll_sketch_get_quantile_double("_s", F.lit(float(p))).alias(_label(p)) for p in probs])
+
+
 def exact(
     df: DataFrame,
     keys: Sequence[str],

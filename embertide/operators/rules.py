@@ -78,6 +78,14 @@ def current_thresholds(changes: DataFrame) -> DataFrame:
     )
 
 
+def newer_thresholds(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """Stored changes and further ones: the latest per device and sensor type, for ``KeyedTable.merge``."""
+    rows = stored.unionByName(changes)
+    body = [c for c in rows.columns if c not in SENSOR_KEY]
+    return rows.groupBy(*SENSOR_KEY).agg(F.max_by(F.struct(*body), F.struct("changed_at", "seq")).alias("_v")).select(
+        *SENSOR_KEY, *[F.col(f"_v.{c}").alias(c) for c in body])
+
+
 def with_threshold(readings: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Readings with their threshold, null when none is set."""
     return readings.join(checked_broadcast(thresholds), SENSOR_KEY, "left")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from embertide.functions import scalar
 from embertide.functions.instants import instant, time_bucket
 from embertide.operators import (
-    alarms as al, devices as dv, metrics as mt, percentiles, readings as rd, rules as rl,
+    alarms as al, devices as dv, ids, metrics as mt, percentiles, readings as rd, rules as rl,
     suppression as sp, sync as sy,
 )
 from embertide.operators.ordered import SHAPE, first_anchored, hot_slices
@@ -43,6 +43,8 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {}
 
 
 def registered() -> dict[str, tuple[Query, str | None]]:
+    from embertide.plans import stored_queries  # noqa: F401  (registers its own)
+
     return dict(_QUERIES)
 
 
@@ -1107,7 +1109,7 @@ def _(i):
     | ((user_id % 1024) << 13) | (1 << 8) | (row_number() OVER (PARTITION BY epoch_us(ts)//1000,
     user_id % 1024 ORDER BY event_id) - 1) AS id FROM events""")
 def _(i):
-    numbered = scalar.assign_ids(
+    numbered = ids.assign_ids(
         i.table("events"), "ts", F.col("user_id") % 1024, F.lit(1), ["event_id"]
     )
     return numbered.select("event_id", "id")

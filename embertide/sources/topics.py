@@ -28,8 +28,8 @@ RECORD = T.StructType([T.StructField("key", T.StringType()), T.StructField("valu
 class Topic:
     """Where a topic lives: ``fmt="kafka"`` with servers, or ``fmt="json"`` with a folder.
 
-    ``per_trigger`` bounds a micro-batch (offsets or files); it also bounds what
-    one key can bring to one task of a stateful operator.
+    ``per_trigger`` bounds a micro-batch in records (Kafka) or files. ``bytes_per_trigger`` bounds the
+    bytes of the files of a micro-batch instead; a single larger file is a micro-batch of its own.
     """
 
     name: str
@@ -37,6 +37,7 @@ class Topic:
     location: str = ""
     per_trigger: int = 1_000_000
     options: dict[str, str] = field(default_factory=dict)
+    bytes_per_trigger: int | None = None
 
     def read(self, spark: SparkSession) -> DataFrame:
         """Streaming (key, value), from the earliest record."""
@@ -52,11 +53,9 @@ class Topic:
             return source.select(
                 F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")
             )
-        return (
-            reader.schema(RECORD)
-            .option("maxFilesPerTrigger", self.per_trigger)
-            .load(f"{self.location}/{self.name}")
-        )
+        limit = ("maxFilesPerTrigger", self.per_trigger) if self.bytes_per_trigger is None else (
+            "maxBytesPerTrigger", self.bytes_per_trigger)
+        return reader.schema(RECORD).option(*limit).load(f"{self.location}/{self.name}")
 
     def write(self, records: DataFrame, checkpoint: str) -> DataStreamWriter:
         """Writer of a streaming (key, value); start it to run."""

@@ -13,6 +13,7 @@ from embertide.functions import scalar
 from embertide.functions.instants import as_datetime, time_bucket, width_parts
 from embertide.operators import alarms as al
 from embertide.operators import devices as dv
+from embertide.operators import ids
 from embertide.operators import metrics as mt
 from embertide.operators import percentiles
 from embertide.operators import readings as rd
@@ -353,7 +354,7 @@ def test_id_round_trip(spark, rows):
 @pytest.mark.parametrize("kind,count,fails", [(-1, 1, True), (31, 256, False), (32, 1, True), (1, 257, False)])
 def test_id_limits(spark, kind, count, fails):
     df = spark.range(count).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
-    made = scalar.assign_ids(df.withColumnRenamed("id", "n"), "ts", F.lit(1), F.lit(kind), ["n"])
+    made = ids.assign_ids(df.withColumnRenamed("id", "n"), "ts", F.lit(1), F.lit(kind), ["n"])
     if fails:
         with pytest.raises(PySparkException):
             made.collect()

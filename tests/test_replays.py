@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from embertide import session
 from embertide.functions import scalar
-from embertide.operators import percentiles, readings as rd, sync as sy
+from embertide.operators import ids, percentiles, readings as rd, sync as sy
 from embertide.sources import store
 from embertide.streaming import flows
 
@@ -70,7 +70,7 @@ def test_ids_beyond_256_in_a_millisecond_take_the_next_free_ones(spark):
     rows = [(k, 1_700_000_000_000) for k in range(600)] + [(600 + k, 1_700_000_000_001) for k in range(300)]
     rows += [(900, 1_700_000_000_010)]
     df = spark.createDataFrame(rows, "k long, ms long").withColumn("ts", F.timestamp_millis("ms"))
-    out = scalar.assign_ids(df, "ts", F.lit(3), F.lit(1), ["k"]).select(
+    out = ids.assign_ids(df, "ts", F.lit(3), F.lit(1), ["k"]).select(
         "k", "id", scalar.id_millis(F.col("id")).alias("at"), scalar.id_sequence(F.col("id")).alias("seq")).collect()
     assert len({r.id for r in out}) == 901
     by = {r.k: (r.at - 1_700_000_000_000, r.seq) for r in out}
