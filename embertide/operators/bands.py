@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from embertide.session import cut
 
 BAND, KIND = "_band", "_kind"
+FEW_ROWS = 100_000  # a target below this is met by any number of partitions that Spark would choose
 
 
 def band_exits(times: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +96,11 @@ def chain_before_slices(
     keys = list(keys)
     narrow = rows.select(*keys, "_us", "_slice", "_slice_us", "_width").dropDuplicates([*keys, "_us"])
     offset = F.pmod(F.col("_us"), F.col("_width"))
-    parts = max(1, -(-total // target_rows))
-    ranged = narrow.withColumn("_offset", offset).repartitionByRange(parts, *[F.col(k) for k in keys], "_offset")
+    # with few rows the session's number of partitions will do, and small ones may be put together
+    parts = -(-total // target_rows)
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = [parts] if parts > usual and target_rows >= FEW_ROWS else []
+    ranged = narrow.withColumn("_offset", offset).repartitionByRange(*count, *[F.col(k) for k in keys], "_offset")
     banded = cut(ranged.withColumn(BAND, F.spark_partition_id()).drop("_offset").sortWithinPartitions(*keys, "_us"))
     fields = [banded.schema[k] for k in keys]
     long_list = T.ArrayType(T.LongType())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embertide.operators.ordered import AUTO, Slices, first_anchored
-from embertide.session import checked_broadcast
+from embertide.session import checked_broadcast, cut, text_size
 
 # Comparison operators and the de-duplication window.
 OPERATORS = (">", ">=", "<", "<=", "==", "!=")
@@ -15,14 +15,14 @@ SENSOR_KEY = ["device_id", "sensor_type"]
 ALARM_KEY = ["rule_id", "device_id", "sensor_type"]
 
 
-def check_rules(rules: DataFrame) -> int:
-    """Number of rules; ``ValueError`` when one has an operator that does not exist."""
+def check_rules(rules: DataFrame) -> tuple[int, int]:
+    """Number of rules and bytes of their text form; ``ValueError`` when one has an operator that does not exist."""
     known = F.coalesce(F.col("operator").isin(*OPERATORS), F.lit(False))
-    total, bad = rules.agg(F.count(F.lit(1)), F.count_if(~known)).first()
+    total, bad, size = rules.agg(F.count(F.lit(1)), F.count_if(~known), text_size(rules)).first()
     if bad:
         some = rules.where(~known).select("rule_id", "operator").limit(5).collect()
         raise ValueError(f"{bad} rules with an invalid operator: {[tuple(r) for r in some]}")
-    return total
+    return total, size
 
 
 def rule_holds(value: Column, operator: Column, threshold: Column) -> Column:
@@ -41,17 +41,17 @@ def match_rules(
 ) -> DataFrame:
     """Reading columns plus the columns of every rule the reading satisfies.
 
-    The rule side is broadcast only when counted small; beyond that the join
+    The rule side is broadcast only when its rows and bytes are measured small; beyond that the join
     shuffles on device and sensor type and AQE splits large keys.
     """
-    total = check_rules(rules)
+    total, size = check_rules(rules)
     if respect_enabled:
         rules = rules.where("enabled")
     own = set(readings.columns) - set(SENSOR_KEY)
     side = rules.select(
         *[F.col(c).alias(f"rule_{c}" if c in own else c) for c in rules.columns]
     )
-    return readings.join(checked_broadcast(side, rows=total), SENSOR_KEY).where(
+    return readings.join(checked_broadcast(side, rows=total, size=size), SENSOR_KEY).where(
         rule_holds(F.col("value"), F.col("operator"), F.col("threshold"))
     )
 
@@ -87,8 +87,8 @@ def newer_thresholds(stored: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def with_threshold(readings: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Readings with their threshold, null when none is set."""
-    return readings.join(checked_broadcast(thresholds), SENSOR_KEY, "left")
+    """Readings with their threshold, null when none is set; the thresholds are computed once."""
+    return readings.join(checked_broadcast(cut(thresholds)), SENSOR_KEY, "left")
 
 
 def apply_thresholds(rules: DataFrame, changes: DataFrame) -> DataFrame:

@@ -73,24 +73,28 @@ def counters(decisions: DataFrame) -> DataFrame:
     )
 
 
+def _current(at: datetime, seconds: int) -> dict:
+    """Aggregates over a device's decisions up to ``at``: the suppression that is active then, else nulls."""
+    live = (F.col("outcome") != "rejected") & (F.col("activated_at") > instant(at - timedelta(seconds=seconds)))
+    started = live & (F.col("outcome") == "activated")
+    return {
+        "suppression_type": F.max(F.when(started, F.col("suppression_type"))),
+        "suppression_zone_id": F.max(F.when(started, F.col("zone_id"))),
+        "suppression_intensity": F.max_by(
+            F.when(live, F.col("intensity")), F.when(live, F.struct("ts", "request_id"))),
+        "suppression_activated_at": F.max(F.when(started, F.col("ts"))),
+        "suppression_last_updated": F.max(F.when(live, F.col("ts"))),
+    }
+
+
 def current(
     decisions: DataFrame, as_of: datetime | str, seconds: int = EXPIRY_SECONDS
 ) -> DataFrame:
     """Suppression active at ``as_of``: type, zone, latest intensity."""
     at = as_datetime(as_of)
-    live = decisions.where(
-        (F.col("outcome") != "rejected")
-        & (F.col("ts") <= instant(at))
-        & (F.col("activated_at") > instant(at - timedelta(seconds=seconds)))
-    )
-    started = F.col("outcome") == "activated"
-    return live.groupBy("device_id").agg(
-        F.max(F.when(started, F.col("suppression_type"))).alias("suppression_type"),
-        F.max(F.when(started, F.col("zone_id"))).alias("suppression_zone_id"),
-        F.max_by("intensity", F.struct("ts", "request_id")).alias("suppression_intensity"),
-        F.max(F.when(started, F.col("ts"))).alias("suppression_activated_at"),
-        F.max("ts").alias("suppression_last_updated"),
-    )
+    found = decisions.where(F.col("ts") <= instant(at)).groupBy("device_id").agg(
+        *[c.alias(n) for n, c in _current(at, seconds).items()])
+    return found.where(F.col("suppression_last_updated").isNotNull())
 
 
 def full_status(
@@ -99,32 +103,21 @@ def full_status(
     as_of: datetime | str,
     seconds: int = EXPIRY_SECONDS,
 ) -> DataFrame:
-    """Device with suppression, counter and last-history columns."""
-    before = decisions.where(F.col("ts") <= instant(as_of))
-    counted = counters(before).select(
-        "device_id",
-        *[
-            F.col(c).alias(f"counter_{c}")
-            for c in ("total_activations", *[f"{a}_activations" for a in AGENTS],
-                      "last_activation")
-        ],
-    )
-    last = activations(before).groupBy("device_id").agg(
-        F.max_by(
-            F.to_json(
-                F.struct(
-                    F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
-                    F.col("suppression_type").alias("type"),
-                    F.col("zone_id").alias("zone"),
-                    "intensity",
-                )
-            ),
-            F.struct("ts", "request_id"),
-        ).alias("last_activation_details")
-    )
-    return (
-        devices.join(current(decisions, as_of, seconds), "device_id", "left")
-        .join(counted, "device_id", "left")
-        .join(last, "device_id", "left")
-        .withColumn("suppression_active", F.col("suppression_type").isNotNull())
-    )
+    """Device with suppression, counter and last-history columns; the decisions are read once."""
+    at = as_datetime(as_of)
+    started = F.col("outcome") == "activated"
+    total = F.count_if(started)
+    details = F.to_json(F.struct(
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.col("suppression_type").alias("type"),
+        F.col("zone_id").alias("zone"), "intensity"))
+    columns = _current(at, seconds) | {
+        "counter_total_activations": total,
+        **{f"counter_{agent}_activations": F.count_if(started & (F.col("suppression_type") == agent)) for agent in AGENTS},
+        "counter_last_activation": F.max(F.when(started, F.col("ts"))),
+        "last_activation_details": F.max_by(
+            F.when(started, details), F.when(started, F.struct("ts", "request_id"))),
+    }
+    found = decisions.where(F.col("ts") <= instant(at)).groupBy("device_id").agg(
+        *[c.alias(n) for n, c in columns.items()])
+    return devices.join(found, "device_id", "left").withColumn(
+        "suppression_active", F.col("suppression_type").isNotNull())

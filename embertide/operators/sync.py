@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from embertide.functions.instants import as_datetime, instant
 from embertide.operators.alarms import BUFFER_ROWS, in_window, newest, snapshot_rows
 from embertide.operators.ordered import null_safe
-from embertide.session import checked_broadcast
+from embertide.session import checked_broadcast, cut
 
 # Default look-back, how long a snapshot is reused, list sizes.
 DEFAULT_LOOKBACK = timedelta(hours=1)
@@ -77,11 +77,11 @@ def client_snapshot(
 def merge_by_id(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows replace rows of the same id; the latest incoming row wins.
 
-    The incoming side is reduced to one row per id first. The history meets only its
+    The incoming side is reduced to one row per id first, once. The history meets only its
     ids, by a broadcast while these are few, so a small delta moves no history.
     Ids are taken to be unique in ``existing``, as every earlier merge leaves them.
     """
-    latest = latest_by_id(incoming.select(*existing.columns))
+    latest = cut(latest_by_id(incoming.select(*existing.columns)))
     kept = null_safe(existing, checked_broadcast(latest.select("id")), ["id"], "left_anti")
     return kept.unionByName(latest)
 

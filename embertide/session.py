@@ -69,19 +69,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def text_size(df: DataFrame):
+    """Aggregate column: bytes of the text form of all rows."""
+    text = F.struct(*[F.col(f"`{c}`") for c in df.columns]).cast("string")
+    return F.coalesce(F.sum(F.octet_length(text)), F.lit(0))
+
+
 def checked_broadcast(
-    df: DataFrame, max_rows: int = BROADCAST_ROWS, rows: int | None = None
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, rows: int | None = None, size: int = 0,
 ) -> DataFrame:
     """Hint a broadcast only when rows and bytes of ``df`` are proven small.
 
-    ``rows`` is the count of a frame of fixed-width columns, when already known; else rows
-    and the bytes of their text form are measured. Above a bound the frame is returned
+    ``rows`` is the count, when already known, and ``size`` the bytes of the text form (0 for a frame of
+    fixed-width columns); else both are measured, see ``text_size``. Above a bound the frame is returned
     unhinted, so the join is planned as a shuffle join and AQE splits a skewed key.
     """
-    size = 0
     if rows is None:
-        text = F.struct(*[F.col(f"`{c}`") for c in df.columns]).cast("string")
-        rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+        rows, size = df.agg(F.count(F.lit(1)), text_size(df)).first()
     return F.broadcast(df) if rows <= max_rows and size <= BROADCAST_BYTES else df
 
 
