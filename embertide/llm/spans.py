@@ -15,7 +15,7 @@ import numpy as np
 from embertide.llm.common import span_hashes
 
 OTHER, LETTER, DIGIT, SIGN, WHITE = range(5)
-SLOTS = 1 << 19  # spans a task remembers at most; results do not depend on it
+SLOTS = 1 << 20  # spans a task remembers at most; results do not depend on it
 POOL_IDS = 8_000_000  # ids of remembered spans; beyond, those of spans no longer remembered are given up
 
 _KIND = np.full(256, OTHER, np.uint8)

@@ -53,7 +53,8 @@ class SpanTokenizer:
         self.whole = len(special) > 1 and not special_as_text
 
     def __call__(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        alone = self.name is None or self.whole or any(self.name in s for s in spans)
+        alone = self.name is None or self.whole or (
+            self.name in b"".join(spans) and any(self.name in s for s in spans))
         if alone:
             self.tokenizer.encode_special_tokens = self.special_as_text
             lists = [e.ids for e in self.tokenizer.encode_batch_fast(
