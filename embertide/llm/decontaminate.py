@@ -8,7 +8,7 @@ diagonal bands; regions that reach the count are aligned inside the band.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from embertide.llm.common import arrow_map, columns_of, mix, pieces, text_buffer
 
 Q = 10  # characters of a q-gram
-WINDOW, STRIDE = 80, 20  # characters of a window of an item, and between window starts
+WINDOW = 80  # characters of a window of an item; windows begin at every character
 EDIT_SHARE = 0.075  # edits allowed per character of a window
 BAND_BITS = 4  # bands start every 2**BAND_BITS diagonals and are twice as wide
+POSTINGS = 500_000  # hits of q-grams, by item, that a task looks at together
 INDEX_GRAMS = 4_000_000  # q-grams of the items that one pass holds (24 bytes each); more items take more passes
 
 
@@ -89,6 +90,11 @@ class GramIndex:
     need: np.ndarray  # q-grams a region must share, by item
 
 
+def index_parts(index: GramIndex) -> tuple:
+    """Plain arrays, which a task can read without this package."""
+    return tuple(getattr(index, f.name) for f in fields(index))
+
+
 def build_index(items: list[tuple]) -> GramIndex:
     """Index of (item id, characters); items with fewer than Q characters have no q-gram and never match."""
     grams = [gram_codes(t) for _, t in items]
@@ -121,14 +127,52 @@ def candidate_regions(index: GramIndex, code: np.ndarray, bounds: np.ndarray):
     row = np.searchsorted(bounds, at, side="right") - 1
     inside = at + Q <= bounds[row + 1]
     at, slot, row = at[inside], slot[inside], row[inside]
+    parts = [regions_of(index, bounds, *hits) for hits in posting_slices(index, row, at, slot)]
+    found = np.concatenate([np.stack(p) for p in parts], axis=1) if parts else np.zeros((4, 0), np.int64)
+    return tuple(found)
+
+
+def posting_slices(index: GramIndex, row, at, slot):
+    """(row, place in the text, item, place in the item) of all hits, at most POSTINGS at a time, or those of one item.
+
+    A slice holds all hits of the (row, item) pairs in it: whole rows, or a range of items for a row that has
+    more hits (many items that share a phrase).
+    """
+    items = len(index.ids)
     n = index.first[slot + 1] - index.first[slot]
-    post = np.repeat(index.first[slot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    row, at = np.repeat(row, n), np.repeat(at, n)
-    item, place = index.item[post].astype(np.int64), index.place[post].astype(np.int64)
+    per_row = np.bincount(row, weights=n).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(per_row)])
+    edges = np.searchsorted(row, np.arange(len(per_row) + 1))
+    low = 0
+    while low < len(per_row):
+        high = max(low + 1, int(np.searchsorted(total, total[low] + POSTINGS, side="right")) - 1)
+        own = slice(edges[low], edges[high])
+        if total[high] - total[low] <= POSTINGS:
+            yield expanded(index, row[own], at[own], index.first[slot[own]], n[own])
+        else:
+            key = np.repeat(np.arange(len(index.grams)), np.diff(index.first)) * items + index.item
+            step = max(1, items * POSTINGS // int(total[high] - total[low]))
+            for item in range(0, items, step):
+                begin = np.searchsorted(key, slot[own] * items + item)
+                end = np.searchsorted(key, slot[own] * items + min(item + step, items))
+                yield expanded(index, row[own], at[own], begin, end - begin)
+        low = high
+
+
+def expanded(index: GramIndex, row, at, begin, n):
+    post = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return np.repeat(row, n), np.repeat(at, n), index.item[post].astype(np.int64), index.place[post].astype(np.int64)
+
+
+def regions_of(index: GramIndex, bounds, row, at, item, place):
+    """``candidate_regions`` of some rows and items, from all their hits."""
+    none = (np.zeros(0, np.int64),) * 4
+    if not len(at):
+        return none
     diagonal = at - bounds[row] - place
     low = diagonal >> BAND_BITS
     # first a count by half band; a band is two of these, and every hit lies in two bands
-    items, wide = len(index.ids), 1 << 36
+    items, wide = len(index.ids), 1 << 30  # a row has fewer bands than this
     half = (row * items + item) * wide + (low + (wide >> 1))
     seen, count = np.unique(half, return_counts=True)
     pos = np.searchsorted(seen, half)
@@ -156,14 +200,16 @@ def candidate_regions(index: GramIndex, code: np.ndarray, bounds: np.ndarray):
     length = np.array([len(t) for t in index.texts], np.int64)[item[k]]
     slack = 2 << BAND_BITS
     from_, to = np.minimum(place[k], place[last[k]]), np.maximum(place[k], place[last[k]]) + Q
-    start = np.maximum(0, (to - width - slack + STRIDE - 1) // STRIDE)
-    stop = np.minimum((length - width + STRIDE - 1) // STRIDE, (from_ + slack) // STRIDE)
+    start = np.maximum(0, to - width - slack)
+    stop = np.minimum(length - width, from_ + slack)
+    # runs of one region reach over each other: keep every start once, in the order of the regions
+    region = np.cumsum(np.concatenate([[True], band[k][1:] != band[k][:-1]])) - 1
     n = np.maximum(0, stop - start + 1)
     which = np.repeat(np.arange(len(k)), n)
-    step = np.repeat(start, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    window = np.minimum(step * STRIDE, (length - width)[which])
-    out = np.unique(np.stack([band[k][which], row[k][which], item[k][which], window]), axis=1)
-    return out[1], out[2], (out[0] % wide) - (wide >> 1), out[3]
+    window = np.repeat(start, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    code = np.unique(region[which] << 32 | window)
+    heads = k[np.concatenate([[0], np.flatnonzero(np.diff(region)) + 1])][code >> 32]
+    return row[heads], item[heads], (band[heads] % wide) - (wide >> 1), code & ((1 << 32) - 1)
 
 
 def banded_edits(patterns: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,10 +299,10 @@ def matches(
     schema = f'doc_id {id_type}, item_id {key_type}, start long, "end" long, edits int, windows int'.replace('"', "`")
     out = docs.sparkSession.createDataFrame([], schema)
     for group in item_groups(wanted):
-        held = docs.sparkSession.sparkContext.broadcast(build_index(group))
+        held = docs.sparkSession.sparkContext.broadcast(index_parts(build_index(group)))
 
         def kernel(batches, held=held):
-            index = held.value
+            index = GramIndex(*held.value)
             for batch in pieces(batches):
                 code, bounds, place = characters(*lowered(batch.column(1)))
                 best: dict[tuple, list] = {}
