@@ -29,14 +29,17 @@ UNKNOWN = "und"
 
 
 def gram_buckets(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and row of each n-gram; a text is framed by spaces, other white space and digits are spaces."""
+    """Bucket and row of each n-gram; a text is framed by spaces, other white space and digits are spaces.
+
+    A single byte has one more space after it, so that it has an n-gram too.
+    """
     counts = np.diff(bounds)
     n_rows = len(counts)
-    framed = np.full(len(raw) + 2 * n_rows, 32, np.uint8)
-    row_of = np.repeat(np.arange(n_rows), counts)
-    framed[np.arange(len(raw)) + 2 * row_of + 1] = raw
+    frame = np.where(counts == 1, GRAM - 1, 2)
+    edges = bounds + np.concatenate([[0], np.cumsum(frame)])
+    framed = np.full(int(edges[-1]), 32, np.uint8)
+    framed[np.arange(len(raw)) + np.repeat(edges[:-1] - bounds[:-1], counts) + 1] = raw
     framed[(framed < 33) | ((framed >= 48) & (framed <= 57))] = 32
-    edges = bounds + 2 * np.arange(n_rows + 1)
     if len(framed) < GRAM:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     wide = framed.astype(np.uint64)
@@ -175,10 +178,10 @@ def identify(
     """
     rows = columns_of(docs, ("doc_id", F.col(doc_id)), ("text", F.col(text)))
     key_type = rows.schema["doc_id"].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))  # readable without this package
 
     def kernel(batches):
-        model = held.value
+        model = LanguageModel(*held.value)
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         for batch in pieces(batches):
             texts = batch.column(1).cast(pa.large_string())
