@@ -211,7 +211,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows, size = [], 0
                 for record in parse_arc(plain(content.as_py())):
-                    if record.fields["URL"].startswith("filedesc:"):
+                    if record.offset == 0:  # the version block; a page may have such a url too
                         continue
                     fields, head, payload = http_parts(record.block)
                     rows.append((name, record.offset, fields.get("x-record-key"), record.fields["URL"],
