@@ -79,6 +79,24 @@ class Stage:
         self.spark._jvm.System.gc()
 
 
+@contextmanager
+def only_result(spark: SparkSession, earlier: list[str]):
+    """Within it, ``keep(df, name)`` stages a result; on leaving, all other folders made inside go, and the ``earlier``
+    result, in whose place the new one is noted."""
+    before, made = set(_OPEN), []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        stage = Stage(spark)
+        out = stage.put(df, name, codec="snappy")
+        made.extend(stage.paths[name])
+        return out
+
+    yield keep
+    for path in [p for p in _OPEN if p not in before and p not in made] + earlier:
+        drop_folder(spark, path)
+    earlier[:] = made
+
+
 def columns_of(df: DataFrame, *named: tuple[str, Column]) -> DataFrame:
     """Only the named columns, so that other columns of any name cannot clash."""
     return df.select(*[column.alias(name) for name, column in named])

@@ -284,14 +284,17 @@ def jaccard_components(
     """
     stage = Stage(docs.sparkSession)
     rows = columns_of(docs, ("doc_id", F.col(doc_id).cast("long")), ("text", F.col(text)))
-    profile = stage.put(profiles(rows, words, share, "doc_id", "text"), "profiles")
+    full = stage.put(profiles(rows, words, share, "doc_id", "text"), "full")
+    profile = stage.put(full.drop("keys"), "profiles")  # the keys are read twice, then they go
     real = profile.where("n > 0 and doc_id is not null")
     sets = stage.put(
         real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("rows")), "sets")
-    copies = profile.join(sets.where("rows > 1").select("f1", "f2", "n", "set_id"), ["f1", "f2", "n"]).select(
-        "doc_id", "set_id").where("n > 0 and doc_id is not null and doc_id <> set_id").distinct()
+    version = ["doc_id", "f1", "f2", "n"]  # of an id that stands for several texts only the copies go
+    copies = profile.join(sets.where("rows > 1").select("f1", "f2", "n", "set_id"), ["f1", "f2", "n"]).where(
+        "n > 0 and doc_id is not null and doc_id <> set_id").select(*version).distinct()
     copies = stage.put(copies, "copies")
-    nodes = real.join(checked_broadcast(copies, NEEDED_ROWS), "doc_id", "left_anti")
+    nodes = full.where("n > 0 and doc_id is not null").join(
+        checked_broadcast(copies, NEEDED_ROWS), version, "left_anti")
 
     places = nodes.select(F.col("doc_id").alias("id"), F.explode("keys").alias("bucket"))
     buckets = stage.put(
@@ -301,21 +304,26 @@ def jaccard_components(
     stage.drop()  # the shuffle of all places goes before they move again
     shared = stage.put(places.join(
         checked_broadcast(buckets.where("nodes > 2").select("bucket", "low"), NEEDED_ROWS), "bucket"), "members")
-    stage.drop()
+    stage.drop("full", "copies")
     tested = stage.put(
         buckets.where("nodes = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(
             shared.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))).where("a <> b").distinct(),
         "tested")
     near = stage.put(close_pairs(tested, profile, share), "close")
+    stage.drop("buckets")
     links = stage.put(verified(near, rows, stage, words, share), "links")
+    stage.drop("close", "texts")
     known = stage.put(components(links, stage, "first"), "first-classes")
 
     classed = stage.put(
         shared.join(known, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("class")), "classed")
     mixed = classed.groupBy("bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1")
     open_ = stage.put(classed.join(mixed.select("bucket"), "bucket", "left_semi"), "open")
-    rest = open_pairs(open_, profile, stage, share).join(tested, ["a", "b"], "left_anti")
-    more = stage.put(verified(stage.put(rest, "rest"), rows, stage, words, share), "more-links")
+    stage.drop("members", "classed", "first-classes", "first-step")
+    rest = stage.put(open_pairs(open_, profile, stage, share).join(tested, ["a", "b"], "left_anti"), "rest")
+    stage.drop("open", "open-sketches", "open-chunks", "open-pairs", "tested")
+    more = stage.put(verified(rest, rows, stage, words, share), "more-links")
+    stage.drop("rest", "texts")
     final = components(links.unionByName(more), stage, "final")
 
     placed = profile.select("doc_id", "n", "f1", "f2").join(
@@ -323,7 +331,9 @@ def jaccard_components(
         final.withColumnRenamed("id", "set_id"), "set_id", "left")
     linked = F.col("n") > 0
     own = F.when(F.col("doc_id").isNotNull() & linked, F.col("set_id")).otherwise(F.col("doc_id"))
-    return placed.select(
+    out = stage.put(placed.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull() & linked, F.coalesce("component", "set_id")).otherwise(F.col("doc_id"))
-        .alias("component_id"), own.alias("set_id"))
+        .alias("component_id"), own.alias("set_id")), "classes")
+    stage.drop("profiles", "sets", "links", "more-links", "final-step")
+    return out

@@ -27,6 +27,8 @@ def edge_texts():
         base.upper(), passage, prose(50) + " " + passage + " " + prose(50), prose(80) + "\n" + passage,
         "x" * 1000, "ab" * 400, prose(20_000), "é è ü " + prose(30), "1234 5678 ,,, !!!", "<|endoftext|> a b",
         prose(8), prose(9), "naïve café " * 40, "tie tie tie", "tie tie tie",
+        "a", "é", "-", "Größere größere Grössere straßen " * 20 + "größere", "x  \n\n \t y<|endoftext|><|endoftext|> \r\n",
+        "中文字符 русский текст 😀 ٣٤ don't we'll", "Zß" * 3000,
     ]
 
 
@@ -54,7 +56,8 @@ def folder(spark, tmp_path_factory):
     big = "<p>" + "same page " * 200
     pages += [(5000, None, big), (5001, "http://a b/\n", big), (5002, "http://c", big), (5003, "http://d", None),
               (5004, "http://e", ""), (5005, "http://f", "small"), (5006, "http://g", "small"),
-              (5007, "http://h", "x\r\n\r\nWARC/1.1\r\nfiledesc://y 1 2 3 4\n" * 40)]
+              (5007, "http://h", "x\r\n\r\nWARC/1.1\r\nfiledesc://y 1 2 3 4\n" * 40),
+              (5008, "filedesc://i.arc", "a page"), (5009, "filedesc:", big)]
     spark.createDataFrame(pages, "page_id long, url string, html string").withColumnRenamed(
         "html", "html").repartition(2).write.parquet(f"{path}/pages.parquet")
     rng = random.Random(9)

@@ -195,3 +195,131 @@ def test_null_ids_and_clashing_columns(spark):
     assert suffixes.repeated_bytes(docs).where(F.col("n_removed") > 0).count() == 0
     assert sharding.minimax_shards(docs, 2).count() == 4
     assert mixing.mix_sources(docs.withColumn("source", F.lit(None).cast("string"))).count() == 4
+
+
+def test_every_excerpt_of_a_window_is_found():
+    """Stretches of 80 characters of an item at any offset, with up to six edits: recall 1 against every window."""
+    import random
+
+    import pyarrow as pa
+
+    import brute
+    from embertide.llm import decontaminate as dc
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("aeioumnrstl") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    chars = lambda t: dc.characters(*dc.lowered(pa.array([t], pa.string())))
+    items = [prose(45) for _ in range(15)]
+    index = dc.build_index([(k, chars(t)[0]) for k, t in enumerate(items)])
+    for edits in (0, 0, 2, 4, 6):
+        for _ in range(25):
+            k = rng.randrange(len(items))
+            o = rng.randrange(len(items[k]) - 80)
+            part = list(items[k][o:o + 80])
+            for _ in range(edits):
+                part[rng.randrange(len(part))] = rng.choice(["x", "", "qz"])
+            text = prose(20) + " " + "".join(part) + " " + prose(20)
+            code, bounds, place = chars(text)
+            found = {f[1] for f in dc.aligned(index, code, bounds, place, dc.candidate_regions(index, code, bounds))}
+            windows = range(max(0, o - 4), min(o + 5, len(items[k]) - 79))
+            assert k in found or min(brute.edits_within(items[k][s:s + 80], text) for s in windows) > dc.edit_budget(80)
+
+
+def test_shared_phrases_are_looked_at_in_slices(monkeypatch):
+    """The regions are the same however few hits a slice holds."""
+    import pyarrow as pa
+
+    from embertide.llm import decontaminate as dc
+
+    chars = lambda *t: dc.characters(*dc.lowered(pa.array(list(t), pa.string())))
+    phrase = "this phrase stands in every item of the set "
+    items = [phrase + f"item number {k} ends so " * 3 for k in range(40)]
+    index = dc.build_index([(k, chars(t)[0]) for k, t in enumerate(items)])
+    code, bounds, _ = chars(phrase * 5, items[7], "none", phrase)
+    want = [x.tolist() for x in dc.candidate_regions(index, code, bounds)]
+    monkeypatch.setattr(dc, "POSTINGS", 300)
+    got = [x.tolist() for x in dc.candidate_regions(index, code, bounds)]
+    assert sorted(zip(*got)) == sorted(zip(*want)) and want[0]
+
+
+def test_what_tasks_receive_needs_no_package():
+    """Broadcast values are plain arrays: unpickling them imports nothing of this library."""
+    import pickle
+
+    import numpy as np
+
+    from embertide.llm import bpe, decontaminate as dc
+    from embertide.llm.queries import tokenizer_path
+
+    index = dc.build_index([(1, np.arange(100, dtype=np.uint32))])
+    for value in (dc.index_parts(index), bpe.load_tables(tokenizer_path())):
+        assert b"embertide" not in pickle.dumps(value)
+
+
+def test_bpe_equals_the_library_on_odd_texts():
+    """White space, contractions, special tokens, scripts and long runs, split at every kind of border."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from embertide.llm import bpe
+    from embertide.llm.common import text_buffer
+    from embertide.llm.queries import tokenizer_path
+    from embertide.llm.spans import SpanMemory, text_ids
+
+    library = Tokenizer.from_file(tokenizer_path())
+    encoder = bpe.Encoder(bpe.load_tables(tokenizer_path()), library.pre_tokenizer)
+    rng = random.Random(2)
+    signs = "abeEIst'  \n\n\t.,!#12\u00e9\u00df\u00d7\u4e2d\u0301\u00a0\u2003\U0001f600\u00aa\u0558\u0430" + "'s're"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["a<|endoftext|> b", "<|endoftext|><|endoftext|>", "  <|endoftext|>  \n x", "<|endo", "ftext|> x", "x" * 3000,
+              "ab" * 2000, " " * 2000]
+    for slots in (1 << 16, 1 << 4):  # the second memory forgets nearly everything
+        ids, counts = text_ids(*text_buffer(pa.array(texts)), SpanMemory(encoder, slots), b"<|endoftext|>")
+        ends = counts.cumsum()
+        for k, e in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+            assert ids[ends[k] - counts[k]:ends[k]].tolist() == e.ids, texts[k]
+
+
+def test_near_words_against_comparing_all():
+    import random
+
+    import numpy as np
+
+    from embertide.llm.fm_index import Index, near_words
+
+    rng = random.Random(1)
+    for trial in range(12):
+        alphabet = "ab" if trial % 3 == 0 else "abcde"
+        words = sorted({"".join(rng.choice(alphabet) for _ in range(rng.randint(2, 9 if trial % 2 else 25)))
+                        for _ in range(200)})
+        symbols = [np.frombuffer(w.encode(), np.uint8) - 96 for w in words]
+        every = np.arange(len(words))
+        got = {(words[a], words[b]) for a, b in near_words(Index(symbols), symbols, every, every).tolist()}
+        want = {(w, v) for w in words for v in words
+                if len(w) == len(v) and sum(x != y for x, y in zip(w, v)) == 1
+                or len(w) == len(v) + 1 and any(w[:j] + w[j + 1:] == v for j in range(len(w)))}
+        assert got == want
+
+
+def test_a_half_shared_by_many_words_is_spread(spark, monkeypatch):
+    """One beginning in all words, parts of a few symbols: the same neighbours."""
+    import itertools
+
+    from embertide.llm import spelling
+    from embertide.llm.common import Stage
+
+    words = ["shared" + "".join(p) for p in itertools.product("abc", repeat=4)] + ["sharedabcde", "harredabca"]
+    monkeypatch.setattr(spelling, "PART_SYMBOLS", 200)
+    table = spark.createDataFrame([(w, 2) for w in words], "word string, n long")
+    got = {(r.word, r.near) for r in spelling.near_pairs(table, Stage(spark)).collect()}
+
+    def one(w, v):
+        if abs(len(w) - len(v)) == 1:
+            w, v = max(w, v, key=len), min(w, v, key=len)
+            return any(w[:j] + w[j + 1:] == v for j in range(len(w)))
+        return len(w) == len(v) and sum(x != y for x, y in zip(w, v)) == 1
+
+    assert got == {(w, v) for w in words for v in words if w != v and one(w, v)}

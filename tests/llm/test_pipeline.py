@@ -57,7 +57,9 @@ def test_documents_with_benchmark_passages_go(spark, folder, results):
 
 
 def test_documents_come_as_often_as_the_mix_takes_them(results):
-    chosen = {r.doc_id: round(r.taken / r.size) for r in mixing.mix_sources(results[3]).collect()}
+    rows = {r["_row"]: r.doc_id for r in cp._rows(results[3]).collect()}
+    taken = mixing.mix_sources(cp._rows(results[3]), doc_id="_row").collect()
+    chosen = {rows[r.doc_id]: round(r.taken / r.size) for r in taken}
     assert Counter(i for i, _ in texts(results[4])) == Counter({i: n for i, n in chosen.items() if n})
 
 
@@ -81,3 +83,31 @@ def test_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_without_an_id_are_judged_like_all_others(spark, folder, tmp_path):
+    """Null and reused ids: their contaminated, copied and letterless texts go, their clean ones stay."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").where("length(text) > 100").first().text
+    plain = [r for r in docs.where("doc_id < 8").orderBy("doc_id").collect()]
+    bad = ["1234 ...", "Before. " + item + " After.", plain[1].text + " more"]
+    made = [(i, t) for i in (None, 77) for t in bad + [plain[2].text[::-1] + f" {i}", plain[3].text[:400] + f" zz{i}" * 40]]
+    rows = [(i, t, "en", "s1", 0, 0, "", 0, 0) for i, t in made]
+    both = docs.where("doc_id < 60").unionByName(spark.createDataFrame(rows, docs.schema))
+    both.write.parquet(f"{tmp_path}/0")
+    for number, (_, stage) in enumerate(cp.STAGES[:3]):
+        stage(spark, spark.read.parquet(f"{tmp_path}/{number}"), folder).write.parquet(f"{tmp_path}/{number + 1}")
+    left = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/3").collect()]
+    for i, text in made:
+        gone = text in bad[:2]
+        assert ((i, text) not in left) if gone else True, (i, text[:40])
+    assert sum(t.startswith(plain[1].text) for _, t in left) == 1
+    assert sum(t == plain[3].text[:400] + f" zz{i}" * 40 for i in (None, 77) for _, t in left) >= 1
+
+
+def test_finished_stages_leave_one_table(spark, folder):
+    from embertide.llm import common
+
+    before = set(common._OPEN)
+    out = cp.run(spark, folder)
+    assert len(set(common._OPEN) - before) == 1 and out.count() > 0

@@ -61,7 +61,8 @@ def test_legacy_archives(spark, folder):
     got = QUERIES[name][0](spark, folder).select(*found.columns).collect()
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(tuple, got), key=key) == sorted(found.fetchall(), key=key)
-    assert sum(r.record_type == "revisit" for r in got) == 2
+    assert sum(r.record_type == "revisit" for r in got) == 3
+    assert {5008, 5009} <= {r.page_id for r in got}
 
 
 def test_language_mixture(spark, folder, documents):
@@ -180,10 +181,46 @@ def test_minimax_shards(spark, folder, documents):
     assert max(load.values()) == least_capacity(np.array([group[t] for t in order]), 24)
 
 
+def test_spelling_variants(spark, folder, documents):
+    want = brute.spelling_variants([(i, t) for i, t, _, _ in documents])
+    got = sorted(((r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in rows(spark, folder, "op11_")), key=str)
+    assert got == sorted(want, key=str)
+    assert any(w[1] for w in want) and any(w[4] > 1 for w in want)
+
+
+def test_bpe_round_trip(spark, folder, documents):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = []
+    for i, text, _, _ in documents:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        want.append((i, len(ids), sha(",".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))))
+    got = [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows(spark, folder, "op12_")]
+    assert sorted(got) == sorted(want)
+
+
+def test_hilbert_centroids(spark, tmp_path):
+    rng = random.Random(3)
+    centres = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(12)]
+    data = [(k, [x + rng.gauss(0, 0.3) for x in rng.choice(centres)]) for k in range(900)]
+    data += [(1000 + k, data[0][1]) for k in range(300)] + [(5, data[5][1]), (5, data[5][1]), (None, data[7][1])]
+    odd = [None, [], [1.0] * 63, [float("nan")] + [0.0] * 63, [None] + [0.0] * 63, [float("inf")] * 64]
+    table = data + [(2000 + k, v) for k, v in enumerate(odd)]
+    schema = "vec_id long, embedding array<double>, label int, id long, x string"
+    for name, rows_ in (("plain", table), ("large", table[:40] + [(3000, [1e9] * 64), (3001, [-1e300] * 64), (3002, [2.0 ** 60] * 64)])):
+        spark.createDataFrame([(i, v, 0, 7, "y") for i, v in rows_], schema).repartition(4).write.parquet(
+            f"{tmp_path}/{name}/embeddings.parquet")
+        want = brute.clusters([(i, v) for i, v in rows_])
+        got = [tuple(r) for r in rows(spark, f"{tmp_path}/{name}", "op13_")]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_empty_tables(spark, folder, tmp_path, name):
     for table in ("documents", "benchmark", "pages", "embeddings"):
         spark.read.parquet(f"{folder}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     got = QUERIES[name][0](spark, str(tmp_path))
     assert got.count() == 0
-    assert got.columns == QUERIES[name][0](spark, folder).columns if name.startswith("op6") else got.columns
+    assert got.columns == QUERIES[name][0](spark, folder).columns
