@@ -72,8 +72,8 @@ class KeyedTable:
         if self.manifest.system.exists(self.manifest.hadoop(self.path)):
             self.manifest.clean()
         work = f"{self.path}/_rewriting-{uuid.uuid4().hex}"
-        # a bucket is one file, unless it is so large that tasks split it
-        self._bucketed(rows).repartition(BUCKET).write.partitionBy(BUCKET).parquet(work)
+        # small buckets share a task, a large one is split over several; a bucket is one file or a few
+        self._bucketed(rows).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(work)
         new, made = [], set()
         for name in Manifest(self.spark, work).present():
             folder, file = name.split("/")

@@ -236,7 +236,7 @@ class AlarmSink:
         self.folder, self.rules, self.registry = folder, rules, registry
         self.dedup_seconds, self.target_rows = dedup_seconds, target_rows
         self.history = StoreSink(f"{folder}/history", keys=("id", "rule_id", "ts"))
-        self.topics = StoreSink(f"{folder}/topics", keys=("topic", "id", "rule_id", "ts"))
+        self.topics = StoreSink(f"{folder}/topics", keys=("topic", "id", "rule_id", "ts"), probe="id")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
