@@ -208,7 +208,16 @@ def regions_of(index: GramIndex, bounds, row, at, item, place):
     which = np.repeat(np.arange(len(k)), n)
     window = np.repeat(start, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     code = np.unique(region[which] << 32 | window)
-    heads = k[np.concatenate([[0], np.flatnonzero(np.diff(region)) + 1])][code >> 32]
+    first = k[np.concatenate([[0], np.flatnonzero(np.diff(region)) + 1])]  # a hit of each region
+    # the lemma holds for each window by itself: its own q-grams must be shared often enough
+    of = np.searchsorted(band[first], band)
+    of[of == len(first)] = 0
+    mine = band[first][of] == band
+    hits = np.sort(of[mine] << 32 | place[mine])
+    reach = np.array([min(len(t), WINDOW) - Q for t in index.texts], np.int64)[item[first]][code >> 32]
+    count = np.searchsorted(hits, code + reach, side="right") - np.searchsorted(hits, code)
+    code = code[count >= need[first][code >> 32]]
+    heads = first[code >> 32]
     return row[heads], item[heads], (band[heads] % wide) - (wide >> 1), code & ((1 << 32) - 1)
 
 
@@ -219,19 +228,24 @@ def banded_edits(patterns: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray,
     """
     n, length = patterns.shape
     width = regions.shape[1] - length
-    steps = np.arange(width + 1, dtype=np.int32)
+    # one column per pair: steps along the band are then vector operations over all pairs
+    patterns, regions = np.ascontiguousarray(patterns.T), np.ascontiguousarray(regions.T)
+    steps = np.arange(width + 1, dtype=np.int16)[:, None]
     # cell k of row i stands for region prefixes of i + k characters
-    row = np.zeros((n, width + 1), np.int32)
+    row = np.zeros((width + 1, n), np.int16)
+    new = np.empty((width + 1, n), np.int16)
     for i in range(length):
-        same = regions[:, i:i + width] == patterns[:, i:i + 1]
         # to row i + 1, cell k: substitution from cell k, deletion of the pattern character from cell k + 1
-        new = np.full((n, width + 1), length + 1, np.int32)
-        new[:, :width] = row[:, :width] + ~same
-        new[:, width] = length + 1
-        new[:, :width] = np.minimum(new[:, :width], row[:, 1:] + 1)
-        row = np.minimum.accumulate(new - steps, axis=1) + steps
-    end = row.argmin(axis=1)
-    return row[np.arange(n), end], end + length
+        np.add(row[:width], regions[i:i + width] != patterns[i], out=new[:width])
+        np.minimum(new[:width], row[1:] + np.int16(1), out=new[:width])
+        new[width] = length + 1
+        new -= steps
+        for k in range(1, width + 1):
+            np.minimum(new[k], new[k - 1], out=new[k])
+        new += steps
+        row, new = new, row
+    end = row.argmin(axis=0)
+    return row[end, np.arange(n)], end + length
 
 
 def aligned(index: GramIndex, code, bounds, place, regions) -> list[tuple]:
