@@ -3,8 +3,10 @@
 A document's shingles flip bits of a sketch: a bit is the parity of the shingles that hash
 to it. Two sketches differ in at most as many bits as the sets have elements that only one
 of them holds. For the sizes of a band that number is at most k when the sets link, so of
-k + 1 blocks of the sketch one at least is equal: documents meet on equal blocks. Pairs are
-then sifted by the distance of their sketches and verified on their whole texts.
+n blocks of the sketch n - k at least are equal. In an order of blocks that all documents
+share, each then meets its partners on its first k + 1 blocks; the order begins with the
+blocks that hold most shingles, on which unlike documents rarely agree. Pairs are then sifted
+by the distance of their sketches and verified on their whole texts.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from embertide.llm.common import (
 from embertide.llm.graph import components
 from embertide.session import checked_broadcast
 
-BLOCK_BITS = 256  # bits of a sketch block: wide, so that unlike documents rarely agree on one
+SPARE = 4  # a band has one block in this many beyond those its largest sets need, to leave near-empty ones out
 BAND_GROWTH = 1.5
 CHUNK = 256  # members of a bucket that are compared with as many others at a time
 NEEDED_ROWS = 1_000_000  # ids (8 bytes) that may be broadcast to pick texts; beyond, the join shuffles
-_ZOBRIST = mix(np.arange(1, BLOCK_BITS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+FULLEST = 255  # fuller blocks count as this full in the order
 
 
 def shingles(raw: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,12 +65,19 @@ def band_edges() -> np.ndarray:
 EDGES = band_edges()
 
 
-def n_blocks(band: np.ndarray, share: int) -> np.ndarray:
-    """One more block than linked sets of the band's sizes can differ in elements.
+def most_differing(size: np.ndarray, largest: np.ndarray, share: int) -> np.ndarray:
+    """Elements that a set and a linked one of at most ``largest`` can differ in.
 
-    Jaccard >= t means that |A xor B| <= (1 - t) / (1 + t) * (|A| + |B|).
+    Jaccard >= t means that |B| <= |A| / t and |A xor B| <= (1 - t) / (1 + t) * (|A| + |B|).
     """
-    return 2 * (EDGES[band + 1] - 1) * (100 - share) // (100 + share) + 1
+    return (size + np.minimum(largest, size * 100 // share)) * (100 - share) // (100 + share)
+
+
+def n_blocks(band: np.ndarray, share: int) -> np.ndarray:
+    """More blocks than linked sets of the band's sizes can differ in elements."""
+    largest = EDGES[band + 1] - 1
+    most = most_differing(largest, largest, share)
+    return most + 1 + most // SPARE
 
 
 def sketch_bits(size: np.ndarray) -> np.ndarray:
@@ -77,32 +86,44 @@ def sketch_bits(size: np.ndarray) -> np.ndarray:
 
 
 def block_keys(value, row, size, share: int):
-    """Keys of the blocks of every text in its own band, and in the bands its larger partners may be in."""
+    """Keys of the blocks of every text in its own band, and in the bands its larger partners may be in.
+
+    A block is so wide that every shingle has a bit of its own; its content is kept as the exclusive or
+    of one hash per bit set. Equal blocks hold equally many shingles, so "fullest first, then by
+    key" is one order for all texts of a band. A text that can differ from its partners in k
+    elements shares n - k of n blocks with each, hence one of the first k + 1 of both. With k = 0 only
+    equal sets link, which are one node already.
+    """
     n_rows = len(size)
     band = np.searchsorted(EDGES, np.maximum(size, 1), side="right") - 1
     reach = np.searchsorted(EDGES, size * 100 // share, side="right") - 1
+    bits = mix(value)
     keys, owner = [], []
     step = 0
-    while True:
+    while (band + step <= reach).any():
         rows = np.flatnonzero((size > 0) & (band + step <= reach))
-        if not len(rows):
-            break
+        differ = most_differing(size[rows], EDGES[band[rows] + step + 1] - 1, share)
+        rows, differ = rows[differ > 0], differ[differ > 0]
         blocks = n_blocks(band[rows] + step, share)
         first = np.zeros(n_rows, np.int64)
         first[rows] = np.cumsum(blocks) - blocks
         per_row = np.zeros(n_rows, np.uint64)
         per_row[rows] = blocks
-        mine = np.isin(row, rows) if len(rows) < n_rows else slice(None)
+        mine = per_row[row] > 0
         v, r = value[mine], row[mine]
-        block = ((v >> np.uint64(32)) * per_row[r]) >> np.uint64(32)
-        bit = v & np.uint64(BLOCK_BITS - 1)
+        place = first[r] + (((v >> np.uint64(32)) * per_row[r]) >> np.uint64(32)).astype(np.int64)
         total = int(blocks.sum())
         content = np.zeros(total, np.uint64)
-        np.bitwise_xor.at(content, first[r] + block.astype(np.int64), _ZOBRIST[bit.astype(np.int64)])
-        own = np.repeat(rows, blocks)
-        place = (band[own] + step).astype(np.uint64) << np.uint64(40) | (np.arange(total) - first[own]).astype(np.uint64)
-        keys.append(mix(content ^ mix(place + np.uint64(1))))
-        owner.append(own)
+        np.bitwise_xor.at(content, place, bits[mine])
+        emptiness = FULLEST - np.minimum(np.bincount(place, minlength=total), FULLEST)
+        own = np.repeat(np.arange(len(rows)), blocks)
+        start = first[rows]
+        at = (band[rows][own] + step).astype(np.uint64) << np.uint64(40) | (np.arange(total) - start[own]).astype(np.uint64)
+        key = mix(content ^ mix(at + np.uint64(1)))
+        order = np.lexsort((key, emptiness, own))
+        chosen = order[np.arange(total) - start[own] <= differ[own]]
+        keys.append(key[chosen])
+        owner.append(rows[own[chosen]])
         step += 1
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(n_rows + 1, np.int32)
