@@ -40,6 +40,25 @@ def test_linked_sets_share_a_block():
             assert set(keys[:bounds[1]].tolist()) & set(keys[bounds[1]:].tolist())
 
 
+@pytest.mark.parametrize("share", [60, 80, 90])
+def test_links_between_sets_of_unlike_size_share_a_block(share):
+    """Sets grow or shrink up to the threshold, across bands; every pair that links meets."""
+    rng = np.random.default_rng(share)
+    linked = 0
+    for _ in range(600):
+        a = set(rng.integers(0, 1 << 63, int(rng.integers(1, 150))).tolist())
+        b = {x for x in a if rng.random() > 0.1}
+        b |= set(rng.integers(0, 1 << 63, int(rng.integers(0, len(a) // 6 + 1))).tolist())
+        if a == b or 100 * len(a & b) < share * len(a | b):
+            continue
+        linked += 1
+        value = np.array(sorted(a) + sorted(b), np.uint64)
+        row = np.repeat([0, 1], [len(a), len(b)])
+        keys, bounds = ngram_join.block_keys(value, row, np.array([len(a), len(b)]), share)
+        assert set(keys[:bounds[1]].tolist()) & set(keys[bounds[1]:].tolist())
+    assert linked > 30
+
+
 def test_words_hash_alike_wherever_they_stand():
     one, _ = word_hashes(*text_buffer(pa.array(["Hello there", None, "", "\tthere\nHELLO  x"])))
     assert one[0] == one[3] and one[1] == one[2] and len(set(one.tolist())) == 3
