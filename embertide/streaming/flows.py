@@ -30,9 +30,10 @@ from embertide.operators.ordered import (
 from embertide.operators.suppression import EXPIRY_SECONDS
 from embertide.sources.store import StoreSink, delete_below, finished_batches
 from embertide.streaming.processors import (
-    ARRIVAL, AlarmLife, ChangeFilter, Liveness, Presence, Suppression, Throttle,
+    ARRIVAL, KEY, SHARD, AlarmLife, ChangeFilter, Liveness, Presence, Suppression, Throttle,
 )
 
+SHARDS = 1024  # hash groups of the keys of a stream; a checkpoint keeps the number it began with
 WATERMARK = "10 minutes"
 LATENESS_US = 600_000_000
 
@@ -62,6 +63,23 @@ def bucket_stream(readings: DataFrame, width: str, watermark: str = WATERMARK) -
     )
 
 
+def sharded(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds KEY, one text per combination of ``keys`` (null is a value of its own), and SHARD, a hash of it.
+
+    A stateful processor is called once a shard and micro-batch, not once a key. The states of a shard
+    are read and written as one, about 1 / SHARDS of all that are kept.
+    """
+    def text(name: str) -> Column:
+        kind, value = rows.schema[name].dataType, F.col(name)
+        if isinstance(kind, T.FractionalType):
+            value = value + F.lit(0).cast(kind)  # -0.0 is 0.0
+        value = F.hex(value) if isinstance(kind, T.BinaryType) else value.cast("string")
+        return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("~"))
+
+    return rows.withColumn(KEY, F.concat(*[text(k) for k in keys])).withColumn(
+        SHARD, F.pmod(F.xxhash64(KEY), F.lit(SHARDS)).cast("int"))
+
+
 def _arriving(rows: DataFrame) -> DataFrame:
     """A watermark on the time of arrival: state can be let go, but no row counts as too old."""
     return rows.withColumn(ARRIVAL, F.current_timestamp()).withWatermark(ARRIVAL, "1 minute")
@@ -77,7 +95,7 @@ def throttle_stream(
     tie: str = "id",
 ) -> DataFrame:
     """First-anchored windows in turn; adds ``status``: accepted or late."""
-    return _arriving(rows).groupBy(*keys).transformWithStateInPandas(
+    return _arriving(sharded(rows, keys)).groupBy(SHARD).transformWithStateInPandas(
         Throttle(list(windows), tie), _plus(rows.schema, status=T.StringType()),
         "append", "eventtime",
     )
@@ -92,7 +110,7 @@ def dedup_stream(
 def change_filter_stream(messages: DataFrame) -> DataFrame:
     """Readings of valid messages with a non-trivial change; adds ``status``."""
     flat = rd.flatten_messages(rd.valid_messages(messages))
-    return _arriving(flat).groupBy("device_id").transformWithStateInPandas(
+    return _arriving(sharded(flat, ["device_id"])).groupBy(SHARD).transformWithStateInPandas(
         ChangeFilter(rd.TRIVIAL_DELTA, rd.TRIVIAL_LEVEL),
         _plus(flat.schema, status=T.StringType()), "append", "eventtime",
     )
@@ -108,9 +126,9 @@ def liveness_stream(
         T.StructField("at", T.TimestampType()),
     ])
     return (
-        heartbeats.select("device_id", "ts")
+        sharded(heartbeats.select("device_id", "ts"), ["device_id"]).select(SHARD, KEY, "ts")
         .withWatermark("ts", watermark)
-        .groupBy("device_id")
+        .groupBy(SHARD)
         .transformWithStateInPandas(Liveness(gap_seconds), out, "append", "eventtime")
     )
 
@@ -131,11 +149,12 @@ def presence_stream(
     ])
 
     def seen(rows: DataFrame, beat: bool) -> DataFrame:
-        return rows.select("device_id", "ts", F.lit(beat).alias("beat")).withWatermark("ts", watermark)
+        return sharded(rows, ["device_id"]).select(
+            SHARD, KEY, "ts", F.lit(beat).alias("beat")).withWatermark("ts", watermark)
 
     return (
         seen(heartbeats, True).unionByName(seen(activity, False))
-        .groupBy("device_id")
+        .groupBy(SHARD)
         .transformWithStateInPandas(Presence(ttl_seconds, idle_seconds), out, "append", "eventtime")
     )
 
@@ -143,7 +162,7 @@ def presence_stream(
 def suppression_stream(requests: DataFrame, seconds: float = EXPIRY_SECONDS) -> DataFrame:
     """Requests with ``activated_at`` and ``outcome`` (activated, updated, rejected, late)."""
     schema = _plus(requests.schema, activated_at=T.TimestampType(), outcome=T.StringType())
-    return _arriving(requests).groupBy("device_id").transformWithStateInPandas(
+    return _arriving(sharded(requests, ["device_id"])).groupBy(SHARD).transformWithStateInPandas(
         Suppression(seconds), schema, "append", "eventtime"
     )
 
@@ -151,7 +170,7 @@ def suppression_stream(requests: DataFrame, seconds: float = EXPIRY_SECONDS) ->
 def alarm_life_stream(alarms: DataFrame, actions: DataFrame) -> DataFrame:
     """Effective RAISE, ACK and RESOLVE changes per alarm, whichever input comes first."""
     out = T.StructType([
-        T.StructField("alarm_id", T.LongType()),
+        T.StructField("alarm_id", T.StringType()),
         T.StructField("device_id", T.StringType()),
         T.StructField("severity", T.StringType()),
         T.StructField("action", T.StringType()),
@@ -167,9 +186,9 @@ def alarm_life_stream(alarms: DataFrame, actions: DataFrame) -> DataFrame:
             "alarm_id", none.alias("device_id"), none.alias("severity"), "action", "actor", "ts"
         )
     )
-    return _arriving(changes).groupBy("alarm_id").transformWithStateInPandas(
+    return _arriving(sharded(changes, ["alarm_id"]).drop("alarm_id")).groupBy(SHARD).transformWithStateInPandas(
         AlarmLife(), out, "append", "eventtime"
-    )
+    ).withColumn("alarm_id", F.col("alarm_id").cast("long"))
 
 
 # --- messages to store, readings to alarms -----------------------------------------------------

@@ -1,6 +1,10 @@
 """Stateful processors: one small state per key, rows in event-time order per micro-batch.
 
-A key may bring a whole micro-batch. Up to HELD_ROWS of its rows are ordered in memory; more go
+Streams are grouped by a shard, a hash of the key (column KEY, see ``flows.sharded``): one call takes all
+rows of a shard's keys, and their states are read and written together. A call for every key cost some ten
+messages between Spark and Python and as many small frames, whatever the number of its rows.
+
+A key may bring a whole micro-batch. Up to HELD_ROWS rows of a shard are ordered in memory; more go
 through sorted runs in the state store, merged a part of each at a time, so a task holds a bounded number of
 rows. Rows older than the state of their key are labelled ``late`` and never move the state.
 
@@ -12,6 +16,7 @@ state goes once a key has been silent for its windows and a further ``KEEP_MS``.
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,41 +26,89 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _LONG = T.StructType([T.StructField("us", T.LongType())])
 KEEP_MS = 24 * 3600 * 1000
+_BLOB = T.StructType([T.StructField("rows", T.BinaryType())])
 ARRIVAL = "_arrival"
-HELD_ROWS = 50_000  # rows of a key that are ordered in memory at a time
+SHARD, KEY = "state_shard", "state_key"
+HELD_ROWS = 50_000  # rows of a shard that are ordered in memory at a time
 PART_ROWS = 1_000  # rows of a run that come back from the state store at a time
 FAN_IN = 32  # runs that are merged at a time
 
 
-class _Idle:
-    """A timer that drops a key's state after a silence; ``seen`` is when that may be."""
+class _Kept:
+    """The states of a shard's keys: tuples by key that begin with a time in milliseconds, or None.
+
+    They are one value of the state store. Its one timer is set for the earliest of the times.
+    """
 
     def __init__(self, handle: StatefulProcessorHandle):
         self.handle = handle
-        self.seen = handle.getValueState("seen", _LONG)
-
-    def touch(self, arrival_ms: int, width_us: int = 0) -> None:
-        until = arrival_ms + width_us // 1000 + KEEP_MS
-        stored = self.seen.get()
-        self.seen.update((max(until, stored[0] if stored else 0),))
-        if stored is None:
-            self.handle.registerTimer(until)
-
-    def over(self, timerValues) -> bool:
-        """Whether the silence has lasted; else the timer is set again."""
-        until = self.seen.get()[0]
-        if until > timerValues.getCurrentWatermarkInMs():
-            self.handle.registerTimer(until)
-            return False
-        self.seen.clear()
-        return True
+        self.states = handle.getValueState("kept", _BLOB)
+        self.timer = handle.getValueState("timer", _LONG)
+
+    def load(self) -> dict[str, tuple]:
+        return _unpacked(self.states.get()) or {}
+
+    def save(self, states: dict[str, tuple]) -> None:
+        if states:
+            self.states.update(_packed(states))
+        else:
+            self.states.clear()
+        at = min((s[0] for s in states.values() if s[0] is not None), default=None)
+        stored = self.timer.get()
+        if at is None or stored is not None and stored[0] <= at:
+            return
+        if stored is not None:
+            self.handle.deleteTimer(stored[0])
+        self.timer.update((at,))
+        self.handle.registerTimer(at)
+
+    def expired(self) -> dict[str, tuple]:
+        """The states when the timer has come; ``save`` sets the next one."""
+        self.timer.clear()
+        return self.load()
+
+    def silent(self, timerValues) -> list[str]:
+        """Drop the keys whose time has passed; which they were."""
+        states, now = self.expired(), timerValues.getCurrentWatermarkInMs()
+        gone = [name for name, state in states.items() if state[0] <= now]
+        for name in gone:
+            del states[name]
+        self.save(states)
+        return gone
+
+
+def _packed(value) -> tuple[bytes]:
+    return (zlib.compress(pickle.dumps(value, pickle.HIGHEST_PROTOCOL), 1),)
+
+
+def _unpacked(stored: tuple | None):
+    return pickle.loads(zlib.decompress(stored[0])) if stored else None
+
+
+def _until(state: tuple | None, arrival_ms: int, width_us: int = 0) -> int:
+    """When a key may go that has just been seen: after a silence of its windows and KEEP_MS."""
+    until = arrival_ms + width_us // 1000 + KEEP_MS
+    return max(until, state[0]) if state else until
+
+
+def _value(name: str) -> str | None:
+    """The value of a key of one column, as text; see ``flows.sharded``."""
+    return name.partition(":")[2] if ":" in name else None
+
+
+def _stretches(names: np.ndarray) -> list[tuple[str, int, int]]:
+    """(name, first row, row after the last) of each stretch of equal names."""
+    if not len(names):
+        return []
+    edge = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+    return [(names[a], a, b) for a, b in zip(edge[:-1], edge[1:])]
 
 
 class _Order:
-    """Puts a key's rows of a micro-batch in order, through the state store where they are many."""
+    """Puts a shard's rows of a micro-batch in order, by key first, through the state store where they are many."""
 
     def __init__(self, handle: StatefulProcessorHandle, by: list[str], ranks: dict[str, dict] | None = None):
-        self.by, self.ranks = by, ranks or {}
+        self.by, self.ranks = [KEY, *by], ranks or {}
         place = T.StructType([T.StructField("run", T.LongType()), T.StructField("part", T.LongType())])
         self.parts = handle.getMapState("runs", place, T.StructType([T.StructField("rows", T.BinaryType())]))
         self.arrival = 0
@@ -142,7 +195,7 @@ def _stamp(us) -> pd.Series:
 
 
 class Throttle(StatefulProcessor):
-    """First-anchored windows in turn (rate limit, then de-duplication) for one key.
+    """First-anchored windows in turn (rate limit, then de-duplication) for the keys of a shard.
 
     ``windows`` are column names or seconds. Emits accepted and late rows with
     a ``status`` column. The state of a key is one record.
@@ -152,12 +205,8 @@ class Throttle(StatefulProcessor):
         self.windows, self.tie = windows, tie
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.idle = _Idle(handle)
+        self.kept = _Kept(handle)
         self.order = _Order(handle, ["ts", self.tie])
-        fields = [f"last{n}" for n in range(len(self.windows))] + ["until"]
-        self.state = handle.getValueState(
-            "state", T.StructType([T.StructField(f, T.LongType()) for f in fields])
-        )
 
     def _width(self, frame: pd.DataFrame, window) -> list[int]:
         if not isinstance(window, str):
@@ -165,35 +214,41 @@ class Throttle(StatefulProcessor):
         return (frame[window].fillna(0).astype(float) * 1e6).astype("int64").tolist()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.state.get()
-        *lasts, until = stored or [None] * (len(self.windows) + 1)
-        first = lasts[0]
+        kept = self.kept.load()
+        current = first = None
         for frame in self.order.chunks(rows):
             times = _us(frame["ts"]).tolist()
-            late = [first is not None and t < first for t in times]
-            alive = [n for n, is_late in enumerate(late) if not is_late]
-            if alive:
-                for stage, window in enumerate(self.windows):
-                    widths, last, passed = self._width(frame, window), lasts[stage], []
-                    for at in alive:
-                        if last is None or widths[at] <= 0 or times[at] - last >= widths[at]:
-                            last = times[at]
-                            passed.append(at)
-                    if last is not None:
-                        until = max(until or 0, last + max(widths))
-                    lasts[stage], alive = last, passed
-            picked = sorted({*alive, *(n for n, is_late in enumerate(late) if is_late)})
+            widths = [self._width(frame, window) for window in self.windows]
+            picked, status = [], []
+            for name, low, high in _stretches(frame[KEY].to_numpy()):
+                stored = kept.get(name)
+                _, *lasts, until = stored or [None] * (len(self.windows) + 2)
+                if name != current:  # rows are late by the state before the micro-batch
+                    current, first = name, lasts[0]
+                late = [n for n in range(low, high) if first is not None and times[n] < first]
+                alive = [n for n in range(low, high) if first is None or times[n] >= first]
+                if alive:
+                    for stage, width in enumerate(widths):
+                        last, passed = lasts[stage], []
+                        for at in alive:
+                            if last is None or width[at] <= 0 or times[at] - last >= width[at]:
+                                last = times[at]
+                                passed.append(at)
+                        if last is not None:
+                            until = max(until or 0, last + max(width[low:high]))
+                        lasts[stage], alive = last, passed
+                picked += late + alive
+                status += ["late"] * len(late) + ["accepted"] * len(alive)
+                if lasts[0] is not None:
+                    kept[name] = (_until(stored, self.order.arrival, until - lasts[0]), *lasts, until)
             if picked:
-                out = frame.iloc[picked].copy()
-                out["status"] = ["late" if late[n] else "accepted" for n in picked]
+                out = frame.drop(columns=[SHARD, KEY]).iloc[picked].copy()
+                out["status"] = status
                 yield out
-        if lasts[0] is not None:
-            self.state.update((*lasts, until))
-            self.idle.touch(self.order.arrival, until - lasts[0])
+        self.kept.save(kept)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.idle.over(timerValues):
-            self.state.clear()
+        self.kept.silent(timerValues)
         return iter(())
 
     def close(self) -> None:
@@ -211,10 +266,7 @@ class ChangeFilter(StatefulProcessor):
         self.deltas, self.levels = deltas, levels
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        value = T.StructType([T.StructField("us", T.LongType()), T.StructField("value", T.DoubleType())])
-        name = T.StructType([T.StructField("sensor_type", T.StringType())])
-        self.last = handle.getMapState("last", name, value)
-        self.idle = _Idle(handle)
+        self.kept = _Kept(handle)
         self.order = _Order(handle, ["ts", "message_id", "pos"])
 
     def _trivial(self, name: str, value: float, before: float | None) -> bool:
@@ -225,33 +277,46 @@ class ChangeFilter(StatefulProcessor):
         return value < self.levels[name] and before < self.levels[name]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before, known = {}, {}  # per sensor type: the stored value, and the one that holds now
+        kept = self.kept.load()
+        current, before, known = None, {}, {}  # of a device per sensor type: the stored value, and the one that holds now
+
+        def put() -> None:
+            if current is not None:
+                kept[current] = (_until(kept.get(current), self.order.arrival), {**before, **known})
+
         for frame in self._messages(self.order.chunks(rows)):
-            times = _us(frame["ts"]).tolist()
-            names, values = frame["sensor_type"].tolist(), frame["value"].tolist()
-            messages = frame["message_id"].tolist()
-            for name in set(names) - set(before):
-                before[name] = known[name] = self.last.getValue((name,))
-            # One late reading makes its whole message late.
-            late = {
-                message for message, name, now in zip(messages, names, times)
-                if before[name] is not None and now < before[name][0]
-            }
-            changed: set = set()
-            for message, name, value, now in zip(messages, names, values, times):
-                if message not in late:
-                    if not self._trivial(name, value, known[name][1] if known[name] else None):
-                        changed.add(message)
-                    known[name] = (now, value)
-            status = ["late" if m in late else "accepted" if m in changed else None for m in messages]
-            out = frame.assign(status=status)
+            status = []
+            for name, low, high in _stretches(frame[KEY].to_numpy()):
+                if name != current:
+                    put()
+                    current, before, known = name, *[kept[name][1] if name in kept else {}] * 2
+                    known = dict(known)
+                part = frame.iloc[low:high]
+                status += self._judged(part, before, known)
+            out = frame.drop(columns=[SHARD, KEY]).assign(status=status)
             out = out[out["status"].notna()]
             if len(out):
                 yield out
-        for name, value in known.items():
-            if value != before[name]:
-                self.last.updateValue((name,), value)
-        self.idle.touch(self.order.arrival)
+        put()
+        self.kept.save(kept)
+
+    def _judged(self, frame: pd.DataFrame, before: dict, known: dict) -> list[str | None]:
+        """Status of the rows of a device; ``known`` moves on."""
+        times = _us(frame["ts"]).tolist()
+        names, values = frame["sensor_type"].tolist(), frame["value"].tolist()
+        messages = frame["message_id"].tolist()
+        # One late reading makes its whole message late.
+        late = {
+            message for message, name, now in zip(messages, names, times)
+            if name in before and now < before[name][0]
+        }
+        changed: set = set()
+        for message, name, value, now in zip(messages, names, values, times):
+            if message not in late:
+                if not self._trivial(name, value, known[name][1] if name in known else None):
+                    changed.add(message)
+                known[name] = (now, value)
+        return ["late" if m in late else "accepted" if m in changed else None for m in messages]
 
     @staticmethod
     def _messages(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,6 +326,7 @@ class ChangeFilter(StatefulProcessor):
             if kept is not None:
                 frame = pd.concat([kept, frame], ignore_index=True)
             same = (frame["message_id"] == frame["message_id"].iloc[-1]) & (frame["ts"] == frame["ts"].iloc[-1])
+            same &= frame[KEY] == frame[KEY].iloc[-1]
             kept = frame[same.to_numpy()].reset_index(drop=True)
             if len(kept) < len(frame):
                 yield frame[~same.to_numpy()].reset_index(drop=True)
@@ -268,8 +334,7 @@ class ChangeFilter(StatefulProcessor):
             yield kept
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.idle.over(timerValues):
-            self.last.clear()
+        self.kept.silent(timerValues)
         return iter(())
 
     def close(self) -> None:
@@ -277,25 +342,22 @@ class ChangeFilter(StatefulProcessor):
 
 
 class Liveness(StatefulProcessor):
-    """Connect and disconnect events of one device from its heartbeats."""
+    """Connect and disconnect events of a shard's devices from their heartbeats."""
 
     def __init__(self, gap_seconds: float):
         self.gap_us = int(gap_seconds * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", _LONG)
-
-    def _events(self, key, what: list[str], when: list[int]) -> pd.DataFrame:
-        return pd.DataFrame({"device_id": key[0], "event": what, "at": _stamp(when)})
+        self.kept = _Kept(handle)
 
-    def _spaced(self, rows: Iterator[pd.DataFrame]) -> np.ndarray:
-        """The times in order, without those that lie between others of one gap-wide slot."""
-        times = np.zeros(0, np.int64)
+    def _spaced(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        """(KEY, us) in order, without the times that lie between others of one gap-wide slot."""
+        times = pd.DataFrame({KEY: pd.Series(dtype=object), "us": pd.Series(dtype="int64")})
         for chunk in rows:
-            times = np.sort(np.concatenate([times, _us(chunk["ts"])]))
-            slot = times // self.gap_us
-            same = slot[1:] == slot[:-1]
+            times = pd.concat([times, pd.DataFrame({KEY: chunk[KEY], "us": _us(chunk["ts"])})], ignore_index=True)
+            times = times.sort_values([KEY, "us"], kind="stable", ignore_index=True)
+            names, slot = times[KEY].to_numpy(), times["us"].to_numpy() // self.gap_us
+            same = (slot[1:] == slot[:-1]) & (names[1:] == names[:-1])
             times = times[~(np.r_[False, same] & np.r_[same, False])]
         return times
 
@@ -303,92 +365,109 @@ class Liveness(StatefulProcessor):
         return -(-(last + self.gap_us) // 1000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = self._spaced(rows)
-        stored = self.last.get()
-        last = stored[0] if stored else None
-        if last is not None:
-            times = times[times >= last]
-        if not len(times):
-            return
-        chain = times if last is None else np.concatenate(([last], times))
-        silent = np.flatnonzero(np.diff(chain) >= self.gap_us)
-        what = [] if last is not None else ["connected"]
-        when = [] if last is not None else [int(chain[0])]
-        for at in silent.tolist():
-            what += ["disconnected", "connected"]
-            when += [int(chain[at]) + self.gap_us, int(chain[at + 1])]
-        self.last.update((int(times[-1]),))
-        if last is None:
-            self.handle.registerTimer(self._end_ms(int(times[-1])))
-        if what:
-            yield self._events(key, what, when)
+        kept, events = self.kept.load(), []
+        spaced = self._spaced(rows)
+        every = spaced["us"].to_numpy()
+        for name, low, high in _stretches(spaced[KEY].to_numpy()):
+            times = every[low:high]
+            end, last = kept.get(name) or (None, None)
+            if last is not None:
+                times = times[times >= last]
+            if not len(times):
+                continue
+            chain = times if last is None else np.concatenate(([last], times))
+            if last is None:
+                events.append((_value(name), "connected", int(chain[0])))
+                end = self._end_ms(int(times[-1]))
+            for at in np.flatnonzero(np.diff(chain) >= self.gap_us).tolist():
+                events.append((_value(name), "disconnected", int(chain[at]) + self.gap_us))
+                events.append((_value(name), "connected", int(chain[at + 1])))
+            kept[name] = (end, int(times[-1]))
+        self.kept.save(kept)
+        if events:
+            yield _device_events(events)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0]
-        if self._end_ms(last) > timerValues.getCurrentWatermarkInMs():
-            self.handle.registerTimer(self._end_ms(last))
-        else:
-            self.last.clear()
-            yield self._events(key, ["disconnected"], [last + self.gap_us])
+        kept, now, events = self.kept.expired(), timerValues.getCurrentWatermarkInMs(), []
+        for name in [n for n, state in kept.items() if state[0] <= now]:
+            last = kept[name][1]
+            if self._end_ms(last) > now:
+                kept[name] = (self._end_ms(last), last)
+            else:
+                del kept[name]
+                events.append((_value(name), "disconnected", last + self.gap_us))
+        self.kept.save(kept)
+        if events:
+            yield _device_events(events)
 
     def close(self) -> None:
         pass
 
 
+def _device_events(events: list[tuple]) -> pd.DataFrame:
+    device, what, when = zip(*events)
+    return pd.DataFrame({"device_id": pd.Series(device, dtype=object), "event": what, "at": _stamp(when)})
+
+
 class Presence(StatefulProcessor):
-    """Connect and disconnect events of one device from its heartbeats and its other traffic.
+    """Connect and disconnect events of a shard's devices from their heartbeats and their other traffic.
 
     A device is connected while its last heartbeat is less than ``ttl_seconds`` and its last message of
     any kind less than ``idle_seconds`` ago. The two inputs have no common order, so nothing is decided before
     the watermark has passed it: what arrives in between is kept as the first and last times
-    of each slot of time, which is all that can change an event. One timer waits for the
-    oldest slot, or for the end of the connection where no slot is waiting.
+    of each slot of time, which is all that can change an event. The time of a device's state is the end of its
+    oldest slot, or of the connection where no slot is waiting.
     """
 
-    STATE = ("beat", "seen", "open")
-    SLOT = ("first_beat", "last_beat", "first", "last")
+    SLOT = {"first_beat": "min", "last_beat": "max", "first": "min", "last": "max"}
+    NEVER = np.iinfo(np.int64).max  # first_beat of a slot without a heartbeat
 
     def __init__(self, ttl_seconds: float, idle_seconds: float):
         self.ttl, self.idle = int(ttl_seconds * 1e6), int(idle_seconds * 1e6)
         self.slot_us = min(self.ttl, self.idle)  # two messages of one slot never leave a gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        longs = lambda names: T.StructType([T.StructField(n, T.LongType()) for n in names])
-        self.state = handle.getValueState("state", longs(self.STATE))
-        self.slots = handle.getMapState("slots", longs(["slot"]), longs(self.SLOT))
-        self.timer = handle.getValueState("timer", _LONG)
+        self.kept = _Kept(handle)
+        self.slots = handle.getValueState("slots", _BLOB)
 
-    def _set_timer(self, at_us: int) -> None:
-        at = -(-at_us // 1000)
-        set_for = self.timer.get()
-        if set_for is not None:
-            if set_for[0] <= at:
-                return
-            self.handle.deleteTimer(set_for[0])
-        self.timer.update((at,))
-        self.handle.registerTimer(at)
+    def _merged(self, parts: list[pd.DataFrame]) -> pd.DataFrame:
+        """One row per device and slot, in order."""
+        return pd.concat(parts, ignore_index=True).groupby([KEY, "slot"], as_index=False).agg(self.SLOT)
+
+    def _put(self, slots: pd.DataFrame) -> None:
+        if len(slots):
+            self.slots.update(_packed({c: slots[c].to_numpy() for c in slots.columns}))
+        else:
+            self.slots.clear()
+
+    @staticmethod
+    def _end(slot: int, width_us: int) -> int:
+        return -(-(slot + 1) * width_us // 1000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first_slot = None
+        parts, count = [], 0
         for frame in rows:
             times, beats = _us(frame["ts"]), frame["beat"].to_numpy(bool)
-            slot = times // self.slot_us
-            for number in np.unique(slot).tolist():
-                mine = slot == number
-                own, beat = times[mine], times[mine & beats]
-                held = self.slots.getValue((number,))
-                first_beat, last_beat, first, last = held or (None, None, None, None)
-                if len(beat):
-                    first_beat = min(int(beat.min()), first_beat) if first_beat is not None else int(beat.min())
-                    last_beat = max(int(beat.max()), last_beat) if last_beat is not None else int(beat.max())
-                first = min(int(own.min()), first) if first is not None else int(own.min())
-                last = max(int(own.max()), last) if last is not None else int(own.max())
-                self.slots.updateValue((number,), (first_beat, last_beat, first, last))
-                first_slot = number if first_slot is None else min(first_slot, number)
-        if first_slot is not None:
-            self._set_timer((first_slot + 1) * self.slot_us)
-        return iter(())
+            parts.append(pd.DataFrame({
+                KEY: frame[KEY], "slot": times // self.slot_us,
+                "first_beat": np.where(beats, times, self.NEVER), "last_beat": np.where(beats, times, -self.NEVER),
+                "first": times, "last": times}))
+            count += len(frame)
+            if count >= HELD_ROWS:
+                parts, count = [self._merged(parts)], 0
+        if not parts:
+            return
+        fresh = self._merged(parts)
+        kept = self.kept.load()
+        first = fresh.drop_duplicates(KEY)
+        for name, slot in zip(first[KEY].tolist(), first["slot"].tolist()):
+            at = self._end(slot, self.slot_us)
+            timer, *state = kept.get(name) or (None, None, None, None)
+            kept[name] = (at if timer is None else min(timer, at), *state)
+        held = _unpacked(self.slots.get())
+        self._put(fresh if held is None else self._merged([pd.DataFrame(held), fresh]))
+        self.kept.save(kept)
+        yield from ()
 
     def _step(self, state: tuple, now: int, is_beat: bool, events: list) -> tuple:
         """The state after a message; ``open`` is when the connection ends if nothing more comes."""
@@ -403,84 +482,92 @@ class Presence(StatefulProcessor):
         return beat, now, min(beat + self.ttl, now + self.idle) if alive else end
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        self.timer.clear()
-        state = self.state.get() or (None, None, None)
+        kept, now = self.kept.expired(), timerValues.getCurrentWatermarkInMs() * 1000
+        held = _unpacked(self.slots.get())
+        slots = self._merged([pd.DataFrame(held)]) if held else None
+        ready, waiting = {}, {}  # by device: its slots the watermark has passed, and the first one after these
+        due = {name for name, state in kept.items() if state[0] is not None and state[0] * 1000 <= now}
+        if slots is not None:
+            passed = (slots["slot"].to_numpy() + 1) * self.slot_us <= now
+            taken = slots[KEY].isin(due).to_numpy() & passed
+            mine, slots = slots[taken], slots[~taken]
+            rows = list(zip(*(mine[c].tolist() for c in self.SLOT)))
+            ready = {name: rows[a:b] for name, a, b in _stretches(mine[KEY].to_numpy())}
+            first = slots.drop_duplicates(KEY)
+            waiting = dict(zip(first[KEY].tolist(), first["slot"].tolist()))
+            self._put(slots)
         events: list = []
-        waiting = sorted(k[0] for k in self.slots.keys())
-        ready = [n for n in waiting if (n + 1) * self.slot_us <= now]
-        for number in ready:
-            first_beat, last_beat, first, last = self.slots.getValue((number,))
-            self.slots.removeKey((number,))
-            times = {(t, False) for t in (first, last)} | {
-                (t, True) for t in (first_beat, last_beat) if t is not None}
-            for at, is_beat in sorted(times, key=lambda r: (r[0], not r[1])):
-                if state[1] is None or at >= state[1]:
-                    state = self._step(state, at, is_beat, events)
-        rest = waiting[len(ready):]
-        beat, seen, end = state
-        if end is not None and end <= now and (not rest or end <= rest[0] * self.slot_us):
-            events.append(("disconnected", end))
-            end = None
-        if end is None and beat is not None and beat + self.ttl <= now and not rest:
-            self.state.clear()  # the heartbeat has run out: the next message starts afresh
-        else:
-            self.state.update((beat, seen, end))
-            due = [(n + 1) * self.slot_us for n in rest[:1]]
-            if end is not None:
-                due.append(end)
-            elif beat is not None and not rest:
-                due.append(beat + self.ttl)
-            if due:
-                self._set_timer(max(min(due), now + 1000))
+        for name in due:
+            state, own = kept[name][1:], []
+            for first_beat, last_beat, first, last in ready.get(name, ()):
+                times = {(t, False) for t in (first, last)}
+                if first_beat != self.NEVER:
+                    times |= {(first_beat, True), (last_beat, True)}
+                for at, is_beat in sorted(times, key=lambda r: (r[0], not r[1])):
+                    if state[1] is None or at >= state[1]:
+                        state = self._step(state, at, is_beat, own)
+            rest = waiting.get(name)
+            beat, seen, end = state
+            if end is not None and end <= now and (rest is None or end <= rest * self.slot_us):
+                own.append(("disconnected", end))
+                end = None
+            if end is None and beat is not None and beat + self.ttl <= now and rest is None:
+                del kept[name]  # the heartbeat has run out: the next message starts afresh
+            else:
+                at = [] if rest is None else [(rest + 1) * self.slot_us]
+                if end is not None:
+                    at.append(end)
+                elif beat is not None and rest is None:
+                    at.append(beat + self.ttl)
+                timer = -(-max(min(at), now + 1000) // 1000) if at else None
+                kept[name] = (timer, beat, seen, end)
+            events += [(_value(name), what, when) for what, when in own]
+        self.kept.save(kept)
         if events:
-            what, when = zip(*events)
-            yield pd.DataFrame({"device_id": key[0], "event": what, "at": _stamp(when)})
+            yield _device_events(events)
 
     def close(self) -> None:
         pass
 
 
 class Suppression(StatefulProcessor):
-    """Suppression state of one device; an activation lasts ``seconds`` and is never extended."""
+    """Suppression states of a shard's devices; an activation lasts ``seconds`` and is never extended."""
 
     def __init__(self, seconds: float):
         self.us = int(seconds * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.idle = _Idle(handle)
+        self.kept = _Kept(handle)
         self.order = _Order(handle, ["ts", "request_id"])
-        self.active = handle.getValueState(
-            "active",
-            T.StructType([
-                T.StructField("us", T.LongType()), T.StructField("suppression_type", T.StringType()),
-            ]),
-        )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.active.get()
-        started, agent = before, _ = stored or (None, None)
+        kept = self.kept.load()
+        current = before = None
         for frame in self.order.chunks(rows):
+            times, types = _us(frame["ts"]).tolist(), frame["suppression_type"].tolist()
             outcomes, anchors = [], []
-            for now, wanted in zip(_us(frame["ts"]).tolist(), frame["suppression_type"]):
-                if before is not None and now < before:
-                    outcomes.append("late")
-                    anchors.append(before)
-                    continue
-                if started is None or now - started >= self.us:
-                    started, agent = now, wanted
-                    outcomes.append("activated")
-                else:
-                    outcomes.append("updated" if wanted == agent else "rejected")
-                anchors.append(started)
-            yield frame.assign(activated_at=_stamp(anchors), outcome=outcomes)
-        if (started, agent) != stored:
-            self.active.update((started, agent))
-        self.idle.touch(self.order.arrival, self.us)
+            for name, low, high in _stretches(frame[KEY].to_numpy()):
+                stored = kept.get(name)
+                _, started, agent = stored or (None, None, None)
+                if name != current:  # rows are late by the state before the micro-batch
+                    current, before = name, started
+                for now, wanted in zip(times[low:high], types[low:high]):
+                    if before is not None and now < before:
+                        outcomes.append("late")
+                        anchors.append(before)
+                        continue
+                    if started is None or now - started >= self.us:
+                        started, agent = now, wanted
+                        outcomes.append("activated")
+                    else:
+                        outcomes.append("updated" if wanted == agent else "rejected")
+                    anchors.append(started)
+                kept[name] = (_until(stored, self.order.arrival, self.us), started, agent)
+            yield frame.drop(columns=[SHARD, KEY]).assign(activated_at=_stamp(anchors), outcome=outcomes)
+        self.kept.save(kept)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.idle.over(timerValues):
-            self.active.clear()
+        self.kept.silent(timerValues)
         return iter(())
 
     def close(self) -> None:
@@ -488,7 +575,7 @@ class Suppression(StatefulProcessor):
 
 
 class AlarmLife(StatefulProcessor):
-    """One alarm from RAISE over ACK to RESOLVE; emits every change that takes effect.
+    """Alarms of a shard from RAISE over ACK to RESOLVE; emits every change that takes effect.
 
     The two inputs have no common order: an action that arrives before its alarm waits
     for it. Actions on a resolved alarm have no effect; nor have those that stay without
@@ -496,77 +583,75 @@ class AlarmLife(StatefulProcessor):
     """
 
     RANK = {"RAISE": 0, "ACK": 1, "RESOLVE": 2}
-    COLUMNS = ["device_id", "severity", "action", "actor", "us"]
+    COLUMNS = [KEY, "device_id", "severity", "action", "actor", "us"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState(
-            "open",
-            T.StructType([
-                T.StructField("device_id", T.StringType()), T.StructField("severity", T.StringType()),
-                T.StructField("resolved", T.BooleanType()),
-            ]),
-        )
-        kinds = [T.StringType()] * 4 + [T.LongType()]
+        self.kept = _Kept(handle)  # device, severity (None while there is no alarm) and whether it is resolved
+        kinds = [T.StringType()] * 5 + [T.LongType()]
         self.waiting = handle.getListState(
             "waiting", T.StructType([T.StructField(n, k) for n, k in zip(self.COLUMNS, kinds)]))
         self.order = _Order(handle, ["us", "action", "actor"], {"action": self.RANK})
-        self.idle = _Idle(handle)
 
-    def _frames(self, rows: Iterator[pd.DataFrame], held: bool) -> Iterator[pd.DataFrame]:
-        """The rows, then those that waited, in the columns of the order and the time of arrival."""
+    def _frames(self, rows: Iterator[pd.DataFrame], kept: dict, raised: set) -> Iterator[pd.DataFrame]:
+        """The rows, then those that waited for an alarm that has come, in the columns of the order and the
+        time of arrival. ``raised`` takes the keys of the alarms that come."""
         arrived = None
         for frame in rows:
             arrived = frame[frame.columns[-1]].max()
+            raised.update(frame[KEY][(frame["action"] == "RAISE").to_numpy()])
             own = frame.assign(us=_us(frame["ts"]), actor=frame["actor"].fillna("").astype(object))
             yield own[self.COLUMNS].assign(_at=frame[frame.columns[-1]])
-        part = []
-        for row in self.waiting.get() if held else ():
-            part.append(tuple(row))
+        if not any(name in kept and kept[name][2] is None for name in raised):
+            return
+        part, still = [], []
+        for row in self.waiting.get():
+            (part if row[0] in raised else still).append(tuple(row))
             if len(part) == PART_ROWS:
                 yield self._waited(part, arrived)
                 part = []
         if part:
             yield self._waited(part, arrived)
+        self._wait(still, afresh=True)
 
     def _waited(self, part: list[tuple], arrived) -> pd.DataFrame:
         frame = pd.DataFrame(part, columns=self.COLUMNS)
         return frame.assign(actor=frame["actor"].fillna("")).assign(_at=arrived)
 
+    def _wait(self, rows: list[tuple], afresh: bool = False) -> None:
+        if afresh:
+            self.waiting.clear()
+        for start in range(0, len(rows), PART_ROWS):
+            self.waiting.appendList(rows[start:start + PART_ROWS])
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        device, severity, resolved = self.open.get() or (None, None, False)
-        is_open = device is not None or severity is not None
-        waits = not is_open and not resolved
-        starts = False  # of equal times RAISE comes first, so a waiting action is only judged when one is there
-        early: list[tuple] = []
-        changes: list[tuple] = []
-        waited = False
-        for frame in self.order.chunks(self._frames(rows, waits)):
-            for own, level, action, actor, us in frame[self.COLUMNS].astype(object).itertuples(index=False):
-                own, level = (None if pd.isna(v) else v for v in (own, level))
-                if waits and not starts and action != "RAISE":
-                    early.append((own, level, action, actor or None, int(us)))
-                    continue
-                starts = starts or action == "RAISE"
-                if action == "RAISE" and not is_open and not resolved:
-                    is_open, device, severity = True, own, level or ""
-                elif action == "RESOLVE" and is_open:
-                    is_open, resolved = False, True
-                elif not (action == "ACK" and is_open):
-                    continue
-                changes.append((key[0], device, severity, action, actor or None, int(us)))
+        kept, raised = self.kept.load(), set()
+        for frame in self.order.chunks(self._frames(rows, kept, raised)):
+            early: list[tuple] = []
+            changes: list[tuple] = []
+            lists = [frame[c].tolist() for c in self.COLUMNS]
+            for name, low, high in _stretches(frame[KEY].to_numpy()):
+                stored = kept.get(name)
+                _, device, severity, resolved = stored or (None, None, None, False)
+                alarm = _value(name)
+                for _, own, level, action, actor, us in zip(*(c[low:high] for c in lists)):
+                    if severity is None and action != "RAISE":
+                        if name not in raised:  # else it came before its alarm and has no effect
+                            early.append((name, None, None, action, actor or None, us))
+                        continue
+                    if resolved or (action == "RAISE") != (severity is None):
+                        continue
+                    if action == "RAISE":
+                        device, severity = (own if isinstance(own, str) else None), level or ""
+                    elif action == "RESOLVE":
+                        resolved = True
+                    elif action != "ACK":
+                        continue
+                    changes.append((alarm, device, severity, action, actor or None, us))
+                kept[name] = (_until(stored, self.order.arrival), device, severity, resolved)
             if changes:
                 yield self._changes(changes)
-                changes = []
-            if early:  # the waiting rows were read before the first frame came, and are among these
-                (self.waiting.appendList if waited else self.waiting.put)(early)
-                early, waited = [], True
-        if waits and not starts:
-            self.idle.touch(self.order.arrival)
-            return
-        if waits:  # what came before its alarm has no effect any more
-            self.waiting.clear()
-        self.open.update((device, severity, resolved))
-        self.idle.touch(self.order.arrival)
+            self._wait(early)
+        self.kept.save(kept)
 
     @staticmethod
     def _changes(changes: list[tuple]) -> pd.DataFrame:
@@ -574,9 +659,9 @@ class AlarmLife(StatefulProcessor):
         return out.assign(ts=_stamp(out["ts"]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.idle.over(timerValues):
-            self.open.clear()
-            self.waiting.clear()
+        gone = set(self.kept.silent(timerValues))
+        if gone and self.waiting.exists():
+            self._wait([tuple(row) for row in self.waiting.get() if row[0] not in gone], afresh=True)
         return iter(())
 
     def close(self) -> None:

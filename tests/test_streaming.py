@@ -217,3 +217,53 @@ def test_presence_stream_equals_liveness_at_several_instants(spark, tmp_path):
         for device, connected in want.items():
             mine = [e for d, t, e in events if d == device and t.replace(tzinfo=timezone.utc) <= at]
             assert (bool(mine) and mine[-1] == "connected") == bool(connected), (device, second)
+
+
+@pytest.mark.parametrize("name", ["dedup", "presence", "life"])
+def test_state_is_held_by_shard_not_by_key(spark, tmp_path, name):
+    """Thousands of keys of one row each are read and written as a shard's, not one by one."""
+    n = 6000
+    rows = spark.range(n).select(
+        "id", F.concat(F.lit("d"), F.col("id")).alias("device_id"), F.lit("LOW").alias("severity"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"))
+    rows.write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    actions = live.where("id < 0").select(
+        F.col("id").alias("alarm_id"), F.lit("ACK").alias("action"), F.lit("a").alias("actor"), "ts")
+    stream = {
+        "dedup": lambda: flows.dedup_stream(live, ["device_id"], DAY),
+        "presence": lambda: flows.presence_stream(live, live, 10**7, 10**7),
+        "life": lambda: flows.alarm_life_stream(live, actions),
+    }[name]()
+    query = (stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+             .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    assert query.awaitTermination(300) and query.exception() is None
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= 4 * flows.SHARDS
+    if name != "presence":
+        assert spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).count() == n
+
+
+def test_alarms_and_actions_over_several_micro_batches(spark, tmp_path, monkeypatch):
+    """Actions wait for their alarm however many others wait too; what follows a RESOLVE has no effect."""
+    at = lambda minute: f"2024-01-01 00:{minute:02d}:00"
+    monkeypatch.setattr(flows, "SHARDS", 1)
+    big = 2**53 + 1
+    raised = [[(1, "d", "LOW", at(0)), (big, "d", "LOW", at(0))], [(2, None, "LOW", at(5))],
+              [(9, "d", "HIGH", at(0)), (None, "d", "LOW", at(0))]]
+    acts = [[(1, "RESOLVE", "x", at(3)), (2, "ACK", "x", at(4)), (2, "ACK", "y", at(6)), (3, "ACK", "x", at(1))],
+            [(1, "ACK", "late", at(9)), (3, "RESOLVE", "x", at(2)), (big, "ACK", "z", at(1))],
+            [(1, "RESOLVE", "again", at(10)), (2, "RESOLVE", "x", at(8))]]
+    for name, schema, parts in (("a", "id long, device_id string, severity string, ts string", raised),
+                                ("b", "alarm_id long, action string, actor string, ts string", acts)):
+        for part in parts:
+            spark.createDataFrame(part, schema).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(
+                1).write.mode("append").parquet(str(tmp_path / name))
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(
+        str(tmp_path / name))
+    out = run(flows.alarm_life_stream(
+        read("a", "id long, device_id string, severity string, ts timestamp"),
+        read("b", "alarm_id long, action string, actor string, ts timestamp")), spark, tmp_path, "several")
+    found = [tuple(r) for r in out.select(F.coalesce("alarm_id", F.lit(-1)), "action", "actor").collect()]
+    want = [(1, "RAISE", None), (1, "RESOLVE", "x"), (2, "RAISE", None), (2, "ACK", "y"), (2, "RESOLVE", "x"),
+            (9, "RAISE", None), (-1, "RAISE", None), (big, "RAISE", None), (big, "ACK", "z")]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
