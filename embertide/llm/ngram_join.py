@@ -25,6 +25,7 @@ from embertide.session import checked_broadcast
 SPARE = 4  # a band has one block in this many beyond those its largest sets need, to leave near-empty ones out
 BAND_GROWTH = 1.5
 CHUNK = 256  # members of a bucket that are compared with as many others at a time
+FIRST = 8  # smallest buckets that a member knows of itself, to leave out pairs that meet in one of them
 NEEDED_ROWS = 1_000_000  # ids (8 bytes) that may be broadcast to pick texts; beyond, the join shuffles
 FULLEST = 255  # fuller blocks count as this full in the order
 
@@ -199,23 +200,35 @@ def close_pairs(pairs: DataFrame, profile: DataFrame, share: int) -> DataFrame:
 
 
 def open_pairs(members: DataFrame, profile: DataFrame, stage: Stage, share: int) -> DataFrame:
-    """Pairs (a, b) of members of one bucket, in different classes, whose sizes and sketches allow a link.
+    """Pairs (a, b) of members of one bucket, in different classes, whose sizes and sketches allow a link."""
+    out = met_pairs(members, profile, stage, share).distinct()
+    with batch_rows(members.sparkSession, 16):
+        return stage.put(out, "open-pairs")
+
+
+def met_pairs(members: DataFrame, profile: DataFrame, stage: Stage, share: int) -> DataFrame:
+    """The pairs of ``open_pairs``, a few of them more than once.
 
     ``members``: bucket, id, class. A bucket's members are dealt to chunks of about CHUNK by a
     hash, and chunks are compared with chunks: only pairs that pass are ever made, however many
-    unlike documents share a bucket.
+    unlike documents share a bucket. Near copies meet in up to k + 1 buckets. A pair is left out where both
+    know of a smaller bucket that they share, by the FIRST smallest of each; in the smallest they share
+    it never is.
     """
-    spark = members.sparkSession
     side = profile.select(F.col("doc_id").alias("id"), "n", "sketch")
-    rows = stage.put(members.join(side, "id"), "open-sketches")
+    never = F.array_repeat(F.lit((1 << 63) - 1).cast("long"), FIRST)
+    first = F.slice(F.concat(F.sort_array(F.collect_set("bucket")), never), 1, FIRST)
+    digits = F.array_join(F.transform(first, lambda b: F.lpad(F.hex(b), 16, "0")), "")
+    known = members.groupBy("id").agg(F.unhex(digits).alias("first"))  # FIRST numbers of 8 bytes
+    rows = stage.put(members.join(side, "id").join(known, "id"), "open-sketches")
     sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     chunks = rows.join(sizes, "bucket").withColumn("chunk", chunk).groupBy("bucket", "chunk", "chunks").agg(
-        F.collect_list(F.struct("id", "class", "n", "sketch")).alias("held"))
+        F.collect_list(F.struct("id", "class", "n", "sketch", "first")).alias("held"))
     chunks = stage.put(chunks, "open-chunks")
     later = chunks.select("bucket", F.col("chunk").alias("later"), F.col("held").alias("other"))
     tiles = chunks.join(later, "bucket").where("chunk <= later").select(
-        (F.col("chunk") == F.col("later")).alias("same"), "held", "other")
+        "bucket", "held", "other")
 
     def parts(held):
         lengths = [len(r["sketch"]) for r in held]
@@ -223,6 +236,8 @@ def open_pairs(members: DataFrame, profile: DataFrame, stage: Stage, share: int)
         for k, n in enumerate(lengths):
             by.setdefault(n, []).append(k)
         facts = np.array([(r["id"], r["class"], r["n"]) for r in held], np.int64).reshape(-1, 3)
+        first = np.frombuffer(b"".join(r["first"] for r in held), ">i8").astype(np.int64).reshape(-1, FIRST)
+        facts = np.concatenate([facts, first], axis=1)
         return [(facts[own], np.frombuffer(b"".join(held[k]["sketch"] for k in own), np.uint64).reshape(len(own), -1))
                 for _, own in sorted(by.items())]
 
@@ -250,14 +265,17 @@ def open_pairs(members: DataFrame, profile: DataFrame, stage: Stage, share: int)
                             part = slice(low, low + 32)
                             differ = np.bitwise_count(xa[part, None, :] ^ xb[None, :, :]).sum(axis=2, dtype=np.int64)
                             i, j = np.nonzero(close[part] & (differ <= most[part]))
-                            found.append(np.stack([fa[part][i, 0], fb[j, 0]], axis=1))
+                            i += low
+                            met = np.zeros(len(i), bool)
+                            for k in range(3, 3 + FIRST):
+                                own = fa[i, k]
+                                met |= (own < tile["bucket"]) & (fb[j, 3:] == own[:, None]).any(axis=1)
+                            found.append(np.stack([fa[i[~met], 0], fb[j[~met], 0]], axis=1))
                 pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
                 pairs = np.unique(np.sort(pairs, axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    out = arrow_map(tiles, kernel, "a long, b long").distinct()
-    with batch_rows(spark, 16):
-        return stage.put(out, "open-pairs")
+    return arrow_map(tiles, kernel, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, stage: Stage, words: int, share: int) -> DataFrame:

@@ -342,3 +342,18 @@ def test_a_half_shared_by_many_words_is_spread(spark, monkeypatch):
         return len(w) == len(v) and sum(x != y for x, y in zip(w, v)) == 1
 
     assert got == {(w, v) for w in words for v in words if w != v and one(w, v)}
+
+
+def test_pairs_that_share_many_buckets_are_made_a_few_times(spark):
+    """Every pair that meets anywhere is there; near copies that meet everywhere come about once."""
+    rng = random.Random(6)
+    held = {i: set(range(-30, 30)) for i in range(300)}  # in all buckets, more than a chunk holds
+    held |= {i: set(rng.sample(range(-30, 30), rng.randint(1, 12))) for i in range(300, 340)}
+    members = spark.createDataFrame(
+        [(b, i, i // 2) for i, own in held.items() for b in own], "bucket long, id long, class long")
+    profile = spark.createDataFrame([(i, 40, bytes(16)) for i in held], "doc_id long, n long, sketch binary")
+    made = [tuple(r) for r in ngram_join.met_pairs(members, profile, Stage(spark), 90).collect()]
+    want = {(a, b) for a in held for b in held if a < b and a // 2 != b // 2 and held[a] & held[b]}
+    assert set(made) == want
+    near = [p for p in made if p[1] < 300]
+    assert len(near) == len(set(near)) and len(made) <= 2 * len(want)
