@@ -420,7 +420,7 @@ class Presence(StatefulProcessor):
     """
 
     SLOT = {"first_beat": "min", "last_beat": "max", "first": "min", "last": "max"}
-    NEVER = np.iinfo(np.int64).max  # first_beat of a slot without a heartbeat
+    NEVER, LEAST = np.iinfo(np.int64).max, np.iinfo(np.int64).min  # first and last_beat without a heartbeat
 
     def __init__(self, ttl_seconds: float, idle_seconds: float):
         self.ttl, self.idle = int(ttl_seconds * 1e6), int(idle_seconds * 1e6)
@@ -450,7 +450,7 @@ class Presence(StatefulProcessor):
             times, beats = _us(frame["ts"]), frame["beat"].to_numpy(bool)
             parts.append(pd.DataFrame({
                 KEY: frame[KEY], "slot": times // self.slot_us,
-                "first_beat": np.where(beats, times, self.NEVER), "last_beat": np.where(beats, times, -self.NEVER),
+                "first_beat": np.where(beats, times, self.NEVER), "last_beat": np.where(beats, times, self.LEAST),
                 "first": times, "last": times}))
             count += len(frame)
             if count >= HELD_ROWS:
