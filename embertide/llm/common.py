@@ -49,6 +49,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_cleared(spark: SparkSession):
+    """A write made within it removes its shuffle files as it ends.
+
+    Else they wait for Spark's cleaner, which missed those of the last write: the shuffles of one step
+    lay beside those of the next.
+    """
+    before = spark.conf.get(CLEANUP_SETTING)
+    spark.conf.set(CLEANUP_SETTING, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP_SETTING, before)
+
+
 class Stage:
     """Tables written once to the shared folder, so that a lost executor costs one read.
 
@@ -62,7 +80,8 @@ class Stage:
     def put(self, df: DataFrame, name: str, *by: str, codec: str = "zstd") -> DataFrame:
         path = new_folder(self.spark, name)
         writer = df.write.option("compression", codec)
-        (writer.partitionBy(*by) if by else writer).parquet(path)
+        with shuffles_cleared(self.spark):
+            (writer.partitionBy(*by) if by else writer).parquet(path)
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

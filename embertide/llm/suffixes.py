@@ -335,9 +335,12 @@ def sorted_names(chunks: DataFrame, level: int, cuts: np.ndarray, stage: Stage)
     with batch_rows(chunks.sparkSession, 4):
         sent = arrow_map(chunks.select("chunk", *fields), send, "bucket int, chunk long, keys binary")
         ranked = sent.groupBy("bucket").applyInArrow(number, "chunk long, bucket int, ranks binary")
+        ranked = stage.put(ranked, f"ranks{level}")  # what was sent goes before the chunks move
         answers = ranked.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ranks")).alias("answer"))
         joined = chunks.join(answers, "chunk", "left")
-        return stage.put(arrow_map(joined, receive, f"{CHUNK}, which binary, ranks binary"), f"names{level}")
+        named = stage.put(arrow_map(joined, receive, f"{CHUNK}, which binary, ranks binary"), f"names{level}")
+    stage.drop(f"ranks{level}")
+    return named
 
 
 CHUNK_TYPES = [("chunk", pa.int64()), ("body", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()),
@@ -425,10 +428,12 @@ def repeated_runs(chunks: DataFrame, stage: Stage) -> DataFrame:
 
     with batch_rows(chunks.sparkSession, 4):
         sent = arrow_map(chunks.select("chunk", "body", "sizes", "which", "ranks"), send, "bucket int, chunk long, keys binary")
-        met = sent.groupBy("bucket").applyInArrow(compare, "chunk long, bucket int, again binary")
+        met = stage.put(sent.groupBy("bucket").applyInArrow(compare, "chunk long, bucket int, again binary"), "met")
         answers = met.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "again")).alias("answer"))
         joined = chunks.join(answers, "chunk", "left")
-        return stage.put(arrow_map(joined, receive, "key binary, low long, high long"), "runs")
+        runs = stage.put(arrow_map(joined, receive, "key binary, low long, high long"), "runs")
+    stage.drop("met")
+    return runs
 
 
 # --- texts -----------------------------------------------------------------------------

@@ -357,3 +357,15 @@ def test_pairs_that_share_many_buckets_are_made_a_few_times(spark):
     assert set(made) == want
     near = [p for p in made if p[1] < 300]
     assert len(near) == len(set(near)) and len(made) <= 2 * len(want)
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    """The shuffles of a step are gone when its table is written, not some steps later."""
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = (files.apply(k).getName() for k in range(files.size()))
+        return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    before = held()
+    out = Stage(spark).put(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    assert held() <= before and out.count() == 7
