@@ -219,12 +219,31 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray, seed: int = 0):
     return span_hashes(lowered(raw), starts, ends, seed), row
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes, compressed: high bytes and runs of small steps cost next to nothing."""
+    planes = np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def loosened(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view("<u8")
+
+
+def steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=ascending.dtype.type(0))
+
+
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def arrow_map(df: DataFrame, kernel: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with batches of at most BATCH_ROWS rows, so that long texts stay bounded in a task."""
-    df.sparkSession.conf.set(BATCH_SETTING, BATCH_ROWS)
+def arrow_map(df: DataFrame, kernel: Callable, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``rows`` rows, so that long texts stay bounded in a task.
+
+    The setting is read when the frame runs: with other ``rows`` than the default, run it before the next is made.
+    """
+    df.sparkSession.conf.set(BATCH_SETTING, rows)
     return df.mapInArrow(kernel, schema)
 
 

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embertide.llm.common import (
-    BASE, BASE_INVERSE, Stage, arrow_map, batch_rows, byte_values, columns_of, mix, pieces, powers, text_buffer,
+    BASE, BASE_INVERSE, Stage, arrow_map, batch_rows, byte_values, columns_of, loosened, mix, pieces, powers, squeezed,
+    steps, text_buffer,
 )
 from embertide.llm.lm import Sums
 from embertide.session import checked_broadcast
@@ -235,22 +236,6 @@ def distinct_rows(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new) - 1
 
 
-def squeezed(numbers: np.ndarray) -> bytes:
-    """64-bit numbers by byte planes, compressed: high bytes and runs of small steps cost next to nothing."""
-    planes = np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
-
-
-def loosened(data: bytes) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view("<u8")
-
-
-def steps(ascending: np.ndarray) -> np.ndarray:
-    return np.diff(ascending, prepend=ascending.dtype.type(0))
-
-
 def chunk_arrays(row, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Text, region sizes, and the name at each sampled place of the level before."""
     body, sizes = np.frombuffer(row["body"], np.uint8), np.frombuffer(row["sizes"], "<i8")

@@ -92,3 +92,50 @@ def test_words_beyond_the_broadcast_have_classes(spark, corpus, head_words):
         assert fewer[k].n_known == r.n_known
         assert fewer[k].score == pytest.approx(r.score, rel=1e-9)
         assert fewer[k].base_score == pytest.approx(r.base_score, rel=1e-9)
+
+
+@pytest.mark.parametrize("reach", [{"head_words": 0, "class_words": 0}, {"head_words": 5, "class_words": 30}, {"head_words": 0}])
+def test_reach_of_broadcasts_and_blocks_changes_nothing(spark, corpus, monkeypatch, reach):
+    """Nor do small blocks, words spread over several of them, or words sent in small parts."""
+    held = F.col("doc_id") % 5 != 0
+    whole = {r.doc_id: r for r in lm.class_scores(corpus, held).collect()}
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(lm, "HOT_COUNT", 80)
+    monkeypatch.setattr(lm, "HELD", 500)
+    fewer = {r.doc_id: r for r in lm.class_scores(corpus, held, **reach).collect()}
+    assert whole.keys() == fewer.keys()
+    for k, r in whole.items():
+        assert (fewer[k].n_known, fewer[k].n_tokens) == (r.n_known, r.n_tokens)
+        assert fewer[k].score == pytest.approx(r.score, rel=1e-9)
+        assert fewer[k].base_score == pytest.approx(r.base_score, rel=1e-9)
+
+
+def test_block_transitions_are_those_of_the_texts(spark, corpus):
+    seen = []
+    before = lm.information
+    try:
+        lm.information = lambda follows: seen.append(follows) or before(follows)
+        model, _ = lm.train(corpus, F.lit(True), Stage(spark), n_classes=8)
+    finally:
+        lm.information = before
+    kinds = {int(h): int(c) for h, c in zip(model.words, model.classes)}
+    want = np.zeros((10, 10))
+    for text in alternating():
+        path = [9, *[kinds.get(hash_of(w), 8) for w in text.split()], 9]
+        np.add.at(want, (path[:-1], path[1:]), 1)
+    assert any((want == follows).all() for follows in seen[1:])
+    assert all(follows.sum() == want.sum() for follows in seen)
+
+
+def test_rounds_move_no_texts(spark, corpus, monkeypatch):
+    """Words outside the broadcast head are looked up once, not by a join of the texts in each round."""
+    moved, put = [], Stage.put
+
+    def spy(self, df, name, *by, **settings):
+        if name.split("-")[0] in ("kinds", "moves", "read", "tail") and name[-1].isdigit():
+            moved.append((name, "Exchange" in df._jdf.queryExecution().executedPlan().toString()))
+        return put(self, df, name, *by, **settings)
+
+    monkeypatch.setattr(Stage, "put", spy)
+    lm.class_scores(corpus, F.lit(True), head_words=10).count()
+    assert moved and not any(x for _, x in moved), moved
