@@ -212,11 +212,10 @@ def sampled_places(sizes: np.ndarray, span: int) -> np.ndarray:
 
 def words_at(body: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place as one number, in byte order; zeros beyond the end."""
-    padded = np.concatenate([body, np.zeros(8, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(body), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | padded[k:k + len(body)]
-    return out
+    out = np.concatenate([body, np.zeros(8, np.uint8)]).astype(np.uint64)
+    for k in (1, 2, 4):  # k bytes become 2 k
+        out = (out[:-k] << np.uint64(8 * k)) | out[k:]
+    return out[:len(body)]
 
 
 def triples(level: int, body: np.ndarray, sizes: np.ndarray, names: np.ndarray | None):
@@ -227,15 +226,37 @@ def triples(level: int, body: np.ndarray, sizes: np.ndarray, names: np.ndarray |
 
 
 def distinct_rows(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows, and for each row in that order the number of its distinct value."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[order][1:] != k[order][:-1]
+    """Order of the rows, and for each row in that order the number of its distinct value.
+
+    A key is looked at only where all keys before it tie. Equal rows stand in any order.
+    """
+    order = np.argsort(keys[0])
+    new = changes(keys[0][order])
+    for key in keys[1:]:
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        rows = order[at]
+        values = key[rows]
+        by = np.argsort(values)
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.cumsum(changes(values[by]))
+        code = np.cumsum(new[at]) * (len(at) + 1) + rank  # group of ties, then key
+        by = np.argsort(code)
+        order[at] = rows[by]
+        new[at] = changes(code[by])
     return order, np.cumsum(new) - 1
 
 
+def changes(ordered: np.ndarray) -> np.ndarray:
+    """Whether a value differs from the one before it; the first does."""
+    out = np.ones(len(ordered), bool)
+    out[1:] = ordered[1:] != ordered[:-1]
+    return out
+
+
 def chunk_arrays(row, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Text, region sizes, and the name at each sampled place of the level before."""
     body, sizes = np.frombuffer(row["body"], np.uint8), np.frombuffer(row["sizes"], "<i8")
@@ -378,7 +399,7 @@ def repeated_runs(chunks: DataFrame, stage: Stage) -> DataFrame:
     def compare(table: pa.Table) -> pa.Table:
         blobs = [np.cumsum(loosened(b)) for b in table.column("keys").to_pylist()]
         keys = np.concatenate(blobs)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         same = keys[order][1:] == keys[order][:-1]
         again = np.zeros(len(keys), bool)
         again[order[1:]] |= same

@@ -369,3 +369,26 @@ def test_a_staged_table_leaves_no_shuffle_files(spark):
     before = held()
     out = Stage(spark).put(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "t")
     assert held() <= before and out.count() == 7
+
+
+def test_rows_are_ordered_by_further_keys_only_where_they_tie():
+    from embertide.llm.suffixes import distinct_rows
+
+    order, number = distinct_rows([np.array([7, 3, 5], np.uint64), None, None])
+    assert (order.tolist(), number.tolist()) == ([1, 2, 0], [0, 1, 2])
+    rng = np.random.default_rng(11)
+    for n, values in ((0, 1), (1, 1), (500, 1), (500, 3), (500, 30), (500, 2 ** 63)):
+        keys = [rng.integers(0, values, n).astype(np.uint64) << np.uint64(values < 2 ** 60) for _ in range(3)]
+        rows = list(zip(*(k.tolist() for k in keys)))
+        order, number = distinct_rows(keys)
+        place = {row: i for i, row in enumerate(sorted(set(rows)))}
+        assert sorted(order.tolist()) == list(range(n))
+        assert number.tolist() == [place[rows[i]] for i in order.tolist()] == sorted(number.tolist())
+
+
+def test_words_at_are_eight_bytes_in_byte_order():
+    from embertide.llm.suffixes import words_at
+
+    for data in (b"", b"a", b"seven b", b"\xff" * 8, bytes(range(256))):
+        want = [int.from_bytes(data[i:i + 8].ljust(8, b"\0"), "big") for i in range(len(data))]
+        assert words_at(np.frombuffer(data, np.uint8)).tolist() == want
