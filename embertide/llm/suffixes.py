@@ -58,16 +58,22 @@ def gram_hashes(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def sliding(values: np.ndarray, width: int, ufunc, fill) -> np.ndarray:
-    """ufunc over values[i] to values[i + width - 1], for every i; ``fill`` stands beyond the end."""
-    n = len(values)
-    blocks = -(-(n + width) // width)
-    padded = np.full(blocks * width, fill, values.dtype)
-    padded[:n] = values
-    table = padded.reshape(blocks, width)
-    ahead = ufunc.accumulate(table, axis=1).reshape(-1)
-    back = ufunc.accumulate(table[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return ufunc(back[:n], ahead[width - 1:width - 1 + n])
+def sliding(values: np.ndarray, width: int, ufunc, fill, step: int = 1 << 15) -> np.ndarray:
+    """ufunc (least or largest) over values[i] to values[i + width - 1], for every i; ``fill`` stands beyond the end.
+
+    Spans double until two of them, which may overlap, cover the width; ``step`` values at a time stay in the cache.
+    """
+    padded = np.concatenate([values, np.full(width - 1, fill, values.dtype)])
+    out = np.empty(len(values), values.dtype)
+    for start in range(0, len(values), step):
+        part, span = padded[start:start + step + width - 1], 1
+        while 2 * span <= width:
+            part = ufunc(part[:-span], part[span:])
+            span *= 2
+        if span < width:
+            part = ufunc(part[:span - width], part[width - span:])
+        out[start:start + step] = part
+    return out
 
 
 def window_minimizers(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -387,8 +393,9 @@ def repeated_runs(chunks: DataFrame, stage: Stage) -> DataFrame:
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                _, key, order, _, first = grouped(row)
-                distinct = key[order][first]
+                _, key = merge_keys(*chunk_arrays(row, len(SPANS)))
+                key.sort()
+                distinct = key[changes(key)]
                 bucket = (distinct >> np.uint64(16 + RANK_BITS)).astype(np.int64)
                 edge = np.flatnonzero(np.diff(bucket, prepend=-1))
                 for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)]):

@@ -392,3 +392,15 @@ def test_words_at_are_eight_bytes_in_byte_order():
     for data in (b"", b"a", b"seven b", b"\xff" * 8, bytes(range(256))):
         want = [int.from_bytes(data[i:i + 8].ljust(8, b"\0"), "big") for i in range(len(data))]
         assert words_at(np.frombuffer(data, np.uint8)).tolist() == want
+
+
+@pytest.mark.parametrize("step", [3, 7, 1 << 15])
+def test_sliding_extremes_are_those_of_each_window(step):
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 6, 7, 8, 50):
+        values = rng.integers(0, 40, n).astype(np.uint64)
+        for width in (1, 2, 3, 7, 8, 60):
+            least = suffixes.sliding(values, width, np.minimum, np.uint64(99), step)
+            most = suffixes.sliding(values, width, np.maximum, np.uint64(0), step)
+            windows = [values[i:i + width].tolist() for i in range(n)]
+            assert least.tolist() == [min(w) for w in windows] and most.tolist() == [max(w) for w in windows]
