@@ -8,7 +8,9 @@ the one with the best likelihood less a penalty for every further language.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from embertide.llm.common import PIECE_BYTES, arrow_map, columns_of, mix, pieces
 BUCKET_BITS = 16  # n-grams share 2**16 buckets, so a language's model has a fixed size
 GRAM = 4  # bytes
 STEPS = 12  # rounds of expectation-maximisation
+GROUP_CELLS = 1 << 14  # n-grams of the documents that are inferred together; a document with more is alone
 PENALTY = 4.0  # nats of likelihood per log n-gram that a further language must gain
 ALPHA = 0.1  # added to every bucket's count
 MAX_LANGUAGES = 512  # the models of all languages are broadcast: 2**16 x 8 bytes each at most
@@ -38,15 +41,20 @@ def gram_buckets(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     frame = np.where(counts == 1, GRAM - 1, 2)
     edges = bounds + np.concatenate([[0], np.cumsum(frame)])
     framed = np.full(int(edges[-1]), 32, np.uint8)
-    framed[np.arange(len(raw)) + np.repeat(edges[:-1] - bounds[:-1], counts) + 1] = raw
+    text = np.ones(len(framed), bool)
+    text[edges[:-1]] = text[edges[1:] - 1] = text[edges[1:][counts == 1] - 2] = False
+    framed[text] = raw
     framed[(framed < 33) | ((framed >= 48) & (framed <= 57))] = 32
     if len(framed) < GRAM:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    wide = framed.astype(np.uint64)
-    code = wide[:-3] | (wide[1:-2] << np.uint64(8)) | (wide[2:-1] << np.uint64(16)) | (wide[3:] << np.uint64(24))
-    row = np.repeat(np.arange(n_rows), np.diff(edges))[:len(code)]
-    inside = np.arange(len(code)) + GRAM <= edges[row + 1]
-    return (mix(code[inside]) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32), row[inside]
+    code = framed[:1 - GRAM].astype(np.uint32)
+    for k in range(1, GRAM):
+        code |= framed[k:len(code) + k].astype(np.uint32) << np.uint32(8 * k)
+    inside = np.ones(len(framed), bool)
+    for k in range(1, GRAM):  # the last places of a row begin no n-gram
+        inside[np.maximum(edges[1:] - k, 0)] = False
+    bucket = (mix(code[inside[:len(code)]].astype(np.uint64)) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32)
+    return bucket, np.repeat(np.arange(n_rows), np.maximum(np.diff(edges) + 1 - GRAM, 0))
 
 
 def lowered_texts(batch) -> tuple[np.ndarray, np.ndarray]:
@@ -58,9 +66,11 @@ class LanguageModel:
     languages: list[str]
     log_p: np.ndarray  # buckets x languages
 
-    @property
-    def p(self) -> np.ndarray:
-        return np.exp(self.log_p)
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms and probabilities, languages x buckets; a further bucket stands for no n-gram (probability 1)."""
+        log_p = np.append(self.log_p.T, np.zeros((len(self.languages), 1)), axis=1)
+        return log_p, np.exp(log_p)
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column | None = None) -> LanguageModel:
@@ -109,62 +119,83 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column |
     return LanguageModel(languages, np.log(counts / counts.sum(axis=0)) if languages else counts)
 
 
-def summed(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, starts, axis=0)
+def like_sized(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions in groups of about equal size that hold at most ``GROUP_CELLS`` cells, or one position."""
+    order = np.argsort(sizes, kind="stable")
+    ranked = sizes[order]
+    start = 0
+    while start < len(order):
+        widest = ranked[start] + ranked[start] // 4 + 8
+        stop = int(np.searchsorted(ranked, widest, side="right"))
+        stop = min(stop, start + max(1, GROUP_CELLS // int(widest)))
+        yield order[start:stop]
+        start = stop
 
 
-def expectation_maximisation(p, n, row, starts, total, share, steps: int = STEPS):
-    """Proportions and log-likelihood per document; languages of share 0 stay out."""
+def expectation_maximisation(p, n, total, share, steps: int = STEPS):
+    """Proportions and log-likelihood per document; languages of share 0 stay out.
+
+    p: documents x languages x n-grams, n: documents x n-grams, 0 where a document has fewer (p is 1 there).
+    """
     for _ in range(steps):
-        weighted = p * share[row]
-        norm = weighted.sum(axis=1)
-        share = summed(weighted * (n / norm)[:, None], starts) / total[:, None]
-    weighted = (p * share[row]).sum(axis=1)
-    return share, summed(n * np.log(weighted), starts)
+        norm = np.matmul(share[:, None, :], p)[:, 0]
+        share = share * np.matmul(p, (n / norm)[:, :, None])[:, :, 0] / total[:, None]
+    norm = np.matmul(share[:, None, :], p)[:, 0]
+    return share, (n * np.log(norm)).sum(axis=1)
+
+
+def chosen_shares(p, single, n, total) -> np.ndarray:
+    """Proportions of the chosen languages of documents of about equal size (see ``expectation_maximisation``).
+
+    single: log-likelihood of each document in each language alone.
+    """
+    docs, kinds = single.shape
+    best = single.argmax(axis=1)
+    chosen = np.zeros((docs, kinds))
+    chosen[np.arange(docs), best] = 1.0
+    if kinds == 1:
+        return chosen
+    likelihood = single[np.arange(docs), best]
+    cost = PENALTY * np.log(total + 1)
+    # the full mixture tells which languages to try, in order of their proportion
+    full, bound = expectation_maximisation(p, n, total, np.full((docs, kinds), 1 / kinds))
+    active = np.flatnonzero(bound > likelihood + cost)  # no smaller set can gain more than the full one
+    wanted = np.argsort(-full, axis=1, kind="stable")
+    size = 1
+    while len(active) and size < kinds:
+        size += 1
+        share = np.zeros((len(active), kinds))
+        np.put_along_axis(share, wanted[active][:, :size], 1 / size, axis=1)
+        share, value = expectation_maximisation(p[active], n[active], total[active], share)
+        better = value - cost[active] > likelihood[active]
+        won = active[better]
+        chosen[won], likelihood[won] = share[better], value[better] - cost[won]
+        active = won
+    return chosen
 
 
 def infer(model: LanguageModel, bucket: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
-    """Proportions (rows x languages) of each row's chosen languages; zero rows without n-grams."""
+    """Proportions (rows x languages) of each row's chosen languages; zero rows without n-grams.
+
+    Rows of about equal size are taken together, so a group's numbers stay in the cache, and
+    memory is bounded by the buckets of one row however long its text is.
+    """
     shares = np.zeros((n_rows, len(model.languages)))
     code, n = np.unique(row.astype(np.int64) << BUCKET_BITS | bucket, return_counts=True)
     if not len(code) or not model.languages:
         return shares
-    rows = code >> BUCKET_BITS
+    rows, cells = code >> BUCKET_BITS, code & ((1 << BUCKET_BITS) - 1)
     starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    present = rows[starts]
-    local = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
-    log_p, n = model.log_p[code & ((1 << BUCKET_BITS) - 1)], n.astype(float)
-    total = summed(n, starts)
-    single = summed(log_p * n[:, None], starts)
-    best = single.argmax(axis=1)
-    chosen = np.zeros((len(starts), len(model.languages)))
-    chosen[np.arange(len(starts)), best] = 1.0
-    likelihood = single[np.arange(len(starts)), best]
-    p = np.exp(log_p)
-    cost = PENALTY * np.log(total + 1)
-    # the full mixture tells which languages to try, in order of their proportion
-    active = np.arange(len(starts))
-    if len(model.languages) > 1:
-        full, bound = expectation_maximisation(
-            p, n, local, starts, total, np.full((len(starts), len(model.languages)), 1 / len(model.languages)))
-        active = np.flatnonzero(bound > likelihood + cost)  # no smaller set can gain more than the full one
-        wanted = np.argsort(-full, axis=1, kind="stable")
-        size = 1
-        while len(active) and size < len(model.languages):
-            size += 1
-            mask = np.isin(local, active)
-            renumber = np.full(len(starts), -1)
-            renumber[active] = np.arange(len(active))
-            sub = renumber[local[mask]]
-            sub_starts = np.flatnonzero(np.concatenate([[True], sub[1:] != sub[:-1]]))
-            share = np.zeros((len(active), len(model.languages)))
-            np.put_along_axis(share, wanted[active][:, :size], 1 / size, axis=1)
-            share, value = expectation_maximisation(p[mask], n[mask], sub, sub_starts, total[active], share)
-            better = value - cost[active] > likelihood[active]
-            won = active[better]
-            chosen[won], likelihood[won] = share[better], value[better] - cost[won]
-            active = won
-    shares[present] = chosen
+    present, sizes = rows[starts], np.diff(np.append(starts, len(rows)))
+    log_p, p = model.tables
+    for group in like_sized(sizes):
+        place = np.arange(int(sizes[group].max()))
+        inside = place < sizes[group][:, None]
+        at = np.where(inside, starts[group][:, None] + place, 0)
+        own, count = np.where(inside, cells[at], 1 << BUCKET_BITS), np.where(inside, n[at], 0).astype(float)
+        single = np.stack([(table[own] * count).sum(axis=1) for table in log_p], axis=1)
+        shares[present[group]] = chosen_shares(
+            np.stack([table[own] for table in p], axis=1), single, count, count.sum(axis=1))
     return shares
 
 
@@ -181,7 +212,7 @@ def identify(
     held = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))  # readable without this package
 
     def kernel(batches):
-        model = LanguageModel(*held.value)
+        model = LanguageModel(*held.value)  # its tables are made once a task
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         for batch in pieces(batches):
             texts = batch.column(1).cast(pa.large_string())

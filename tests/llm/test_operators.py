@@ -1,6 +1,7 @@
 """The operators' own interfaces: parts that the queries do not show."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +129,50 @@ def test_mixtures_of_two_languages():
     assert not shares[2].any()
 
 
+def test_mixture_inference_takes_rows_in_small_groups_and_equals_the_plain_steps():
+    rng = np.random.default_rng(5)
+    languages = ["aa", "bb", "cc", "dd"]
+    log_p = np.log(rng.dirichlet(np.full(1 << langid.BUCKET_BITS, 0.05), 4).T + 1e-9)
+    sizes = [3, 1, 0, 40, 700, 9000, *rng.integers(1, 2500, 600).tolist()]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    bucket = rng.integers(0, 1 << langid.BUCKET_BITS, len(row)).astype(np.uint32)
+    for k in range(4, len(sizes)):  # rows of one language, and of two
+        own = np.flatnonzero(row == k)
+        for lang, part in ((k % 4, own), ((k + 1) % 4, own[:len(own) * (k % 3) // 4])):
+            bucket[part] = rng.choice(1 << langid.BUCKET_BITS, len(part), p=np.exp(log_p[:, lang]) / np.exp(log_p[:, lang]).sum())
+    model = langid.LanguageModel(languages, log_p)
+    tracemalloc.start()
+    found = langid.infer(model, bucket, row, len(sizes))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * len(row)  # bytes an n-gram, whatever the number of languages; whole batches took 4 x 32 at least
+
+    def mixed(p, n, share):
+        for _ in range(langid.STEPS):
+            share = (p * share * (n / (p @ share))[:, None]).sum(axis=0) / n.sum()
+        return share, (n * np.log(p @ share)).sum()
+
+    for k in (0, 1, 2, 3, 4, 5, 30, 31, 32, 33, 200, 500):
+        cells, n = np.unique(bucket[row == k], return_counts=True)
+        if not len(cells):
+            assert not found[k].any()
+            continue
+        p, cost = np.exp(log_p[cells]), langid.PENALTY * np.log(n.sum() + 1)
+        single = n @ log_p[cells]
+        want, value = np.eye(4)[single.argmax()], single.max()
+        full, bound = mixed(p, n, np.full(4, 0.25))
+        order, size = np.argsort(-full, kind="stable"), 1
+        while bound > single.max() + cost and size < 4:
+            size += 1
+            share = np.zeros(4)
+            share[order[:size]] = 1 / size
+            share, more = mixed(p, n, share)
+            if more - cost <= value:
+                break
+            want, value = share, more - cost
+        assert np.abs(found[k] - want).max() < 1e-9
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_files_by_declared_lengths(version):
     name = "a-0"
