@@ -69,6 +69,24 @@ def spans_of(raw: np.ndarray, bounds: np.ndarray, mark: bytes | None = None):
     return starts, ends, np.searchsorted(bounds, starts, side="right") - 1
 
 
+def one_piece(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Whether each span is, after one space at most, a run of letters, of digits or of signs other than apostrophes.
+
+    The splitting pattern takes such a span as one piece.
+    """
+    kind = kinds(raw) if len(raw) else np.zeros(0, np.uint8)
+    first, sizes = bounds[:-1], np.diff(bounds)
+    spaced = np.flatnonzero(sizes > 1)
+    spaced = spaced[raw[first[spaced]] == 32]
+    kind[first[spaced]] = kind[first[spaced] + 1]  # the space counts as what follows it
+    odd = (kind == OTHER) | (kind == WHITE) | (raw == 39)
+    odd[1:] |= kind[1:] != kind[:-1]
+    begun = first[sizes > 0]
+    odd[begun] = (kind[begun] == OTHER) | (kind[begun] == WHITE) | (raw[begun] == 39)
+    found = np.concatenate([[0], np.cumsum(odd)])
+    return (found[bounds[1:]] == found[first]) & (sizes > 0)
+
+
 class SpanMemory:
     """Ids of spans by hash, in a table of fixed size; a newer span takes the slot of an older one.
 

@@ -21,15 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from embertide.llm.bpe import byte_characters
 from embertide.llm.common import LANE, Stage, arrow_map, columns_of, new_folder, pieces, text_buffer
 from embertide.llm.files import read_files, write_files
-from embertide.llm.spans import SpanMemory, text_ids
+from embertide.llm.spans import SpanMemory, one_piece, text_ids
 
 LONGEST = 16  # bits of a code, or as many more as it takes to give each used id one
 MOST_BITS = 24  # a code and its place in a byte fit 32 bits
 DISTANCE = 256  # ids between checkpoints; all checkpoints of a file decode side by side
 RUN_IDS = 3_000_000  # ids of one file; a longer document has a file of its own
 END_ID = 2
+TEXT_BYTES = 500_000  # text whose spans are cut and looked up at a time: numbers a byte that stay in the cache
+PACKED = 1 << 16  # ids that are packed at a time
 STRUNG = 500  # spans that are handed to the tokenizer as one text
 
 
@@ -39,7 +42,8 @@ STRUNG = 500  # spans that are handed to the tokenizer as one text
 class SpanTokenizer:
     """Ids of distinct spans by the tokenizer library.
 
-    Spans are strung together with a special token between them, which parts them for the
+    Spans that the splitting pattern takes as one piece go to the library's model as they are, where the file has
+    no rules of its own. Others are strung together with a special token between them, which parts them for the
     tokenizer like separate texts. With ``special_as_text`` a special token's name in a text is ordinary text.
     """
 
@@ -51,8 +55,47 @@ class SpanTokenizer:
         # the name of one special token is cut out as a span of its own; more of them leave texts whole
         self.mark = None if special_as_text or len(special) != 1 else self.name
         self.whole = len(special) > 1 and not special_as_text
+        self.characters = self._characters(len(special))
+
+    def _characters(self, n_special: int) -> np.ndarray | None:
+        """The character that stands for each byte in the model's texts; null if pieces cannot go to the model alone."""
+        from tokenizers import models, pre_tokenizers
+
+        split = self.tokenizer.pre_tokenizer
+        names = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        plain = (
+            isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space
+            and isinstance(self.tokenizer.model, models.BPE) and not self.tokenizer.model.dropout
+            and self.tokenizer.normalizer is None and not self.tokenizer.truncation and not self.tokenizer.padding
+            and len(names) == n_special <= 1
+            and not any(one_piece(np.frombuffer(n, np.uint8), np.array([0, len(n)])).any() for n in names))
+        if not plain:
+            return None
+        found = np.zeros(256, "<u2")
+        for character, byte in byte_characters().items():
+            found[byte] = ord(character)
+        return found
 
     def __call__(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if self.characters is None:
+            return self.strung(spans)
+        raw = np.frombuffer(b"".join(spans), np.uint8)
+        bounds = np.concatenate([[0], np.cumsum([len(s) for s in spans])]).astype(np.int64)
+        alone = one_piece(raw, bounds)
+        text, tokenize = self.characters[raw].tobytes().decode("utf-16-le"), self.tokenizer.model.tokenize
+        lists = [[t.id for t in tokenize(text[a:b])]
+                 for a, b in zip(bounds[:-1][alone].tolist(), bounds[1:][alone].tolist())]
+        counts = np.zeros(len(spans), np.int64)
+        counts[alone] = [len(x) for x in lists]
+        ids = np.array([i for x in lists for i in x], np.uint32)
+        if alone.all():
+            return ids, counts
+        other, counts[~alone] = self.strung([s for s, a in zip(spans, alone.tolist()) if not a])
+        own, out = np.repeat(alone, counts), np.zeros(int(counts.sum()), np.uint32)
+        out[own], out[~own] = ids, other
+        return out, counts
+
+    def strung(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         alone = self.name is None or self.whole or (
             self.name in b"".join(spans) and any(self.name in s for s in spans))
         if alone:
@@ -73,7 +116,7 @@ def encoded(batches, tokenizer, end_id: int, special_as_text: bool = False) -> I
     """(doc ids, document lengths, ids) of each piece of the batches, end ids appended."""
     encode = SpanTokenizer(tokenizer, special_as_text)
     memory = SpanMemory(encode)
-    for batch in pieces(batches):
+    for batch in pieces(batches, limit=TEXT_BYTES):
         raw, bounds = text_buffer(batch.column(1))
         if encode.whole:
             data = raw.tobytes()
@@ -145,32 +188,46 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, distance: int = DISTANCE):
     """Code bits of ``ids`` and the bit offset of every ``distance``-th id."""
-    width = lengths[ids].astype(np.int64)
-    if len(ids) and not width.all():
-        raise ValueError("an id without a code")
-    at = np.cumsum(width) - width
-    total = int(width.sum())
-    out = np.zeros(total // 8 + 5)
-    value = codes[ids].astype(np.uint64) << (32 - width - (at & 7)).astype(np.uint64)
-    for k in range(3 if width.max(initial=0) <= 17 else 4):  # bytes a code touches; bits never overlap, so sums are ors
-        part = ((value >> np.uint64(24 - 8 * k)) & np.uint64(255)).astype(np.float64)
-        out[:total // 8 + 5] += np.bincount((at >> 3) + k, weights=part, minlength=len(out))[:len(out)]
-    return out.astype(np.uint8), at[::distance].astype(np.uint64), total
+    sizes = lengths.astype(np.int64)
+    words = np.zeros(len(ids) * int(sizes.max(initial=0)) // 32 + 4, np.uint32)
+    offsets, total = [np.zeros(0, np.int64)], 0
+    for low in range(0, len(ids), PACKED):
+        part = ids[low:low + PACKED]
+        width, value = sizes[part], codes[part].astype(np.uint64)
+        if not width.all():
+            raise ValueError("an id without a code")
+        at = total + np.cumsum(width) - width
+        offsets.append(at[-low % distance::distance])
+        total += int(width.sum())
+        if len(part) % 2:
+            width, value = np.append(width, 0), np.append(value, np.uint64(0))
+        value = (value[::2] << width[1::2].astype(np.uint64)) | value[1::2]  # two codes, 48 bits at most
+        at, end = at[::2], at[::2] + width[::2] + width[1::2]
+        first = int(at[0]) >> 5
+        word = (at >> 5) - first
+        for k in range(int((((end - 1) >> 5) - (at >> 5)).max()) + 1):  # bits never overlap, so sums are ors
+            shift = 32 * ((at >> 5) + k + 1) - end
+            bits = np.where(shift >= 0, value << np.maximum(shift, 0).astype(np.uint64),
+                            value >> np.maximum(-shift, 0).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
+            added = np.bincount(word + k, weights=bits.astype(np.float64)).astype(np.uint32)
+            words[first:first + len(added)] |= added
+    bits = words[:total // 32 + 4].astype(">u4").view(np.uint8)[:total // 8 + 5]
+    return bits, np.concatenate(offsets).astype(np.uint64), total
 
 
 def unpack(bits: np.ndarray, offsets: np.ndarray, n: int, table, distance: int = DISTANCE) -> np.ndarray:
     """The ``n`` ids; every checkpoint's stretch is decoded on its own, all of them in step."""
     symbols, widths, longest = table
-    data = np.concatenate([bits, np.zeros(4, np.uint8)]).astype(np.uint32)
+    data = np.concatenate([bits, np.zeros(7, np.uint8)])
+    following = np.zeros(len(data) - 3, np.uint32)  # the 32 bits from each byte on
+    for k in range(4):
+        following |= data[k:len(following) + k].astype(np.uint32) << np.uint32(24 - 8 * k)
     ids = np.zeros((distance, len(offsets)), np.uint32)
-    at = offsets.astype(np.int64)
-    last = len(data) - 4
+    at, last, unused = offsets.astype(np.int64), len(following) - 1, np.uint32(32 - longest)
     for step in range(min(distance, n)):
-        byte = np.minimum(at >> 3, last)
-        window = (data[byte] << 24) | (data[byte + 1] << 16) | (data[byte + 2] << 8) | data[byte + 3]
-        window = (window << (at & 7).astype(np.uint32)) >> np.uint32(32 - longest)
+        window = (following[np.minimum(at >> 3, last)] << (at & 7).astype(np.uint32)) >> unused
         ids[step] = symbols[window]
-        at = at + widths[window]
+        at += widths[window]
     return ids.T.reshape(-1)[:n]
 
 

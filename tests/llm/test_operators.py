@@ -213,6 +213,53 @@ def test_packed_ids_come_back(n):
     assert (tokens.unpack(bits, offsets, n, tokens.decode_table(lengths)) == ids).all()
 
 
+def test_one_piece_spans_go_to_the_model_and_give_the_librarys_ids():
+    from tokenizers import Tokenizer
+
+    from embertide.llm.queries import tokenizer_path
+
+    rng = random.Random(6)
+    signs = list("aZ 09.,!'é×÷\n\t ßñ漢sªµ½²") + ["<|endoftext|>"]
+    found = sorted({"".join(rng.choice(signs) for _ in range(rng.randint(1, 6))).encode() for _ in range(4000)})
+    found += [w.encode() for w in (" the", "abc", " 2024", "!!", "été", "漢字", "don't", "'s", " ", "\n", "  a")]
+    library = Tokenizer.from_file(tokenizer_path())
+    want = [e.ids for e in library.encode_batch_fast([s.decode() for s in found], add_special_tokens=False)]
+    handed = []
+
+    class Counting:  # notes the texts that the whole tokenizer is asked for
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, texts, **rest):
+            handed.extend(texts)
+            return library.encode_batch_fast(texts, **rest)
+
+    for text in (found, [s for s in found if b"<|endoftext|>" not in s]):
+        ids, counts = tokens.SpanTokenizer(Counting())(text)
+        wanted = [w for s, w in zip(found, want) if s in set(text)]
+        assert ids.tolist() == [i for w in wanted for i in w] and counts.tolist() == [len(w) for w in wanted]
+    handed.clear()
+    tokens.SpanTokenizer(Counting())([b" the", b"abc", b" 2024", b"!!", "été".encode(), b"  "])
+    assert "".join(handed).startswith("  ") and "abc" not in "".join(handed)
+
+
+@pytest.mark.parametrize("distance", [1, 7, 256, 1000])
+def test_packing_in_blocks_gives_the_bits_of_one_code_after_the_other(distance):
+    rng = np.random.default_rng(distance)
+    ids = np.minimum(rng.geometric(0.003, 2 * tokens.PACKED + 1001), 4999).astype(np.uint32)
+    lengths = tokens.code_lengths(np.bincount(ids, minlength=5000))
+    codes = tokens.canonical(lengths)
+    tracemalloc.start()
+    bits, offsets, total = tokens.pack(ids, lengths, codes, distance)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    text = "".join(format(int(codes[i]), f"0{lengths[i]}b") for i in ids.tolist())
+    assert total == len(text) and np.unpackbits(bits)[:total].tolist() == [int(c) for c in text]
+    assert not np.unpackbits(bits)[total:].any() and len(bits) == total // 8 + 5
+    assert (offsets == (np.cumsum(lengths[ids].astype(int)) - lengths[ids])[::distance]).all()
+    assert peak < 64 * len(ids)
+
+
 def test_minimax_is_the_least_capacity():
     rng = np.random.default_rng(1)
     for _ in range(20):
