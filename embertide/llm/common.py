@@ -175,7 +175,7 @@ _POWERS: dict[int, np.ndarray] = {}
 def powers(n: int, base: np.uint64) -> np.ndarray:
     held = _POWERS.get(int(base))
     if held is None or len(held) < n:
-        size = max(n, PIECE_BYTES + 1)
+        size = max(n + n // 4, 1 << 18)  # by what is asked for: a worker keeps these as long as it lives
         factors = np.full(size, base, np.uint64)
         factors[0] = 1
         held = np.cumprod(factors)

@@ -22,6 +22,7 @@ from embertide.llm.common import PIECE_BYTES, arrow_map, columns_of, mix, pieces
 
 BUCKET_BITS = 16  # n-grams share 2**16 buckets, so a language's model has a fixed size
 GRAM = 4  # bytes
+TEXT_BYTES = 1_000_000  # text whose n-grams are held at a time
 STEPS = 12  # rounds of expectation-maximisation
 GROUP_CELLS = 1 << 14  # n-grams of the documents that are inferred together; a document with more is alone
 PENALTY = 4.0  # nats of likelihood per log n-gram that a further language must gain
@@ -214,7 +215,7 @@ def identify(
     def kernel(batches):
         model = LanguageModel(*held.value)  # its tables are made once a task
         names = np.array([*model.languages, UNKNOWN], dtype=object)
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=TEXT_BYTES):
             texts = batch.column(1).cast(pa.large_string())
             letters = np.array([bool(t and LETTER.search(t)) for t in texts.to_pylist()], bool)
             shares = infer(model, *gram_buckets(*lowered_texts(batch)), batch.num_rows)

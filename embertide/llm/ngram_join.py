@@ -27,6 +27,7 @@ BAND_GROWTH = 1.5
 CHUNK = 256  # members of a bucket that are compared with as many others at a time
 FIRST = 8  # smallest buckets that a member knows of itself, to leave out pairs that meet in one of them
 NEEDED_ROWS = 1_000_000  # ids (8 bytes) that may be broadcast to pick texts; beyond, the join shuffles
+TEXT_BYTES = 1_000_000  # text whose words are hashed at a time, some 100 bytes of numbers for each byte
 FULLEST = 255  # fuller blocks count as this full in the order
 
 
@@ -163,7 +164,7 @@ def profiles(docs: DataFrame, words: int, share: int, doc_id: str, text: str) ->
     rows = columns_of(docs, ("doc_id", F.col(doc_id)), ("text", F.col(text)))
 
     def kernel(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=TEXT_BYTES):
             value, row = shingles(*text_buffer(batch.column(1)), words)
             size = np.bincount(row, minlength=batch.num_rows)
             sums = []
@@ -287,8 +288,8 @@ def verified(pairs: DataFrame, docs: DataFrame, stage: Stage, words: int, share:
 
     def kernel(batches):
         for whole in batches:
-            for batch in pieces([whole], "ta"):
-                for part in pieces([batch], "tb"):
+            for batch in pieces([whole], "ta", TEXT_BYTES):
+                for part in pieces([batch], "tb", TEXT_BYTES):
                     n = part.num_rows
                     sets = [shingles(*text_buffer(part.column(i)), words) for i in (2, 3)]
                     code = np.concatenate([mix(v + mix(r.astype(np.uint64) + np.uint64(1))) for v, r in sets])

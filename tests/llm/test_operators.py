@@ -260,6 +260,27 @@ def test_packing_in_blocks_gives_the_bits_of_one_code_after_the_other(distance):
     assert peak < 64 * len(ids)
 
 
+def test_numbers_kept_for_hashing_and_encoding_are_bounded_by_small_pieces():
+    from tokenizers import Tokenizer
+
+    from embertide.llm import common
+    from embertide.llm.queries import tokenizer_path
+
+    common._POWERS.clear()
+    word_hashes(*text_buffer(pa.array(["a few words"])))
+    assert sum(held.nbytes for held in common._POWERS.values()) < 8_000_000  # 64 MB whatever the text
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=900)) for _ in range(800)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(800)), pa.array(texts)], ["doc_id", "text"])
+    library = Tokenizer.from_file(tokenizer_path())
+    tracemalloc.start()
+    assert sum(len(lengths) for _, lengths, _ in tokens.encoded([batch], library, 2)) == 800
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120_000_000
+
+
 def test_minimax_is_the_least_capacity():
     rng = np.random.default_rng(1)
     for _ in range(20):
