@@ -221,8 +221,10 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray, seed: int = 0):
 
 def squeezed(numbers: np.ndarray) -> bytes:
     """64-bit numbers by byte planes, compressed: high bytes and runs of small steps cost next to nothing."""
-    planes = np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+    planes = np.empty((8, len(numbers)), np.uint8)
+    for k in range(8):  # faster than a transposed copy
+        planes[k] = np.asarray(numbers, np.uint64) >> np.uint64(8 * k)
+    return planes.nbytes.to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def loosened(data: bytes) -> np.ndarray:

@@ -11,7 +11,8 @@ equal prefixes are repeats.
 
 Two exact reductions come first. Equal texts, and equal regions of texts, enter the sort
 once, with their count. And a place whose smallest 100-byte hash occurs once in the whole
-corpus cannot repeat, so only regions with repeated minimizers are sorted at all.
+corpus cannot repeat, so only regions with repeated minimizers are sorted at all. Regions
+that share text mostly come to one chunk, which sends what they share once.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ GRAM = 100  # bytes of a minimizer; a LENGTH window holds LENGTH - GRAM + 1 of t
 SPANS = (24, 72, 198)  # bytes that names cover after each sort; all but the last shift by multiples of 3
 SHIFTS = ((0, 8, 16), (0, 24, 48), (0, 72, 126))  # where the parts of a triple begin
 RANK_BITS, MAX_BUCKETS = 34, 4096
+TEXT_BYTES = 1_000_000  # text that is hashed at a time; a longer text is a piece of its own
 CHUNK_BYTES = 1_000_000  # text of one row of the sort; a longer region is a row of its own
 BUCKET_BYTES = 2_000_000  # sampled text that one bucket of the sort takes, about
 HELD_MINIMIZERS = 4_000_000  # repeated minimizers (8 bytes each) that are broadcast; beyond, they are joined
@@ -45,16 +47,24 @@ TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 # --- minimizers ------------------------------------------------------------------------
 
 
-def gram_hashes(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each place; the largest value where they leave the text."""
+def gram_hashes(raw: np.ndarray, bounds: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """Hash of the GRAM bytes from each place; the largest value where they leave the text.
+
+    ``step`` places at a time stay in the cache.
+    """
     n = len(raw)
-    out = np.full(n, TOP, np.uint64)
-    if n >= GRAM:
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(byte_values(5)[raw] * powers(n, BASE), out=sums[1:])
-        out[:n - GRAM + 1] = mix((sums[GRAM:] - sums[:-GRAM]) * powers(n + 1, BASE_INVERSE)[:n - GRAM + 1]) >> np.uint64(1)
-        for k in bounds[1:].tolist():
-            out[max(0, k - GRAM + 1):k] = TOP
+    out = np.empty(n, np.uint64)
+    out[max(0, n - GRAM + 1):] = TOP
+    values = byte_values(5)
+    for start in range(0, n - GRAM + 1, step):
+        part = raw[start:start + step + GRAM - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(values.take(part, mode="clip") * powers(len(part), BASE), out=sums[1:])
+        own = sums[GRAM:] - sums[:-GRAM]
+        own *= powers(len(own), BASE_INVERSE)
+        out[start:start + len(own)] = mix(own) >> np.uint64(1)
+    for k in bounds[1:].tolist():
+        out[max(0, k - GRAM + 1):k] = TOP
     return out
 
 
@@ -96,7 +106,7 @@ def minimizer_counts(texts: DataFrame) -> DataFrame:
             code, n = sums.take()
             return pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n, pa.int64())], ["gram", "n"])
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=TEXT_BYTES):
             grams, smallest, _ = window_minimizers(*text_buffer(batch.column(0)))
             # a gram is chosen if it is smallest in one of the windows that hold it
             width = LENGTH - GRAM + 1
@@ -108,37 +118,37 @@ def minimizer_counts(texts: DataFrame) -> DataFrame:
     return arrow_map(texts.select("text"), kernel, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-REGION = "h string, at long, key binary, n_bytes long, body binary"
+REGION = "h string, at long, key binary, least long, n_bytes long, body binary"
 
 
-def _regions(flags: np.ndarray, bounds: np.ndarray, raw: np.ndarray):
-    """(row, place in the row, bytes) of each run of flagged starts, with the LENGTH bytes of its last."""
+def _regions(flags: np.ndarray, bounds: np.ndarray, raw: np.ndarray, smallest: np.ndarray):
+    """(row, place in the row, least hash, bytes) of each run of flagged starts, with the LENGTH bytes of its last."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
     low, high = edge[::2], edge[1::2]  # starts low to high - 1
     row = np.searchsorted(bounds, low, side="right") - 1
     data = raw.tobytes()
     for a, b, r in zip(low.tolist(), high.tolist(), row.tolist()):
-        yield r, a - int(bounds[r]), data[a:b - 1 + LENGTH]
+        yield r, a - int(bounds[r]), int(smallest[a:b].min()), data[a:b - 1 + LENGTH]
 
 
 def _region_batch(rows) -> pa.RecordBatch:
-    h, at, body = zip(*rows)
+    h, at, least, body = zip(*rows)
     return pa.RecordBatch.from_arrays([
         pa.array(h, pa.string()), pa.array(at, pa.int64()),
-        pa.array([hashlib.blake2b(b, digest_size=16).digest() for b in body], pa.binary()),
+        pa.array([hashlib.blake2b(b, digest_size=16).digest() for b in body], pa.binary()), pa.array(least, pa.int64()),
         pa.array([len(b) for b in body], pa.int64()), pa.array(body, pa.binary())],
-        ["h", "at", "key", "n_bytes", "body"])
+        ["h", "at", "key", "least", "n_bytes", "body"])
 
 
 def repeated_regions(texts: DataFrame, repeated: DataFrame, n_repeated: int) -> DataFrame:
-    """Regions of texts (h, text) whose windows have a repeated minimizer: h, at, key, n_bytes, body."""
+    """Regions of texts (h, text) whose windows have a repeated minimizer: h, at, key, least, n_bytes, body."""
     held = grams = None
     if n_repeated <= HELD_MINIMIZERS:
         found = np.sort(repeated.select("gram").toArrow().column("gram").to_numpy().view(np.uint64))
         held = texts.sparkSession.sparkContext.broadcast(found)
     else:  # which minimizers of each text are repeated, by a join on the minimizer
         def own(batches):
-            for batch in pieces(batches, "text"):
+            for batch in pieces(batches, "text", TEXT_BYTES):
                 raw, bounds = text_buffer(batch.column(1))
                 _, smallest, _ = window_minimizers(raw, bounds)
                 row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
@@ -152,20 +162,22 @@ def repeated_regions(texts: DataFrame, repeated: DataFrame, n_repeated: int) ->
 
     def kernel(batches):
         rows, size = [], 0
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", TEXT_BYTES):
             raw, bounds = text_buffer(batch.column(1))
             _, smallest, valid = window_minimizers(raw, bounds)
-            new = np.concatenate([[True], smallest[1:] != smallest[:-1]]) if len(raw) else np.zeros(0, bool)
+            new = np.flatnonzero(changes(smallest))
             values = smallest[new]
             wanted = held.value if held else np.unique(batch.column(2).combine_chunks().flatten().to_numpy().view(np.uint64))
-            place = np.searchsorted(wanted, values)
+            order = np.argsort(values)  # ascending values find their places near one another
+            place = np.empty(len(values), np.int64)
+            place[order] = np.searchsorted(wanted, values[order])
             place[place == len(wanted)] = 0
             hit = wanted[place] == values if len(wanted) else np.zeros(len(values), bool)
-            flags = hit[np.cumsum(new) - 1] & valid if len(raw) else valid
+            flags = np.repeat(hit, np.diff(new, append=len(raw))) & valid
             names = batch.column(0).to_pylist()
             # a start that follows the last one of another text never continues its run, as LENGTH > 1
-            for r, at, body in _regions(flags, bounds, raw):
-                rows.append((names[r], at, body))
+            for r, at, least, body in _regions(flags, bounds, raw, smallest):
+                rows.append((names[r], at, least, body))
                 size += len(body)
                 if size > 2_000_000:
                     yield _region_batch(rows)
@@ -181,8 +193,40 @@ def repeated_regions(texts: DataFrame, repeated: DataFrame, n_repeated: int) ->
 CHUNK = "chunk long, body binary, sizes binary, keys binary, counts binary"
 
 
+def gathered(regions: DataFrame) -> DataFrame:
+    """Regions (key, body, n), those with the same least gram hash side by side, equal ones in succession.
+
+    Such regions mostly share text, so a chunk holds fewer distinct triples. Many regions of one hash are parted by
+    key; tasks add up equal regions first.
+    """
+    def kernel(batches):
+        held, size = {}, 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([
+                pa.array(list(held), pa.binary()), pa.array([v[0] for v in held.values()], pa.int64()),
+                pa.array([v[1] for v in held.values()], pa.binary()), pa.array([v[2] for v in held.values()], pa.int64())],
+                ["key", "least", "body", "n"])
+
+        for batch in batches:
+            for key, least, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if key in held:
+                    held[key][2] += 1
+                    continue
+                held[key] = [least, body, 1]
+                size += len(body)
+                if size > 4 * CHUNK_BYTES:
+                    yield out()
+                    held, size = {}, 0
+        if held:
+            yield out()
+
+    summed = arrow_map(regions.select("key", "least", "body"), kernel, "key binary, least long, body binary, n long")
+    return summed.repartitionByRange("least", "key").sortWithinPartitions("least", "key")
+
+
 def packed(regions: DataFrame) -> DataFrame:
-    """Distinct regions (key, body, n) side by side in rows of about CHUNK_BYTES."""
+    """Regions (key, body, n) side by side in rows of about CHUNK_BYTES; equal ones that follow each other are one."""
     def kernel(batches):
         from pyspark import TaskContext
 
@@ -198,11 +242,14 @@ def packed(regions: DataFrame) -> DataFrame:
 
         for batch in batches:
             for key, body, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                held.append((key, body, n))
-                size += len(body)
+                if held and held[-1][0] == key:
+                    held[-1][2] += n
+                    continue
                 if size >= CHUNK_BYTES:
                     yield out()
                     held, size, seq = [], 0, seq + 1
+                held.append([key, body, n])
+                size += len(body)
         if held:
             yield out()
 
@@ -211,9 +258,15 @@ def packed(regions: DataFrame) -> DataFrame:
 
 def sampled_places(sizes: np.ndarray, span: int) -> np.ndarray:
     """Places 1 and 2 modulo 3 of each region from which ``span`` bytes stay inside it."""
+    local = places(sizes)
+    inside = np.repeat(np.maximum(sizes - span + 1, 0).astype(np.uint32), sizes)
+    return np.flatnonzero((local % np.uint32(3) != 0) & (local < inside))
+
+
+def places(sizes: np.ndarray) -> np.ndarray:
+    """Place in its region of each byte; 32 bits do, as a row of a table holds less than 2 GB."""
     starts = np.cumsum(sizes) - sizes
-    local = np.arange(int(sizes.sum())) - np.repeat(starts, sizes)
-    return np.flatnonzero((local % 3 != 0) & (local + span <= np.repeat(sizes, sizes)))
+    return np.arange(int(sizes.sum()), dtype=np.uint32) - np.repeat(starts.astype(np.uint32), sizes)
 
 
 def words_at(body: np.ndarray) -> np.ndarray:
@@ -224,11 +277,17 @@ def words_at(body: np.ndarray) -> np.ndarray:
     return out[:len(body)]
 
 
-def triples(level: int, body: np.ndarray, sizes: np.ndarray, names: np.ndarray | None):
-    """Places, and the three key columns of their triples."""
-    at = sampled_places(sizes, SPANS[level])
-    source = words_at(body) if level == 0 else names
-    return at, [source[at + s] for s in SHIFTS[level]]
+def ascending(key: np.ndarray) -> np.ndarray:
+    """Order of the rows by key. Where a row's place fits below the key's range, a plain sort of both does it, which
+    is faster than ``argsort``."""
+    low, high = (key.min(), key.max()) if len(key) else (0, 0)
+    bits = int(high - low).bit_length()
+    if not 0 < bits < 64 or len(key) >> (64 - bits):
+        return np.argsort(key)
+    room = np.uint64(64 - bits)
+    both = (key - low).astype(np.uint64) << room | np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    return (both & ((np.uint64(1) << room) - np.uint64(1))).view(np.int64)
 
 
 def distinct_rows(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +295,7 @@ def distinct_rows(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
     A key is looked at only where all keys before it tie. Equal rows stand in any order.
     """
-    order = np.argsort(keys[0])
+    order = ascending(keys[0])
     new = changes(keys[0][order])
     for key in keys[1:]:
         tied = ~new
@@ -246,11 +305,11 @@ def distinct_rows(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             break
         rows = order[at]
         values = key[rows]
-        by = np.argsort(values)
+        by = ascending(values)
         rank = np.empty(len(by), np.int64)
         rank[by] = np.cumsum(changes(values[by]))
         code = np.cumsum(new[at]) * (len(at) + 1) + rank  # group of ties, then key
-        by = np.argsort(code)
+        by = ascending(code)
         order[at] = rows[by]
         new[at] = changes(code[by])
     return order, np.cumsum(new) - 1
@@ -263,14 +322,57 @@ def changes(ordered: np.ndarray) -> np.ndarray:
     return out
 
 
+def answered(row) -> tuple[np.ndarray, np.ndarray]:
+    """The number within the chunk that each sampled place had in the sort before, and the names by number.
+
+    Numbers order the triples of a chunk as names do.
+    """
+    parts = sorted(row["answer"], key=lambda r: r["bucket"])
+    names = [np.cumsum(loosened(r["ranks"])) for r in parts[1:]]
+    return loosened(parts[0]["ranks"]), np.concatenate([np.zeros(0, np.uint64), *names])
+
+
+def numbered_chunk(row, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, region sizes, the number at each place that the sort before sampled (else 0), and the names by number."""
+    body, sizes = np.frombuffer(row["body"], np.uint8), np.frombuffer(row["sizes"], "<i8")
+    number, names = answered(row)
+    local = np.zeros(len(body), np.uint64)
+    local[sampled_places(sizes, SPANS[level - 1])] = number
+    return body, sizes, local, names
+
+
 def chunk_arrays(row, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Text, region sizes, and the name at each sampled place of the level before."""
-    body, sizes = np.frombuffer(row["body"], np.uint8), np.frombuffer(row["sizes"], "<i8")
     if not level:
-        return body, sizes, None
-    names = np.zeros(len(body), np.uint64)
-    names[sampled_places(sizes, SPANS[level - 1])] = np.cumsum(loosened(row["ranks"]))[loosened(row["which"]).astype(np.int64)]
-    return body, sizes, names
+        return np.frombuffer(row["body"], np.uint8), np.frombuffer(row["sizes"], "<i8"), None
+    body, sizes, local, names = numbered_chunk(row, level)
+    out, at = np.zeros(len(body), np.uint64), sampled_places(sizes, SPANS[level - 1])
+    out[at] = names[local[at]]
+    return body, sizes, out
+
+
+def distinct_triples(row, level: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The number within the chunk of the triple at each sampled place, and the parts of the distinct triples in order."""
+    if level:
+        body, sizes, local, names = numbered_chunk(row, level)
+    else:  # the words of the chunk are numbered first
+        body, sizes, _ = chunk_arrays(row, 0)
+        words = words_at(body)
+        order, number = distinct_rows([words])
+        local = np.empty(len(body), np.uint64)
+        local[order] = number
+        names = words[order[np.flatnonzero(changes(number))]]
+    at = sampled_places(sizes, SPANS[level])
+    parts = [local[at + s] for s in SHIFTS[level]]
+    bits = len(names).bit_length()
+    if 3 * bits > 64:
+        order, number = distinct_rows(parts)
+    else:  # the numbers of all parts are one key
+        order, number = distinct_rows([parts[0] << np.uint64(2 * bits) | parts[1] << np.uint64(bits) | parts[2]])
+    first = order[np.flatnonzero(changes(number))]
+    which = np.empty(len(order), np.uint64)
+    which[order] = number
+    return which, [names[p[first]] for p in parts]
 
 
 def splitters(chunks: DataFrame, buckets: int) -> np.ndarray:
@@ -289,35 +391,37 @@ def splitters(chunks: DataFrame, buckets: int) -> np.ndarray:
     return np.array([int(x) for x in found or []], dtype=np.uint64)
 
 
-def sorted_names(chunks: DataFrame, level: int, cuts: np.ndarray, stage: Stage) -> DataFrame:
+def sorted_names(
+    chunks: DataFrame, level: int, cuts: np.ndarray, stage: Stage, bare: DataFrame | None = None,
+) -> DataFrame:
     """Chunks with the rank name of every sampled place after sorting the triples of this level.
 
     A chunk sends each distinct triple once to the bucket of its first part; buckets sort and
     number what they get and send the ranks back, in the order the chunk sent them. Ranks are
-    bucket and place in the bucket, so they order all triples.
+    bucket and place in the bucket, so they order all triples. What the chunk knows of its own
+    order travels beside, in a bucket below 0, so that it is sorted once.
+
+    ``bare``: the same chunks without names, where they can be read by themselves.
     """
-    fields = ["body", "sizes"] + (["which", "ranks"] if level else [])
+    fields = ["body", "sizes"] + (["answer"] if level else [])
+    own_buckets = max(1, (len(cuts) + 1) // 4)
 
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                body, sizes, names = chunk_arrays(row, level)
-                _, keys = triples(level, body, sizes, names)
-                order, number = distinct_rows(keys)
-                first = np.flatnonzero(np.diff(number, prepend=-1))
-                keys = [k[order][first] for k in keys]
+                which, keys = distinct_triples(row, level)
                 bucket = (np.searchsorted(cuts, keys[0], side="right") if level == 0
                           else (keys[0] >> np.uint64(RANK_BITS)).astype(np.int64))
-                edge = np.flatnonzero(np.diff(bucket, prepend=-1))
-                for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)]):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([bucket[a]], pa.int32()), pa.array([row["chunk"]], pa.int64()),
-                        pa.array([squeezed(np.concatenate([steps(keys[0][a:b]), keys[1][a:b], keys[2][a:b]]))],
-                                 pa.binary())],
-                        ["bucket", "chunk", "keys"])
+                own = (row["chunk"] >> 32) * 1_000_003 + (row["chunk"] & 0xFFFFFFFF)
+                yield sent_batch(-1 - own % own_buckets, row["chunk"], squeezed(which))
+                for b, low, high in bucket_runs(bucket):
+                    blob = squeezed(np.concatenate([steps(keys[0][low:high]), keys[1][low:high], keys[2][low:high]]))
+                    yield sent_batch(b, row["chunk"], blob)
 
     def number(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:
+            return table.select(["chunk", "bucket", "keys"]).rename_columns(["chunk", "bucket", "ranks"])
         blobs = [loosened(b).reshape(3, -1) for b in table.column("keys").to_pylist()]
         keys = np.concatenate([np.vstack([np.cumsum(b[:1], axis=1), b[1:]]) for b in blobs], axis=1)
         order, rank = distinct_rows(list(keys))
@@ -329,34 +433,28 @@ def sorted_names(chunks: DataFrame, level: int, cuts: np.ndarray, stage: Stage)
             "ranks": pa.array([squeezed(steps(names[e - b.shape[1]:e])) for e, b in zip(ends.tolist(), blobs)],
                               pa.binary())})
 
-    def receive(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                body, sizes, names = chunk_arrays(row, level)
-                _, keys = triples(level, body, sizes, names)
-                order, rank = distinct_rows(keys)
-                parts = sorted(row["answer"] or [], key=lambda r: r["bucket"])
-                ranks = np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(loosened(r["ranks"])) for r in parts]])
-                which = np.empty(len(order), np.uint64)
-                which[order] = rank
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array([row[c]], t) for c, t in CHUNK_TYPES], pa.array([squeezed(which)], pa.binary()),
-                     pa.array([squeezed(steps(ranks))], pa.binary())],
-                    [*[c for c, _ in CHUNK_TYPES], "which", "ranks"])
-
     with batch_rows(chunks.sparkSession, 4):
-        sent = arrow_map(chunks.select("chunk", *fields), send, "bucket int, chunk long, keys binary")
+        sent = arrow_map(chunks.select("chunk", *fields), send, SENT)
         ranked = sent.groupBy("bucket").applyInArrow(number, "chunk long, bucket int, ranks binary")
-        ranked = stage.put(ranked, f"ranks{level}")  # what was sent goes before the chunks move
-        answers = ranked.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ranks")).alias("answer"))
-        joined = chunks.join(answers, "chunk", "left")
-        named = stage.put(arrow_map(joined, receive, f"{CHUNK}, which binary, ranks binary"), f"names{level}")
-    stage.drop(f"ranks{level}")
-    return named
+        ranked = stage.put(ranked, f"ranks{level}")
+    answers = ranked.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ranks")).alias("answer"))
+    return (bare or chunks.drop("answer")).join(answers, "chunk")
+
 
+SENT = "bucket int, chunk long, keys binary"
 
-CHUNK_TYPES = [("chunk", pa.int64()), ("body", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()),
-               ("counts", pa.binary())]
+
+def sent_batch(bucket: int, chunk: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([bucket], pa.int32()), pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())],
+        ["bucket", "chunk", "keys"])
+
+
+def bucket_runs(bucket: np.ndarray):
+    """(bucket, low, high) of each run of equal buckets."""
+    edge = np.flatnonzero(changes(bucket)).tolist()
+    for low, high in zip(edge, [*edge[1:], len(bucket)]):
+        yield int(bucket[low]), low, high
 
 
 def merge_keys(body: np.ndarray, sizes: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -367,10 +465,9 @@ def merge_keys(body: np.ndarray, sizes: np.ndarray, names: np.ndarray) -> tuple[
     order 1 joins residues 0 and 2 by bytes i and i + 1, name(i + 2);
     order 2 joins residues 1 and 2 by name(i), bytes i + 198 and i + 199.
     """
-    starts = np.cumsum(sizes) - sizes
-    local = np.arange(len(body)) - np.repeat(starts, sizes)
-    start = np.flatnonzero(local + LENGTH <= np.repeat(sizes, sizes))
-    residue = local[start] % 3
+    local = places(sizes)
+    start = np.flatnonzero(local < np.repeat(np.maximum(sizes - LENGTH + 1, 0).astype(np.uint32), sizes))
+    residue = local[start] % np.uint32(3)
     span = SPANS[-1]
     wide = body.astype(np.uint64)
     out_at, out_key = [], []
@@ -384,29 +481,23 @@ def merge_keys(body: np.ndarray, sizes: np.ndarray, names: np.ndarray) -> tuple[
 
 def repeated_runs(chunks: DataFrame, stage: Stage) -> DataFrame:
     """key, low, high: runs of starts of each region whose LENGTH bytes occur again."""
-    def grouped(row):
-        body, sizes, names = chunk_arrays(row, len(SPANS))
-        at, key = merge_keys(body, sizes, names)
-        order, number = distinct_rows([key])
-        return at, key, order, number, np.flatnonzero(np.diff(number, prepend=-1))
-
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                _, key = merge_keys(*chunk_arrays(row, len(SPANS)))
+                body, sizes, local, names = numbered_chunk(row, len(SPANS))
+                _, key = merge_keys(body, sizes, local)
                 key.sort()
                 distinct = key[changes(key)]
-                bucket = (distinct >> np.uint64(16 + RANK_BITS)).astype(np.int64)
-                edge = np.flatnonzero(np.diff(bucket, prepend=-1))
-                for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(bucket)]):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([bucket[a]], pa.int32()), pa.array([row["chunk"]], pa.int64()),
-                        pa.array([squeezed(steps(distinct[a:b]))], pa.binary())], ["bucket", "chunk", "keys"])
+                # names for numbers; both are in the same order
+                bits = np.uint64((1 << 62) - (1 << 16))
+                distinct = distinct & ~bits | names[(distinct & bits) >> np.uint64(16)] << np.uint64(16)
+                for b, low, high in bucket_runs((distinct >> np.uint64(16 + RANK_BITS)).astype(np.int64)):
+                    yield sent_batch(b, row["chunk"], squeezed(steps(distinct[low:high])))
 
     def compare(table: pa.Table) -> pa.Table:
         blobs = [np.cumsum(loosened(b)) for b in table.column("keys").to_pylist()]
         keys = np.concatenate(blobs)
-        order = np.argsort(keys)
+        order = ascending(keys)
         same = keys[order][1:] == keys[order][:-1]
         again = np.zeros(len(keys), bool)
         again[order[1:]] |= same
@@ -420,13 +511,17 @@ def repeated_runs(chunks: DataFrame, stage: Stage) -> DataFrame:
     def receive(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                at, _, order, number, first = grouped(row)
-                parts = sorted(row["answer"] or [], key=lambda r: r["bucket"])
+                body, sizes, local, names = numbered_chunk(row, len(SPANS))
+                at, key = merge_keys(body, sizes, local)
+                bits = len(names).bit_length() + 16  # below the order, of 2 bits
+                # without the empty bits between
+                order, number = distinct_rows([key >> np.uint64(62) << np.uint64(bits) | key & np.uint64((1 << bits) - 1)])
+                times = np.diff(np.flatnonzero(changes(number)), append=len(order))
+                parts = sorted(row["met"], key=lambda r: r["bucket"])
                 again = np.frombuffer(b"".join(r["again"] for r in parts), np.uint8).astype(bool)
-                again = again | (np.diff(np.append(first, len(order))) > 1)  # twice in the chunk itself
-                sizes = np.frombuffer(row["sizes"], "<i8")
-                flags = np.zeros(int(sizes.sum()) + 1, np.int8)
-                flags[at[order][again[number]]] = 1
+                again = again | (times > 1)  # twice in the chunk itself
+                flags = np.zeros(len(body) + 1, np.int8)
+                flags[at[order[np.repeat(again, times)]]] = 1
                 starts = np.cumsum(sizes) - sizes
                 for s, n, c in zip(starts.tolist(), sizes.tolist(), np.frombuffer(row["counts"], "<i8").tolist()):
                     if c > 1:  # the region as a whole occurs again
@@ -440,10 +535,10 @@ def repeated_runs(chunks: DataFrame, stage: Stage) -> DataFrame:
                     ["key", "low", "high"])
 
     with batch_rows(chunks.sparkSession, 4):
-        sent = arrow_map(chunks.select("chunk", "body", "sizes", "which", "ranks"), send, "bucket int, chunk long, keys binary")
+        sent = arrow_map(chunks.select("chunk", "body", "sizes", "answer"), send, SENT)
         met = stage.put(sent.groupBy("bucket").applyInArrow(compare, "chunk long, bucket int, again binary"), "met")
-        answers = met.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "again")).alias("answer"))
-        joined = chunks.join(answers, "chunk", "left")
+        answers = met.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "again")).alias("met"))
+        joined = chunks.join(answers, "chunk")
         runs = stage.put(arrow_map(joined, receive, "key binary, low long, high long"), "runs")
     stage.drop("met")
     return runs
@@ -510,19 +605,20 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     repeated = stage.put(minimizer_counts(texts).where("n > 1"), "minimizers")
     regions = stage.put(repeated_regions(texts, repeated, repeated.count()), "regions")
     stage.drop("minimizers")
-    distinct = regions.groupBy("key").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("n"))
     with batch_rows(spark, 1000):
-        chunks = stage.put(packed(distinct), "chunks")
+        # read at every level, and split into tasks by its size as written
+        chunks = stage.put(packed(gathered(regions)), "chunks", codec="uncompressed")
     total = regions.agg(F.sum("n_bytes")).first()[0]
     if total:
         buckets = int(min(MAX_BUCKETS - 1, max(24, total // BUCKET_BYTES)))
         with batch_rows(spark, 4):
             cuts = splitters(chunks, buckets)
+        named = chunks
         for level in range(len(SPANS)):
-            chunks = sorted_names(chunks, level, cuts, stage)
-            stage.drop("chunks" if not level else f"names{level - 1}")
-        runs = repeated_runs(chunks, stage)
-        stage.drop(f"names{len(SPANS) - 1}")
+            named = sorted_names(named, level, cuts, stage, chunks)
+            stage.drop(f"ranks{level - 1}")
+        runs = repeated_runs(named, stage)
+        stage.drop(f"ranks{len(SPANS) - 1}", "chunks")
     else:
         runs = spark.createDataFrame([], "key binary, low long, high long")
     by_text = regions.select("h", "at", "key").join(runs, "key").select(

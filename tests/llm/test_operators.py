@@ -1,7 +1,9 @@
 """The operators' own interfaces: parts that the queries do not show."""
 
+import hashlib
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -517,3 +519,74 @@ def test_sliding_extremes_are_those_of_each_window(step):
             most = suffixes.sliding(values, width, np.maximum, np.uint64(0), step)
             windows = [values[i:i + width].tolist() for i in range(n)]
             assert least.tolist() == [min(w) for w in windows] and most.tolist() == [max(w) for w in windows]
+
+
+def test_regions_that_share_text_lie_side_by_side(spark):
+    """One passage with other edges each time, far apart in the input: the copies come in succession, equal ones as one row."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [text(900) for _ in range(6)]
+    bodies = [(k, passages[k][rng.randrange(60):-1 - rng.randrange(60)].encode()) for _ in range(10) for k in range(6)]
+    least = {b: int(suffixes.gram_hashes(np.frombuffer(b, np.uint8), np.array([0, len(b)])).min()) for _, b in bodies}
+    bodies += bodies[:7]
+    rows = [(hashlib.blake2b(b, digest_size=16).digest(), least[b], b) for _, b in bodies]
+    regions = spark.createDataFrame(rows, "key binary, least long, body binary").repartition(5)
+    got = [(bytes(r.body), r.n) for r in suffixes.gathered(regions).collect()]
+    order = [least[b] for b, _ in got]
+    assert order == sorted(order)
+    times = Counter(b for _, b in bodies)
+    assert Counter({b: sum(n for c, n in got if c == b) for b in times}) == times
+    chunks = [row for row in suffixes.packed(suffixes.gathered(regions)).collect()]
+    held = [(row.keys[16 * i:16 * i + 16], n) for row in chunks for i, n in enumerate(np.frombuffer(row["counts"], "<i8").tolist())]
+    assert sorted(held) == sorted((hashlib.blake2b(b, digest_size=16).digest(), n) for b, n in times.items())
+
+
+def test_a_chunk_orders_its_triples_once(spark):
+    """What a sort returns holds the chunk's own order, by number, beside the names; further sorts compare numbers."""
+    rng = random.Random(9)
+    body = "".join(rng.choice("ab") for _ in range(600)).encode()
+    regions = spark.createDataFrame([(b"k" * 16, body, 1), (b"l" * 16, body[50:450], 1)], "key binary, body binary, n long")
+    stage = Stage(spark)
+    chunks = stage.put(suffixes.packed(regions), "c")
+    cuts = suffixes.splitters(chunks, 3)
+    named = chunks
+    for level, span in enumerate(suffixes.SPANS):
+        named = suffixes.sorted_names(named, level, cuts, stage, chunks)
+        for row in named.collect():
+            number, names = suffixes.answered(row)
+            data, sizes, _ = suffixes.chunk_arrays(row, 0)
+            at = suffixes.sampled_places(sizes, span)
+            strings = [data[i:i + span].tobytes() for i in at.tolist()]
+            place = {x: i for i, x in enumerate(sorted(set(strings)))}
+            assert number.tolist() == [place[x] for x in strings] and len(names) == len(place)
+            assert names.tolist() == sorted(set(names.tolist()))
+
+
+def test_a_plain_sort_orders_as_argsort_does():
+    rng = np.random.default_rng(12)
+    for n, low, high in ((0, 0, 9), (1, 4, 5), (400, 7, 8), (400, 5, 40), (400, 2 ** 50, 2 ** 60), (400, 0, 2 ** 64 - 1)):
+        for kind in (np.uint64, np.int64):
+            key = rng.integers(low, min(high, 2 ** 63 - 1) if kind is np.int64 else high, n, dtype=kind)
+            order = suffixes.ascending(key)
+            assert sorted(order.tolist()) == list(range(n)) and (key[order] == np.sort(key)).all()
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 14])
+def test_gram_hashes_do_not_depend_on_their_steps(step):
+    raw = np.random.default_rng(3).integers(97, 99, 700).astype(np.uint8)
+    raw[400:600] = raw[100:300]
+    bounds = np.array([0, 350, 350, 420, 700])
+    got = suffixes.gram_hashes(raw, bounds, step)
+    inside = [i for a, b in zip(bounds, bounds[1:]) for i in range(a, b - suffixes.GRAM + 1)]
+    assert set(np.flatnonzero(got != suffixes.TOP).tolist()) == set(inside)
+    seen = {}
+    for i in inside:
+        assert seen.setdefault(raw[i:i + suffixes.GRAM].tobytes(), int(got[i])) == int(got[i])
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_byte_planes_come_back():
+    from embertide.llm.common import loosened, squeezed
+
+    for numbers in (np.zeros(0, np.uint64), np.array([0, 1, 2 ** 64 - 1, 2 ** 33], np.uint64), np.arange(5), np.arange(10)[::2]):
+        assert loosened(squeezed(numbers)).tolist() == numbers.tolist()
