@@ -167,7 +167,7 @@ def repeated_regions(texts: DataFrame, repeated: DataFrame, n_repeated: int) ->
             _, smallest, valid = window_minimizers(raw, bounds)
             new = np.flatnonzero(changes(smallest))
             values = smallest[new]
-            wanted = held.value if held else np.unique(batch.column(2).combine_chunks().flatten().to_numpy().view(np.uint64))
+            wanted = held.value if held else np.unique(batch.column(2).flatten().to_numpy().view(np.uint64))
             order = np.argsort(values)  # ascending values find their places near one another
             place = np.empty(len(values), np.int64)
             place[order] = np.searchsorted(wanted, values[order])

@@ -590,3 +590,16 @@ def test_byte_planes_come_back():
 
     for numbers in (np.zeros(0, np.uint64), np.array([0, 1, 2 ** 64 - 1, 2 ** 33], np.uint64), np.arange(5), np.arange(10)[::2]):
         assert loosened(squeezed(numbers)).tolist() == numbers.tolist()
+
+
+def test_minimizers_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    rng = random.Random(10)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [text(300), text(450)]
+    rows = [(i, text(rng.randrange(200)) + shared[i % 2] + text(rng.randrange(200))) for i in range(6)]
+    rows += [(6, text(900)), (7, rows[0][1]), (8, None), (9, shared[0][:150])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(tuple(r) for r in suffixes.repeated_bytes(docs).collect())
+    assert sum(r[2] for r in want) > 1000
+    monkeypatch.setattr(suffixes, "HELD_MINIMIZERS", -1)
+    assert sorted(tuple(r) for r in suffixes.repeated_bytes(docs).collect()) == want
